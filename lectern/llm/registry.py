@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import substring_dedup
+from lectern.llm import decontaminate, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
+    "op8_near_dedup": near_dedup.OP8_SQL,
 }

@@ -29,7 +29,7 @@ from lectern.llm.words import Words, from_planes, planes, positions, window_hash
 
 WINDOW = 50
 #: Entries a task holds before it settles and sends them.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Words that one bucket should hold over the whole input.
 BUCKET_WORDS = 1_000_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -267,7 +267,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     buckets = max(48, total // BUCKET_WORDS)
     long = signed.filter(F.col("n_words") >= window)
     firsts = long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = long.join(firsts.select("sha", "first"), "sha").filter(F.col("doc_id") > F.col("first")).select("doc_id")
+    firsts = common.table(firsts.select("sha", "first"), "firsts")  # read back, so that the join can split a hot group
+    copies = long.join(firsts, "sha").filter(F.col("doc_id") > F.col("first")).select("doc_id").distinct()
+    docs = docs.filter("doc_id is not null")
     met = docs.mapInArrow(_probes(buckets, window), SENT).groupBy("bucket").applyInArrow(_meet(False), MARKS)
     anchors = common.table(met.groupBy("doc_id").agg(F.collect_list("at").alias("at")).join(copies, "doc_id", "left_anti"), "anchors")
     near = common.only_ids(docs, anchors, anchors.count()).join(anchors, "doc_id")
