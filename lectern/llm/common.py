@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that a broadcast may hold (8 bytes each); beyond it the same join is a shuffle join.
@@ -48,6 +48,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_n(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """table() and its number of rows, counted as they are written."""
+    seen = Observation()
+    out = table(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """Rows of docs whose key is in ids (n rows): a broadcast semi-join up to BROADCAST_IDS, else a shuffle join."""
     ids = ids.select(key)

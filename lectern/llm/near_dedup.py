@@ -1,19 +1,22 @@
 """MinHash near-dedup with b-bit signatures.
 
-A document's set holds the hashes of its distinct 3-word shingles. Documents with equal sets are one vertex. Of each
-set come 160 minima: 32 bands of five whole minima make the buckets, and the low 2 bits of each minimum, packed into
-five 64-bit words, make the signature. A pair from a bucket is first judged by its signatures (equal lanes by bit
+A document's set holds the hashes of its distinct shingles of a few words. Documents with equal sets are one vertex.
+Of each set come 160 minima: bands of a few whole minima make the buckets, and the low 2 bits of each minimum, packed
+into five 64-bit words, make the signature. A pair from a bucket is first judged by its signatures (equal lanes by bit
 count, corrected for chance collisions); pairs that may reach the threshold are confirmed on their full sets.
 
-A bucket never emits all of its pairs. First its smallest document is paired with the others. What is then linked
-into one component needs no further pairs; a bucket that still spans components takes further documents outside its
-main component as centres, each against the bucket's other components only, until every cross-component pair of the
-bucket has had a centre in it. So no link between documents that share a bucket is lost, a bucket of n mutually
-similar documents costs n pairs, and nothing is capped. A pair at similarity 0.85 shares no bucket at all with a
-probability under 1e-8.
+A bucket never emits all of its pairs. Its centre, the document that meets the most others, is paired with the rest.
+What is then linked into one component needs no further pairs. Where a centre's documents still span components, a
+prefix filter takes over: under one order of the shingles, those the centre lacks first, two documents that reach the
+threshold share one of their first (1 - threshold) of shingles. An edited copy that fails its centre has its own
+words there, so the groups that share such a shingle are small; in each, documents outside its main component are
+centres in turn, against other components only, until every cross-component pair has had a centre in it. So no link
+between documents that share a bucket is lost, n mutually similar documents cost about n pairs, and nothing is
+capped. A pair at the threshold shares no bucket at all with a probability under 1e-8: there are 32 bands of five
+minima from 0.85 on, 40 bands of four below.
 
-Cases: null, empty and blank texts have the empty set, size 0, and are their own component; fewer than three words
-make one shingle; rows without a doc_id have a null component_id and are kept; repeated rows share their component;
+Cases: null, empty and blank texts have the empty set, size 0, and are their own component; fewer words than a
+shingle's make one shingle; rows without a doc_id have a null component_id and are kept; repeated rows share their component;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -23,17 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import common
 from lectern.llm.words import PLAIN, Words, mix, positions, window_hashes
 
-SHINGLE = 3
-BANDS, ROWS = 32, 5
-LANES = BANDS * ROWS
+SHINGLE = 5
+LANES = 160
 #: Similarity in hundredths that a link needs.
-THRESHOLD = 85
+THRESHOLD = 80
 #: The signatures' estimate is off by 0.033 (one standard deviation) at 0.85; pairs six of them below are dropped.
 SLACK = 0.2
 _ODD = int.from_bytes(bytes([0x55] * 8), "big")
@@ -71,43 +73,55 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, LANES, dtype=np.uint32)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(shingle: int, threshold: int):
+    per_band = 5 if threshold >= 85 else 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in common.slices(batches):
+            yield _signed(rows, *shingle_sets(data, offsets, shingle), per_band)
+
+    return run
+
+
+def _signed(rows: pa.RecordBatch, value: np.ndarray, bounds: np.ndarray, per_band: int) -> pa.RecordBatch:
     odd, plus = _multipliers()
-    for rows, data, offsets in common.slices(batches):
-        value, bounds = shingle_sets(data, offsets)
-        n = np.diff(bounds)
-        some = np.flatnonzero(n)
-        lanes = np.zeros((LANES, len(n)), np.uint32)
-        set_a, set_b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        if len(some):
-            starts = bounds[:-1][some]
-            half = (value >> np.uint64(32)).astype(np.uint32)
-            for k in range(LANES):
-                lanes[k, some] = np.minimum.reduceat(half * odd[k] + plus[k], starts)
-            set_a[some] = np.add.reduceat(mix(value), starts)
-            set_b[some] = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-        bands = np.zeros((len(n), BANDS), np.uint64)
-        for band in range(BANDS):
-            key = np.full(len(n), band + 1, np.uint64)
-            for row in range(ROWS):
-                key = mix(key ^ lanes[band * ROWS + row].astype(np.uint64)) + np.uint64(band)
-            bands[:, band] = key
-        low = (lanes & np.uint32(3)).astype(np.uint64)
-        signature = []
-        for w in range(LANES // 32):
-            word = np.zeros(len(n), np.uint64)
-            for k in range(32):
-                word |= low[w * 32 + k] << np.uint64(2 * k)
-            signature.append(word)
-        long = lambda x: pa.array(x.view(np.int64), pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), long(bands.reshape(-1)))
-        yield pa.record_batch([rows.column("doc_id"), pa.array(n, pa.int64()), long(set_a), long(set_b), lists, *map(long, signature)], ["doc_id", "n_shingles", "set_a", "set_b", "bands", *SIGNATURE])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in common.slices(batches):
-        value, bounds = shingle_sets(data, offsets)
-        yield pa.record_batch([rows.column("doc_id"), common.binary_array(value, 8 * bounds)], ["doc_id", "shingles"])
+    count = LANES // per_band
+    n = np.diff(bounds)
+    some = np.flatnonzero(n)
+    lanes = np.zeros((LANES, len(n)), np.uint32)
+    set_a, set_b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(some):
+        starts = bounds[:-1][some]
+        half = (value >> np.uint64(32)).astype(np.uint32)
+        for k in range(LANES):
+            lanes[k, some] = np.minimum.reduceat(half * odd[k] + plus[k], starts)
+        set_a[some] = np.add.reduceat(mix(value), starts)
+        set_b[some] = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+    bands = np.zeros((len(n), count), np.uint64)
+    for band in range(count):
+        key = np.full(len(n), band + 1, np.uint64)
+        for row in range(per_band):
+            key = mix(key ^ lanes[band * per_band + row].astype(np.uint64)) + np.uint64(band)
+        bands[:, band] = key
+    low = (lanes & np.uint32(3)).astype(np.uint64)
+    signature = []
+    for w in range(LANES // 32):
+        word = np.zeros(len(n), np.uint64)
+        for k in range(32):
+            word |= low[w * 32 + k] << np.uint64(2 * k)
+        signature.append(word)
+    long = lambda x: pa.array(x.view(np.int64), pa.int64())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * count, pa.int32()), long(bands.reshape(-1)))
+    return pa.record_batch([rows.column("doc_id"), pa.array(n, pa.int64()), long(set_a), long(set_b), lists, *map(long, signature)], ["doc_id", "n_shingles", "set_a", "set_b", "bands", *SIGNATURE])
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in common.slices(batches):
+            value, bounds = shingle_sets(data, offsets, shingle)
+            yield pa.record_batch([rows.column("doc_id"), common.binary_array(value, 8 * bounds)], ["doc_id", "shingles"])
+
+    return run
 
 
 def _confirm(threshold: int):
@@ -135,9 +149,11 @@ def components(edges: DataFrame) -> DataFrame:
         sunk = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
         sunk = labels.join(sunk, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         up = labels.select(F.col("doc_id").alias("via"), F.col("label").alias("top"))
-        now = common.table(sunk.join(up, "via", "left").select("doc_id", "old", F.least("via", "top").alias("label")), "labels")
+        now = sunk.join(up, "via", "left").select("doc_id", "old", F.least("via", "top").alias("label"))
+        changed = Observation()
+        now = common.table(now.observe(changed, F.count_if(F.col("old") != F.col("label")).alias("n")), "labels")
         labels = now.select("doc_id", "label")
-        if not now.filter("old <> label").head(1):
+        if not changed.get["n"]:
             return labels
 
 
@@ -147,57 +163,85 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     x = signed.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in columns])
     y = signed.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in columns])
     differ = " + ".join(f"bit_count(((x_{s} ^ y_{s}) | shiftrightunsigned(x_{s} ^ y_{s}, 1)) & {_ODD}L)" for s in SIGNATURE)
-    joined = pairs.join(y, "b").filter("y_n_shingles > 0").join(x, "a")
     sizes = f"100 * least(x_n_shingles, y_n_shingles) >= {threshold} * greatest(x_n_shingles, y_n_shingles)"
     estimate = f"((1 - ({differ}) / {LANES}D) - 0.25D) / 0.75D"
-    return joined.filter(sizes).filter(f"{estimate} >= {threshold / 100 - SLACK}").select("a", "b")
+    return pairs.join(y, "b").join(x, "a").filter(sizes).filter(f"{estimate} >= {threshold / 100 - SLACK}").select("a", "b")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full sets."""
-    likely = common.table(_likely(pairs, signed, threshold), "likely")
-    ids = common.table(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = common.only_ids(docs, ids, ids.count()).dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary")
-    sets = common.table(sets, "sets")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_y"))
-    return common.table(likely.join(y, "b").join(x, "a").mapInArrow(_confirm(threshold), "a long, b long"), "links")
+    return pairs.join(y, "b").join(x, "a")
+
+
+def _links(pairs: DataFrame, signed: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that reach the threshold on their full sets, and their number."""
+    likely = common.table(_likely(pairs, signed, threshold), "likely")
+    return common.table_n(_with_sets(likely, sets).mapInArrow(_confirm(threshold), "a long, b long"), "links")
 
 
-def near_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def _prefixes(threshold: int):
+    """The first |Y| - ceil(threshold |Y|) + 1 shingles of each document's set Y, those that its centre lacks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("set_x"), batch.column("set_y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                shared = x[at] == y
+                ordered = np.concatenate([y[~shared], y[shared]])
+                out.append(ordered[: len(y) + (threshold * len(y) // -100) + 1].view(np.int64))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.list_(pa.int64()))], ["a", "b", "prefix"])
+
+    return run
+
+
+def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document (doc_id, text)."""
     common.session_paths(docs.sparkSession)
     docs = docs.select("doc_id", common.text_or_empty())
-    signed = common.table(docs.mapInArrow(_sign, SIGNED), "signed")
+    signed = common.table(docs.mapInArrow(_sign(shingle, threshold), SIGNED), "signed")
     docs = docs.filter("doc_id is not null")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     groups = common.table(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "groups")
     reps = filled.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = reps.select(F.explode("bands").alias("key"), "doc_id")
-    shared = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    bucket = common.table(members.join(shared, "key").select("key", "doc_id", "centre", (F.col("doc_id") == F.col("centre")).alias("used")), "bucket")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bucket = common.table(members.join(shared, "key"), "bucket")
     slim = signed.select("doc_id", "n_shingles", *SIGNATURE)
-    pairs = common.table(bucket.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    tested = pairs
-    labels = components(_links(pairs, docs, slim, threshold))
-    width = 4
+    # The centre of a bucket is the document that meets the most others over all of its buckets.
+    degree = common.table(bucket.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree")
+    sets = common.table(common.only_ids(docs, degree, degree.count()).dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
+    centre = bucket.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("a"))
+    pairs = common.table(bucket.join(centre, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    links, _ = _links(pairs, slim, sets, threshold)
+    labels = components(links)
+    # Two documents of a bucket that are still apart are both paired with its centre. If they reach the threshold,
+    # they share a shingle of their prefixes in any one order, here with the shingles that the centre lacks first.
+    around = pairs.join(labels.select(F.col("doc_id").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    apart = around.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a")
+    open_ = pairs.join(apart, "a", "left_semi")
+    prefixes = _with_sets(open_, sets).mapInArrow(_prefixes(threshold), "a long, b long, prefix array<long>")
+    spread = prefixes.select("a", F.col("b").alias("doc_id"), F.explode("prefix").alias("shingle"))
+    bucket = common.table(spread.select(F.xxhash64("a", "shingle").alias("key"), "doc_id", F.lit(False).alias("used")), "bucket")
+    tested, width = pairs, 16
     while True:
         placed = bucket.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        spans = placed.groupBy("key").agg(
-            F.expr("min(if(used, null, label))").alias("lo"), F.expr("max(if(used, null, label))").alias("hi"), F.expr("min(if(doc_id = centre, label, null))").alias("main")
-        ).filter("lo < hi")
-        bucket = common.table(placed.join(spans.select("key", "main"), "key"), "bucket")
-        if not bucket.head(1):
+        spans = placed.groupBy("key").agg(F.expr("min(if(used, null, label))").alias("lo"), F.expr("max(if(used, null, label))").alias("hi"), F.min("label").alias("main")).filter("lo < hi")
+        bucket, n = common.table_n(placed.join(spans.select("key", "main"), "key"), "bucket")
+        if not n:
             break
         free = bucket.filter("not used and label <> main").withColumn("part", F.expr(f"pmod(xxhash64(doc_id, {width}L), {width})"))
         centres = common.table(free.groupBy("key", "part").agg(F.expr("min(struct(doc_id, label))").alias("c")).select("key", F.col("c.doc_id").alias("c"), F.col("c.label").alias("c_label")), "centres")
         met = bucket.join(centres, "key").filter("label <> c_label").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
-        pairs = common.table(met.join(tested, ["a", "b"], "left_anti"), "pairs")
+        before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = common.table(met.join(before, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
-        links = _links(pairs, docs, slim, threshold)
+        links, n = _links(pairs, slim, sets, threshold)
         taken = centres.select("key", F.col("c").alias("doc_id"), F.lit(True).alias("now"))
-        bucket = bucket.join(taken, ["key", "doc_id"], "left").select("key", "doc_id", "centre", F.expr("used or coalesce(now, false)").alias("used"))
-        if links.head(1):
+        bucket = bucket.join(taken, ["key", "doc_id"], "left").select("key", "doc_id", F.expr("used or coalesce(now, false)").alias("used"))
+        if n:
             tie = lambda side: labels.select(F.col("doc_id").alias(side), F.col("label").alias(f"{side}_label"))
             raised = links.join(tie("a"), "a", "left").join(tie("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b")
             merged = components(raised).select(F.col("doc_id").alias("label"), F.col("label").alias("new"))
@@ -210,8 +254,15 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """The documents that are the smallest of their component, with their own columns."""
+    gone = common.table(near_components(docs, threshold, shingle).filter("not kept").select(F.col("doc_id").alias("x_id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= common.BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id") == F.col("x_id"), "left_anti")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=85, shingle=3)
 
 
 OP8_SQL = r"""

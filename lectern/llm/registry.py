@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, near_dedup, substring_dedup
+from lectern.llm import decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, pii, substring_dedup, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_language_id": langid.op4_language_id,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_html_extract": html_extract.op6_html_extract,
+    "op7_pii": pii.op7_pii,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_token_output": token_output.op10_token_output,
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_near_dedup": near_dedup.OP8_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
 }
