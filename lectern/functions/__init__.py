@@ -1 +1 @@
-"""See the modules of this package."""
+"""Scalar functions as Spark expressions: text with other languages' rules, lenient JSON, score bands, USFM."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Relational operators of the review engine, over DataFrames."""

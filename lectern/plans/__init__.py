@@ -1 +1 @@
-"""See the modules of this package."""
+"""Whole plans: the batch pipeline, and the catalogue of queries on the test tables."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Readers with explicit schemas, and writers."""
