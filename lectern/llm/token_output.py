@@ -166,7 +166,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = listed.groupBy("part").agg(F.sum("n_ids").alias("n")).selectExpr("part", "sum(n) over (order by part) - n as base")
     places = listed.select("part", "segment", "n_ids").join(parts, "part")
     places = places.selectExpr("part", "segment", "base + sum(n_ids) over (partition by part order by segment) - n_ids as before")
-    return listed.join(places, ["part", "segment"])
+    few = places.count() <= common.BROADCAST_IDS
+    return listed.join(F.broadcast(places) if few else places, ["part", "segment"])
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
