@@ -55,7 +55,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def copies(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, source, key, size, source_size, target, copies of every document (doc_id, text, source)."""
-    sized = common.table(docs.select("doc_id", "source", _key().alias("key"), size_of().alias("size")).repartitionByRange("key", "size", "doc_id").sortWithinPartitions("key", "size", "doc_id").withColumn("row", F.monotonically_increasing_id()), "sized")
+    sized = common.table(docs.select("doc_id", "source", _key().alias("key"), size_of().alias("size")), "sized")  # texts are read once, not also for the ranges' bounds
+    sized = sized.repartitionByRange("key", "size", "doc_id").sortWithinPartitions("key", "size", "doc_id").withColumn("row", F.monotonically_increasing_id())
+    sized = common.table(sized, "placed")
     plan = targets(sized, **settings)
     part = F.shiftrightunsigned("row", 33)
     runs = sized.groupBy("key", part.alias("part")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
