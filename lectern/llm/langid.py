@@ -5,9 +5,9 @@ longest known context is n / (N + D) (N bytes seen there, D distinct ones); the
 shorter context, and below order 0 all 256 bytes are equally likely. Counts are frozen before scoring, so a text has
 one exact code length in each language; the shortest names the language.
 
-The stream is the text's words, each led and closed by a space; a context reaches back to the leading space and no
-further. So a word's code length is the same wherever it stands, and is looked up once for each distinct word of a
-stretch of text.
+The stream is the text's words, A-Z in lower case, each led and closed by a space; a context reaches back to the
+leading space and no further. So a word's code length is the same wherever it stands, and is looked up once for each
+distinct word of a stretch of text.
 
 Training takes documents by the hash of their doc_id until about SAMPLE_BYTES of each language are expected; that
 is the only bound. Scoring reads every whole text and nothing but the text.
@@ -40,6 +40,7 @@ UNKNOWN = "und"
 MAX_BITS = 8.0
 #: Words whose code lengths a worker keeps.
 KEPT = 300_000
+UNIT = 1 << 20
 GRAMS = "lang string, depth int, gram long, n long"
 
 
@@ -58,8 +59,8 @@ def _grams(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     current[inside == lengths[word] - 1] = 32
     gram = current.astype(np.uint64)
     for k in range(1, ORDER + 1):
-        back = np.full(len(word), 0, np.uint64)
-        back[k:] = current[:-k] if k else current
+        back = np.zeros(len(word), np.uint64)
+        back[k:] = current[:-k]
         back[inside == k - 1] = 32
         back[inside < k - 1] = 0
         gram |= back << np.uint64(8 * k)
@@ -72,7 +73,7 @@ def _low(gram: np.ndarray, depth: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in common.slices(batches):
-        words = Words(data, offsets)
+        words = Words(data, offsets, lower=True)
         langs = rows.column("lang").to_pylist()
         for lang in sorted(set(langs)):
             mine = np.array([x == lang for x in langs])
@@ -115,7 +116,8 @@ class Trees:
             self.depths.append((grams, bits.astype(np.float32), contexts, escape.astype(np.float32)))
 
     def word_bits(self, words: Words, which: np.ndarray) -> np.ndarray:
-        """Code length in bits of each of the words, by language."""
+        """Code length of each of the words, by language, in units of 2**-20 bit: sums of integers are the same in any
+        order, so a text's code length doesn't depend on what it is read with."""
         word, gram, context = _grams(words, which)
         bits = np.zeros((len(word), len(self.langs)), np.float32)
         open_ = np.ones((len(word), len(self.langs)), bool)
@@ -137,7 +139,8 @@ class Trees:
                 todo = todo[open_[todo].any(axis=1)]
         bits += np.where(open_, np.float32(8), np.float32(0))
         starts = np.searchsorted(word, np.arange(len(which)))
-        return np.add.reduceat(bits.astype(np.float64), starts, axis=0) if len(which) else np.zeros((0, len(self.langs)))
+        units = np.rint(bits.astype(np.float64) * UNIT).astype(np.int64)
+        return np.add.reduceat(units, starts, axis=0) if len(which) else np.zeros((0, len(self.langs)), np.int64)
 
 
 class Scorer:
@@ -147,10 +150,10 @@ class Scorer:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.bits = np.zeros((0, len(self.trees.langs)))
+        self.bits = np.zeros((0, len(self.trees.langs)), np.int64)
 
     def bits_of(self, words: Words) -> np.ndarray:
-        """Code length of each text, by language."""
+        """Code length in bits of each text, by language."""
         keys = words.hashes()
         codes, distinct = pd.factorize(keys)
         if len(self.keys) > KEPT:
@@ -166,9 +169,9 @@ class Scorer:
             into = np.searchsorted(self.keys, distinct[new][order])
             self.keys, self.bits = np.insert(self.keys, into, distinct[new][order]), np.insert(self.bits, into, fresh, axis=0)
             at = np.searchsorted(self.keys, distinct)
-        per_word = self.bits[at][codes] if len(codes) else np.zeros((0, len(self.trees.langs)))
-        run = np.concatenate([np.zeros((1, len(self.trees.langs))), np.cumsum(per_word, axis=0)])
-        return run[words.bounds[1:]] - run[words.bounds[:-1]]
+        run = np.zeros((len(codes) + 1, len(self.trees.langs)), np.int64)
+        np.cumsum(self.bits[at][codes], axis=0, out=run[1:])
+        return (run[words.bounds[1:]] - run[words.bounds[:-1]]) / UNIT
 
 
 _ASCII = np.zeros(256, bool)
@@ -199,7 +202,7 @@ def _score(raw: bytes):
             good = _has_letter(rows, data, offsets)
             n = len(good)
             if len(langs) > 1:
-                words = Words(data, offsets)
+                words = Words(data, offsets, lower=True)
                 bits = scorer.bits_of(words)
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(n), best]
@@ -220,7 +223,8 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     aren't held out."""
     common.session_paths(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    share = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    share, n = common.table_n(usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")), "share")
+    share = F.broadcast(share) if n <= common.BROADCAST_IDS else share
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("bytes") < float(sample_bytes) * (1 << 20)
     sample = usable.join(share, "lang").filter(draw).select("text", "lang")
     counted = sample.mapInArrow(_count, GRAMS).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
