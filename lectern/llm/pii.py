@@ -107,12 +107,14 @@ def _entity(raw: bytes, kind: int) -> int:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, term, context, n: words near entities."""
+    """entity, term, context, n: words near entities; a row of nulls has the number of all words."""
+    total = 0
     for _, data, offsets in common.slices(batches):
         found = _found(data, offsets)
+        words = Words(data, offsets, FOLDED, lower=True)
+        total += len(words)
         if not found:
             continue
-        words = Words(data, offsets, FOLDED, lower=True)
         hashes = words.hashes()
         seen: dict[tuple[int, int, int], int] = {}
         for i, spans in found.items():
@@ -137,6 +139,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen[entity, term, context] = seen.get((entity, term, context), 0) + 1
         if seen:
             yield pa.record_batch([*(pa.array(x, pa.int64()) for x in zip(*seen, strict=True)), pa.array(list(seen.values()), pa.int64())], ["entity", "term", "context", "n"])
+    yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 3, pa.array([total], pa.int64())], ["entity", "term", "context", "n"])
 
 
 def _occurrences(asked: np.ndarray | None):
@@ -145,7 +148,9 @@ def _occurrences(asked: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in common.slices(batches):
             hashes = Words(data, offsets, FOLDED, lower=True).hashes()
-            if asked is not None:
+            if asked is not None and not len(asked):
+                hashes = hashes[:0]
+            elif asked is not None:
                 at = np.minimum(np.searchsorted(asked, hashes), len(asked) - 1)
                 hashes = hashes[asked[at] == hashes]
             terms, n = np.unique(hashes, return_counts=True)
@@ -160,23 +165,21 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     docs = docs.select(common.text_or_empty())
     seen = docs.mapInArrow(_contexts, "entity long, term long, context long, n long")
     seen = common.table(seen.groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")), "contexts")
+    total = seen.filter("entity is null").agg(F.sum("n")).first()[0] or 1
+    seen = seen.filter("entity is not null")
     spread = seen.groupBy("entity").agg((F.count(F.lit(1)) / F.sum("contexts")).alias("diversity"), F.max("n").alias("entity_n"))
     likely = seen.filter(F.col("contexts") >= MIN_CONTEXTS).join(spread.filter(F.col("diversity") >= MIN_DIVERSITY), "entity")
     likely = common.table(likely, "likely")
     terms = common.table(likely.select("term").distinct(), "terms")
     n = terms.count()
-    empty = "term long, entity long, contexts long, posterior double, bits double"
-    if not n:
-        return docs.sparkSession.createDataFrame([], empty)
     if n <= common.BROADCAST_IDS:
         asked = np.sort(terms.toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64))
         counted = docs.mapInArrow(_occurrences(asked), "term long, n long")
     else:
         counted = docs.mapInArrow(_occurrences(None), "term long, n long").join(terms, "term", "left_semi")
     counted = counted.groupBy("term").agg(F.sum("n").alias("all"))
-    total = docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(1))).first()[0]
     rated = likely.join(counted, "term").withColumn("posterior", F.col("n") / F.greatest("all", "n"))
-    rated = rated.withColumn("bits", F.log2(F.col("posterior") * F.lit(float(max(total, 1))) / (F.col("entity_n") * (2 * SPAN + 1))))
+    rated = rated.withColumn("bits", F.log2(F.col("posterior") * F.lit(float(total)) / (F.col("entity_n") * (2 * SPAN + 1))))
     return rated.filter((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS)).select("term", "entity", "contexts", "posterior", "bits")
 
 
