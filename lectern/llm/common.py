@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Ids that a broadcast may hold (8 bytes each); beyond it the same join is a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Text bytes that one numpy pass looks at; a longer document is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def session_paths(spark: SparkSession) -> None:

@@ -5,15 +5,18 @@ Of each set come 160 minima: bands of a few whole minima make the buckets, and t
 into five 64-bit words, make the signature. A pair from a bucket is first judged by its signatures (equal lanes by bit
 count, corrected for chance collisions); pairs that may reach the threshold are confirmed on their full sets.
 
-A bucket never emits all of its pairs. Its centre, the document that meets the most others, is paired with the rest.
-What is then linked into one component needs no further pairs. Where a centre's documents still span components, a
-prefix filter takes over: under one order of the shingles, those the centre lacks first, two documents that reach the
-threshold share one of their first (1 - threshold) of shingles. An edited copy that fails its centre has its own
-words there, so the groups that share such a shingle are small; in each, documents outside its main component are
-centres in turn, against other components only, until every cross-component pair has had a centre in it. So no link
-between documents that share a bucket is lost, n mutually similar documents cost about n pairs, and nothing is
-capped. A pair at the threshold shares no bucket at all with a probability under 1e-8: there are 32 bands of five
-minima from 0.85 on, 40 bands of four below.
+A bucket never emits all of its pairs. Its centre, the document that meets the most others, is paired with the rest,
+and what is linked with it is done. Let A be a document around a centre C that is not linked with it, and B another
+one. If A and B reach the threshold t, then either
+(1) they share a shingle that C lacks, and one among the first |A| - ceil(t |A|) + 1 of those of each, in one order; or
+(2) all that they share is in C, so |A & C| >= t / (1 + t) (|A| + |B|), which bounds the size of B.
+Both hold for any set C; here it is the centre's with the shingles that a quarter of its documents have and it lacks.
+So where a centre's documents still span components they are grouped by (1) those shingles and (2) sizes. An edited
+copy that fails its centre has its own words there, so the groups are small; in each, documents outside its main
+component are centres in turn, against other components only, until every cross-component pair that may be a link has
+had a centre in it. No link between documents that share a bucket is lost, n similar documents cost about n pairs,
+and nothing is capped. A pair at the threshold shares no bucket at all with a probability under 1e-8: there are 32
+bands of five minima from 0.85 on, 40 bands of four below.
 
 Cases: null, empty and blank texts have the empty set, size 0, and are their own component; fewer words than a
 shingle's make one shingle; rows without a doc_id have a null component_id and are kept; repeated rows share their component;
@@ -34,6 +37,8 @@ from lectern.llm.words import PLAIN, Words, mix, positions, window_hashes
 
 SHINGLE = 5
 LANES = 160
+#: Edges that one task may sort.
+FEW = 50_000
 #: Similarity in hundredths that a link needs.
 THRESHOLD = 80
 #: The signatures' estimate is off by 0.033 (one standard deviation) at 0.85; pairs six of them below are dropped.
@@ -140,12 +145,16 @@ def _confirm(threshold: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, label): the smallest vertex that each vertex of edges (a, b) reaches. Labels sink along edges and are
-    then replaced by their own labels, so a chain of n vertices takes about log(n) rounds; each round is written."""
-    both = common.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+def components(edges: DataFrame, n: int) -> DataFrame:
+    """(doc_id, label): the smallest vertex that each vertex of n edges (a, b) reaches. Labels sink along edges and are
+    then replaced by their own labels, so a chain of n vertices takes about log(n) rounds; each round is written. Up
+    to FEW edges one task does each round without a shuffle; beyond, Spark deals them out."""
+    few = (lambda df: df.coalesce(1)) if n <= FEW else (lambda df: df)
+    edges = few(edges)
+    both = few(common.table(few(edges.select("a", "b").union(edges.select("b", "a"))).distinct(), "edges"))
     labels = common.table(both.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("label")), "labels")
     while True:
+        labels = few(labels)
         sunk = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
         sunk = labels.join(sunk, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         up = labels.select(F.col("doc_id").alias("via"), F.col("label").alias("top"))
@@ -180,23 +189,71 @@ def _links(pairs: DataFrame, signed: DataFrame, sets: DataFrame, threshold: int)
     return common.table_n(_with_sets(likely, sets).mapInArrow(_confirm(threshold), "a long, b long"), "links")
 
 
-def _prefixes(threshold: int):
-    """The first |Y| - ceil(threshold |Y|) + 1 shingles of each document's set Y, those that its centre lacks first."""
+REGROUPED = "key long, doc_id long, seeks boolean, offers boolean, low int, high int, size int, shared int"
+
+
+def _own(threshold: int):
+    """(a, shingle): the first shingles, as many as a prefix has, that a document has and its centre a lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            centres, parts = batch.column("a").to_numpy(), []
             for x, y in zip(batch.column("set_x"), batch.column("set_y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = x[at] == y
-                ordered = np.concatenate([y[~shared], y[shared]])
-                out.append(ordered[: len(y) + (threshold * len(y) // -100) + 1].view(np.int64))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.list_(pa.int64()))], ["a", "b", "prefix"])
+                parts.append(y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y][: len(y) + (threshold * len(y) // -100) + 1])
+            own = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            yield pa.record_batch([pa.array(np.repeat(centres, [len(p) for p in parts])), pa.array(own.view(np.int64), pa.int64())], ["a", "shingle"])
 
     return run
 
 
+def _regroup(threshold: int):
+    """Keys under which a document b meets those around its centre a that it may still be linked with (see the module's
+    text): for (1) its own shingles, where it seeks and offers; for (2) sizes, offering its own and, where it isn't
+    linked with the centre, seeking those between low and high."""
+    step = np.log(1.05)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids, seeks, offers, lows, highs, sizes, commons = [], [], [], [], [], [], [], []
+            salts = mix(batch.column("a").to_numpy().view(np.uint64))
+            for salt, b, x, y, common_own in zip(salts, batch.column("b").to_pylist(), batch.column("set_x"), batch.column("set_y"), batch.column("common").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                n, linked = len(y), int(shared.sum())
+                linked = 100 * linked >= threshold * (len(x) + n - linked)
+                if common_own:
+                    shared |= np.isin(y, np.array(common_own, np.int64).view(np.uint64))
+                both = int(shared.sum())
+                own = y[~shared][: n + (threshold * n // -100) + 1]
+                classes = [int(np.log(n) / step)]
+                low, high = max(-(threshold * n // -100), 1), both * (100 + threshold) // threshold - n
+                if not linked and high >= low:
+                    classes += range(int(np.log(low) / step), int(np.log(high) / step) + 1)
+                k, m = len(own), len(classes)
+                keys.append(mix(np.concatenate([own, np.array(classes, np.uint64)]) ^ salt))
+                ids += [b] * (k + m)
+                seeks += [True] * k + [False] + [True] * (m - 1)
+                offers += [True] * (k + 1) + [False] * (m - 1)
+                lows += [0] * (k + 1) + [low] * (m - 1)
+                highs += [2**31 - 1] * (k + 1) + [high] * (m - 1)
+                sizes += [n] * (k + m)
+                commons += [n] * k + [both] * m
+            keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.record_batch([pa.array(keys.view(np.int64), pa.int64()), pa.array(ids, pa.int64()), pa.array(seeks, pa.bool_()), pa.array(offers, pa.bool_()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(commons, pa.int32())], [x.split()[0] for x in REGROUPED.split(", ")])
+
+    return run
+
+
+def _merged(labels: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """Labels after more links: components of the labels that the links tie, put through to the documents."""
+    tie = lambda side: labels.select(F.col("doc_id").alias(side), F.col("label").alias(f"{side}_label"))
+    raised = links.join(tie("a"), "a", "left").join(tie("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b")
+    top = components(raised, n).select(F.col("doc_id").alias("label"), F.col("label").alias("new"))
+    joined = labels.union(top.select("label", "label")).distinct()
+    return common.table(joined.join(top, "label", "left").select("doc_id", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document (doc_id, text)."""
     common.session_paths(docs.sparkSession)
@@ -210,44 +267,41 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bucket = common.table(members.join(shared, "key"), "bucket")
     slim = signed.select("doc_id", "n_shingles", *SIGNATURE)
-    # The centre of a bucket is the document that meets the most others over all of its buckets.
-    degree = common.table(bucket.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree")
-    sets = common.table(common.only_ids(docs, degree, degree.count()).dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
-    centre = bucket.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("a"))
-    pairs = common.table(bucket.join(centre, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    links, _ = _links(pairs, slim, sets, threshold)
-    labels = components(links)
-    # Two documents of a bucket that are still apart are both paired with its centre. If they reach the threshold,
-    # they share a shingle of their prefixes in any one order, here with the shingles that the centre lacks first.
+    degree, n = common.table_n(bucket.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree")
+    sets = common.table(common.only_ids(docs, degree, n).dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
+    rows = bucket.select("key", "doc_id").join(degree, "doc_id")
+    centres = rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("a"))
+    pairs = common.table(bucket.join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    links, n = _links(pairs, slim, sets, threshold)
+    labels = components(links, n)
     around = pairs.join(labels.select(F.col("doc_id").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     apart = around.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a")
-    open_ = pairs.join(apart, "a", "left_semi")
-    prefixes = _with_sets(open_, sets).mapInArrow(_prefixes(threshold), "a long, b long, prefix array<long>")
-    spread = prefixes.select("a", F.col("b").alias("doc_id"), F.explode("prefix").alias("shingle"))
-    bucket = common.table(spread.select(F.xxhash64("a", "shingle").alias("key"), "doc_id", F.lit(False).alias("used")), "bucket")
-    tested, width = pairs, 16
-    while True:
+    near = common.table(pairs.join(apart, "a", "left_semi"), "near")
+    own = _with_sets(near, sets).mapInArrow(_own(threshold), "a long, shingle long").groupBy("a", "shingle").count()
+    own = own.join(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").filter("count >= greatest(8, n / 4)")
+    own = common.table(own.groupBy("a").agg(F.collect_list("shingle").alias("common")), "common")
+    bucket, n = common.table_n(_with_sets(near.join(own, "a", "left"), sets).mapInArrow(_regroup(threshold), REGROUPED).withColumn("used", F.lit(False)), "bucket")
+    tested, width = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), 64
+    while n:
         placed = bucket.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        spans = placed.groupBy("key").agg(F.expr("min(if(used, null, label))").alias("lo"), F.expr("max(if(used, null, label))").alias("hi"), F.min("label").alias("main")).filter("lo < hi")
-        bucket, n = common.table_n(placed.join(spans.select("key", "main"), "key"), "bucket")
+        spans = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("min(if(offers, label, null))").alias("main"), F.expr("count_if(seeks and not used)").alias("open")).filter("lo < hi and open > 0 and main is not null")
+        bucket = common.table(placed.join(spans.select("key", "main"), "key"), "bucket")
+        # A document of the main component that both seeks and offers is met by those of the others.
+        free = bucket.filter("seeks and not used and not (offers and label = main)").withColumn("part", F.expr(f"pmod(xxhash64(doc_id, {width}L), {width})"))
+        chosen = free.groupBy("key", "part").agg(F.expr("min(struct(doc_id, label, low, high, size, shared))").alias("c"))
+        centres, n = common.table_n(chosen.select("key", F.col("c.doc_id").alias("c"), F.col("c.label").alias("c_label"), *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("low", "high", "size", "shared")]), "centres")
         if not n:
             break
-        free = bucket.filter("not used and label <> main").withColumn("part", F.expr(f"pmod(xxhash64(doc_id, {width}L), {width})"))
-        centres = common.table(free.groupBy("key", "part").agg(F.expr("min(struct(doc_id, label))").alias("c")).select("key", F.col("c.doc_id").alias("c"), F.col("c.label").alias("c_label")), "centres")
-        met = bucket.join(centres, "key").filter("label <> c_label").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
-        before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = common.table(met.join(before, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        links, n = _links(pairs, slim, sets, threshold)
+        met = bucket.filter("offers").join(centres, "key").filter(f"label <> c_label and size between c_low and c_high and {100 + threshold} * least(shared, c_shared) >= {threshold} * (size + c_size)")
+        met = met.select(F.least("doc_id", "c").alias("low"), F.greatest("doc_id", "c").alias("high")).distinct()
+        pairs, n = common.table_n(met.join(tested, ["low", "high"], "left_anti"), "pairs")
         taken = centres.select("key", F.col("c").alias("doc_id"), F.lit(True).alias("now"))
-        bucket = bucket.join(taken, ["key", "doc_id"], "left").select("key", "doc_id", F.expr("used or coalesce(now, false)").alias("used"))
+        bucket = bucket.drop("label", "main").join(taken, ["key", "doc_id"], "left").withColumn("used", F.expr("used or coalesce(now and seeks, false)")).drop("now")
         if n:
-            tie = lambda side: labels.select(F.col("doc_id").alias(side), F.col("label").alias(f"{side}_label"))
-            raised = links.join(tie("a"), "a", "left").join(tie("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b")
-            merged = components(raised).select(F.col("doc_id").alias("label"), F.col("label").alias("new"))
-            joined = labels.union(merged.select("label", "label")).distinct()
-            labels = common.table(joined.join(merged, "label", "left").select("doc_id", F.coalesce("new", "label").alias("label")), "labels")
-        width *= 8
+            tested = tested.union(pairs)
+            links, n = _links(pairs.select(F.col("low").alias("a"), F.col("high").alias("b")), slim, sets, threshold)
+            labels = _merged(labels, links, n) if n else labels
+        n, width = 1, width * 8
     named = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b", "n_shingles"], "left")
     named = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))

@@ -38,7 +38,7 @@ def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the seed's odd base modulo 2**64, and of its inverse."""
     have = _powers.get(seed)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         both = []
         for base in (int(_R[seed]), pow(int(_R[seed]), -1, 2**64)):
             out = np.ones(size, np.uint64)
