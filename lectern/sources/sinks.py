@@ -34,3 +34,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def markdown(df: DataFrame, rows: int = 20) -> str:
+    """The first rows as a Markdown table, for a console; the rest is counted nowhere and read by no one."""
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *([cell(x) for x in r] for r in df.limit(rows).collect())]
+    return "\n".join(f"| {' | '.join(x)} |" for x in lines)

@@ -159,3 +159,8 @@ def test_stream(spark, tmp_path):
         streaming.start(spark, source, index, state).awaitTermination(120)
     got = {r.verse: r.segment.greek for r in streaming.snapshot(spark, index).collect()}
     assert got == {1: "two", 2: "one"}
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([(1, "a|b\nc"), (2, None)], "n int, t string")
+    assert sinks.markdown(df) == "| n | t |\n| --- | --- |\n| 1 | a\\|b c |\n| 2 |  |"
