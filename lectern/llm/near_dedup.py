@@ -264,11 +264,11 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     groups = common.table(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "groups")
     reps = filled.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = reps.select(F.explode("bands").alias("key"), "doc_id")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = common.table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")  # read back, so that the join can split a hot bucket
     bucket = common.table(members.join(shared, "key"), "bucket")
     slim = signed.select("doc_id", "n_shingles", *SIGNATURE)
     degree, n = common.table_n(bucket.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree")
-    sets = common.table(common.only_ids(docs, degree, n).dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
+    sets = common.table(common.only_ids(docs, degree, n).mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
     rows = bucket.select("key", "doc_id").join(degree, "doc_id")
     centres = rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("a"))
     pairs = common.table(bucket.join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
