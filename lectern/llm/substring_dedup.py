@@ -17,6 +17,7 @@ for a window's words (its doc-level twin, an exact copy, is found by the SHA-256
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,9 @@ from lectern.llm.words import Words, from_planes, planes, positions, window_hash
 
 WINDOW = 50
 #: Entries a task holds before it settles and sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Words that one bucket should hold over the whole input.
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 500_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 SIGNED = "doc_id long, n_words long, sha string"
@@ -160,12 +161,12 @@ def _marks(doc, pos) -> pa.RecordBatch:
 
 
 def _sent(marks: pa.RecordBatch) -> pa.RecordBatch:
-    """Marks that travel beside the buckets: bucket -1 - x, their rows as one Arrow stream."""
+    """Marks that travel beside the buckets: a bucket below 0, their rows as one Arrow stream."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, marks.schema) as out:
         out.write_batch(marks)
-    number = -1 - int(marks.column("doc_id")[0].as_py() % 1024)
-    return pa.record_batch([pa.array([number], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "payload"])
+    raw = sink.getvalue().to_pybytes()
+    return pa.record_batch([pa.array([-1 - zlib.crc32(raw) % 1024], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "payload"])
 
 
 def _probes(buckets: int, window: int):
