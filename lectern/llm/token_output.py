@@ -9,7 +9,8 @@ Segment (all integers little-endian): `DAC1`, uint32 levels, uint64 ids; for eac
 (a byte each), and but for the last level the bitmap (ceil(entries / 8) bytes, low bit first) and the directory
 (ceil(entries / 512) uint32).
 
-Files: a Parquet table of segments in order (part, segment), with doc_ids, counts and payload: Spark's writer commits
+Files: a Parquet table of segments in order (part, segment), with first (ids before it in its part), doc_ids, counts
+and payload: Spark's writer commits
 whole tasks, on any store that the session can reach. Documents are range-partitioned by doc_id, so part and
 segment follow doc_id; where a document starts is the sum of the parts and segments before it.
 
@@ -34,10 +35,10 @@ from lectern.llm.coder import coder, vocabulary_path
 from lectern.llm.words import Words
 
 END_ID = 2
-#: Ids of a segment; a document isn't split.
-SEGMENT_IDS = 1_000_000
+#: Ids of a segment, so that payloads stay well under a megabyte; a document isn't split.
+SEGMENT_IDS = 1 << 17
 BLOCK = 512
-SEGMENTS = "part int, segment int, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
+SEGMENTS = "part int, segment int, first long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
 MAGIC = b"DAC1"
 
 
@@ -115,15 +116,16 @@ def token_ids(words: Words, path: str, end: int) -> tuple[np.ndarray, np.ndarray
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, part, names, counts, ids, n = 0, 0, [], [], [], 0
+        common.hold("coder", coder.cache_clear)
+        segment, part, first, names, counts, ids, n = 0, 0, 0, [], [], [], 0
 
         def out():
-            nonlocal segment, names, counts, ids, n
+            nonlocal segment, first, names, counts, ids, n
             flat = np.concatenate(ids)
-            columns = [[part], [segment], [[x for some in names for x in some]], [np.concatenate(counts)], [len(flat)], [encode(flat)]]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            batch = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "segment", "doc_ids", "counts", "n_ids", "payload"])
-            segment, names, counts, ids, n = segment + 1, [], [], [], 0
+            columns = [[part], [segment], [first], [[x for some in names for x in some]], [np.concatenate(counts)], [len(flat)], [encode(flat)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            batch = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "segment", "first", "doc_ids", "counts", "n_ids", "payload"])
+            segment, first, names, counts, ids, n = segment + 1, first + len(flat), [], [], [], 0
             return batch
 
         for rows, data, offsets in common.slices(batches):
@@ -160,14 +162,12 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The segments under path and before, the ids of all segments before each. Sums run over parts first: the one
-    window without a key has a row for each part."""
+    """The segments under path and before, the ids of all segments before each. Only sums of whole parts are joined,
+    and the one window without a key has a row for each part."""
     listed = spark.read.schema(SEGMENTS).parquet(path)
     parts = listed.groupBy("part").agg(F.sum("n_ids").alias("n")).selectExpr("part", "sum(n) over (order by part) - n as base")
-    places = listed.select("part", "segment", "n_ids").join(parts, "part")
-    places = places.selectExpr("part", "segment", "base + sum(n_ids) over (partition by part order by segment) - n_ids as before")
-    few = places.count() <= common.BROADCAST_IDS
-    return listed.join(F.broadcast(places) if few else places, ["part", "segment"])
+    parts = F.broadcast(parts) if parts.count() <= common.BROADCAST_IDS else parts
+    return listed.join(parts, "part").withColumn("before", F.col("base") + F.col("first"))
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
