@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -15,11 +16,18 @@ from pyspark.sql import functions as F
 #: Ids that a broadcast may hold (8 bytes each); beyond it the same join is a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Text bytes that one numpy pass looks at; a longer document is a pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+
+
+#: Bytes of an Arrow batch, where the session has Spark's default of 64 MB: workers hold a few batches at once.
+BATCH_BYTES = 1 << 20
 
 
 def session_paths(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it through sys.path alone."""
+    """Lets Python workers import this package when the driver found it through sys.path alone, and keeps their Arrow
+    batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -77,8 +85,55 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+_holder: dict = {"name": None, "clear": None, "now": False}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Says that this worker keeps tables of name, which clear drops. They go when it serves another operator."""
+    if _holder["name"] not in (None, name):
+        _holder["clear"]()
+    _holder.update(name=name, clear=clear, now=True)
+
+
+def _drop_held() -> None:
+    if not _holder["now"] and _holder["name"]:
+        _holder["clear"]()
+        _holder.update(name=None, clear=None)
+    _holder["now"] = False
+
+
+def released(run: Callable) -> Callable:
+    """run, a function of batches, leaving no freed memory in its worker."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    """Gives memory that a worker has freed back to the system: an idle worker shares its executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of consecutive rows with about limit bytes of text together."""
+    limit = limit or SLICE_BYTES
+    _drop_held()
+    try:
+        yield from _slices(batches, text, limit)
+    finally:
+        _release()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,7 +235,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDO
     (ids of items with occurring windows, as sorted strings)."""
     common.session_paths(docs.sparkSession)
     held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("x_row")
-    out = docs.select(held, F.coalesce("text", F.lit("")).alias("x_text"), F.lit(0).cast("long").alias("x_words"), F.expr("cast(array() as array<int>)").alias("x_hits"), F.expr("cast(array() as array<string>)").alias("x_items"))
+    out = docs.select(held, F.col("text").alias("x_text"), F.lit(0).cast("long").alias("x_words"), F.expr("cast(array() as array<int>)").alias("x_hits"), F.expr("cast(array() as array<string>)").alias("x_items"))
     schema = out.schema
     for block in _blocks(items):
         out = out.mapInArrow(_scan(block, window), schema)
@@ -260,13 +261,16 @@ def _clean(max_run: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.slices(batches, "x_text"):
-            words = Words(data, offsets, FOLDED, lower=True)
+            words = Words(data, offsets, FOLDED, lower=True) if pc.any(pc.greater(pc.list_value_length(rows.column("x_hits")), 0)).as_py() else None
             texts = []
-            for i, hits in enumerate(rows.column("x_hits")):
+            for i, (text, hits) in enumerate(zip(rows.column("x_text"), rows.column("x_hits"), strict=True)):
+                if not len(hits):
+                    texts.append(text.as_py())
+                    continue
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 at = np.array(hits.as_py(), np.int64)
                 parts, done = [], 0
-                for one in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                for one in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                     if len(one) >= max_run:
                         k = words.bounds[i] + one
                         parts.append(raw[done : words.starts[k[0]] - offsets[i]])
@@ -281,11 +285,12 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
     """The documents, with their own columns: those with more than max_coverage of their words hit are dropped, runs
     of at least max_run hit words are cut out of the others' texts, n_chars (where there is one) follows the text.
     A null text stays null."""
-    out = scan(docs, items, docs.columns, window).filter(F.size("x_hits") <= max_coverage * F.col("x_words"))
+    out = scan(docs, items, [c for c in docs.columns if c != "text"], window).filter(F.size("x_hits") <= max_coverage * F.col("x_words"))
     schema = T.StructType([out.schema["x_row"], out.schema["x_text"]])
     cut = out.mapInArrow(_clean(max_run), schema)
-    text = F.when(F.col("x_row.text").isNotNull(), F.col("x_text"))
-    own = {"text": text} | ({"n_chars": F.when(F.col("x_row.text").isNotNull(), F.length("x_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("x_row.n_chars"))} if "n_chars" in docs.columns else {})
+    own = {"text": F.col("x_text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("x_text").isNotNull(), F.length("x_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("x_row.n_chars"))
     return cut.select(*[own.get(c, F.col(f"x_row.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -20,7 +20,7 @@ get the same answer; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,9 +37,9 @@ SAMPLE_BYTES = 1_500_000
 FOLDS = 5
 UNKNOWN = "und"
 #: keep() rejects a text that no language codes in fewer bits a byte.
-MAX_BITS = 8.0
+MAX_BITS = 12.0
 #: Words whose code lengths a worker keeps.
-KEPT = 300_000
+KEPT = 150_000
 UNIT = 1 << 20
 GRAMS = "lang string, depth int, gram long, n long"
 
@@ -187,15 +187,16 @@ def _has_letter(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
     return out
 
 
-@cache
+@lru_cache(1)
 def _scorer(raw: bytes) -> Scorer:
     return Scorer(pa.ipc.open_stream(raw).read_pandas())
 
 
-def _score(raw: bytes):
+def _score(raw: bytes, with_text: bool):
     """Adds x_lang, x_score and x_bits (bits a byte in the language named)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold("langid", _scorer.cache_clear)
         scorer = _scorer(raw)
         langs = np.array([*scorer.trees.langs, UNKNOWN], object)
         for rows, data, offsets in common.slices(batches, "x_text"):
@@ -212,7 +213,7 @@ def _score(raw: bytes):
                 best, score, rate = np.where(good, best, len(langs) - 1), np.where(good, score, 0.0), np.where(good, rate, 0.0)
             else:
                 best, score, rate = np.zeros(n, int), np.zeros(n), np.zeros(n)
-            out = {c: rows.column(c) for c in rows.schema.names if c not in ("x_text", "x_lang", "x_score", "x_bits")}
+            out = {c: rows.column(c) for c in (("x_row", "x_text") if with_text else ("x_row",))}
             yield pa.record_batch([*out.values(), pa.array(langs[best], pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*out, "x_lang", "x_score", "x_bits"])
 
     return run
@@ -235,11 +236,11 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def score(docs: DataFrame, trees: bytes, keep: list[str]) -> DataFrame:
-    """A struct x_row of the columns keep of docs, and x_lang, x_score, x_bits."""
+def score(docs: DataFrame, trees: bytes, keep: list[str], with_text: bool = False) -> DataFrame:
+    """A struct x_row of the columns keep of docs, x_text where asked for, and x_lang, x_score, x_bits."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("x_row"), F.col("text").alias("x_text"))
     row = held.schema["x_row"].dataType.simpleString()
-    return held.mapInArrow(_score(trees), f"x_row {row}, x_lang string, x_score double, x_bits double")
+    return held.mapInArrow(_score(trees, with_text), f"x_row {row}, {'x_text string, ' * with_text}x_lang string, x_score double, x_bits double")
 
 
 def identify(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -250,8 +251,9 @@ def identify(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
 
 def keep(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_bits: float = MAX_BITS) -> DataFrame:
     """The documents with a language: not `und`, and coded in at most max_bits a byte."""
-    out = score(docs, train(docs, sample_bytes), docs.columns).filter((F.col("x_lang") != UNKNOWN) & (F.col("x_bits") <= max_bits))
-    return out.select(*[F.col(f"x_row.`{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    out = score(docs, train(docs, sample_bytes), others, with_text=True).filter((F.col("x_lang") != UNKNOWN) & (F.col("x_bits") <= max_bits))
+    return out.select(*[F.col("x_text" if c == "text" else f"x_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, signed: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, int]:
     """The pairs (a, b) that reach the threshold on their full sets, and their number."""
     likely = common.table(_likely(pairs, signed, threshold), "likely")
-    return common.table_n(_with_sets(likely, sets).mapInArrow(_confirm(threshold), "a long, b long"), "links")
+    return common.table_n(_with_sets(likely, sets).mapInArrow(common.released(_confirm(threshold)), "a long, b long"), "links")
 
 
 REGROUPED = "key long, doc_id long, seeks boolean, offers boolean, low int, high int, size int, shared int"
@@ -277,10 +277,10 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     around = pairs.join(labels.select(F.col("doc_id").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     apart = around.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a")
     near = common.table(pairs.join(apart, "a", "left_semi"), "near")
-    own = _with_sets(near, sets).mapInArrow(_own(threshold), "a long, shingle long").groupBy("a", "shingle").count()
+    own = _with_sets(near, sets).mapInArrow(common.released(_own(threshold)), "a long, shingle long").groupBy("a", "shingle").count()
     own = own.join(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").filter("count >= greatest(8, n / 4)")
     own = common.table(own.groupBy("a").agg(F.collect_list("shingle").alias("common")), "common")
-    bucket, n = common.table_n(_with_sets(near.join(own, "a", "left"), sets).mapInArrow(_regroup(threshold), REGROUPED).withColumn("used", F.lit(False)), "bucket")
+    bucket, n = common.table_n(_with_sets(near.join(own, "a", "left"), sets).mapInArrow(common.released(_regroup(threshold)), REGROUPED).withColumn("used", F.lit(False)), "bucket")
     tested, width = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), 64
     while n:
         placed = bucket.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))

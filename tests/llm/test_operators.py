@@ -155,7 +155,8 @@ def test_language_odd_texts(spark, documents):
     nothing = langid.identify(documents((1, "aaa", None), (2, None, "xx"))).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     kept = langid.keep(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 7, 8]  # 6 is in no script that was learned
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 6, 7, 8]
+    assert 6 not in {r.doc_id for r in langid.keep(docs, max_bits=8.0).collect()}  # in no script that was learned
 
 
 def test_token_counts(spark, documents):
