@@ -15,7 +15,7 @@ documents other than doc_id and text pass through clean() untouched and are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -230,16 +230,22 @@ def _blocks(items: DataFrame) -> Iterator[tuple]:
     yield tuple(block)
 
 
-def scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
-    """The columns keep of docs, and x_text, x_words (how many), x_hits (indices of hit words, ascending), x_items
-    (ids of items with occurring windows, as sorted strings)."""
+def scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, then: Callable | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """A struct x_row of the columns keep of docs, and x_text, x_words (how many), x_hits (indices of hit words,
+    ascending), x_items (ids of items with occurring windows, as sorted strings). then, a function of batches that
+    leaves columns of these, runs in the worker of the last pass, so that a task needs one worker."""
     common.session_paths(docs.sparkSession)
     held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("x_row")
     out = docs.select(held, F.col("text").alias("x_text"), F.lit(0).cast("long").alias("x_words"), F.expr("cast(array() as array<int>)").alias("x_hits"), F.expr("cast(array() as array<string>)").alias("x_items"))
     schema = out.schema
+    last = None
     for block in _blocks(items):
-        out = out.mapInArrow(_scan(block, window), schema)
-    return out
+        out = out if last is None else out.mapInArrow(_scan(last, window), schema)
+        last = block
+    run = _scan(last, window)
+    if then is None:
+        return out.mapInArrow(run, schema)
+    return out.mapInArrow(lambda batches: then(run(batches)), T.StructType([schema[c] for c in columns]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -256,11 +262,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
-def _clean(max_run: int):
-    """Removes runs of at least max_run hit words, from the first's first byte to the last's last one."""
+def _clean(max_run: int, max_coverage: float):
+    """Drops texts with more than max_coverage of their words hit. Removes runs of at least max_run hit words from the
+    others, from the first's first byte to the last's last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in common.slices(batches, "x_text"):
+        share = lambda b: pc.less_equal(pc.list_value_length(b.column("x_hits")).cast(pa.float64()), pc.multiply(b.column("x_words").cast(pa.float64()), max_coverage))
+        for rows, data, offsets in common.slices((b.filter(share(b)) for b in batches), "x_text"):
             words = Words(data, offsets, FOLDED, lower=True) if pc.any(pc.greater(pc.list_value_length(rows.column("x_hits")), 0)).as_py() else None
             texts = []
             for i, (text, hits) in enumerate(zip(rows.column("x_text"), rows.column("x_hits"), strict=True)):
@@ -285,9 +293,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
     """The documents, with their own columns: those with more than max_coverage of their words hit are dropped, runs
     of at least max_run hit words are cut out of the others' texts, n_chars (where there is one) follows the text.
     A null text stays null."""
-    out = scan(docs, items, [c for c in docs.columns if c != "text"], window).filter(F.size("x_hits") <= max_coverage * F.col("x_words"))
-    schema = T.StructType([out.schema["x_row"], out.schema["x_text"]])
-    cut = out.mapInArrow(_clean(max_run), schema)
+    cut = scan(docs, items, [c for c in docs.columns if c != "text"], window, _clean(max_run, max_coverage), ("x_row", "x_text"))
     own = {"text": F.col("x_text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("x_text").isNotNull(), F.length("x_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("x_row.n_chars"))
