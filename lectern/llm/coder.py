@@ -21,7 +21,7 @@ import pandas as pd
 from lectern.llm.words import Words
 
 #: Words kept by a worker.
-KEPT = 300_000
+KEPT = 600_000
 #: Bytes of words that one call of the library gets.
 CALL_BYTES = 1 << 15
 

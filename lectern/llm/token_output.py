@@ -38,6 +38,8 @@ END_ID = 2
 #: Ids of a segment, so that payloads stay well under a megabyte; a document isn't split.
 SEGMENT_IDS = 1 << 17
 BLOCK = 512
+#: Bytes of text encoded at once: distinct words are fewer over longer slices.
+SLICE = 1 << 20
 SEGMENTS = "part int, segment int, first long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
 MAGIC = b"DAC1"
 
@@ -128,7 +130,7 @@ def _encode(path: str, end: int):
             segment, first, names, counts, ids, n = segment + 1, first + len(flat), [], [], [], 0
             return batch
 
-        for rows, data, offsets in common.slices(batches):
+        for rows, data, offsets in common.slices(batches, limit=SLICE):
             part = rows.column("part")[0].as_py()
             flat, per_text = token_ids(Words(data, offsets), path, end)
             names.append(rows.column("doc_id").to_pylist())

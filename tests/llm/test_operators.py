@@ -302,7 +302,7 @@ def test_targets(spark, sizes):
 def test_token_output(spark, documents, monkeypatch, tmp_path, segment):
     if segment:
         monkeypatch.setattr(token_output, "SEGMENT_IDS", segment)
-        monkeypatch.setattr(common, "SLICE_BYTES", 3000)
+        monkeypatch.setattr(token_output, "SLICE", 3000)
     docs = [*DOCS, (1, "I'm <|endoftext|> don't 'S <x> it's"), (0, "again"), (0, "again")]
     path = str(tmp_path / "ids")
     token_output.write(documents(*docs), path)
