@@ -8,8 +8,10 @@ entity is in at least MIN_POSTERIOR of the term's occurrences, and it makes the
 is anyhow. Disclosing terms are spans of kind `term` wherever they occur; sanitise() removes them and generalises
 the entities to their kinds.
 
-Copies of one passage are no evidence: an entity counts only if its contexts bring at least MIN_DIVERSITY distinct
-words a word. All patterns read ASCII only, so they run over UTF-8 bytes, in time linear in the text; offsets are
+Copies of one passage are no evidence, edited ones neither: of a term's contexts with an entity, MIN_CONTEXTS must
+differ from each other: of any two, at least MIN_DIVERSITY of the longer one's words are not in both. This doesn't
+fall with the number of mentions. Contexts are taken in the order of their hashes; where likeness is not transitive (a like b,
+b like c, a unlike c) the order decides which count. All patterns read ASCII only, so they run over UTF-8 bytes, in time linear in the text; offsets are
 given in code points.
 
 Cases: null and empty texts have no spans and the hash of the empty string; rows without a doc_id and repeated rows
@@ -35,6 +37,7 @@ SPAN = 8
 MIN_CONTEXTS = 4
 MIN_POSTERIOR = 0.5
 MIN_BITS = 6.0
+#: Least share of the longer of two contexts' words that is not in both, where they are no copies of each other.
 MIN_DIVERSITY = 0.4
 #: Bytes that a term has at least.
 TERM_BYTES = 3
@@ -107,7 +110,7 @@ def _entity(raw: bytes, kind: int) -> int:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, term, context, n: words near entities; a row of nulls has the number of all words."""
+    """entity, context, terms (ascending), n: words near entities; a row of nulls has the number of all words."""
     total = 0
     for _, data, offsets in common.slices(batches):
         found = _found(data, offsets)
@@ -116,7 +119,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not found:
             continue
         hashes = words.hashes()
-        seen: dict[tuple[int, int, int], int] = {}
+        seen: dict[tuple[int, int], list] = {}
         for i, spans in found.items():
             lo, hi = words.bounds[i], words.bounds[i + 1]
             starts, ends = words.starts[lo:hi] - offsets[i], words.ends[lo:hi] - offsets[i]
@@ -135,11 +138,31 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 context = int(mix(np.add.reduce(mix(window) * np.arange(1, len(window) + 1, dtype=np.uint64), keepdims=True)).view(np.int64)[0])
                 entity = _entity(raw[s:e].tobytes(), kind)
-                for term in terms.view(np.int64).tolist():
-                    seen[entity, term, context] = seen.get((entity, term, context), 0) + 1
+                seen.setdefault((entity, context), [terms.view(np.int64).tolist(), 0])[1] += 1
         if seen:
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in zip(*seen, strict=True)), pa.array(list(seen.values()), pa.int64())], ["entity", "term", "context", "n"])
-    yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 3, pa.array([total], pa.int64())], ["entity", "term", "context", "n"])
+            terms, n = zip(*seen.values(), strict=True)
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in zip(*seen, strict=True)), pa.array(terms, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["entity", "context", "terms", "n"])
+    yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 2, pa.nulls(1, pa.list_(pa.int64())), pa.array([total], pa.int64())], ["entity", "context", "terms", "n"])
+
+
+def _differ(kept: list[set], terms: set) -> bool:
+    """Is terms no copy of any of kept."""
+    return all(max(len(terms), len(k)) - len(terms & k) >= MIN_DIVERSITY * max(len(terms), len(k)) for k in kept)
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ordered by entity and term: for each pair up to MIN_CONTEXTS contexts that differ from each other."""
+    pair, kept = None, []
+    for batch in batches:
+        out = []
+        for entity, term, terms in zip(*(batch.column(c).to_pylist() for c in ("entity", "term", "terms")), strict=True):
+            if pair != (entity, term):
+                pair, kept = (entity, term), []
+            if len(kept) < MIN_CONTEXTS and _differ(kept, set(terms)):
+                kept.append(set(terms))
+                out.append((entity, term, terms))
+        if out:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["entity", "term", "terms"])
 
 
 def _occurrences(asked: np.ndarray | None):
@@ -163,12 +186,13 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term (hash of a lower-case word), entity, contexts, posterior, bits."""
     common.session_paths(docs.sparkSession)
     docs = docs.select(common.text_or_empty())
-    seen = docs.mapInArrow(_contexts, "entity long, term long, context long, n long")
-    seen = common.table(seen.groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")), "contexts")
-    total = seen.filter("entity is null").agg(F.sum("n")).first()[0] or 1
-    seen = seen.filter("entity is not null")
-    spread = seen.groupBy("entity").agg((F.count(F.lit(1)) / F.sum("contexts")).alias("diversity"), F.max("n").alias("entity_n"))
-    likely = seen.filter(F.col("contexts") >= MIN_CONTEXTS).join(spread.filter(F.col("diversity") >= MIN_DIVERSITY), "entity")
+    seen = docs.mapInArrow(_contexts, "entity long, context long, terms array<long>, n long")
+    contexts = common.table(seen.groupBy("entity", "context", "terms").agg(F.sum("n").alias("n")), "contexts")
+    total = contexts.filter("entity is null").agg(F.sum("n")).first()[0] or 1
+    seen = contexts.select("entity", F.explode("terms").alias("term"), "n").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"))
+    seen = common.table(seen, "seen")
+    spread = seen.groupBy("entity").agg(F.max("n").alias("entity_n"))
+    likely = seen.filter(F.col("contexts") >= MIN_CONTEXTS).join(spread, "entity")
     likely = common.table(likely, "likely")
     terms = common.table(likely.select("term").distinct(), "terms")
     n = terms.count()
@@ -180,7 +204,20 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     counted = counted.groupBy("term").agg(F.sum("n").alias("all"))
     rated = likely.join(counted, "term").withColumn("posterior", F.col("n") / F.greatest("all", "n"))
     rated = rated.withColumn("bits", F.log2(F.col("posterior") * F.lit(float(total)) / (F.col("entity_n") * (2 * SPAN + 1))))
-    return rated.filter((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS)).select("term", "entity", "contexts", "posterior", "bits")
+    rated = rated.filter((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS)).select("term", "entity", "contexts", "posterior", "bits")
+    rated, n = common.table_n(rated, "rated")
+    return rated.join(_evident(contexts, rated.select("entity", "term"), n), ["entity", "term"], "left_semi").select(rated.columns)
+
+
+def _evident(contexts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """entity, term: those of the n pairs with MIN_CONTEXTS contexts that differ from each other. Each task thins out
+    its contexts of a pair before they meet."""
+    held = contexts.select("entity", "context", "terms", F.explode("terms").alias("term"))
+    held = held.join(F.broadcast(pairs) if n <= common.BROADCAST_IDS else pairs, ["entity", "term"], "left_semi")
+    some = held.repartition("context").sortWithinPartitions("entity", "term", "context").select("entity", "term", "terms")
+    few = some.mapInArrow(_different, "entity long, term long, terms array<long>").repartition("entity", "term").sortWithinPartitions("entity", "term", "terms")
+    few = few.mapInArrow(_different, "entity long, term long, terms array<long>")
+    return few.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_CONTEXTS).select("entity", "term")
 
 
 def _spans(asked: np.ndarray):

@@ -228,6 +228,23 @@ def test_pii_terms(spark, documents):
     assert "zorro77" not in clean[0] and "[email]" in clean[0] and clean[90] == " alone" and clean[40] == docs[18][1]
 
 
+def test_pii_terms_of_many_mentions(spark, documents):
+    """Mentions in many contexts of common words are evidence; edited copies of a passage are none."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(3))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    docs = [(i, f"{noise(12)} zorro77 writes from z@mail.example.org {noise(12)}") for i in range(60)]
+    passage = [f"secret{k}" for k in range(16)]
+    for i in range(60):
+        w = list(passage)
+        w[i % 16] = f"edit{i}"
+        docs.append((1000 + i, f"{' '.join(w[:8])} q@mail.example.org {' '.join(w[8:])}"))
+    docs += [(2000 + i, noise(4000)) for i in range(40)]
+    got = {r.doc_id: r.spans for r in pii.find(documents(*docs)).collect()}
+    assert all("term:48:55" in got[i] for i in range(60))
+    assert not any("term:" in got[1000 + i] for i in range(60))
+
+
 @pytest.mark.parametrize(("threshold", "shingle"), [(85, 3), (80, 5)])
 def test_near_dedup(spark, documents, threshold, shingle):
     docs = corpus(7, 200)
