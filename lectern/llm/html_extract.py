@@ -3,12 +3,16 @@
 Pages of one host are merged into a tree of styles: a node is a path of tags and classes. Of each node the tree
 counts in how many pages it stands, how often each layout of its children (presentation) and how often each text
 (content) was seen. The entropy of both, over its most possible value, is the node's importance: a layout and a text
-that hardly change over the host's pages are template. Branches of low importance are cut from each page; so are
-branches whose tag, role or class says that they are no article (menus, forms, adverts, comments and so on: weight 0
+that hardly change over the host's pages are template. Of nodes of low importance, texts that recur on the host are
+cut, and a page's own text stays; cut whole are branches whose tag, role or class says that they are no article (menus, forms, adverts, comments and so on: weight 0
 whatever the entropy), while an article or main element keeps its own text whatever the entropy (a host may mirror
 one article many times).
 
-Counts are summed within each task and then by Spark, so a host with a third of all pages is spread by node and text.
+Pages of a host with the same article (the text in article and main elements, else all text that isn't dropped) are
+copies of one page: each node's layout and text count once for all of them, so mirrored articles are no template.
+Without such elements, copies that differ elsewhere on the page are different pages, and what they share is template.
+
+Counts are summed by Spark, and a host with a third of all pages is spread by node, text and page.
 The cut list of a host has only nodes seen in at least MIN_PAGES of its pages.
 
 Cases: null and empty html give the empty text; a null or odd url is the host of that spelling; unclosed and crossing
@@ -169,8 +173,22 @@ class Page:
                     del stack[last:]
                     break
 
-    def main_text(self, low: frozenset[int]) -> str:
-        """Blocks that stay, one a line."""
+    def contents(self) -> dict[tuple[int, int], str]:
+        """(path, path above): the node's text on this page, of nodes to judge."""
+        out: dict[tuple[int, int], list[str]] = defaultdict(list)
+        for one in self.texts:
+            if one is not None and not one[2] and not one[3] and not one[4].isspace():
+                out[one[0], one[1]].append(one[4])
+        return {k: " ".join(" ".join(v).split()) for k, v in out.items()}
+
+    def article(self) -> str:
+        """What tells this page from its host's others: the text in articles, else all text that isn't dropped."""
+        kept = [one for one in self.texts if one is not None and not one[2]]
+        return " ".join(" ".join([one[4] for one in kept if one[3]] or [one[4] for one in kept]).split())
+
+    def main_text(self, recurring: frozenset[int]) -> str:
+        """Blocks that stay, one a line. recurring: path ^ digest of the text to cut from it."""
+        low = {path for (path, _), text in self.contents().items() if path ^ _digest(text) in recurring} if recurring else ()
         blocks, block = [], []
         for one in [*self.texts, None]:
             if one is None:
@@ -184,55 +202,60 @@ class Page:
         return "\n".join(blocks)
 
 
+def _digest(x: str) -> int:
+    return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def host_of(url: str | None) -> str:
     return re.sub(r"^[^/]*//(?:[^/?#@]*@)?([^/?#]*).*", r"\1", url or "", flags=re.S).lower()
 
 
-STATS = "host string, path long, above long, kind int, feature long, pages long"
+STATS = "host string, path long, above long, kind int, feature long, page long"
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
-
     def out(seen):
-        columns = list(zip(*seen, strict=True)) if seen else [[]] * 5
-        return pa.record_batch([pa.array(c, k) for c, k in zip([*columns, list(seen.values())], [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], ["host", "path", "above", "kind", "feature", "pages"])
+        columns = list(zip(*seen, strict=True)) if seen else [[]] * 6
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], ["host", "path", "above", "kind", "feature", "page"])
 
-    seen: dict[tuple, int] = defaultdict(int)
+    seen: set[tuple] = set()
     for batch in batches:
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page, host = Page(source), host_of(url)
-            content: dict[tuple[int, int], list[str]] = defaultdict(list)
-            for one in page.texts:
-                if one is not None and not one[2] and not one[3] and not one[4].isspace():
-                    content[one[0], one[1]].append(one[4])
-            for (path, above), texts in content.items():
-                seen[host, path, above, 0, digest(" ".join(" ".join(texts).split()))] += 1
+            which, content = _digest(page.article()), page.contents()
+            for (path, above), text in content.items():
+                seen.add((host, path, above, 0, _digest(text), which))
             for path in {above for _, above in content}:
-                seen[host, path, 0, 1, digest(" ".join(page.children[path]))] += 1
+                seen.add((host, path, 0, 1, _digest(" ".join(page.children[path])), which))
         if len(seen) > 100_000:
             yield out(seen)
-            seen = defaultdict(int)
+            seen = set()
     yield out(seen)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, above, kind (0: content, 1: presentation), pages, importance: nodes that aren't already dropped or
-    inside an article."""
+def features(pages: DataFrame) -> DataFrame:
+    """host, path, above, kind (0: content, 1: presentation), feature, n (different pages that have it): of nodes that
+    aren't already dropped or inside an article."""
     common.session_paths(pages.sparkSession)
-    seen = pages.select("url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_styles, STATS)
-    features = seen.groupBy("host", "path", "above", "kind", "feature").agg(F.sum("pages").alias("n"))
-    nodes = features.groupBy("host", "path", "above", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    seen = pages.select("url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_styles, STATS).distinct()
+    return seen.groupBy("host", "path", "above", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
+    """host, path, above, kind, pages, importance of the nodes of features."""
+    nodes = seen.groupBy("host", "path", "above", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     return nodes.select("host", "path", "above", "kind", "pages", F.expr("if(pages > 1, (log2(pages) - s / pages) / log2(pages), 1D)").alias("importance"))
 
 
 def low_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """host, low: paths whose text is template there."""
-    tree = common.table(style_tree(pages).filter(F.col("pages") >= min_pages), "styles")
+    """host, low: path ^ digest of each text that is template there."""
+    seen = common.table(features(pages), "features")
+    tree = common.table(style_tree(seen).filter(F.col("pages") >= min_pages), "styles")
     layout = tree.filter("kind = 1").select("host", F.col("path").alias("above"), F.col("importance").alias("layout"))
     scored = tree.filter("kind = 0").join(layout, ["host", "above"], "left")
     score = (1 - PRESENTATION) * F.col("importance") + PRESENTATION * F.coalesce("layout", "importance")
-    return scored.filter(score < min_importance).groupBy("host").agg(F.collect_set("path").alias("low"))
+    recurring = seen.filter("kind = 0 and n > 1").join(scored.filter(score < min_importance).select("host", "path", "above"), ["host", "path", "above"], "left_semi")
+    return recurring.groupBy("host").agg(F.collect_set(F.col("path").bitwiseXOR(F.col("feature"))).alias("low"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

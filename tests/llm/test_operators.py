@@ -203,6 +203,16 @@ def test_html_site_template(spark):
     assert got[99] == "Home of things\nStory number 7 of 49\nAll rights kept" and got[100].startswith("Home")
 
 
+def test_html_mirrored(spark):
+    """Copies of one page are no template, and what a page alone has stays in a node that is template elsewhere."""
+    page = lambda story, foot: f"<body><div class=text><p>{story}</p></div><div class=foot>{foot}</div></body>"
+    pages = [(i, "http://a.example/", page("One story, mirrored" if i < 80 else f"Story number {i}", "Rights" if i < 95 else f"Postscript {i}")) for i in range(100)]
+    pages += [(200 + i, "http://b.example/", page(f"Story number {i}", "Rights" if i < 38 else f"Postscript {i}")) for i in range(40)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all("One story, mirrored" in got[i] for i in range(80)) and all(f"Story number {i}" in got[i] for i in range(80, 100))
+    assert all(got[200 + i] == f"Story number {i}" for i in range(38)) and all(got[200 + i] == f"Story number {i}\nPostscript {i}" for i in (38, 39))
+
+
 TEXTS = ["mail a.b+c@x-y.org.uk, or @none or a@b or x@y.z@q.w.", "ip 1.2.3.4.5 256.1.1.1 01.002.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112; 49927398716", "call +49 (30) 1234-567 or +1 2 or +12345678901234567", "ünï +1 (555) 010-9999 é@x.yz a@é.b", None, "", "@" * 50, "1" * 3000, "a.b" * 1000 + "@x.y", "+1.2.3.4 5 6 7 8 9 0 1 2"]
 
 
