@@ -4,19 +4,19 @@ Pages of one host are merged into a tree of styles: a node is a path of tags and
 counts in how many pages it stands, how often each layout of its children (presentation) and how often each text
 (content) was seen. The entropy of both, over its most possible value, is the node's importance: a layout and a text
 that hardly change over the host's pages are template. Of nodes of low importance, texts that recur on the host are
-cut, and a page's own text stays; cut whole are branches whose tag, role or class says that they are no article (menus, forms, adverts, comments and so on: weight 0
-whatever the entropy), while an article or main element keeps its own text whatever the entropy (a host may mirror
-one article many times).
+cut, and a page's own text stays, inside an article or main element as outside; cut whole are branches whose tag,
+role or class says that they are no article (menus, forms, adverts, comments and so on: weight 0 whatever the entropy).
 
 Pages of a host with the same article (the text in article and main elements, else all text that isn't dropped) are
 copies of one page: each node's layout and text count once for all of them, so mirrored articles are no template.
-Without such elements, copies that differ elsewhere on the page are different pages, and what they share is template.
+Copies whose article differs (in a date in it, say) are different pages: where they are most of a host, what they share
+is template.
 
 Counts are summed by Spark, and a host with a third of all pages is spread by node, text and page.
 The cut list of a host has only nodes seen in at least MIN_PAGES of its pages.
 
 Cases: null and empty html give the empty text; a null or odd url is the host of that spelling; unclosed and crossing
-tags are closed the way browsers close them; repeated pages count each; an empty table gives an empty result; other
+tags are closed the way browsers close them; repeated pages count once; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -177,7 +177,7 @@ class Page:
         """(path, path above): the node's text on this page, of nodes to judge."""
         out: dict[tuple[int, int], list[str]] = defaultdict(list)
         for one in self.texts:
-            if one is not None and not one[2] and not one[3] and not one[4].isspace():
+            if one is not None and not one[2] and not one[4].isspace():
                 out[one[0], one[1]].append(one[4])
         return {k: " ".join(" ".join(v).split()) for k, v in out.items()}
 
@@ -197,7 +197,7 @@ class Page:
                     if line:
                         blocks.append(line)
                     block = []
-            elif not one[2] and (one[3] or one[0] not in low):
+            elif not one[2] and one[0] not in low:
                 block.append(one[4])
         return "\n".join(blocks)
 
@@ -235,7 +235,7 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(pages: DataFrame) -> DataFrame:
     """host, path, above, kind (0: content, 1: presentation), feature, n (different pages that have it): of nodes that
-    aren't already dropped or inside an article."""
+    aren't already dropped."""
     common.session_paths(pages.sparkSession)
     seen = pages.select("url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_styles, STATS).distinct()
     return seen.groupBy("host", "path", "above", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))

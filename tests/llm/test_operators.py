@@ -213,6 +213,17 @@ def test_html_mirrored(spark):
     assert all(got[200 + i] == f"Story number {i}" for i in range(38)) and all(got[200 + i] == f"Story number {i}\nPostscript {i}" for i in (38, 39))
 
 
+def test_html_template_in_article(spark):
+    """A template block inside main is cut; an article that many pages with other dates mirror is not."""
+    page = lambda date, story: f"<body><div class=date>{date}</div><main><p>{story}</p><div class=more>Read on in our archive</div></main></body>"
+    pages = [(i, "http://a.example/", page(f"Day {i}", f"Story number {i}")) for i in range(40)]
+    mirror = lambda i: f"<body><div class=date>Day {i}</div><article><h1>{'Mirrored' if i < 35 else f'Head {i}'}</h1><p>{'One story' if i < 35 else f'Story number {i}'}</p></article></body>"
+    pages += [(100 + i, "http://b.example/", mirror(i)) for i in range(40)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Day {i}\nStory number {i}" for i in range(40))
+    assert all(got[100 + i] == f"Day {i}\n{'Mirrored' if i < 35 else f'Head {i}'}\n{'One story' if i < 35 else f'Story number {i}'}" for i in range(40))
+
+
 TEXTS = ["mail a.b+c@x-y.org.uk, or @none or a@b or x@y.z@q.w.", "ip 1.2.3.4.5 256.1.1.1 01.002.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112; 49927398716", "call +49 (30) 1234-567 or +1 2 or +12345678901234567", "ünï +1 (555) 010-9999 é@x.yz a@é.b", None, "", "@" * 50, "1" * 3000, "a.b" * 1000 + "@x.y", "+1.2.3.4 5 6 7 8 9 0 1 2"]
 
 
