@@ -30,9 +30,8 @@ from lectern.llm.words import FOLDED, Words
 WINDOW = 10
 #: Words of the items that one automaton holds.
 BLOCK_WORDS = 100_000
-#: clean() drops a document with more than this share of its words hit, and removes runs of hit words from this length.
+#: clean() drops a document with more than this share of its words hit, and removes the hit words of the others.
 MAX_COVERAGE = 0.5
-MAX_RUN = WINDOW
 
 
 def folded_words(text: str) -> list[bytes]:
@@ -262,9 +261,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
-def _clean(max_run: int, max_coverage: float):
-    """Drops texts with more than max_coverage of their words hit. Removes runs of at least max_run hit words from the
-    others, from the first's first byte to the last's last one."""
+def _clean(max_coverage: float):
+    """Drops texts with more than max_coverage of their words hit. Removes each run of hit words from the others,
+    from the first's first byte to the last's last one: items shorter than a window make short runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = lambda b: pc.less_equal(pc.list_value_length(b.column("x_hits")).cast(pa.float64()), pc.multiply(b.column("x_words").cast(pa.float64()), max_coverage))
@@ -279,21 +278,20 @@ def _clean(max_run: int, max_coverage: float):
                 at = np.array(hits.as_py(), np.int64)
                 parts, done = [], 0
                 for one in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    if len(one) >= max_run:
-                        k = words.bounds[i] + one
-                        parts.append(raw[done : words.starts[k[0]] - offsets[i]])
-                        done = int(words.ends[k[-1]] - offsets[i])
+                    k = words.bounds[i] + one
+                    parts.append(raw[done : words.starts[k[0]] - offsets[i]])
+                    done = int(words.ends[k[-1]] - offsets[i])
                 texts.append((b"".join(parts) + raw[done:]).decode())
             yield pa.record_batch([rows.column("x_row"), pa.array(texts, pa.string())], ["x_row", "x_text"])
 
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_run: int = MAX_RUN) -> DataFrame:
-    """The documents, with their own columns: those with more than max_coverage of their words hit are dropped, runs
-    of at least max_run hit words are cut out of the others' texts, n_chars (where there is one) follows the text.
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """The documents, with their own columns: those with more than max_coverage of their words hit are dropped, all
+    hit words are cut out of the others' texts, n_chars (where there is one) follows the text.
     A null text stays null."""
-    cut = scan(docs, items, [c for c in docs.columns if c != "text"], window, _clean(max_run, max_coverage), ("x_row", "x_text"))
+    cut = scan(docs, items, [c for c in docs.columns if c != "text"], window, _clean(max_coverage), ("x_row", "x_text"))
     own = {"text": F.col("x_text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("x_text").isNotNull(), F.length("x_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("x_row.n_chars"))

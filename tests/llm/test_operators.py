@@ -126,6 +126,14 @@ def test_decontaminate_clean(spark, documents):
     assert out[3].text == "clean text" and out[4].text is None and out[4].n_chars is None and out[3].label == "l"
 
 
+def test_decontaminate_clean_short_items(spark, documents):
+    """Items of fewer words than a window are cut as well."""
+    items = [(1, "who wrote the Iliad and when"), (2, "Xyzzy")]
+    docs = documents((1, f"{'lorem ' * 10}Who wrote, the iliad and WHEN? {'ipsum ' * 10}"), (2, "say xyzzy to them all"), (3, "who wrote the Iliad, and why"))
+    got = {r.doc_id: r.text for r in decontaminate.clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: f"{'lorem ' * 10}? {'ipsum ' * 10}", 2: "say  to them all", 3: "who wrote the Iliad, and why"}
+
+
 def test_language_code_lengths(spark, documents):
     docs = documents(*[(i, t, "aa" if i % 2 else "bb") for i, t in DOCS if t and i % 3 == 0])
     learned = docs.filter(~langid.held_out() & F.col("text").isNotNull()).collect()
