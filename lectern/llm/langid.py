@@ -9,8 +9,8 @@ The stream is the text's words, A-Z in lower case, each led and closed by a spac
 leading space and no further. So a word's code length is the same wherever it stands, and is looked up once for each
 distinct word of a stretch of text.
 
-Training takes documents by the hash of their doc_id until about SAMPLE_BYTES of each language are expected; that
-is the only bound. Scoring reads every whole text and nothing but the text.
+Training takes documents by the hash of their doc_id until about SAMPLE_BYTES of each language are expected, and
+the first one with a word in any case, so that no language is lost; that is the only bound. Scoring reads every whole text and nothing but the text.
 
 Cases: null and empty texts and texts without a letter are `und` with score 0, as is every text when no language is
 learned; rows without a label or a doc_id aren't learned from; ties go to the smaller language code; repeated rows
@@ -224,9 +224,11 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     aren't held out."""
     common.session_paths(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    share, n = common.table_n(usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")), "share")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    least = F.min(F.when(F.col("text").rlike(r"\S"), place)).alias("least")
+    share, n = common.table_n(usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), least), "share")
     share = F.broadcast(share) if n <= common.BROADCAST_IDS else share
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("bytes") < float(sample_bytes) * (1 << 20)
+    draw = (place * F.col("bytes") < float(sample_bytes) * (1 << 20)) | (place == F.col("least"))
     sample = usable.join(share, "lang").filter(draw).select("text", "lang")
     counted = sample.mapInArrow(_count, GRAMS).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
     got = counted.toArrow()

@@ -156,6 +156,13 @@ def test_language_accuracy(spark, sf):
     assert got.filter("score < 0 or score > 1").count() == 0
 
 
+def test_language_of_few_long_documents(spark, documents):
+    """A language whose documents are all longer than the sample is learned, from one that has words."""
+    docs = documents(*[(i, "aab baa aba " * 2000, "xx") for i in range(20)], *[(20 + i, "zzy yzz zyz " * 2000, "yy") for i in range(20)], *[(40 + i, " ", "yy") for i in range(40)], (90, "zzy"), (91, "baa"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, sample_bytes=1).collect()}
+    assert got[90] == "yy" and got[91] == "xx"
+
+
 def test_language_odd_texts(spark, documents):
     docs = documents((1, "aaa bbb aab", "xx"), (2, "zzz yyy zzy", "yy"), (3, "aab baa", "xx"), (4, None), (5, " 12 !?"), (6, "日本"), (None, "zzy"), (7, "zz yy", None), (8, "aab baa", "xx"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
