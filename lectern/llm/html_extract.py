@@ -13,7 +13,7 @@ Copies whose article differs (in a date in it, say) are different pages: where t
 is template.
 
 Counts are summed by Spark, and a host with a third of all pages is spread by node, text and page.
-The cut list of a host has only nodes seen in at least MIN_PAGES of its pages.
+The cut list of a host has only nodes seen in at least MIN_PAGES of its different pages; on so few, nearly all must agree.
 
 Cases: null and empty html give the empty text; a null or odd url is the host of that spelling; unclosed and crossing
 tags are closed the way browsers close them; repeated pages count once; an empty table gives an empty result; other
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 #: Pages of a host that must hold a node before its entropy means something.
-MIN_PAGES = 10
+MIN_PAGES = 3
 #: Nodes below this importance are cut.
 MIN_IMPORTANCE = 0.25
 #: Share of the presentation (of the element above) in a node's importance; the rest is content.

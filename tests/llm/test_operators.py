@@ -239,6 +239,12 @@ def test_html_template_in_article(spark):
     assert all(got[100 + i] == f"Day {i}\n{'Mirrored' if i < 35 else f'Head {i}'}\n{'One story' if i < 35 else f'Story number {i}'}" for i in range(40))
 
 
+def test_html_small_host(spark):
+    page = lambda i: f"<body><div class=text><p>Story number {i}</p></div><div class=foot>Rights</div></body>"
+    pages = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(9)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Story number {i}" for i in range(9)}
+
+
 TEXTS = ["mail a.b+c@x-y.org.uk, or @none or a@b or x@y.z@q.w.", "ip 1.2.3.4.5 256.1.1.1 01.002.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112; 49927398716", "call +49 (30) 1234-567 or +1 2 or +12345678901234567", "ünï +1 (555) 010-9999 é@x.yz a@é.b", None, "", "@" * 50, "1" * 3000, "a.b" * 1000 + "@x.y", "+1.2.3.4 5 6 7 8 9 0 1 2"]
 
 
