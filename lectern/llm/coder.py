@@ -2,7 +2,7 @@
 
 A tokenizer that drops white space (its pre-tokenizer splits there and no token spans it) gives a text the ids of its
 words, one after the other; a word is what stands between ASCII white space. The ids of words seen lately are kept
-by a 64-bit hash and the length of the word, in arrays that start afresh at a bound.
+in arrays that start afresh at a bound; a word takes kept ids only where all of its bytes are the kept word's.
 
 New words are encoded joined by spaces. Where their ids part is known from the tokens that end a pre-token and from
 how many pre-tokens each word has, which is counted for words of ASCII and Latin-1 letters, digits and marks; other
@@ -16,9 +16,8 @@ import os
 from functools import cache
 
 import numpy as np
-import pandas as pd
 
-from lectern.llm.words import Words
+from lectern.llm.words import Known, Words
 
 #: Words kept by a worker.
 KEPT = 600_000
@@ -74,7 +73,7 @@ class Coder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.known = Known()
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -96,29 +95,14 @@ class Coder:
         return self.ends[place + 1] - self.ends[place]
 
     def _places(self, words: Words) -> np.ndarray:
-        keys = words.hashes() ^ (words.ends - words.starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-        codes, distinct = pd.factorize(keys)
-        if len(self.keys) > KEPT:
+        if len(self.known) > KEPT:
             self._clear()
-        order = np.argsort(distinct)
-        ascending = distinct[order]
-        at = np.minimum(np.searchsorted(self.keys, ascending), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == ascending if len(self.keys) else np.zeros(len(distinct), bool)
-        place = np.empty(len(distinct), np.int64)
-        if len(self.keys):
-            place[order[known]] = self.places[at[known]]
-        if not known.all():
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            new = order[~known]
-            ids, counts = self._encode_new(words, first[new])
-            fresh = np.arange(len(new)) + len(self.ends) - 1
-            place[new] = fresh
+        place, new = self.known.places(words)
+        if len(new):
+            ids, counts = self._encode_new(words, new)
             self.ids = np.concatenate([self.ids, ids])
             self.ends = np.concatenate([self.ends, np.cumsum(counts) + self.ends[-1]])
-            into = np.searchsorted(self.keys, ascending[~known])
-            self.keys, self.places = np.insert(self.keys, into, ascending[~known]), np.insert(self.places, into, fresh.astype(np.int32))
-        return place[codes]
+        return place
 
     def _encode_new(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text, first = _gather(words.data, words.starts[which], words.ends[which])

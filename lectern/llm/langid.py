@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import common
-from lectern.llm.words import Words
+from lectern.llm.words import Known, Words
 
 ORDER = 4
 #: Expected bytes of text that each language's tree is counted from.
@@ -149,28 +149,18 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.known = Known()
         self.bits = np.zeros((0, len(self.trees.langs)), np.int64)
 
     def bits_of(self, words: Words) -> np.ndarray:
         """Code length in bits of each text, by language."""
-        keys = words.hashes()
-        codes, distinct = pd.factorize(keys)
-        if len(self.keys) > KEPT:
+        if len(self.known) > KEPT:
             self._clear()
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known)
+        place, new = self.known.places(words)
         if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            order = np.argsort(distinct[new])
-            fresh = self.trees.word_bits(words, first[new][order])
-            into = np.searchsorted(self.keys, distinct[new][order])
-            self.keys, self.bits = np.insert(self.keys, into, distinct[new][order]), np.insert(self.bits, into, fresh, axis=0)
-            at = np.searchsorted(self.keys, distinct)
-        run = np.zeros((len(codes) + 1, len(self.trees.langs)), np.int64)
-        np.cumsum(self.bits[at][codes], axis=0, out=run[1:])
+            self.bits = np.concatenate([self.bits, self.trees.word_bits(words, new)])
+        run = np.zeros((len(place) + 1, len(self.trees.langs)), np.int64)
+        np.cumsum(self.bits[place], axis=0, out=run[1:])
         return (run[words.bounds[1:]] - run[words.bounds[:-1]]) / UNIT
 
 

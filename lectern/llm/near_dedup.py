@@ -1,6 +1,7 @@
 """MinHash near-dedup with b-bit signatures.
 
-A document's set holds the hashes of its distinct shingles of a few words. Documents with equal sets are one vertex.
+A document's set holds its distinct shingles of a few words, each as 64 bits made of the BLAKE2b of its words, so that
+no two shingles can be made to clash by their bytes. Documents with equal sets are one vertex.
 Of each set come 160 minima: bands of a few whole minima make the buckets, and the low 2 bits of each minimum, packed
 into five 64-bit words, make the signature. A pair from a bucket is first judged by its signatures (equal lanes by bit
 count, corrected for chance collisions); pairs that may reach the threshold are confirmed on their full sets.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import common
-from lectern.llm.words import PLAIN, Words, mix, positions, window_hashes
+from lectern.llm.words import PLAIN, Digests, Words, mix, positions, window_hashes
 
 SHINGLE = 5
 LANES = 160
@@ -48,10 +49,18 @@ SIGNATURE = [f"s{i}" for i in range(LANES // 32)]
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
 
 
+_digests = [Digests()]
+
+
+def _forget() -> None:
+    _digests[0] = Digests()
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): text i's set is hashes[bounds[i]:bounds[i + 1]], ascending and distinct."""
     words = Words(data, offsets, PLAIN, lower=True)
-    hashes, counts = words.hashes(), words.counts
+    common.hold("digests", _forget)
+    hashes, counts = _digests[0].of(words), words.counts
     at, text = positions(words.bounds, n)
     parts, owners = [window_hashes(hashes, n, at)], [text]
     for k in range(1, n):
@@ -309,10 +318,12 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 
 def keep(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """The documents that are the smallest of their component, with their own columns."""
-    gone = common.table(near_components(docs, threshold, shingle).filter("not kept").select(F.col("doc_id").alias("x_id")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= common.BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("x_id"), "left_anti")
+    """The documents that are the smallest of their component, with their own columns. Those without words or without
+    a doc_id stay, repeated rows stay or go together."""
+    gone, n = common.table_n(near_components(docs, threshold, shingle).filter("not kept").select(F.col("doc_id").alias("x_id")).distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x_row"))
+    left = rows.join(F.broadcast(gone) if n <= common.BROADCAST_IDS else gone, F.col("x_row.doc_id") == F.col("x_id"), "left_anti")
+    return left.select(*[F.col(f"x_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

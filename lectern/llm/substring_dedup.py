@@ -2,16 +2,19 @@
 
 A window of 50 words that stands in an earlier document contains one whole block of that document's non-overlapping
 blocks of 25 words. So the blocks of all documents are the index, every rolling 25-word window of every document is
-a probe, and a probe that meets a block of a smaller doc_id is an anchor. Only around anchors and the blocks they
-met are the 50-word windows themselves compared; runs of windows that recur are the maximal exact repeats.
+a probe, and a probe that meets a block of a smaller doc_id is an anchor. Around anchors and the blocks they met
+the 50-word windows themselves are compared, by 128 bits of BLAKE2b over their words; hits that follow one another are
+extended to maximal exact repeats (maximal_repeats()), and the words of those are removed. A clash of the hashes that
+find anchors only adds windows to compare.
 
 Nothing is paired: a bucket of hashes keeps the smallest doc_id of each hash. A task first settles what it can
-among its own rows, so a passage that a third of the documents share leaves each task about once.
+among its own rows, so a passage that a third of the documents share leaves each task about once, and windows that
+repeat one after the other in a document (one word, over and over) travel as one entry with their number.
 
 Cases: a null or empty text has no words, keeps the empty text and is never an anchor; texts of fewer than 50 words
 stay whole; of repeated doc_ids the rows count as one document's texts of which none is smaller, so they don't
-remove from each other; an empty table gives an empty result; other columns are not read. Hashes of 96 bits stand
-for a window's words (its doc-level twin, an exact copy, is found by the SHA-256 of its words).
+remove from each other; rows without a doc_id stay whole and remove nothing; an empty table gives an empty result; other
+columns are not read. An exact copy is found by the SHA-256 of its words.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import common
-from lectern.llm.words import Words, from_planes, planes, positions, window_hashes
+from lectern.llm.words import Words, from_planes, planes, positions, window_digests, window_hashes
 
 WINDOW = 50
 #: Entries a task holds before it settles and sends them.
@@ -51,17 +54,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Sender:
-    """Collects (hash, check, document, position), settles repeats within the task, sends the rest by bucket.
+    """Collects (hash, check, document, position, run), settles repeats within the task, sends the rest by bucket. An
+    entry stands for run windows of one hash, from position on.
 
-    Entries with anchor are what others may repeat (all of them, where anchor is None). An entry whose hash has an
-    anchor in a smaller document is settled here: it becomes a mark, and so does that anchor where marks_too is set;
-    of the others, all go out, but a settled hash sends no more than the entries up to that smallest document."""
+    Entries with anchor are what others may repeat (all of them, where wide). An entry whose hash has an anchor in a
+    smaller document is settled here: it becomes a mark, and so does that anchor unless wide; of the others, all go
+    out, but a settled hash sends no more than the entries up to that smallest document."""
 
-    def __init__(self, buckets: int, marks_too: bool):
-        self.buckets, self.marks_too, self.held, self.n = buckets, marks_too, [], 0
+    def __init__(self, buckets: int, wide: bool):
+        self.buckets, self.wide, self.held, self.n = buckets, wide, [], 0
 
-    def add(self, key, check, doc, pos, anchor) -> Iterator[pa.RecordBatch]:
-        self.held.append((key, check, doc, pos.astype(np.uint32), anchor))
+    def add(self, key, check, doc, pos, run, anchor) -> Iterator[pa.RecordBatch]:
+        self.held.append((key, check, doc, pos.astype(np.uint32), run.astype(np.uint32), anchor))
         self.n += len(key)
         if self.n >= FLUSH:
             yield from self.flush()
@@ -69,16 +73,13 @@ class Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        key, check, doc, pos, anchor = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        key, check, doc, pos, run, anchor = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.n = [], 0
-        order = np.lexsort((check, key)) if self.marks_too is False else np.argsort(key, kind="stable")
-        later, least = _settle(key[order], check[order], doc[order], anchor[order])
-        out = np.ones(len(key), bool)
-        out[order[later]] = False
-        marks = order[later | least] if self.marks_too else order[later]
+        later, least, first = _settle(key, check, doc, anchor)
+        marks = np.flatnonzero(later if self.wide else later | least)
         if len(marks):
-            yield _sent(_marks(doc[marks], pos[marks]))
-        rest = np.flatnonzero(out)
+            yield _sent(_marks(doc[marks], pos[marks], run[marks], first[marks]))
+        rest = np.flatnonzero(~later)
         bucket = ((key[rest] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
         by = np.argsort(bucket.astype(np.uint16) if self.buckets <= 65536 else bucket, kind="stable")
         rest, bucket = rest[by], bucket[by]
@@ -87,35 +88,48 @@ class Sender:
         for lo, hi in zip([0, *cuts], [*cuts, len(rest)], strict=True):
             if hi > lo:
                 i = rest[lo:hi]
-                payloads.append(_pack(key[i], check[i], doc[i], pos[i], anchor[i], wide=not self.marks_too))
+                payloads.append(_pack(key[i], check[i], doc[i], pos[i], run[i], anchor[i], self.wide))
                 of.append(int(bucket[lo]))
         if payloads:
             yield pa.record_batch([pa.array(of, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
-def _settle(key, check, doc, anchor) -> tuple[np.ndarray, np.ndarray]:
-    """For entries sorted by hash: those with an anchor in a smaller document, and the anchors of the smallest one."""
+def _runs(key: np.ndarray, check: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, how many) of windows of the same words that follow one another in a text."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (text[1:] != text[:-1]) | (np.diff(at) != 1)
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _settle(key, check, doc, anchor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries with an anchor of the same hash in a smaller document, the anchors of the smallest one that they met,
+    and that smallest document."""
     n = len(key)
-    later, least = np.zeros(n, bool), np.zeros(n, bool)
+    order = np.lexsort((check, key))
+    key, check, doc, anchor = key[order], check[order], doc[order], anchor[order]
+    later, least, first = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
     same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
     twin = np.zeros(n, bool)
     twin[1:] |= same
     twin[:-1] |= same
     at = np.flatnonzero(twin)
-    if not len(at):
-        return later, least
-    new = np.ones(len(at), bool)
-    new[1:] = ~same[at[1:] - 1] | (np.diff(at) > 1)
-    starts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    first = np.minimum.reduceat(np.where(anchor[at], doc[at], np.iinfo(np.int64).max), starts)
-    later[at] = doc[at] > first[group]
-    met = np.logical_or.reduceat(later[at], starts)
-    least[at] = anchor[at] & met[group] & ~later[at]
-    return later, least
-
-
-def _pack(key, check, doc, pos, anchor, wide: bool) -> bytes:
+    if len(at):
+        new = np.ones(len(at), bool)
+        new[1:] = ~same[at[1:] - 1] | (np.diff(at) > 1)
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        smallest = np.minimum.reduceat(np.where(anchor[at], doc[at], np.iinfo(np.int64).max), starts)[group]
+        later[at] = doc[at] > smallest
+        met = np.logical_or.reduceat(later[at], starts)
+        least[at] = anchor[at] & met[group] & ~later[at]
+        first[at] = smallest
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n)
+    return later[out], least[out], first[out]
+
+
+def _pack(key, check, doc, pos, run, anchor, wide: bool) -> bytes:
     """Entries as bytes: documents once, positions as steps within a document, the hash's bits below the bucket's."""
     new = np.ones(len(doc), bool)
     new[1:] = doc[1:] != doc[:-1]
@@ -126,8 +140,8 @@ def _pack(key, check, doc, pos, anchor, wide: bool) -> bytes:
     ids = doc[starts]
     head = np.array([len(doc), len(starts)], np.int64).tobytes()
     ids = np.concatenate([ids[:1], np.diff(ids)]).astype(np.int64)
-    body = planes(ids) + planes(counts) + planes(step)
-    return head + body + (key.tobytes() + check.astype(np.uint32).tobytes() if wide else key.astype(np.uint32).tobytes() + np.packbits(anchor).tobytes())
+    body = planes(ids) + planes(counts) + planes(step) + planes(run)
+    return head + body + (key.tobytes() + check.tobytes() if wide else key.astype(np.uint32).tobytes() + np.packbits(anchor).tobytes())
 
 
 def _unpack(payload: bytes, wide: bool):
@@ -140,24 +154,35 @@ def _unpack(payload: bytes, wide: bool):
     raw = raw[4 * m :]
     step = from_planes(raw, n, np.uint32).astype(np.int64)
     raw = raw[4 * n :]
+    runs = from_planes(raw, n, np.uint32)
+    raw = raw[4 * n :]
     run = np.cumsum(step)
     starts = np.cumsum(counts) - counts
     before = run[starts] - step[starts]
-    pos = run - np.repeat(before, counts)
+    pos = (run - np.repeat(before, counts)).astype(np.uint32)
     doc = np.repeat(ids, counts)
     if wide:
-        key, check = raw[: 8 * n].copy().view(np.uint64), raw[8 * n : 12 * n].copy().view(np.uint32)
-        return key, check, doc, pos, np.ones(n, bool)
-    key = raw[: 4 * n].copy().view(np.uint32)
-    return key, np.zeros(n, np.uint32), doc, pos, np.unpackbits(raw[4 * n :], count=n).astype(bool)
+        return raw[: 8 * n].copy().view(np.uint64), raw[8 * n : 16 * n].copy().view(np.uint64), doc, pos, runs, np.ones(n, bool)
+    return raw[: 4 * n].copy().view(np.uint32), np.zeros(n, np.uint32), doc, pos, runs, np.unpackbits(raw[4 * n :], count=n).astype(bool)
 
 
-def _marks(doc, pos) -> pa.RecordBatch:
-    """One row for each document: its positions, as 32-bit integers."""
+def _marks(doc, pos, run, first) -> pa.RecordBatch:
+    """One row for each document: n, and the positions, runs and first documents of its marks as bytes."""
     order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order].astype(np.uint32)
-    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    return pa.record_batch([pa.array(doc[starts], pa.int64()), common.binary_array(pos, 4 * np.append(starts, len(doc)))], ["doc_id", "at"])
+    doc, pos, run, first = doc[order], pos[order], run[order].astype(np.uint32), first[order]
+    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    ends = np.append(cuts[1:], len(doc))
+    packed = [planes(pos[a:b]) + planes(run[a:b]) + planes(first[a:b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    return pa.record_batch([pa.array(doc[cuts], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "at"])
+
+
+def _unmarked(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, runs, first documents) of a document's marks."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    for one in marks:
+        raw, n = np.frombuffer(one, np.uint8), len(one) // 16
+        out.append((from_planes(raw, n, np.uint32).astype(np.int64), from_planes(raw[4 * n :], n, np.uint32).astype(np.int64), from_planes(raw[8 * n :], n, np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _sent(marks: pa.RecordBatch) -> pa.RecordBatch:
@@ -173,16 +198,18 @@ def _probes(buckets: int, window: int):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, marks_too=True)
+        sender = Sender(buckets, wide=False)
         for rows, data, offsets in common.slices(batches):
             words = Words(data, offsets)
             at, text = positions(words.bounds, block)
             long = words.counts[text] >= window
             at, text = at[long], text[long]
             if len(at):
-                key = window_hashes(words.hashes(), block, at)
+                key, none = window_hashes(words.hashes(), block, at), np.zeros(len(at), np.uint32)
                 pos = at - words.bounds[text]
-                yield from sender.add(key, np.zeros(len(at), np.uint32), rows.column("doc_id").to_numpy()[text], pos, pos % block == 0)
+                starts, n = _runs(key, none, text, at)
+                anchor = np.logical_or.reduceat(pos % block == 0, starts)
+                yield from sender.add(key[starts], none[starts], rows.column("doc_id").to_numpy()[text[starts]], pos[starts], n, anchor)
         yield from sender.flush()
 
     return run
@@ -192,22 +219,24 @@ def _windows(buckets: int, window: int):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, marks_too=False)
+        sender = Sender(buckets, wide=True)
         for rows, data, offsets in common.slices(batches):
             words = Words(data, offsets)
             ids, marks = rows.column("doc_id").to_numpy(), rows.column("at")
             firsts, text = [], []
             for i in range(len(ids)):
                 near = np.zeros(max(words.counts[i] - window + 1, 0) + 1, np.int64)
-                hit = np.frombuffer(b"".join(marks[i].as_py()), np.uint32).astype(np.int64)
+                hit, n, _ = _unmarked(marks[i].as_py())
                 np.add.at(near, np.clip(hit - block, 0, len(near) - 1), 1)
-                np.add.at(near, np.minimum(hit + 1, len(near) - 1), -1)
+                np.add.at(near, np.minimum(hit + n, len(near) - 1), -1)
                 found = np.flatnonzero(np.cumsum(near)[:-1] > 0)
                 firsts.append(found + words.bounds[i])
                 text.append(np.full(len(found), i))
             at, text = np.concatenate(firsts), np.concatenate(text)
             if len(at):
-                yield from sender.add(window_hashes(words.hashes(), window, at), (window_hashes(words.hashes(1), window, at, 1) >> np.uint64(32)).astype(np.uint32), ids[text], at - words.bounds[text], np.ones(len(at), bool))
+                digest = window_digests(words, window, at)
+                starts, n = _runs(digest[:, 0], digest[:, 1], text, at)
+                yield from sender.add(digest[starts, 0], digest[starts, 1], ids[text[starts]], (at - words.bounds[text])[starts], n, np.ones(len(starts), bool))
         yield from sender.flush()
 
     return run
@@ -222,27 +251,39 @@ def _meet(wide: bool):
             return empty
         if rows.column("bucket")[0].as_py() < 0:
             return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in rows.column("payload")])
-        key, check, doc, pos, anchor = (np.concatenate(x) for x in zip(*(_unpack(x.as_py(), wide) for x in rows.column("payload")), strict=True))
-        order = np.lexsort((check, key)) if wide else np.argsort(key, kind="stable")
-        later, least = _settle(key[order], check[order], doc[order], anchor[order])
-        found = order[later if wide else later | least]
-        return pa.Table.from_batches([_marks(doc[found], pos[found])]) if len(found) else empty
+        key, check, doc, pos, runs, anchor = (np.concatenate(x) for x in zip(*(_unpack(x.as_py(), wide) for x in rows.column("payload")), strict=True))
+        later, least, first = _settle(key, check, doc, anchor)
+        found = np.flatnonzero(later if wide else later | least)
+        return pa.Table.from_batches([_marks(doc[found], pos[found], runs[found], first[found])]) if len(found) else empty
 
     return run
 
 
+def _extended(marks: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, earlier document) of the maximal repeats of a document: windows that follow one another and
+    stand in the same earlier document are one."""
+    pos, run, first = _unmarked(marks)
+    order = np.lexsort((first, pos))
+    pos, run, first = pos[order], run[order], first[order]
+    new = np.ones(len(pos), bool)
+    new[1:] = (first[1:] != first[:-1]) | (pos[1:] > pos[:-1] + run[:-1])
+    starts = np.flatnonzero(new)
+    ends = np.maximum.reduceat(pos + run, starts) if len(starts) else pos
+    return pos[starts], ends - pos[starts] + window - 1, first[starts]
+
+
 def _cut(window: int):
-    """Takes the words of the removed windows out of each text."""
+    """Takes the words of the repeats out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, kept = [], [], []
             for text, marks in zip(batch.column("text"), batch.column("at"), strict=True):
                 words = text.as_py().encode().split()
-                hit = np.frombuffer(b"".join(marks.as_py()), np.uint32).astype(np.int64)
+                start, length, _ = _extended(marks.as_py(), window)
                 cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, hit, 1)
-                np.add.at(cover, hit + window, -1)
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + length, -1)
                 stays = np.cumsum(cover)[:-1] == 0
                 n.append(len(words))
                 removed.append(len(words) - int(stays.sum()))
@@ -252,12 +293,29 @@ def _cut(window: int):
     return run
 
 
+def _listed(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_extended(x.as_py(), window) for x in batch.column("at")]
+            ids = np.repeat(batch.column("doc_id").to_numpy(), [len(x[0]) for x in found])
+            yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True))] if found else [pa.array([], pa.int64())] * 4, ["doc_id", "start", "length", "source_id"])
+
+    return run
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, start, length, source_id: stretches of a document's words (length of them from the word start on, 0 the
+    first) whose windows all stand in the earlier document source_id (one of those that have them; which one may
+    depend on how rows are dealt). Exact copies have no rows here: repeats() names them."""
+    return repeats(docs, window)[2].mapInArrow(_listed(window), "doc_id long, start long, length long, source_id long")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, exact copies, removed windows) of documents (doc_id, text).
 
     Signatures: doc_id, n_words, sha of the words joined by a space. Copies: doc_id of those of at least window words
-    whose words are all a smaller doc_id's. Removed windows: doc_id, at (array of binaries of 32-bit first words), of
-    the documents that are no copies."""
+    whose words are all a smaller doc_id's. Removed windows: doc_id, at (marks, see _marks), of the documents that are
+    no copies."""
     if window % 2:
         raise ValueError("window must be even")
     spark = docs.sparkSession
