@@ -1,21 +1,25 @@
 """PII by information-theoretic sanitisation.
 
-Protected entities are found by pattern: email addresses, IP addresses, card numbers and phone numbers. The corpus
-then says which terms reveal them: for each entity and each word within SPAN words of it, the different contexts that
-hold both are counted, and the probability of the entity given the word comes from the word's occurrences in the
-whole corpus. A term is disclosing when it stands with one entity in at least MIN_CONTEXTS different contexts, the
-entity is in at least MIN_POSTERIOR of the term's occurrences, and it makes the entity MIN_BITS bits likelier than it
-is anyhow. Disclosing terms are spans of kind `term` wherever they occur; sanitise() removes them and generalises
-the entities to their kinds.
-
-Copies of one passage are no evidence, edited ones neither: of a term's contexts with an entity, MIN_CONTEXTS must
+Protected entities are email addresses, IP addresses, card numbers and phone numbers, found by pattern, and secrets: runs
+of 16 and more ASCII letters and digits that carry MIN_SECRET bits in all, and MIN_RATE bits a byte (LETTERS_RATE without
+a digit), under the corpus' own statistics of byte pairs. Words of any language are cheap there, keys are not.
+
+The corpus then says which terms reveal them. What may be revealed is an entity (this address) or a kind of entity (a
+secret). For each of these and each word within SPAN words of a mention, the mentions and their different contexts are
+counted; the probability of the entity or kind given the word comes from the word's occurrences in the whole corpus.
+A term is disclosing when it stands with it in at least MIN_CONTEXTS different contexts, MIN_POSTERIOR of its
+occurrences are near it, and it makes it MIN_BITS bits likelier than it is anyhow. Terms that disclose an entity are
+spans of kind `term` wherever they occur and are removed; terms that disclose a kind are spans where an entity of that
+kind is within SPAN words, and are generalised to the kind, as entities are ([email], [secret]).
+
+Copies of one passage are no evidence, edited ones neither: of a term's contexts, MIN_CONTEXTS must
 differ from each other: of any two, at least MIN_DIVERSITY of the longer one's words are not in both. This doesn't
 fall with the number of mentions. Contexts are taken in the order of their hashes; where likeness is not transitive (a like b,
 b like c, a unlike c) the order decides which count. All patterns read ASCII only, so they run over UTF-8 bytes, in time linear in the text; offsets are
 given in code points.
 
 Cases: null and empty texts have no spans and the hash of the empty string; rows without a doc_id and repeated rows
-are judged each; an empty table gives an empty result; other columns are not read.
+are judged each like any other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,18 +36,29 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 from lectern.llm.words import FOLDED, Words, mix
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+SECRET = len(BASE)
 SPAN = 8
 MIN_CONTEXTS = 4
 MIN_POSTERIOR = 0.5
-MIN_BITS = 6.0
+MIN_BITS = 5.0
 #: Least share of the longer of two contexts' words that is not in both, where they are no copies of each other.
 MIN_DIVERSITY = 0.4
 #: Bytes that a term has at least.
 TERM_BYTES = 3
+#: Bytes, bits and bits a byte that a secret has at least.
+SECRET_BYTES = 16
+MIN_SECRET = 64.0
+MIN_RATE = 4.5
+LETTERS_RATE = 6.5
 
 _local = np.zeros(256, bool)
 _local[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"]] = True
+_digit = np.zeros(256, bool)
+_digit[48:58] = True
+ALNUM = _digit.copy()
+ALNUM[65:91] = ALNUM[97:123] = True
 LOCAL = frozenset(np.flatnonzero(_local).tolist())
 _domain = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ip = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -89,60 +104,118 @@ def base_spans(raw: bytes, at: bool = True, plus: bool = True, digit: bool = Tru
     return sorted(out)
 
 
-def _found(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-    """Spans of the texts that have any."""
+def _found(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """Spans of the texts that have any. pairs: bits of each byte after each other byte."""
 
     def has(mask):
         run = np.append(0, np.cumsum(mask))
         return run[offsets[1:]] > run[offsets[:-1]]
 
-    at, plus, digit = has(data == 64), has(data == 43), has((data >= 48) & (data < 58))
+    at, plus, digit = has(data == 64), has(data == 43), has(_digit[data])
     out = {}
     for i in np.flatnonzero(at | digit):
         if spans := base_spans(data[offsets[i] : offsets[i + 1]].tobytes(), at[i], plus[i] and digit[i], digit[i]):
             out[int(i)] = spans
+    for i, s, e in secrets(data, offsets, pairs):
+        known = out.setdefault(i, [])
+        if not any(k != SECRET and a < e and s < b for a, k, b in _around(known, s, e)):
+            known.append((s, SECRET, e))
+            known.sort()
+    return {i: spans for i, spans in out.items() if spans}
+
+
+def _around(spans: list[tuple[int, int, int]], s: int, e: int) -> list[tuple[int, int, int]]:
+    return [x for x in spans if x[0] < e and s < x[2]]
+
+
+def secrets(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, start, end) of runs of letters and digits that the corpus finds unlikely."""
+    runs = Words(data, offsets, ALNUM)
+    size = runs.ends - runs.starts
+    digits = np.append(0, np.cumsum(_digit[data]))
+    n = digits[runs.ends] - digits[runs.starts]
+    out = []
+    for k in np.flatnonzero((size >= SECRET_BYTES) & (size - n >= 2)).tolist():
+        raw = data[runs.starts[k] : runs.ends[k]]
+        bits = float(pairs[raw[:-1], raw[1:]].sum(dtype=np.float64))
+        if bits >= MIN_SECRET and bits >= (MIN_RATE if n[k] else LETTERS_RATE) * (len(raw) - 1):
+            i = int(np.searchsorted(runs.bounds, k, "right") - 1)
+            out.append((i, int(runs.starts[k] - offsets[i]), int(runs.ends[k] - offsets[i])))
     return out
 
 
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pair, n: how often two bytes follow one another in a text; pair -1: how many words there are."""
+    seen, words = np.zeros(1 << 16, np.int64), 0
+    for _, data, offsets in common.slices(batches):
+        words += len(Words(data, offsets, FOLDED, lower=True))
+        both = (data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]
+        inside = np.ones(len(both), bool)
+        edges = offsets[1:-1]
+        inside[edges[(edges > 0) & (edges < len(data))] - 1] = False
+        seen += np.bincount(both[inside], minlength=1 << 16)
+    at = np.flatnonzero(seen)
+    yield pa.record_batch([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], words), pa.int64())], ["pair", "n"])
+
+
+def byte_pairs(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits of each byte after each other byte, one added to each count; number of words) in the whole corpus. At most
+    65537 rows reach the driver, whatever the corpus."""
+    got = docs.mapInArrow(_count_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = got.column("pair").to_numpy(), got.column("n").to_numpy()
+    counts = np.ones(1 << 16)
+    counts[pair[pair >= 0]] += n[pair >= 0]
+    counts = counts.reshape(256, 256)
+    return (np.log2(counts.sum(axis=1, keepdims=True)) - np.log2(counts)).astype(np.float32), int(n[pair < 0].sum())
+
+
 def _entity(raw: bytes, kind: int) -> int:
-    name = raw.lower() if kind < 2 else _digits.sub(b"", raw)
+    """Its hash; kinds themselves are the integers from 0 on, which no entity has."""
+    name = raw.lower() if kind < 2 else raw if kind == SECRET else _digits.sub(b"", raw)
     return int.from_bytes(hashlib.blake2b(bytes([kind]) + name, digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, context, terms (ascending), n: words near entities; a row of nulls has the number of all words."""
-    total = 0
-    for _, data, offsets in common.slices(batches):
-        found = _found(data, offsets)
-        words = Words(data, offsets, FOLDED, lower=True)
-        total += len(words)
-        if not found:
-            continue
-        hashes = words.hashes()
-        seen: dict[tuple[int, int], list] = {}
-        for i, spans in found.items():
-            lo, hi = words.bounds[i], words.bounds[i + 1]
-            starts, ends = words.starts[lo:hi] - offsets[i], words.ends[lo:hi] - offsets[i]
-            raw = data[offsets[i] : offsets[i + 1]]
-            inside = np.zeros(hi - lo, bool)
-            for s, _, e in spans:
-                inside[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e)] = True
-            free = np.flatnonzero(~inside)
-            mine = hashes[lo:hi][free]
-            long = (ends - starts)[free] >= TERM_BYTES
-            for s, kind, e in spans:
-                left, right = np.searchsorted(starts[free], s), np.searchsorted(starts[free], e)
-                near = slice(max(0, left - SPAN), right + SPAN)
-                window, terms = mine[near], np.unique(mine[near][long[near]])
-                if not len(terms):
-                    continue
-                context = int(mix(np.add.reduce(mix(window) * np.arange(1, len(window) + 1, dtype=np.uint64), keepdims=True)).view(np.int64)[0])
-                entity = _entity(raw[s:e].tobytes(), kind)
-                seen.setdefault((entity, context), [terms.view(np.int64).tolist(), 0])[1] += 1
-        if seen:
-            terms, n = zip(*seen.values(), strict=True)
-            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in zip(*seen, strict=True)), pa.array(terms, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["entity", "context", "terms", "n"])
-    yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 2, pa.nulls(1, pa.list_(pa.int64())), pa.array([total], pa.int64())], ["entity", "context", "terms", "n"])
+def _near(words: Words, i: int, start: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+    """Each span of text i and the words (of the slice) within SPAN words of it that are in no span."""
+    lo, hi = words.bounds[i], words.bounds[i + 1]
+    starts, ends = words.starts[lo:hi] - start, words.ends[lo:hi] - start
+    inside = np.zeros(hi - lo, bool)
+    for s, _, e in spans:
+        inside[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e)] = True
+    free = np.flatnonzero(~inside)
+    left, right = np.searchsorted(starts[free], [s for s, _, _ in spans]), np.searchsorted(starts[free], [e for _, _, e in spans])
+    for span, a, b in zip(spans, left.tolist(), right.tolist(), strict=True):
+        yield span, free[max(0, a - SPAN) : b + SPAN] + lo
+
+
+CONTEXTS = "entity long, kind int, context long, terms array<long>, n long"
+
+
+def _contexts(pairs: np.ndarray):
+    """entity, kind, context, terms (ascending), n: the words near each mention, copies of a context once with n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in common.slices(batches):
+            found = _found(data, offsets, pairs)
+            if not found:
+                continue
+            words = Words(data, offsets, FOLDED, lower=True)
+            hashes, long = words.hashes(), words.ends - words.starts >= TERM_BYTES
+            seen: dict[tuple[int, int, int], list] = {}
+            for i, spans in found.items():
+                raw = data[offsets[i] : offsets[i + 1]]
+                for (s, kind, e), near in _near(words, i, offsets[i], spans):
+                    terms = np.unique(hashes[near[long[near]]].view(np.int64))
+                    if len(terms):
+                        window = hashes[near]
+                        context = int(mix(np.add.reduce(mix(window) * np.arange(1, len(window) + 1, dtype=np.uint64), keepdims=True)).view(np.int64)[0])
+                        seen.setdefault((_entity(raw[s:e].tobytes(), kind), kind, context), [terms.tolist(), 0])[1] += 1
+            if seen:
+                terms, n = zip(*seen.values(), strict=True)
+                entity, kind, context = zip(*seen, strict=True)
+                yield pa.record_batch([pa.array(entity, pa.int64()), pa.array(kind, pa.int32()), pa.array(context, pa.int64()), pa.array(terms, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["entity", "kind", "context", "terms", "n"])
+
+    return run
 
 
 def _differ(kept: list[set], terms: set) -> bool:
@@ -151,162 +224,221 @@ def _differ(kept: list[set], terms: set) -> bool:
 
 
 def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by entity and term: for each pair up to MIN_CONTEXTS contexts that differ from each other."""
+    """Of rows ordered by subject and term: for each pair up to MIN_CONTEXTS contexts that differ from each other."""
     pair, kept = None, []
     for batch in batches:
         out = []
-        for entity, term, terms in zip(*(batch.column(c).to_pylist() for c in ("entity", "term", "terms")), strict=True):
-            if pair != (entity, term):
-                pair, kept = (entity, term), []
+        for subject, term, terms in zip(*(batch.column(c).to_pylist() for c in ("subject", "term", "terms")), strict=True):
+            if pair != (subject, term):
+                pair, kept = (subject, term), []
             if len(kept) < MIN_CONTEXTS and _differ(kept, set(terms)):
                 kept.append(set(terms))
-                out.append((entity, term, terms))
+                out.append((subject, term, terms))
         if out:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["entity", "term", "terms"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["subject", "term", "terms"])
 
 
 def _occurrences(asked: np.ndarray | None):
-    """term, n: how often the asked terms (ascending; None: all words) occur."""
+    """term, word, n: how often the words of the asked terms (ascending; None: all words) occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in common.slices(batches):
-            hashes = Words(data, offsets, FOLDED, lower=True).hashes()
-            if asked is not None and not len(asked):
-                hashes = hashes[:0]
-            elif asked is not None:
-                at = np.minimum(np.searchsorted(asked, hashes), len(asked) - 1)
-                hashes = hashes[asked[at] == hashes]
-            terms, n = np.unique(hashes, return_counts=True)
-            yield pa.record_batch([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
+            words = Words(data, offsets, FOLDED, lower=True)
+            hashes = words.hashes()
+            which = np.arange(len(words)) if asked is None else np.flatnonzero(_among(hashes, asked))
+            seen: dict[tuple[int, bytes], int] = {}
+            for k, term in zip(which.tolist(), hashes[which].view(np.int64).tolist(), strict=True):
+                key = term, words.word(k)
+                seen[key] = seen.get(key, 0) + 1
+            if seen:
+                term, word = zip(*seen, strict=True)
+                yield pa.record_batch([pa.array(term, pa.int64()), pa.array(word, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "word", "n"])
 
     return run
 
 
-def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """term (hash of a lower-case word), entity, contexts, posterior, bits."""
-    common.session_paths(docs.sparkSession)
+def _among(hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(asked):
+        return np.zeros(len(hashes), bool)
+    return asked[np.minimum(np.searchsorted(asked, hashes), len(asked) - 1)] == hashes
+
+
+#: What a mention is evidence for: its entity, and its kind (as 0 to 4).
+SUBJECTS = "explode(array(entity, cast(kind as long))) as subject"
+
+
+def disclosing_terms(docs: DataFrame, pairs: np.ndarray, total: int) -> DataFrame:
+    """term (hash), word (UTF-8, lower case), subject (an entity, or a kind as 0 to 4), contexts, posterior, bits. pairs
+    and total are those of byte_pairs()."""
     docs = docs.select(common.text_or_empty())
-    seen = docs.mapInArrow(_contexts, "entity long, context long, terms array<long>, n long")
-    contexts = common.table(seen.groupBy("entity", "context", "terms").agg(F.sum("n").alias("n")), "contexts")
-    total = contexts.filter("entity is null").agg(F.sum("n")).first()[0] or 1
-    seen = contexts.select("entity", F.explode("terms").alias("term"), "n").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"))
-    seen = common.table(seen, "seen")
-    spread = seen.groupBy("entity").agg(F.max("n").alias("entity_n"))
-    likely = seen.filter(F.col("contexts") >= MIN_CONTEXTS).join(spread, "entity")
-    likely = common.table(likely, "likely")
-    terms = common.table(likely.select("term").distinct(), "terms")
-    n = terms.count()
+    seen = docs.mapInArrow(_contexts(pairs), CONTEXTS)
+    contexts = common.table(seen.groupBy("entity", "kind", "context", "terms").agg(F.sum("n").alias("n")), "contexts")
+    seen = contexts.selectExpr(SUBJECTS, "terms", "n").select("subject", F.explode("terms").alias("term"), "n")
+    seen = seen.groupBy("subject", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")).filter(F.col("contexts") >= MIN_CONTEXTS)
+    mentions = contexts.selectExpr(SUBJECTS, "n").groupBy("subject").agg(F.sum("n").alias("mentions"))
+    likely = common.table(seen.join(mentions, "subject"), "likely")
+    terms, n = common.table_n(likely.select("term").distinct(), "terms")
     if n <= common.BROADCAST_IDS:
         asked = np.sort(terms.toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64))
-        counted = docs.mapInArrow(_occurrences(asked), "term long, n long")
+        counted = docs.mapInArrow(_occurrences(asked), "term long, word binary, n long")
     else:
-        counted = docs.mapInArrow(_occurrences(None), "term long, n long").join(terms, "term", "left_semi")
-    counted = counted.groupBy("term").agg(F.sum("n").alias("all"))
+        counted = docs.mapInArrow(_occurrences(None), "term long, word binary, n long").join(terms, "term", "left_semi")
+    counted = counted.groupBy("term", "word").agg(F.sum("n").alias("all"))
     rated = likely.join(counted, "term").withColumn("posterior", F.col("n") / F.greatest("all", "n"))
-    rated = rated.withColumn("bits", F.log2(F.col("posterior") * F.lit(float(total)) / (F.col("entity_n") * (2 * SPAN + 1))))
-    rated = rated.filter((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS)).select("term", "entity", "contexts", "posterior", "bits")
+    prior = F.least(F.lit(1.0), F.col("mentions") * (2 * SPAN + 1) / F.lit(float(max(total, 1))))
+    rated = rated.withColumn("bits", F.log2(F.col("posterior") / prior))
+    rated = rated.filter((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS)).select("term", "word", "subject", "contexts", "posterior", "bits")
     rated, n = common.table_n(rated, "rated")
-    return rated.join(_evident(contexts, rated.select("entity", "term"), n), ["entity", "term"], "left_semi").select(rated.columns)
+    return rated.join(_evident(contexts, rated.select("subject", "term").distinct(), n), ["subject", "term"], "left_semi").select(rated.columns)
 
 
 def _evident(contexts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """entity, term: those of the n pairs with MIN_CONTEXTS contexts that differ from each other. Each task thins out
+    """subject, term: those of the n pairs with MIN_CONTEXTS contexts that differ from each other. Each task thins out
     its contexts of a pair before they meet."""
-    held = contexts.select("entity", "context", "terms", F.explode("terms").alias("term"))
-    held = held.join(F.broadcast(pairs) if n <= common.BROADCAST_IDS else pairs, ["entity", "term"], "left_semi")
-    some = held.repartition("context").sortWithinPartitions("entity", "term", "context").select("entity", "term", "terms")
-    few = some.mapInArrow(_different, "entity long, term long, terms array<long>").repartition("entity", "term").sortWithinPartitions("entity", "term", "terms")
-    few = few.mapInArrow(_different, "entity long, term long, terms array<long>")
-    return few.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_CONTEXTS).select("entity", "term")
+    held = contexts.selectExpr(SUBJECTS, "context", "terms").select("subject", "context", "terms", F.explode("terms").alias("term"))
+    held = held.join(F.broadcast(pairs) if n <= common.BROADCAST_IDS else pairs, ["subject", "term"], "left_semi")
+    some = held.repartition("context").sortWithinPartitions("subject", "term", "context").select("subject", "term", "terms")
+    few = some.mapInArrow(_different, "subject long, term long, terms array<long>").repartition("subject", "term").sortWithinPartitions("subject", "term", "terms")
+    few = few.mapInArrow(_different, "subject long, term long, terms array<long>")
+    return few.groupBy("subject", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_CONTEXTS).select("subject", "term")
+
+
+#: What a term discloses: bit k for kind k, this bit for an entity.
+ENTITY = 1 << len(KINDS)
 
 
-def _spans(asked: np.ndarray):
-    """All spans of each text: base ones and the words whose hash is asked (or, in a row with terms, is among them)."""
+def _mark(terms: dict[bytes, int], pairs: np.ndarray):
+    """Adds to x_marks (start, what it discloses, end; in bytes) the terms of each text that are spans."""
+    asked = np.zeros(0, np.uint64)
+    if terms:
+        raw = np.frombuffer(b" ".join(terms), np.uint8)
+        asked = np.unique(Words(raw, np.array([0, len(raw)]), FOLDED).hashes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in common.slices(batches):
-            found = _found(data, offsets)
-            own = rows.column("terms") if "terms" in rows.schema.names else None
-            marked: dict[int, list[tuple[int, int, int]]] = {i: list(s) for i, s in found.items()}
-            if len(asked) or own is not None:
-                words = Words(data, offsets, FOLDED, lower=True)
-                hashes = words.hashes()
-                among = np.isin(hashes, asked)
-                if own is not None:
-                    for i in range(rows.num_rows):
-                        if some := own[i].as_py():
-                            lo, hi = words.bounds[i], words.bounds[i + 1]
-                            among[lo:hi] |= np.isin(hashes[lo:hi].view(np.int64), some)
-                for k in np.flatnonzero(among):
-                    i = int(np.searchsorted(words.bounds, k, "right") - 1)
-                    s, e = int(words.starts[k] - offsets[i]), int(words.ends[k] - offsets[i])
-                    if not any(a < e and s < b for a, _, b in found.get(i, ())):
-                        marked.setdefault(i, []).append((s, len(KINDS), e))
-            names = (*KINDS, "term")
-            counts = np.zeros((len(KINDS), rows.num_rows), np.int64)
-            base, both, starts, ends, kinds = [""] * rows.num_rows, [""] * rows.num_rows, [[]] * rows.num_rows, [[]] * rows.num_rows, [[]] * rows.num_rows
-            for i, spans in marked.items():
-                spans.sort()
-                points = np.append(0, np.cumsum((data[offsets[i] : offsets[i + 1]] & 0xC0) != 0x80))
-                said = [f"{names[k]}:{points[s]}:{points[e]}" for s, k, e in spans]
-                base[i] = ",".join(x for x, (_, k, _) in zip(said, spans, strict=True) if k < len(KINDS))
-                both[i] = ",".join(said)
-                starts[i], ends[i], kinds[i] = [int(points[s]) for s, _, _ in spans], [int(points[e]) for _, _, e in spans], [names[k] for _, k, _ in spans]
-                for _, k, _ in spans:
-                    if k < len(KINDS):
+            words = Words(data, offsets, FOLDED, lower=True)
+            which = np.flatnonzero(_among(words.hashes(), asked))
+            text = np.searchsorted(words.bounds, which, "right") - 1
+            marks = [x or [] for x in rows.column("x_marks").to_pylist()]
+            found = _found(data, offsets, pairs) if len(which) else {}
+            for i in np.unique(text).tolist():
+                mine = which[text == i]
+                tells = np.array([terms.get(words.word(k), 0) for k in mine.tolist()])
+                spans, near = found.get(i, []), dict.fromkeys(mine.tolist(), ENTITY)
+                for (_, kind, _), close in _near(words, i, offsets[i], spans):
+                    for k in close[np.isin(close, mine)].tolist():
+                        near[k] |= 1 << kind
+                tells &= np.array([near[k] for k in mine.tolist()])
+                s, e = words.starts[mine] - offsets[i], words.ends[mine] - offsets[i]
+                good = (tells > 0) & ~_covered(spans, s, e)
+                marks[i] = marks[i] + [[int(a), int(t), int(b)] for a, t, b in zip(s[good], tells[good], e[good], strict=True)]
+            yield pa.record_batch([rows.column("doc_id"), rows.column("text"), pa.array(marks, pa.list_(pa.list_(pa.int64())))], ["doc_id", "text", "x_marks"])
+
+    return run
+
+
+def _covered(spans: list[tuple[int, int, int]], s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Which of the ranges from s to e overlap a span."""
+    if not spans:
+        return np.zeros(len(s), bool)
+    starts = np.array([a for a, _, _ in spans])
+    ends = np.maximum.accumulate(np.array([b for _, _, b in spans]))
+    before = np.searchsorted(starts, e) - 1  # the last span that begins before the range ends
+    return (before >= 0) & (ends[np.maximum(before, 0)] > s)
+
+
+def _spans(pairs: np.ndarray, with_text: bool):
+    """All spans of each text and its sanitised form, from its entities and x_marks."""
+    names = (*KINDS, "term")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in common.slices(batches):
+            found = _found(data, offsets, pairs)
+            marked = rows.column("x_marks").to_pylist()
+            n = rows.num_rows
+            counts = np.zeros((len(names), n), np.int64)
+            base, both, clean, spans = [""] * n, [""] * n, [], []
+            for i in range(n):
+                raw = data[offsets[i] : offsets[i + 1]]
+                mine = [(s, k, e, f"[{KINDS[k]}]") for s, k, e in found.get(i, ())]
+                mine += [(s, len(KINDS), e, _general(tells)) for s, tells, e in marked[i] or ()]
+                mine.sort()
+                spans.append([])
+                if mine:
+                    points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+                    said = [f"{names[k]}:{points[s]}:{points[e]}" for s, k, e, _ in mine]
+                    base[i] = ",".join(x for x, (_, k, _, _) in zip(said, mine, strict=True) if k < len(BASE))
+                    both[i] = ",".join(said)
+                    spans[i] = [{"kind": names[k], "start": int(points[s]), "end": int(points[e])} for s, k, e, _ in mine]
+                    for _, k, _, _ in mine:
                         counts[k, i] += 1
-            text = pa.int64()
-            columns = [rows.column("doc_id"), *(pa.array(c, text) for c in counts), pa.array(base), pa.array(both), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.string()))]
-            yield pa.record_batch(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans", "starts", "ends", "kinds"])
+                out = _replaced(raw.tobytes(), mine)
+                clean.append(out.decode() if with_text else hashlib.sha256(out).hexdigest())
+            struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+            columns = [rows.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(both, pa.string()), pa.array(spans, struct), pa.array(clean, pa.string())]
+            yield pa.record_batch(columns, [x.split()[0] for x in _FOUND])
 
     return run
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, starts array<long>, ends array<long>, kinds array<string>"
+def _general(tells: int) -> str:
+    """What replaces a term: nothing where it discloses an entity, else the kind that it discloses."""
+    return "" if tells & ENTITY else f"[{KINDS[(tells & -tells).bit_length() - 1]}]"
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """FOUND for every document (doc_id, text): counts of base spans, base and all spans as text, and all spans."""
-    terms = common.table(disclosing_terms(docs).select("term").distinct(), "disclosing")
-    docs = docs.select("doc_id", common.text_or_empty())
-    n = terms.count()
-    if n <= common.BROADCAST_IDS:
-        asked = terms.toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64)
-        return docs.mapInArrow(_spans(asked), FOUND)
-    # More terms than a task should hold: each document gets those of its own words, by a shuffle join.
-    held = docs.filter("doc_id is not null").mapInArrow(_words_of, "doc_id long, term long").join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    return docs.join(held, "doc_id", "left").mapInArrow(_spans(np.zeros(0, np.uint64)), FOUND)
+def _replaced(raw: bytes, spans: list[tuple[int, int, int, str]]) -> bytes:
+    """raw with each span replaced; of overlapping ones the first, up to the end of the last."""
+    parts, done = [], 0
+    for s, _, e, put in spans:
+        if s >= done:
+            parts += [raw[done:s], put.encode()]
+        done = max(done, e)
+    return b"".join(parts) + raw[done:]
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in common.slices(batches):
-        words = Words(data, offsets, FOLDED, lower=True)
-        ids = np.repeat(rows.column("doc_id").to_numpy(zero_copy_only=False), words.counts)
-        pairs = np.unique(np.stack([ids, words.hashes().view(np.int64)]), axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["doc_id", "term"])
+_FOUND = ("doc_id long", *(f"n_{k} long" for k in KINDS), "n_term long", "base string", "spans string", "listed array<struct<kind: string, start: long, end: long>>", "sanitised string")
+FOUND = ", ".join(_FOUND)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id and text with each entity generalised to its kind, as in [email], and each disclosing term removed.
-    Overlapping spans are replaced from the first one on."""
-    found = find(docs)
-    text = docs.select("doc_id", common.text_or_empty())
-    return text.join(found.select("doc_id", "starts", "ends", "kinds").dropDuplicates(["doc_id"]), "doc_id").mapInArrow(_replace, "doc_id long, text string")
+def _blocks(terms: DataFrame) -> Iterator[dict[bytes, int]]:
+    """Words and what they disclose, BROADCAST_IDS at a time."""
+    block: dict[bytes, int] = {}
+    for r in terms.toLocalIterator():
+        block[bytes(r.word)] = r.tells
+        if len(block) >= common.BROADCAST_IDS:
+            yield block
+            block = {}
+    if block:
+        yield block
 
 
-def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, starts, ends, kinds in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends", "kinds")), strict=True):
-            parts, done = [], 0
-            for s, e, kind in zip(starts, ends, kinds, strict=True):
-                if s >= done:
-                    parts += [text[done:s], "" if kind == "term" else f"[{kind}]"]
-                done = max(done, e)
-            out.append("".join(parts) + text[done:])
-        yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
+def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """FOUND for every document (doc_id, text): counts of spans by kind, base and all spans as text, all spans, and the
+    sanitised text (its SHA-256 unless with_text). Documents are read once more for each BROADCAST_IDS disclosing
+    words."""
+    common.session_paths(docs.sparkSession)
+    docs = docs.select("doc_id", common.text_or_empty())
+    pairs, total = byte_pairs(docs)
+    tells = F.when(F.col("subject").between(0, len(KINDS) - 1), F.expr("shiftleft(1, cast(subject as int))")).otherwise(ENTITY)
+    terms = disclosing_terms(docs, pairs, total).withColumn("tells", tells).groupBy("word").agg(F.bit_or("tells").alias("tells"))
+    terms = common.table(terms, "disclosing")
+    out = docs.withColumn("x_marks", F.expr("cast(array() as array<array<long>>)"))
+    last = None
+    for block in _blocks(terms):
+        if last is not None:
+            out = common.table(out.mapInArrow(_mark(last, pairs), out.schema), "marked")
+        last = block
+    out = out if last is None else out.mapInArrow(_mark(last, pairs), out.schema)
+    return out.mapInArrow(_spans(pairs, with_text), FOUND)
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """doc_id and text with each entity generalised to its kind, as in [email], terms that disclose a kind generalised
+    to it, and terms that disclose an entity removed."""
+    return find(docs, with_text=True).select("doc_id", F.col("sanitised").alias("text"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    n_spans = F.size("listed").cast("long").alias("n_spans")
+    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans", n_spans, "n_secret", "n_term", F.col("sanitised").alias("sanitised_sha256"))

@@ -163,3 +163,87 @@ def context_counts(texts, order=4):
                 for depth in range(min(k, order) + 1):
                     counts[depth, stream[k - depth : k]][stream[k]] += 1
     return counts
+
+
+def byte_pair_bits(texts):
+    pairs, firsts = Counter(), Counter()
+    for t in texts:
+        raw = (t or "").encode()
+        pairs.update(zip(raw, raw[1:]))
+        firsts.update(raw[:-1])
+    return lambda a, b: math.log2((firsts[a] + 256) / (pairs[a, b] + 1))
+
+
+def secrets(text, bits):
+    out = []
+    for m in re.finditer("[A-Za-z0-9]{16,}", text or ""):
+        raw = m[0].encode()
+        total = sum(bits(a, b) for a, b in zip(raw, raw[1:]))
+        rate = 4.5 if any(c.isdigit() for c in m[0]) else 6.5
+        if sum(c.isalpha() for c in m[0]) >= 2 and total >= 64 and total >= rate * (len(raw) - 1):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def all_personal(texts, near=8, contexts=4, posterior=0.5, bits=5.0, diversity=0.4):
+    """The spans of each text, as text, and the sanitised texts."""
+    kinds = ["email", "ip", "card", "phone", "secret"]
+    pair_bits, total = byte_pair_bits(texts), sum(len(folded(t)) for t in texts)
+    found, words_of, close = [], [], []
+    for t in texts:
+        spans = [(int(x.split(":")[1]), kinds.index(x.split(":")[0]), int(x.split(":")[2])) for x in personal(t)]
+        spans += [(s, 4, e) for s, e in secrets(t, pair_bits) if not any(a < e and s < b for a, _, b in spans)]
+        spans.sort()
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))]
+        free = [w for w in words if not any(s < w[1] and w[0] < e for s, _, e in spans)]
+        mine = []
+        for s, _, e in spans:
+            a, b = sum(w[0] < s for w in free), sum(w[0] < e for w in free)
+            mine.append(free[max(0, a - near) : b + near])
+        found.append(spans)
+        words_of.append(free)
+        close.append(mine)
+    mentions, n, sets = Counter(), Counter(), defaultdict(dict)
+    for t, spans, mine in zip(texts, found, close):
+        for (s, k, e), window in zip(spans, mine):
+            terms = {w for _, _, w in window if len(w.encode()) >= 3}
+            raw = t[s:e]
+            entity = (k, raw.lower() if k < 2 else raw if k == 4 else re.sub("[^0-9]", "", raw))
+            if terms:
+                for subject in (entity, k):
+                    mentions[subject] += 1
+                    for w in terms:
+                        n[subject, w] += 1
+                        sets[subject, w][entity, tuple(x for _, _, x in window)] = terms
+    occurs = Counter(w for t in texts for w in folded(t))
+    tells = defaultdict(set)
+    for (subject, w), held in sets.items():
+        p = n[subject, w] / max(occurs[w], n[subject, w])
+        prior = min(1.0, mentions[subject] * (2 * near + 1) / total)
+        if len(held) < contexts or p < posterior or math.log2(p / prior) < bits:
+            continue
+        kept = []
+        for terms in sorted(held.values(), key=sorted):
+            size = lambda x: max(len(terms), len(x))
+            if all(size(x) - len(terms & x) >= diversity * size(x) for x in kept):
+                kept.append(terms)
+        if len(kept) >= contexts:
+            tells[w].add(subject if isinstance(subject, int) else "entity")
+    said, clean = [], []
+    for t, spans, free, mine in zip(texts, found, words_of, close):
+        out = [(s, k, e, f"[{kinds[k]}]") for s, k, e in spans]
+        for w in free:
+            near_kinds = {k for (_, k, _), window in zip(spans, mine) if w in window}
+            if "entity" in tells[w[2]]:
+                out.append((w[0], 5, w[1], ""))
+            elif both := tells[w[2]] & near_kinds:
+                out.append((w[0], 5, w[1], f"[{kinds[min(both)]}]"))
+        out.sort()
+        said.append(",".join(f"{[*kinds, 'term'][k]}:{s}:{e}" for s, k, e, _ in out))
+        text, done = "", 0
+        for s, _, e, put in out:
+            if s >= done:
+                text += (t or "")[done:s] + put
+            done = max(done, e)
+        clean.append(text + (t or "")[done:])
+    return said, clean

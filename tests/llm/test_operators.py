@@ -254,7 +254,7 @@ def test_pii_base(spark, documents, sf):
     for i, t in enumerate(texts):
         want = plain.personal(t)
         assert got[i].base == ",".join(want)
-        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(x.startswith(k) for x in want) for k in pii.KINDS]
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(x.startswith(k) for x in want) for k in pii.BASE]
 
 
 def test_pii_terms(spark, documents):
@@ -287,6 +287,41 @@ def test_pii_terms_of_many_mentions(spark, documents):
     assert not any("term:" in got[1000 + i] for i in range(60))
 
 
+def test_pii_kinds(spark, documents):
+    """A word that stands before secrets is generalised there and stays elsewhere; secrets are found without it."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    key = lambda: "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24))
+    docs = [(i, f"{noise(20)} Password={key()} {noise(20)}") for i in range(12)]
+    docs += [(20 + i, noise(900)) for i in range(30)] + [(60, f"a password is secret {noise(30)}"), (61, f"{noise(5)} {key()}"), (62, "a" * 4000)]
+    got = {r.doc_id: r for r in pii.find(documents(*docs), with_text=True).collect()}
+    assert all((got[i].n_secret, got[i].n_term) == (1, 1) and "[secret]=[secret]" in got[i].sanitised for i in range(12))
+    assert all(got[i].spans == "" and got[i].sanitised == t for i, t in docs if i in range(20, 61)) and got[61].n_secret == 1 and got[62].spans == ""
+
+
+@pytest.mark.parametrize("few", [None, 1])
+def test_pii_spans_are_the_plain_ones(spark, documents, monkeypatch, few):
+    """Over a whole table, with and without a limit on the words that a pass marks."""
+    if few:
+        monkeypatch.setattr(common, "BROADCAST_IDS", few)
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").limit(600).collect()]
+    word = lambda: "".join(rng.choice("abcde") for _ in range(3))
+    texts += [f"{word()} {word()} Zorro77 {word()} wrote to z@mail.example.org {word()} {word()} tel {word()} +49 30 12345{i:04} {word()}" for i in range(8)] + ["zorro77", None, "tel tel"]
+    rows = [(None if i % 50 == 0 else i, t) for i, t in enumerate(texts)]
+    got = pii.find(documents(*rows), with_text=True).collect()
+    said, clean = plain.all_personal(texts)
+    assert sorted((r.doc_id or 0, r.spans, r.sanitised) for r in got) == sorted((0 if i % 50 == 0 else i, s, c) for i, (s, c) in enumerate(zip(said, clean, strict=True)))
+    assert sum("term" in s for s in said) > 8
+
+
+def test_pii_many_entities_in_one_text(spark, documents):
+    text = " ".join(f"u{i}@mail.example.org writes to" for i in range(40000))
+    got = pii.find(documents((1, text))).first()
+    assert got.n_email == 40000 and got.base.startswith("email:0:19")
+
+
 @pytest.mark.parametrize(("threshold", "shingle"), [(85, 3), (80, 5)])
 def test_near_dedup(spark, documents, threshold, shingle):
     docs = corpus(7, 200)
