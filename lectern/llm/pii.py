@@ -188,11 +188,13 @@ def _near(words: Words, i: int, start: int, spans: list[tuple[int, int, int]]) -
         yield span, free[max(0, a - SPAN) : b + SPAN] + lo
 
 
-CONTEXTS = "entity long, kind int, context long, terms array<long>, n long"
+CONTEXTS = "entity long, kind int, context long, terms array<long>, n long, counts array<long>"
 
 
 def _contexts(pairs: np.ndarray):
-    """entity, kind, context, terms (ascending), n: the words near each mention, copies of a context once with n."""
+    """entity, kind, context, terms (ascending), n: the words near each mention, copies of a context once with n. And,
+    in a row without an entity, how often (counts) the terms near any mention occur in a slice of texts that has one:
+    what they occur at least, so that most of the common words need no count over the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in common.slices(batches):
@@ -213,7 +215,11 @@ def _contexts(pairs: np.ndarray):
             if seen:
                 terms, n = zip(*seen.values(), strict=True)
                 entity, kind, context = zip(*seen, strict=True)
-                yield pa.record_batch([pa.array(entity, pa.int64()), pa.array(kind, pa.int32()), pa.array(context, pa.int64()), pa.array(terms, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["entity", "kind", "context", "terms", "n"])
+                close = np.unique(np.concatenate([np.array(t, np.int64) for t in terms]).view(np.uint64))
+                at = np.searchsorted(close, hashes[_among(hashes, close)])
+                rows = [*zip(entity, kind, context, terms, n, [None] * len(n), strict=True), (None, None, None, close.view(np.int64).tolist(), None, np.bincount(at, minlength=len(close)).tolist())]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["entity", "kind", "context", "terms", "n", "counts"])
 
     return run
 
@@ -241,18 +247,24 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _occurrences(asked: np.ndarray | None):
     """term, word, n: how often the words of the asked terms (ascending; None: all words) occur."""
 
+    def out(seen):
+        term, word = zip(*seen, strict=True)
+        return pa.record_batch([pa.array(term, pa.int64()), pa.array(word, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, bytes], int] = {}
         for _, data, offsets in common.slices(batches):
             words = Words(data, offsets, FOLDED, lower=True)
             hashes = words.hashes()
             which = np.arange(len(words)) if asked is None else np.flatnonzero(_among(hashes, asked))
-            seen: dict[tuple[int, bytes], int] = {}
             for k, term in zip(which.tolist(), hashes[which].view(np.int64).tolist(), strict=True):
                 key = term, words.word(k)
                 seen[key] = seen.get(key, 0) + 1
-            if seen:
-                term, word = zip(*seen, strict=True)
-                yield pa.record_batch([pa.array(term, pa.int64()), pa.array(word, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "word", "n"])
+            if len(seen) > 200_000:
+                yield out(seen)
+                seen = {}
+        if seen:
+            yield out(seen)
 
     return run
 
@@ -271,12 +283,14 @@ def disclosing_terms(docs: DataFrame, pairs: np.ndarray, total: int) -> DataFram
     """term (hash), word (UTF-8, lower case), subject (an entity, or a kind as 0 to 4), contexts, posterior, bits. pairs
     and total are those of byte_pairs()."""
     docs = docs.select(common.text_or_empty())
-    seen = docs.mapInArrow(_contexts(pairs), CONTEXTS)
-    contexts = common.table(seen.groupBy("entity", "kind", "context", "terms").agg(F.sum("n").alias("n")), "contexts")
+    found = common.table(docs.mapInArrow(_contexts(pairs), CONTEXTS), "found")
+    contexts = common.table(found.filter("entity is not null").groupBy("entity", "kind", "context", "terms").agg(F.sum("n").alias("n")), "contexts")
+    least = found.filter("entity is null").select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n")))).toDF("term", "n").groupBy("term").agg(F.sum("n").alias("least"))
     seen = contexts.selectExpr(SUBJECTS, "terms", "n").select("subject", F.explode("terms").alias("term"), "n")
     seen = seen.groupBy("subject", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")).filter(F.col("contexts") >= MIN_CONTEXTS)
     mentions = contexts.selectExpr(SUBJECTS, "n").groupBy("subject").agg(F.sum("n").alias("mentions"))
-    likely = common.table(seen.join(mentions, "subject"), "likely")
+    likely = seen.join(least, "term").filter(F.col("n") >= MIN_POSTERIOR * F.col("least")).drop("least")
+    likely = common.table(likely.join(mentions, "subject"), "likely")
     terms, n = common.table_n(likely.select("term").distinct(), "terms")
     if n <= common.BROADCAST_IDS:
         asked = np.sort(terms.toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64))
