@@ -1,23 +1,34 @@
 """HTML extraction by site style trees.
 
-Pages of one host are merged into a tree of styles: a node is a path of tags and classes. Of each node the tree
-counts in how many pages it stands, how often each layout of its children (presentation) and how often each text
-(content) was seen. The entropy of both, over its most possible value, is the node's importance: a layout and a text
-that hardly change over the host's pages are template. Of nodes of low importance, texts that recur on the host are
-cut, and a page's own text stays, inside an article or main element as outside; cut whole are branches whose tag,
-role or class says that they are no article (menus, forms, adverts, comments and so on: weight 0 whatever the entropy).
-
-Pages of a host with the same article (the text in article and main elements, else all text that isn't dropped) are
-copies of one page: each node's layout and text count once for all of them, so mirrored articles are no template.
-Copies whose article differs (in a date in it, say) are different pages: where they are most of a host, what they share
-is template.
+Pages of one host are merged into a tree of styles: a node is a path of block elements' tags and classes. The tree sees
+the whole page, articles as well as menus. Of each node it counts in how many pages it stands, how often each layout of
+its children (presentation) and each of its texts (content, cut at separators such as | and the middle dot) was seen.
+
+* A text's importance is 1 - log n / log m where n of the node's m pages have it: 1 if it is one page's own, 0 if all
+  have it. The same is asked of the n hosts, of all m with such a node, that have it there (m - 1 observations beside
+  PRIOR ones of importance 1), and the lower value counts: a line that goes round many sites is no article on any.
+  Text of links counts 0 (but for headings).
+* A branch's content is the mean of the texts in and below it, by length and pages; its presentation is the entropy of
+  its layouts over log m; its importance is BALANCE parts content, the rest presentation (a node without blocks in it is
+  content alone).
+* Importance is passed down: with m pages, a branch counts as m - 1 observations beside PRIOR ones of what it stands in
+  and of the same path on other hosts (which in turn counts as hosts - 1 beside PRIOR ones of importance 1). So a node
+  seen once or twice takes the importance of its branch, and no number of pages switches anything on.
+
+Of nodes below THRESHOLD, blocks go whose own texts are below it as well: a page's own text stays in a node that
+is template elsewhere. What the tree can't know, as its text is new on each page (reader comments, forms, adverts), goes
+by tag, role or class (hints), but an article in a form or in a layout of such a class stays, and inside an article only
+whole class names count.
+
+Pages of a host with the same article (the text in article and main elements, else all text) are
+copies of one page and count once, and hosts that mirror one article are no evidence, so mirrored articles are no template. Copies whose article differs (in a date in
+it, say) are different pages: where they are most of a host, what they share is template.
 
 Counts are summed by Spark, and a host with a third of all pages is spread by node, text and page.
-The cut list of a host has only nodes seen in at least MIN_PAGES of its different pages; on so few, nearly all must agree.
 
 Cases: null and empty html give the empty text; a null or odd url is the host of that spelling; unclosed and crossing
-tags are closed the way browsers close them; repeated pages count once; an empty table gives an empty result; other
-columns are not read.
+tags are closed the way browsers close them; character references are decoded within one text node; repeated pages count
+once; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +45,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm import common
 
-#: Pages of a host that must hold a node before its entropy means something.
-MIN_PAGES = 3
-#: Nodes below this importance are cut.
-MIN_IMPORTANCE = 0.25
-#: Share of the presentation (of the element above) in a node's importance; the rest is content.
-PRESENTATION = 0.2
+#: Nodes and blocks below this importance are cut.
+THRESHOLD = 0.6
+#: Share of content in a branch's importance; the rest is presentation.
+BALANCE = 0.9
+#: Pages that the importance from above and from other hosts counts for.
+PRIOR = 6
 #: Levels of nesting that paths tell apart; deeper nodes count as their ancestor at this depth.
 DEPTH = 64
 
@@ -47,10 +58,14 @@ _words = lambda x: frozenset(x.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title noscript iframe noembed noframes xmp")
 BLOCK = _words("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul")
-NOT_TEXT = _words("head script style noscript template nav header footer aside form button select textarea input menu iframe object svg canvas dialog noembed noframes title datalist math audio video")
+#: Never text of a page: markup, controls and media.
+NO_TEXT = _words("head script style noscript template button select textarea input iframe object svg canvas noembed noframes title datalist math audio video")
+#: Elements, roles and classes that say that they are no article; extract(hints=False) does without them.
+HINT_TAGS = _words("nav header footer aside form menu dialog")
 CONTENT = _words("article main")
-NOT_TEXT_CLASS = _words("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies notice notices cookie cookies consent gdpr popup modal newsletter subscribe share social related widget")
-NOT_TEXT_ROLE = _words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar")
+HINT_CLASSES = _words("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies notice notices cookie cookies consent gdpr popup modal newsletter subscribe share social related widget")
+HINT_ROLES = _words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar")
+COMMENTS = _words("comment comments reply replies disqus")
 #: An element that opening the first closes, up to the nearest of the second.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select datalist")}
 CLOSES = {k: (_words(a), _words(b)) for k, (a, b) in CLOSES.items()}
@@ -58,6 +73,8 @@ CLOSES = {k: (_words(a), _words(b)) for k, (a, b) in CLOSES.items()}
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _attribute = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _part = re.compile(r"[^\s_-]+")
+_cut = re.compile(r"[|·•»\n]+|\s[–—]\s")
+_heading = re.compile(r"h[1-6]")
 _space = re.compile(r"\s+")
 
 _paths: dict[tuple[int, str], int] = {}
@@ -72,36 +89,49 @@ def _path(parent: int, signature: str) -> int:
     return _paths[key]
 
 
-def _looks(name: str, attributes: str) -> tuple[str, bool]:
-    """(the element's style, does its tag, role or class say that it is no article)."""
-    dropped = name in NOT_TEXT
+# What is known of an element: no text at all, a hint that it is no article, a hint that an article in it lifts.
+NEVER, HINT, WEAK = 2, 1, 3
+
+
+def _looks(name: str, attributes: str, inside: bool) -> tuple[str, int]:
+    """(the element's style, 0 or what its tag, role or class says). inside: it stands in an article."""
+    said = NEVER if name in NO_TEXT else WEAK if name == "form" else HINT if name in HINT_TAGS else 0
     if not attributes or "=" not in attributes:
-        return name, dropped
+        return name, said
     style = name
     for kind, a, b, c in _attribute.findall(attributes):
         value, kind = (a or b or c).lower(), kind.lower()
         if kind == "class":
             style = f"{name}.{' '.join(value.split())}"
-        if name not in CONTENT and name not in ("html", "body"):
-            dropped |= value in NOT_TEXT_ROLE if kind == "role" else any(x in NOT_TEXT_CLASS for x in _part.findall(value))
-    return style, dropped
+        if said or name in ("html", "body"):
+            continue
+        if name in CONTENT:
+            said = HINT if kind != "role" and any(x in COMMENTS for x in _part.findall(value)) else 0
+        elif kind == "role":
+            said = HINT if value in HINT_ROLES else 0
+        elif any(x in HINT_CLASSES for x in value.split()):
+            said = HINT
+        elif not inside and any(x in HINT_CLASSES for x in _part.findall(value)):
+            said = WEAK
+    return style, said
 
 
 class Page:
-    """One page in order. texts: (path, path above, dropped, inside content, text), None between blocks; children:
-    of each path, the styles of the elements in it."""
+    """One page in order. blocks: lists of (path, hinted, inside an article, in a link, text); layouts: of each path,
+    the styles of the blocks in it; above: of each path, the one it stands in (0: none)."""
 
     def __init__(self, source: str):
-        self.texts: list = []
-        self.children: dict[int, list[str]] = defaultdict(list)
-        stack = [("", 0, 0, False, False)]  # name, path, path above, dropped, inside content
+        self.blocks: list[list[tuple]] = [[]]
+        self.layouts: dict[int, list[str]] = defaultdict(list)
+        self.above: dict[int, int] = {}
+        self.headings: set[int] = set()
+        stack = [("", 0, 0, False, False)]  # name, path of its block, what was said, inside an article, in a link
         at, n = 0, len(source)
         while at < n:
             found = _tag.search(source, at)
             start = found.start() if found else n
             if start > at:
-                top = stack[-1]
-                self.texts.append((top[1], top[2], top[3], top[4], source[at:start]))
+                self._text(stack[-1], source[at:start])
             if not found:
                 break
             at = found.end()
@@ -113,26 +143,43 @@ class Page:
                 self._close(stack, name)
                 continue
             if name == "br":
-                top = stack[-1]
-                self.texts.append((top[1], top[2], top[3], top[4], " "))
+                self._text(stack[-1], " ")
             if name in BLOCK:
-                self.texts.append(None)
-                self._close_implied(stack, name)
-            style, dropped = _looks(name, found[3])
-            _, path, above, was, inside = stack[-1]
-            self.children[path].append(style)
-            if len(stack) <= DEPTH:
-                path, above = _path(path, style), path
+                self._end()
+                self._close_implied(stack, name, source, at)
+            _, path, said, inside, link = stack[-1]
+            style, mine = _looks(name, found[3], inside)
+            if name in BLOCK:
+                self.layouts[path].append(style)
+                if len(stack) <= DEPTH:
+                    above, path = path, _path(path, style)
+                    self.above[path] = above
+                    if _heading.fullmatch(name):
+                        self.headings.add(path)
+                self.layouts[path]  # a node without blocks in it has the empty layout
             if name in VOID:
                 continue
+            if name in CONTENT and not inside and said == WEAK:
+                said = 0
+            said = NEVER if NEVER in (said, mine) else said if said else mine
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                if not dropped and not was:
-                    self.texts.append((path, above, False, inside, source[at : end.start() if end else n]))
+                if said != NEVER:
+                    self._text((name, path, said, inside, link), source[at : end.start() if end else n])
                 at = end.end() if end else n
                 continue
             if not found[3].endswith("/") or name in BLOCK:
-                stack.append((name, path, above, was or dropped, inside or name in CONTENT))
+                stack.append((name, path, said, inside or name in CONTENT, link or name == "a"))
+        self._end()
+
+    def _text(self, top: tuple, raw: str) -> None:
+        _, path, said, inside, link = top
+        if said != NEVER:
+            self.blocks[-1].append((path, said != 0, inside, link, entities.unescape(raw)))
+
+    def _end(self) -> None:
+        if self.blocks[-1]:
+            self.blocks.append([])
 
     def _close(self, stack: list, name: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -142,12 +189,13 @@ class Page:
             if name not in BLOCK and stack[i][0] in BLOCK:
                 break
         if name in BLOCK:
-            self.texts.append(None)
+            self._end()
 
-    def _close_implied(self, stack: list, name: str) -> None:
+    def _close_implied(self, stack: list, name: str, source: str, at: int) -> None:
         if name in CONTENT:  # an article doesn't stand in a menu that was left open
             for i in range(1, len(stack)):
-                if stack[i][0] in ("nav", "header", "footer", "aside", "form", "head"):
+                open_ = stack[i][0]
+                if open_ in ("nav", "header", "footer", "aside", "head") and not re.compile(f"</{open_}", re.I).search(source, at):
                     del stack[i:]
                     break
         if name == "body":
@@ -173,60 +221,70 @@ class Page:
                     del stack[last:]
                     break
 
-    def contents(self) -> dict[tuple[int, int], str]:
-        """(path, path above): the node's text on this page, of nodes to judge."""
-        out: dict[tuple[int, int], list[str]] = defaultdict(list)
-        for one in self.texts:
-            if one is not None and not one[2] and not one[4].isspace():
-                out[one[0], one[1]].append(one[4])
-        return {k: " ".join(" ".join(v).split()) for k, v in out.items()}
+    def pieces(self) -> Iterator[tuple[int, list[tuple[str, int, bool]]]]:
+        """(path, [(text, its length, is it a link's)]) of each block."""
+        for block in self.blocks:
+            out = []
+            for link in (False, True):
+                text = "".join(x[4] if x[3] == link else "\n" for x in block)
+                for one in _cut.split(text):
+                    if one := _space.sub(" ", one).strip().lower():
+                        out.append((one, len(one), link and block[0][0] not in self.headings))
+            if out:
+                yield block[0][0], out
 
     def article(self) -> str:
-        """What tells this page from its host's others: the text in articles, else all text that isn't dropped."""
-        kept = [one for one in self.texts if one is not None and not one[2]]
-        return " ".join(" ".join([one[4] for one in kept if one[3]] or [one[4] for one in kept]).split())
-
-    def main_text(self, recurring: frozenset[int]) -> str:
-        """Blocks that stay, one a line. recurring: path ^ digest of the text to cut from it."""
-        low = {path for (path, _), text in self.contents().items() if path ^ _digest(text) in recurring} if recurring else ()
-        blocks, block = [], []
-        for one in [*self.texts, None]:
-            if one is None:
-                if block:
-                    line = _space.sub(" ", entities.unescape("".join(block))).strip()
-                    if line:
-                        blocks.append(line)
-                    block = []
-            elif not one[2] and one[0] not in low:
-                block.append(one[4])
-        return "\n".join(blocks)
+        """What tells this page from its host's others: the text in articles, else all text."""
+        every = [x for block in self.blocks for x in block]
+        return " ".join("".join([x[4] for x in every if x[2]] or [x[4] for x in every]).split())
+
+    def main_text(self, low: dict[int, dict[int, float]], hints: bool = True) -> str:
+        """Blocks that stay, one a line. low: of each path to look at, the importance of texts below 1, by digest."""
+        keep = []
+        importance = {}
+        if low:
+            for k, (path, pieces) in enumerate(self.pieces()):
+                if path in low:
+                    known = low[path]
+                    size = sum(n for _, n, _ in pieces)
+                    importance[k] = sum(0.0 if link else n * known.get(_digest(text), 1.0) for text, n, link in pieces) / size
+        k = -1
+        for block in self.blocks:
+            text = _space.sub(" ", "".join(x[4] for x in block)).strip()
+            if text:
+                k += 1  # as in pieces(): blocks with text
+                if importance.get(k, 1.0) >= THRESHOLD:
+                    keep.append(_space.sub(" ", "".join(x[4] for x in block if not (hints and x[1]))).strip())
+        return "\n".join(x for x in keep if x)
 
 
 def _digest(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def host_of(url: str | None) -> str:
-    return re.sub(r"^[^/]*//(?:[^/?#@]*@)?([^/?#]*).*", r"\1", url or "", flags=re.S).lower()
-
-
-STATS = "host string, path long, above long, kind int, feature long, page long"
+#: Kinds of rows: a text, a layout, a link's text; what a node stands in.
+TEXT, LAYOUT, LINK, ABOVE = 0, 1, 2, 3
+STATS = "host long, path long, kind int, feature long, size int, page long"
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(seen):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
         columns = list(zip(*seen, strict=True)) if seen else [[]] * 6
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], ["host", "path", "above", "kind", "feature", "page"])
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in STATS.split(", ")])
 
     seen: set[tuple] = set()
     for batch in batches:
-        for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            page, host = Page(source), host_of(url)
-            which, content = _digest(page.article()), page.contents()
-            for (path, above), text in content.items():
-                seen.add((host, path, above, 0, _digest(text), which))
-            for path in {above for _, above in content}:
-                seen.add((host, path, 0, 1, _digest(" ".join(page.children[path])), which))
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            page = Page(source)
+            which = _digest(page.article())
+            for path, pieces in page.pieces():
+                for text, size, link in pieces:
+                    seen.add((host, path, LINK if link else TEXT, _digest(text), size, which))
+            for path, layout in page.layouts.items():
+                seen.add((host, path, LAYOUT, _digest(" ".join(layout)) if layout else 0, 0, which))
+                if path:
+                    seen.add((host, path, ABOVE, page.above[path], 0, 0))
         if len(seen) > 100_000:
             yield out(seen)
             seen = set()
@@ -234,46 +292,91 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """host, path, above, kind (0: content, 1: presentation), feature, n (different pages that have it): of nodes that
-    aren't already dropped."""
-    common.session_paths(pages.sparkSession)
-    seen = pages.select("url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_styles, STATS).distinct()
-    return seen.groupBy("host", "path", "above", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
-
-
-def style_tree(seen: DataFrame) -> DataFrame:
-    """host, path, above, kind, pages, importance of the nodes of features."""
-    nodes = seen.groupBy("host", "path", "above", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return nodes.select("host", "path", "above", "kind", "pages", F.expr("if(pages > 1, (log2(pages) - s / pages) / log2(pages), 1D)").alias("importance"))
-
-
-def low_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """host, low: path ^ digest of each text that is template there."""
+    """host, path, kind, feature, size, n (different pages that have it), hosts (that have it at this path; one where
+    all these pages have the same article), of pages (host, html)."""
+    seen = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_styles, STATS).distinct()
+    counted = seen.groupBy("host", "path", "kind", "feature", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"))
+    over = "over (partition by path, kind, feature)"
+    return counted.selectExpr("host", "path", "kind", "feature", "size", "n", f"if(min(lo) {over} = max(hi) {over}, 1, count(1) {over}) as hosts")
+
+
+def _shrunk(importance: str, m: str, prior: str) -> str:
+    return f"(({m} - 1) * ({importance}) + {PRIOR} * ({prior})) / ({m} - 1 + {PRIOR})"
+
+
+def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, texts) of features. Nodes: host, path, m, importance (passed down). Texts: host, path, feature, importance
+    of the texts below 1."""
+    layouts = seen.filter(f"kind = {LAYOUT}").groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max(F.col("feature") != 0).alias("inner"))
+    layouts = layouts.selectExpr("host", "path", "m", "if(m > 1, (log2(m) - s / m) / log2(m), 1D) as presentation", "inner", "count(1) over (partition by path) as hosts")
+    nodes = common.table(layouts, "nodes")
+    texts = seen.filter(f"kind in ({TEXT}, {LINK})").withColumnRenamed("hosts", "with").join(nodes.select("host", "path", "m", "hosts"), ["host", "path"])
+    own = f"least(if(m > 1, 1 - log2(n) / log2(m), 1D), {_shrunk('if(hosts > 1, 1 - log2(with) / log2(hosts), 1D)', 'hosts', '1D')})"
+    texts = texts.selectExpr("host", "path", "kind", "feature", "cast(n * size as double) as weight", f"if(kind = {LINK}, 0D, greatest({own}, 0D)) as importance")
+    texts = common.table(texts, "texts")
+    content = common.table(texts.groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("importance")).alias("sum")), "content")
+    chains = common.table(_chains(seen.filter(f"kind = {ABOVE}").select("host", "path", F.col("feature").alias("above"))), "chains")
+    below = content.join(chains, ["host", "path"]).select("host", F.explode("chain").alias("path"), "weight", "sum").groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.sum("sum").alias("sum"))
+    rated = nodes.join(below, ["host", "path"], "left").selectExpr("*", "if(weight > 0, sum / weight, 1D) as content")
+    rated = rated.selectExpr("host", "path", "m", "hosts", "coalesce(weight, 0D) as weight", f"if(inner, {BALANCE} * content + {1 - BALANCE} * presentation, content) as raw")
+    everywhere = "sum(weight * raw) over (partition by path) / sum(weight) over (partition by path)"
+    rated = rated.selectExpr("host", "path", "m", "raw", _shrunk(f"if(sum(weight) over (partition by path) > 0, {everywhere}, 1D)", "hosts", "1D") + " as elsewhere")
+    steps = chains.select("host", F.col("path").alias("leaf"), F.posexplode("chain").alias("step", "path")).join(rated, ["host", "path"])
+    steps = steps.groupBy("host", F.col("leaf").alias("path")).agg(F.array_sort(F.collect_list(F.struct("step", "m", "raw", "elsewhere"))).alias("steps"))
+    down = _shrunk("x.raw", "x.m", "least(a, x.elsewhere)")
+    final = steps.selectExpr("host", "path", "element_at(steps, -1).m as m", f"aggregate(steps, 1D, (a, x) -> {down}) as importance")
+    return final, texts.filter(f"kind = {TEXT} and importance < 1").select("host", "path", "feature", "importance")
+
+
+def _chains(above: DataFrame) -> DataFrame:
+    """host, path, chain: the paths from the page's top down to this one, itself included; 0 is the page. A node is at most
+    DEPTH below it, and each round doubles what is known."""
+    known = above.select("host", "path", F.array("path").alias("chain"), "above")
+    for _ in range(DEPTH.bit_length()):
+        known = common.table(known, "chain")
+        if not known.filter("above <> 0").head(1):
+            break
+        up = known.select("host", F.col("path").alias("above"), F.col("chain").alias("before"), F.col("above").alias("top"))
+        known = known.join(up, ["host", "above"], "left").select("host", "path", F.concat(F.coalesce("before", F.expr("cast(array() as array<long>)")), "chain").alias("chain"), F.coalesce("top", F.lit(0)).alias("above"))
+    return known.select("host", "path", "chain").union(known.select("host").distinct().select("host", F.lit(0).cast("long"), F.expr("array(0L)")))
+
+
+def low_branches(pages: DataFrame) -> DataFrame:
+    """host, low: array of (path, features, importances), one for each node of the host below THRESHOLD; of pages (host,
+    html)."""
     seen = common.table(features(pages), "features")
-    tree = common.table(style_tree(seen).filter(F.col("pages") >= min_pages), "styles")
-    layout = tree.filter("kind = 1").select("host", F.col("path").alias("above"), F.col("importance").alias("layout"))
-    scored = tree.filter("kind = 0").join(layout, ["host", "above"], "left")
-    score = (1 - PRESENTATION) * F.col("importance") + PRESENTATION * F.coalesce("layout", "importance")
-    recurring = seen.filter("kind = 0 and n > 1").join(scored.filter(score < min_importance).select("host", "path", "above"), ["host", "path", "above"], "left_semi")
-    return recurring.groupBy("host").agg(F.collect_set(F.col("path").bitwiseXOR(F.col("feature"))).alias("low"))
+    nodes, texts = style_tree(seen)
+    low = nodes.filter(F.col("importance") < THRESHOLD).select("host", "path")
+    held = low.join(texts, ["host", "path"], "left").groupBy("host", "path").agg(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "importance"))).alias("texts"))
+    return held.groupBy("host").agg(F.collect_list(F.struct("path", "texts")).alias("low"))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none: frozenset[int] = frozenset()
-    for batch in batches:
-        texts = [Page(source).main_text(frozenset(low) if low else none) for source, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _extract(hints: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        for batch in batches:
+            texts = []
+            for host, source, low in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("low"), strict=True):
+                if host not in held:
+                    if len(held) > 50:
+                        held.clear()
+                    held[host] = {x["path"]: {t["feature"]: t["importance"] for t in x["texts"]} for x in low.as_py() or ()}
+                texts.append(Page(source).main_text(held[host], hints))
+            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
-def extract(pages: DataFrame, **settings) -> DataFrame:
+def extract(pages: DataFrame, hints: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every page (page_id, url, html)."""
-    low = common.table(low_branches(pages, **settings), "low")
-    n = low.select(F.coalesce(F.sum(F.size("low") + 1), F.lit(0))).first()[0]
-    host = F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^[^/]*//(?:[^/?#@]*@)?([^/?#]*).*", "$1"))
+    common.session_paths(pages.sparkSession)
+    host = F.xxhash64(F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^[^/]*//(?:[^/?#@]*@)?([^/?#]*).*", "$1")))
     held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    out = held.join(F.broadcast(low) if n <= common.BROADCAST_IDS else low, "host", "left").select("page_id", "url", "html", "low")
+    low = common.table(low_branches(held), "low")
+    n = low.select(F.coalesce(F.sum(F.expr("aggregate(low, 0L, (a, x) -> a + size(x.texts) + 1)")), F.lit(0))).first()[0]
+    out = held.join(F.broadcast(low) if n <= common.BROADCAST_IDS else low, "host", "left").select("page_id", "url", "html", "host", "low")
     page_id, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    return out.mapInArrow(_extract, f"page_id {page_id}, url {url}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return out.mapInArrow(_extract(hints), f"page_id {page_id}, url {url}, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,3 +247,108 @@ def all_personal(texts, near=8, contexts=4, posterior=0.5, bits=5.0, diversity=0
             done = max(done, e)
         clean.append(text + (t or "")[done:])
     return said, clean
+
+
+def site_texts(pages, threshold=0.6, balance=0.9, prior=6):
+    """The texts that a style tree leaves of (page_id, host, html): well-formed pages of div, p, h1, ul, li, article, a
+    and b, without hints."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self, source):
+            super().__init__(convert_charrefs=True)
+            self.path, self.links, self.blocks, self.children, self.article = [], 0, [[]], defaultdict(list), []
+            self.feed(source)
+            self.close()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("a", "b"):
+                self.links += tag == "a"
+                return
+            self.blocks.append([])
+            style = ".".join([tag, *(v for k, v in attrs if k == "class")])
+            self.children[tuple(self.path)].append(style)
+            self.path.append(style)
+            self.children[tuple(self.path)]
+
+        def handle_endtag(self, tag):
+            if tag in ("a", "b"):
+                self.links -= tag == "a"
+                return
+            self.path.pop()
+            self.blocks.append([])
+
+        def handle_data(self, data):
+            self.blocks[-1].append((tuple(self.path), self.links > 0, data))
+            if "article" in self.path:
+                self.article.append(data)
+
+    squeeze = lambda t: " ".join(t.split())
+
+    def pieces(block):
+        for link in (False, True):
+            for one in re.split(r"[|·•»\n]+|\s[–—]\s", "".join(t if x == link else "\n" for _, x, t in block)):
+                if one := squeeze(one).lower():
+                    yield one, link and not block[0][0][-1].startswith("h1")
+
+    parsed = [(i, host, Blocks(source)) for i, host, source in pages]
+    which = {i: squeeze("".join(p.article or [t for b in p.blocks for _, _, t in b])) for i, _, p in parsed}
+    having, layouts = defaultdict(set), defaultdict(set)
+    for i, host, p in parsed:
+        for block in p.blocks:
+            for text, link in pieces(block):
+                having[host, block[0][0], link, text].add(which[i])
+        for path, children in p.children.items():
+            layouts[host, path, tuple(children)].add(which[i])
+    m, hosts, seen_on = Counter(), defaultdict(set), defaultdict(dict)
+    for (host, path, _), pages_of in layouts.items():
+        m[host, path] += len(pages_of)
+        hosts[path].add(host)
+    for (host, path, link, text), pages_of in having.items():
+        seen_on[path, link, text][host] = pages_of
+    shrunk = lambda value, n, before: ((n - 1) * value + prior * before) / (n - 1 + prior)
+
+    def rarity(n, of):
+        return 1 - math.log2(n) / math.log2(of) if of > 1 else 1.0
+
+    importance = {}
+    for (host, path, link, text), pages_of in having.items():
+        on = seen_on[path, link, text]
+        n_hosts = 1 if len(set.union(*on.values())) == 1 else len(on)
+        value = min(rarity(len(pages_of), m[host, path]), shrunk(rarity(n_hosts, len(hosts[path])), len(hosts[path]), 1.0))
+        importance[host, path, link, text] = 0.0 if link else max(value, 0.0)
+    weight, total = Counter(), Counter()
+    for key, value in importance.items():
+        host, path, _, text = key
+        for k in range(len(path) + 1):
+            weight[host, path[:k]] += len(having[key]) * len(text)
+            total[host, path[:k]] += len(having[key]) * len(text) * value
+    raw = {}
+    for host, path in m:
+        content = total[host, path] / weight[host, path] if weight[host, path] else 1.0
+        mine = [(c, len(p)) for (h, q, c), p in layouts.items() if (h, q) == (host, path)]
+        n = m[host, path]
+        presentation = (math.log2(n) - sum(k * math.log2(k) for _, k in mine) / n) / math.log2(n) if n > 1 else 1.0
+        raw[host, path] = balance * content + (1 - balance) * presentation if any(c for c, _ in mine) else content
+    elsewhere = {}
+    for path, on in hosts.items():
+        w = sum(weight[h, path] for h in on)
+        elsewhere[path] = shrunk(sum(weight[h, path] * raw[h, path] for h in on) / w if w else 1.0, len(on), 1.0)
+
+    def passed(host, path):
+        above = 1.0 if not path else passed(host, path[:-1])
+        return shrunk(raw[host, path], m[host, path], min(above, elsewhere[path]))
+
+    out = {}
+    for i, host, p in parsed:
+        keep = []
+        for block in p.blocks:
+            text = squeeze("".join(t for _, _, t in block))
+            if not text:
+                continue
+            path, own = block[0][0], list(pieces(block))
+            mean = sum(len(t) * importance[host, path, link, t] for t, link in own) / sum(len(t) for t, _ in own)
+            if passed(host, path) >= threshold or mean >= threshold:
+                keep.append(text)
+        out[i] = "\n".join(keep)
+    return out

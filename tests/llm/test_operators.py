@@ -239,6 +239,47 @@ def test_html_template_in_article(spark):
     assert all(got[100 + i] == f"Day {i}\n{'Mirrored' if i < 35 else f'Head {i}'}\n{'One story' if i < 35 else f'Story number {i}'}" for i in range(40))
 
 
+HARD_PAGES = [
+    ('<div class="layout no-sidebar"><article><h1>T</h1><p>Text</p></article></div>', "T\nText"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p class="social-history">One</p><section class="comment-policy"><p>Two</p></section><div class="comments">three</div></article>', "Title\nOne\nTwo"),
+    ('<form id="page"><div><article><p>Article</p><form>Search</form></article></div>Send</form>', "Article"),
+    ("<p>AT&<b>amp;</b>T &am<i>p;</i> &amp;</p>", "AT&amp;T &amp; &"),
+    ('<main>Story<ol class="comment-list"><li><article class="comment-body">said</article></ol></main>', "Story"),
+    ("<aside><article>teaser</article></aside><article>Story</article>", "Story"),
+    ("<div>" * 300 + "deep" + "</div>" * 300, "deep"),
+]
+
+
+def test_html_hard_pages(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/x", h, "x", "y", 1) for i, (h, _) in enumerate(HARD_PAGES)], "page_id long, url string, html string, host string, text string, x_low int")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(HARD_PAGES)}
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_html_is_the_plain_tree(spark, monkeypatch, few):
+    """Without hints, on sites of many and few pages: menus, lines shared by sites, sections, mirrored articles."""
+    if few is not None:
+        monkeypatch.setattr(common, "BROADCAST_IDS", few)
+    rng = random.Random(12)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(6)) for _ in range(9)]
+    pages = []
+    for h, n in enumerate((40, 25, 12, 9, 5, 4, 3, 2, 1, 1, 8, 30)):
+        stories = [f"<h1><a>Head {h} {i}</a></h1>" + "".join(f"<p>Body {rng.random()} &amp; {rng.choice(['more', 'less'])} <a>see {rng.randrange(4)}</a></p>" for _ in range(rng.randrange(1, 5))) for i in range(n)]
+        if n == 30:
+            stories[5:25] = [stories[5]] * 20
+        for i, story in enumerate(stories):
+            menu = "".join(f"<li><a>{rng.choice(lines)}</a></li>" for _ in range(3))
+            foot = rng.choice(lines) if rng.random() < 0.9 else f"Postscript {h} {i} of this very page alone"
+            section = f"<div class=section>{rng.choice(['Sport', 'Arts'])}</div>" if h % 2 else ""
+            pages.append((f"h{h}.example", f"<div class=page><ul>{menu}</ul>{section}<div class=mid>{rng.choice(lines)} | {rng.choice(lines)}</div><article>{story}<div class=more>Read on</div></article><div class=foot>&#169; <b>h{h}</b> · {foot}</div></div>"))
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), hints=False).collect()}
+    want = plain.site_texts([(i, host, html) for i, (host, html) in enumerate(pages)])
+    assert got == want
+    assert sum("Read on" in t for t in want.values()) < 30 and sum(f"Head {h}" in want[i] for i, h in enumerate([int(x[0][1:-8]) for x in pages])) > 120
+
+
 def test_html_small_host(spark):
     page = lambda i: f"<body><div class=text><p>Story number {i}</p></div><div class=foot>Rights</div></body>"
     pages = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(9)], "page_id long, url string, html string")
