@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from lectern.llm import common
 
 #: Nodes and blocks below this importance are cut.
-THRESHOLD = 0.6
+THRESHOLD = 0.4
 #: Share of content in a branch's importance; the rest is presentation.
 BALANCE = 0.9
 #: Pages that the importance from above and from other hosts counts for.
@@ -329,8 +329,8 @@ def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _chains(above: DataFrame) -> DataFrame:
-    """host, path, chain: the paths from the page's top down to this one, itself included; 0 is the page. A node is at most
-    DEPTH below it, and each round doubles what is known."""
+    """host, path, chain: the paths from the page (0) down to this one, itself included. A node is at most DEPTH below the
+    page, and each round doubles what is known."""
     known = above.select("host", "path", F.array("path").alias("chain"), "above")
     for _ in range(DEPTH.bit_length()):
         known = common.table(known, "chain")
@@ -338,7 +338,8 @@ def _chains(above: DataFrame) -> DataFrame:
             break
         up = known.select("host", F.col("path").alias("above"), F.col("chain").alias("before"), F.col("above").alias("top"))
         known = known.join(up, ["host", "above"], "left").select("host", "path", F.concat(F.coalesce("before", F.expr("cast(array() as array<long>)")), "chain").alias("chain"), F.coalesce("top", F.lit(0)).alias("above"))
-    return known.select("host", "path", "chain").union(known.select("host").distinct().select("host", F.lit(0).cast("long"), F.expr("array(0L)")))
+    known = known.select("host", "path", F.concat(F.expr("array(0L)"), "chain").alias("chain"))
+    return known.union(above.select("host").distinct().select("host", F.lit(0).cast("long"), F.expr("array(0L)")))
 
 
 def low_branches(pages: DataFrame) -> DataFrame:

@@ -249,7 +249,7 @@ def all_personal(texts, near=8, contexts=4, posterior=0.5, bits=5.0, diversity=0
     return said, clean
 
 
-def site_texts(pages, threshold=0.6, balance=0.9, prior=6):
+def site_texts(pages, threshold=0.4, balance=0.9, prior=6):
     """The texts that a style tree leaves of (page_id, host, html): well-formed pages of div, p, h1, ul, li, article, a
     and b, without hints."""
     from html.parser import HTMLParser
