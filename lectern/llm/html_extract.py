@@ -38,6 +38,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,6 @@ _attribute = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _part = re.compile(r"[^\s_-]+")
 _cut = re.compile(r"[|·•»\n]+|\s[–—]\s")
 _heading = re.compile(r"h[1-6]")
-_space = re.compile(r"\s+")
 
 _paths: dict[tuple[int, str], int] = {}
 
@@ -175,7 +175,7 @@ class Page:
     def _text(self, top: tuple, raw: str) -> None:
         _, path, said, inside, link = top
         if said != NEVER:
-            self.blocks[-1].append((path, said != 0, inside, link, entities.unescape(raw)))
+            self.blocks[-1].append((path, said != 0, inside, link, entities.unescape(raw) if "&" in raw else raw))
 
     def _end(self) -> None:
         if self.blocks[-1]:
@@ -221,17 +221,17 @@ class Page:
                     del stack[last:]
                     break
 
-    def pieces(self) -> Iterator[tuple[int, list[tuple[str, int, bool]]]]:
-        """(path, [(text, its length, is it a link's)]) of each block."""
-        for block in self.blocks:
-            out = []
-            for link in (False, True):
+    def pieces(self, block: list[tuple]) -> list[tuple[str, bool]]:
+        """The texts of a block, and whether they are links."""
+        out = []
+        links = [x[3] for x in block]
+        for link in (False, True):
+            if link in links:
                 text = "".join(x[4] if x[3] == link else "\n" for x in block)
                 for one in _cut.split(text):
-                    if one := _space.sub(" ", one).strip().lower():
-                        out.append((one, len(one), link and block[0][0] not in self.headings))
-            if out:
-                yield block[0][0], out
+                    if one := " ".join(one.split()).lower():
+                        out.append((one, link and block[0][0] not in self.headings))
+        return out
 
     def article(self) -> str:
         """What tells this page from its host's others: the text in articles, else all text."""
@@ -241,21 +241,17 @@ class Page:
     def main_text(self, low: dict[int, dict[int, float]], hints: bool = True) -> str:
         """Blocks that stay, one a line. low: of each path to look at, the importance of texts below 1, by digest."""
         keep = []
-        importance = {}
-        if low:
-            for k, (path, pieces) in enumerate(self.pieces()):
-                if path in low:
-                    known = low[path]
-                    size = sum(n for _, n, _ in pieces)
-                    importance[k] = sum(0.0 if link else n * known.get(_digest(text), 1.0) for text, n, link in pieces) / size
-        k = -1
         for block in self.blocks:
-            text = _space.sub(" ", "".join(x[4] for x in block)).strip()
-            if text:
-                k += 1  # as in pieces(): blocks with text
-                if importance.get(k, 1.0) >= THRESHOLD:
-                    keep.append(_space.sub(" ", "".join(x[4] for x in block if not (hints and x[1]))).strip())
-        return "\n".join(x for x in keep if x)
+            if not block:
+                continue
+            path = block[0][0]
+            if path in low and (pieces := self.pieces(block)):
+                known, size = low[path], sum(len(t) for t, _ in pieces)
+                if sum(0.0 if link else len(t) * known.get(_digest(t), 1.0) for t, link in pieces) < THRESHOLD * size:
+                    continue
+            if text := " ".join("".join([x[4] for x in block if not (hints and x[1])]).split()):
+                keep.append(text)
+        return "\n".join(keep)
 
 
 def _digest(x: str) -> int:
@@ -278,9 +274,9 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(source)
             which = _digest(page.article())
-            for path, pieces in page.pieces():
-                for text, size, link in pieces:
-                    seen.add((host, path, LINK if link else TEXT, _digest(text), size, which))
+            for block in page.blocks:
+                for text, link in page.pieces(block) if block else ():
+                    seen.add((host, block[0][0], LINK if link else TEXT, _digest(text), len(text), which))
             for path, layout in page.layouts.items():
                 seen.add((host, path, LAYOUT, _digest(" ".join(layout)) if layout else 0, 0, which))
                 if path:
@@ -315,7 +311,7 @@ def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = texts.selectExpr("host", "path", "kind", "feature", "cast(n * size as double) as weight", f"if(kind = {LINK}, 0D, greatest({own}, 0D)) as importance")
     texts = common.table(texts, "texts")
     content = common.table(texts.groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("importance")).alias("sum")), "content")
-    chains = common.table(_chains(seen.filter(f"kind = {ABOVE}").select("host", "path", F.col("feature").alias("above"))), "chains")
+    chains = common.table(_chains(seen.filter(f"kind = {ABOVE}").select("host", "path", F.col("feature").alias("above")), nodes), "chains")
     below = content.join(chains, ["host", "path"]).select("host", F.explode("chain").alias("path"), "weight", "sum").groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.sum("sum").alias("sum"))
     rated = nodes.join(below, ["host", "path"], "left").selectExpr("*", "if(weight > 0, sum / weight, 1D) as content")
     rated = rated.selectExpr("host", "path", "m", "hosts", "coalesce(weight, 0D) as weight", f"if(inner, {BALANCE} * content + {1 - BALANCE} * presentation, content) as raw")
@@ -328,56 +324,73 @@ def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     return final, texts.filter(f"kind = {TEXT} and importance < 1").select("host", "path", "feature", "importance")
 
 
-def _chains(above: DataFrame) -> DataFrame:
+def _chains(above: DataFrame, hosts: DataFrame) -> DataFrame:
     """host, path, chain: the paths from the page (0) down to this one, itself included. A node is at most DEPTH below the
     page, and each round doubles what is known."""
     known = above.select("host", "path", F.array("path").alias("chain"), "above")
-    for _ in range(DEPTH.bit_length()):
+    for _ in range(DEPTH.bit_length() + 1):
         known = common.table(known, "chain")
         if not known.filter("above <> 0").head(1):
             break
         up = known.select("host", F.col("path").alias("above"), F.col("chain").alias("before"), F.col("above").alias("top"))
         known = known.join(up, ["host", "above"], "left").select("host", "path", F.concat(F.coalesce("before", F.expr("cast(array() as array<long>)")), "chain").alias("chain"), F.coalesce("top", F.lit(0)).alias("above"))
     known = known.select("host", "path", F.concat(F.expr("array(0L)"), "chain").alias("chain"))
-    return known.union(above.select("host").distinct().select("host", F.lit(0).cast("long"), F.expr("array(0L)")))
+    return known.union(hosts.select("host").distinct().select("host", F.lit(0).cast("long"), F.expr("array(0L)")))
+
+
+LOW = "host long, path long, features array<long>, importances array<double>"
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """host, low: array of (path, features, importances), one for each node of the host below THRESHOLD; of pages (host,
-    html)."""
+    """LOW: each node below THRESHOLD, and the importance of its texts below 1; of pages (host, html)."""
     seen = common.table(features(pages), "features")
     nodes, texts = style_tree(seen)
-    low = nodes.filter(F.col("importance") < THRESHOLD).select("host", "path")
-    held = low.join(texts, ["host", "path"], "left").groupBy("host", "path").agg(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "importance"))).alias("texts"))
-    return held.groupBy("host").agg(F.collect_list(F.struct("path", "texts")).alias("low"))
+    held = nodes.filter(F.col("importance") < THRESHOLD).select("host", "path").join(texts, ["host", "path"], "left")
+    listed = F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "importance")))
+    held = held.groupBy("host", "path").agg(listed.alias("texts"))
+    return held.selectExpr("host", "path", "texts.feature as features", "texts.importance as importances")
+
+
+@lru_cache(1)
+def _listed(raw: bytes) -> dict[int, dict[int, dict[int, float]]]:
+    """Of each host, by path, the importance of texts."""
+    out: dict[int, dict] = defaultdict(dict)
+    for r in pa.ipc.open_stream(raw).read_all().to_pylist():
+        out[r["host"]][r["path"]] = dict(zip(r["features"], r["importances"], strict=True))
+    return out
+
 
+def _extract(raw: bytes | None, hints: bool):
+    """raw: LOW of all hosts; None: each page brings its host's, as a column."""
 
-def _extract(hints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict] = {}
         for batch in batches:
-            texts = []
-            for host, source, low in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("low"), strict=True):
-                if host not in held:
-                    if len(held) > 50:
-                        held.clear()
-                    held[host] = {x["path"]: {t["feature"]: t["importance"] for t in x["texts"]} for x in low.as_py() or ()}
-                texts.append(Page(source).main_text(held[host], hints))
+            hosts = batch.column("host").to_pylist()
+            lows = [_listed(raw).get(h, {}) for h in hosts] if raw is not None else ({x["path"]: dict(zip(x["features"], x["importances"], strict=True)) for x in low.as_py() or ()} for low in batch.column("low"))
+            texts = [Page(source).main_text(low, hints) for source, low in zip(batch.column("html").to_pylist(), lows, strict=True)]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return run
 
 
 def extract(pages: DataFrame, hints: bool = True) -> DataFrame:
-    """page_id, url, text, n_chars of every page (page_id, url, html)."""
+    """page_id, url, text, n_chars of every page (page_id, url, html). What is low on the hosts goes with the tasks where
+    it is at most BROADCAST_IDS texts, else with the pages, by a join."""
     common.session_paths(pages.sparkSession)
     host = F.xxhash64(F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^[^/]*//(?:[^/?#@]*@)?([^/?#]*).*", "$1")))
     held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     low = common.table(low_branches(held), "low")
-    n = low.select(F.coalesce(F.sum(F.expr("aggregate(low, 0L, (a, x) -> a + size(x.texts) + 1)")), F.lit(0))).first()[0]
-    out = held.join(F.broadcast(low) if n <= common.BROADCAST_IDS else low, "host", "left").select("page_id", "url", "html", "host", "low")
+    n = low.select(F.coalesce(F.sum(F.size("features") + 1), F.lit(0))).first()[0]
     page_id, url = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    return out.mapInArrow(_extract(hints), f"page_id {page_id}, url {url}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    if n <= common.BROADCAST_IDS:
+        got, sink = low.toArrow(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, got.schema) as out:
+            out.write_table(got)
+        run = _extract(sink.getvalue().to_pybytes(), hints)
+    else:
+        low = low.groupBy("host").agg(F.collect_list(F.struct("path", "features", "importances")).alias("low"))
+        held, run = held.join(low, "host", "left").select("page_id", "url", "html", "host", "low"), _extract(None, hints)
+    return held.mapInArrow(run, f"page_id {page_id}, url {url}, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
