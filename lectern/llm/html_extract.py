@@ -288,12 +288,10 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """host, path, kind, feature, size, n (different pages that have it), hosts (that have it at this path; one where
-    all these pages have the same article), of pages (host, html)."""
+    """host, path, kind, feature, size, n (different pages that have it), lo and hi (the least and greatest of these
+    pages' article digests), of pages (host, html)."""
     seen = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_styles, STATS).distinct()
-    counted = seen.groupBy("host", "path", "kind", "feature", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"))
-    over = "over (partition by path, kind, feature)"
-    return counted.selectExpr("host", "path", "kind", "feature", "size", "n", f"if(min(lo) {over} = max(hi) {over}, 1, count(1) {over}) as hosts")
+    return seen.groupBy("host", "path", "kind", "feature", "size").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"))
 
 
 def _shrunk(importance: str, m: str, prior: str) -> str:
@@ -304,9 +302,13 @@ def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, texts) of features. Nodes: host, path, m, importance (passed down). Texts: host, path, feature, importance
     of the texts below 1."""
     layouts = seen.filter(f"kind = {LAYOUT}").groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("s"), F.max(F.col("feature") != 0).alias("inner"))
-    layouts = layouts.selectExpr("host", "path", "m", "if(m > 1, (log2(m) - s / m) / log2(m), 1D) as presentation", "inner", "count(1) over (partition by path) as hosts")
-    nodes = common.table(layouts, "nodes")
-    texts = seen.filter(f"kind in ({TEXT}, {LINK})").withColumnRenamed("hosts", "with").join(nodes.select("host", "path", "m", "hosts"), ["host", "path"])
+    layouts = common.table(layouts.selectExpr("host", "path", "m", "if(m > 1, (log2(m) - s / m) / log2(m), 1D) as presentation", "inner"), "layouts")
+    nodes = common.table(layouts.join(layouts.groupBy("path").agg(F.count(F.lit(1)).alias("hosts")), "path"), "nodes")
+    # Texts that several hosts have at a path, in different articles.
+    shared = seen.filter(f"kind = {TEXT}").groupBy("path", "feature").agg(F.count(F.lit(1)).alias("with"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    shared = common.table(shared.filter("with > 1 and lo <> hi").select("path", "feature", "with"), "shared")  # read back, so that the join can split a hot text
+    texts = seen.filter(f"kind in ({TEXT}, {LINK})").join(nodes.select("host", "path", "m", "hosts"), ["host", "path"])
+    texts = texts.join(shared, ["path", "feature"], "left").withColumn("with", F.coalesce("with", F.lit(1)))
     own = f"least(if(m > 1, 1 - log2(n) / log2(m), 1D), {_shrunk('if(hosts > 1, 1 - log2(with) / log2(hosts), 1D)', 'hosts', '1D')})"
     texts = texts.selectExpr("host", "path", "kind", "feature", "cast(n * size as double) as weight", f"if(kind = {LINK}, 0D, greatest({own}, 0D)) as importance")
     texts = common.table(texts, "texts")
@@ -315,8 +317,9 @@ def style_tree(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     below = content.join(chains, ["host", "path"]).select("host", F.explode("chain").alias("path"), "weight", "sum").groupBy("host", "path").agg(F.sum("weight").alias("weight"), F.sum("sum").alias("sum"))
     rated = nodes.join(below, ["host", "path"], "left").selectExpr("*", "if(weight > 0, sum / weight, 1D) as content")
     rated = rated.selectExpr("host", "path", "m", "hosts", "coalesce(weight, 0D) as weight", f"if(inner, {BALANCE} * content + {1 - BALANCE} * presentation, content) as raw")
-    everywhere = "sum(weight * raw) over (partition by path) / sum(weight) over (partition by path)"
-    rated = rated.selectExpr("host", "path", "m", "raw", _shrunk(f"if(sum(weight) over (partition by path) > 0, {everywhere}, 1D)", "hosts", "1D") + " as elsewhere")
+    rated = common.table(rated, "rated")
+    everywhere = rated.groupBy("path").agg(F.expr("if(sum(weight) > 0, sum(weight * raw) / sum(weight), 1D)").alias("mean"))
+    rated = rated.join(everywhere, "path").selectExpr("host", "path", "m", "raw", _shrunk("mean", "hosts", "1D") + " as elsewhere")
     steps = chains.select("host", F.col("path").alias("leaf"), F.posexplode("chain").alias("step", "path")).join(rated, ["host", "path"])
     steps = steps.groupBy("host", F.col("leaf").alias("path")).agg(F.array_sort(F.collect_list(F.struct("step", "m", "raw", "elsewhere"))).alias("steps"))
     down = _shrunk("x.raw", "x.m", "least(a, x.elsewhere)")
