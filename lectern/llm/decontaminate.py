@@ -3,10 +3,12 @@
 Items and documents are cut into the same normalised words. One automaton holds every word sequence of a block of
 items; a document's words stream through it, and the length of the longest match that ends at each word tells which
 windows occur there. Only stretches of words that can hold a window reach the automaton: each of their word triples
-must be a triple of some item, which numpy sees over whole slices of text.
+must have the hash of some item's triple, which numpy sees over whole slices of text; the automaton itself compares words.
 
-Nothing is shuffled. Items reach the executors in blocks of bounded size (BLOCK_WORDS words), one pass over the
-documents for each block, so their number has no bound.
+Nothing is shuffled. A task's one worker holds the triples of all blocks of items (of BLOCK_WORDS words, short items
+together) and the automaton of one block at a time, which it builds when some of the texts before it may hold a window of
+that block. A pass over the documents takes PASS_WORDS words of items, and the driver holds those of one pass at a
+time; where there are more, each pass is written and the next one reads it, so the number of items has no bound.
 
 Cases: null and empty texts have no words and no hits; items without words are no windows; items without an item_id
 still mark words but are not named; repeated items count once; an empty benchmark hits nothing; columns of the
@@ -15,7 +17,9 @@ documents other than doc_id and text pass through clean() untouched and are not
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import common
-from lectern.llm.words import FOLDED, Words
+from lectern.llm.words import FOLDED, Words, positions, window_hashes
 
 WINDOW = 10
-#: Words of the items that one automaton holds.
+#: Words of the items that one automaton holds, and that one pass over the documents looks for.
 BLOCK_WORDS = 100_000
+PASS_WORDS = 5_000_000
+#: Slices of text that wait for the automaton of a block.
+WAITING = 16
 #: clean() drops a document with more than this share of its words hit, and removes the hit words of the others.
 MAX_COVERAGE = 0.5
 
@@ -79,15 +86,6 @@ class Automaton:
                     self.short[v] = both
         lengths = [len(codes) for _, codes in coded if codes]
         self.least = min([window, *lengths]) if lengths else 0
-        self.gram = min(3, self.least)
-        v = len(self.vocabulary)
-        grams = {sum(c * v ** (self.gram - 1 - j) for j, c in enumerate(codes[i : i + self.gram])) for _, codes in coded for i in range(len(codes) - self.gram + 1)} if lengths else set()
-        self.grams = np.array(sorted(grams), np.int64)
-        joined = b" ".join(self.vocabulary)
-        raw = np.frombuffer(joined, np.uint8)
-        hashes = Words(raw, np.array([0, len(raw)]), FOLDED).hashes() if self.vocabulary else np.zeros(0, np.uint64)
-        self.by_hash = np.argsort(hashes)
-        self.hashes = hashes[self.by_hash]
 
     def _up(self, v: int) -> int:
         while self.length[self.link[v]] >= self.window:
@@ -147,86 +145,130 @@ class Automaton:
                         found.add(name)
         return np.cumsum(hit)[:-1] > 0, found
 
-    def stretches(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(text, first word, end) of all stretches that may hold a window."""
-        if not self.least or not len(words):
-            return
-        hashes = words.hashes()
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        known = self.hashes[at] == hashes
-        code = self.by_hash[at].astype(np.int64)
-        n = len(words) - self.gram + 1
-        if n <= 0:
-            return
-        good, key = known[:n].copy(), code[:n].copy()
-        for j in range(1, self.gram):
-            good &= known[j : n + j]
-            key = key * len(self.vocabulary) + code[j : n + j]
-        spots = np.flatnonzero(good)
-        key = key[spots]
-        where = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
-        spots = spots[self.grams[where] == key]
-        text = np.searchsorted(words.bounds, spots, "right") - 1
-        inside = spots + self.gram <= words.bounds[text + 1]
-        spots, text = spots[inside], text[inside]
+
+class Block:
+    """Some of the items: the hashes of their word grams, and on demand their automaton."""
+
+    def __init__(self, items: tuple, window: int):
+        self.items, self.window = items, window
+        data, offsets = common.buffers(pa.array([text for _, text in items], pa.string()))
+        words = Words(data, offsets, FOLDED, lower=True)
+        some = words.counts[words.counts > 0]
+        self.least = min(window, int(some.min())) if len(some) else 0  # words of the shortest window
+        self.gram = min(3, self.least)
+        self.grams = np.unique(_grams(words, self.gram)[1]) if self.least else np.zeros(0, np.uint64)
+
+    def automaton(self) -> Automaton:
+        return Automaton([(name, folded_words(text)) for name, text in self.items], self.window)
+
+    def stretches(self, words: Words, spots: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, first word, end) of all stretches that may hold a window. spots: words where some grams (keys) begin."""
+        spots = spots[_among(keys, self.grams)]
         if not len(spots):
             return
+        text = np.searchsorted(words.bounds, spots, "right") - 1
         new = np.append(True, (np.diff(spots) > 1) | (np.diff(text) > 0))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(spots)) - 1
-        need = self.least - self.gram
-        for lo, hi in zip(first[spots[last] - spots[first] >= need], last[spots[last] - spots[first] >= need], strict=True):
+        long = spots[last] - spots[first] >= self.least - self.gram
+        for lo, hi in zip(first[long], last[long], strict=True):
             yield int(text[lo]), int(spots[lo]), int(spots[hi]) + self.gram
 
 
-_built: dict[tuple, Automaton] = {}
+def _grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the grams of n words inside one text."""
+    at, _ = positions(words.bounds, n)
+    return at, window_hashes(words.hashes(), n, at)
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+_held: dict = {}
 
 
-def _automaton(items: tuple, window: int) -> Automaton:
-    key = (hash(items), window)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton([(name, folded_words(text)) for name, text in items], window)
-    return _built[key]
+def _blocks(name: str, listed: list[tuple], window: int) -> list[Block]:
+    """The blocks of a pass; a worker keeps those of the last one."""
+    if _held.get("name") != name:
+        _held.clear()
+        _held.update(name=name, blocks=[Block(x, window) for x in listed])
+    return _held["blocks"]
 
 
-def _scan(items: tuple, window: int):
+def _built(blocks: list[Block], k: int) -> Automaton:
+    if _held.get("built") != k:
+        _held.update(built=k, automaton=blocks[k].automaton())
+    return _held["automaton"]
+
+
+def _scan(name: str, listed: list[tuple], window: int):
     """Adds n_words, hit_words and hit_items; joins them to those of an earlier pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items, window)
-        for rows, data, offsets in common.slices(batches, "x_text"):
-            words = Words(data, offsets, FOLDED, lower=True)
-            hits: dict[int, list[np.ndarray]] = {}
-            names: dict[int, set[str]] = {}
-            for text, lo, hi in automaton.stretches(words):
-                covered, found = automaton.stream([words.word(i) for i in range(lo, hi)])
-                if covered.any():
-                    hits.setdefault(text, []).append(np.flatnonzero(covered) + lo - words.bounds[text])
-                    names.setdefault(text, set()).update(found)
-            old_hits, old_names = rows.column("x_hits"), rows.column("x_items")
-            all_hits, all_names = [], []
-            for i in range(rows.num_rows):
-                before = old_hits[i].as_py() or []
-                all_hits.append(np.union1d(np.array(before, np.int32), np.concatenate(hits[i])).astype(np.int32) if i in hits else before)
-                all_names.append(sorted({*(old_names[i].as_py() or []), *names.get(i, ())}))
-            out = {n: rows.column(n) for n in rows.schema.names} | {"x_words": pa.array(words.counts, pa.int64()), "x_hits": pa.array(all_hits, pa.list_(pa.int32())), "x_items": pa.array(all_names, pa.list_(pa.string()))}
-            yield pa.record_batch(list(out.values()), list(out))
+        common.hold("items", _held.clear)
+        blocks = _blocks(name, listed, window)
+        every = {n: np.unique(np.concatenate([b.grams for b in blocks if b.gram == n])) for n in {b.gram for b in blocks if b.least}}
+        slices = common.slices(batches, "x_text")
+        while some := list(islice(slices, WAITING if len(blocks) > 1 else 1)):
+            texts = [Words(data, offsets, FOLDED, lower=True) for _, data, offsets in some]
+            asked: dict[int, list] = {}
+            for i, words in enumerate(texts):
+                for n, known in every.items():
+                    at, keys = _grams(words, n)
+                    met = _among(keys, known)
+                    for k, block in enumerate(blocks if met.any() else ()):
+                        if block.gram == n and (found := list(block.stretches(words, at[met], keys[met]))):
+                            asked.setdefault(k, []).append((i, found))
+            hits: list[dict[int, list[np.ndarray]]] = [{} for _ in some]
+            names: list[dict[int, set[str]]] = [{} for _ in some]
+            for k, parts in asked.items():
+                automaton = _built(blocks, k)
+                for i, found in parts:
+                    words = texts[i]
+                    for text, lo, hi in found:
+                        covered, said = automaton.stream([words.word(j) for j in range(lo, hi)])
+                        if covered.any():
+                            hits[i].setdefault(text, []).append(np.flatnonzero(covered) + lo - words.bounds[text])
+                            names[i].setdefault(text, set()).update(said)
+            for (rows, _, _), words, hit, said in zip(some, texts, hits, names, strict=True):
+                yield _with_hits(rows, words, hit, said)
 
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple]:
-    """Items in blocks of about BLOCK_WORDS words; one block at a time is in the driver's memory."""
+def _with_hits(rows: pa.RecordBatch, words: Words, hits: dict, names: dict) -> pa.RecordBatch:
+    old_hits, old_names = rows.column("x_hits"), rows.column("x_items")
+    all_hits, all_names = [], []
+    for i in range(rows.num_rows):
+        before = old_hits[i].as_py() or []
+        all_hits.append(np.unique(np.concatenate([np.array(before, np.int64), *hits[i]])).astype(np.int32) if i in hits else before)
+        all_names.append(sorted({*(old_names[i].as_py() or []), *names.get(i, ())}))
+    out = {n: rows.column(n) for n in rows.schema.names} | {"x_words": pa.array(words.counts, pa.int64()), "x_hits": pa.array(all_hits, pa.list_(pa.int32())), "x_items": pa.array(all_names, pa.list_(pa.string()))}
+    return pa.record_batch(list(out.values()), list(out))
+
+
+def _passes(items: DataFrame) -> Iterator[list[tuple]]:
+    """Blocks of items (item_id, text), shortest items first, a list of them for each pass."""
+    blocks: list[tuple] = []
     block: dict[tuple, None] = {}
-    n = 0
-    for name, text in items.select(F.col("item_id").cast("string"), common.text_or_empty()).distinct().orderBy("item_id", "text").toLocalIterator():
+    n = total = 0
+    listed = items.select(F.col("item_id").cast("string"), common.text_or_empty()).distinct()
+    for name, text in listed.orderBy(F.length("text"), "item_id", "text").toLocalIterator():
+        size = len(text.split()) + 1
         block[name, text] = None
-        n += len(text.split()) + 1
+        n, total = n + size, total + size
         if n >= BLOCK_WORDS:
-            yield tuple(block)
+            blocks.append(tuple(block))
             block, n = {}, 0
-    yield tuple(block)
+        if total >= PASS_WORDS:
+            yield [*blocks, tuple(block)] if block else blocks
+            blocks, block, n, total = [], {}, 0, 0
+    if block:
+        blocks.append(tuple(block))
+    yield blocks
 
 
 def scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, then: Callable | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
@@ -238,10 +280,11 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDO
     out = docs.select(held, F.col("text").alias("x_text"), F.lit(0).cast("long").alias("x_words"), F.expr("cast(array() as array<int>)").alias("x_hits"), F.expr("cast(array() as array<string>)").alias("x_items"))
     schema = out.schema
     last = None
-    for block in _blocks(items):
-        out = out if last is None else out.mapInArrow(_scan(last, window), schema)
-        last = block
-    run = _scan(last, window)
+    for blocks in _passes(items):
+        if last is not None:
+            out = common.table(out.mapInArrow(_scan(uuid.uuid4().hex, last, window), schema), "scanned")
+        last = blocks
+    run = _scan(uuid.uuid4().hex, last, window)
     if then is None:
         return out.mapInArrow(run, schema)
     return out.mapInArrow(lambda batches: then(run(batches)), T.StructType([schema[c] for c in columns]))

@@ -106,10 +106,13 @@ def items():
     return [*enumerate(words[:12]), (50, "two words"), (51, "ONE"), (52, None), (53, ""), (12, "the of and"), (None, words[3])]
 
 
-@pytest.mark.parametrize("block", [None, 30])
-def test_decontaminate(spark, documents, monkeypatch, block):
+@pytest.mark.parametrize(("block", "passed"), [(None, None), (30, None), (30, 90), (5, 1)])
+def test_decontaminate(spark, documents, monkeypatch, block, passed):
+    """With one block of items, with many, with many passes."""
     if block:
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    if passed:
+        monkeypatch.setattr(decontaminate, "PASS_WORDS", passed)
     bench = spark.createDataFrame(items(), "item_id long, text string")
     got = decontaminate.contamination(documents(*DOCS), bench)
     want = plain.contaminated(DOCS, [x for x in items() if x[0] is not None])
