@@ -9,7 +9,8 @@ source is spread over many tasks and no window holds its rows. The table of sour
 
 Cases: a null text has size 0; null is a source, the last one; of a source of size 0 nothing is taken; rows that
 repeat a doc_id are sized and weighed one by one; an empty table gives an empty result. In mix(), rows that share
-doc_id, source and size are each emitted the mean of their copies, rounded up, and other columns pass untouched.
+doc_id, source and text are numbered and share their copies out, so that the words taken are those of copies(); other
+columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ def _key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
 
 
+def _at() -> Column:
+    """A hash of doc_id, source and text. Rows that it can't tell apart are dealt their copies together."""
+    return F.xxhash64("doc_id", _key(), F.col("text"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
     """key, source_size, target, expected (copies of each document), offset: a row for each source of (key, source, size).
 
@@ -54,8 +60,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def copies(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, source, key, size, source_size, target, copies of every document (doc_id, text, source)."""
-    sized = common.table(docs.select("doc_id", "source", _key().alias("key"), size_of().alias("size")), "sized")  # texts are read once, not also for the ranges' bounds
+    """doc_id, source, key, size, at, source_size, target, copies of every document (doc_id, text, source). at: what mix()
+    tells rows apart by."""
+    sized = common.table(docs.select("doc_id", "source", _key().alias("key"), size_of().alias("size"), _at().alias("at")), "sized")  # texts are read once, not also for the ranges' bounds
     sized = sized.repartitionByRange("key", "size", "doc_id").sortWithinPartitions("key", "size", "doc_id").withColumn("row", F.monotonically_increasing_id())
     sized = common.table(sized, "placed")
     plan = targets(sized, **settings)
@@ -65,16 +72,22 @@ def copies(docs: DataFrame, **settings) -> DataFrame:
     runs = common.table(runs.join(plan, "key"), "runs")
     placed = sized.withColumn("part", part).join(runs, ["key", "part"]).withColumn("rank", F.expr("before + row - first + 1"))
     crossed = "cast(floor(rank * expected + offset) - floor((rank - 1) * expected + offset) as long)"
-    return placed.selectExpr("doc_id", "source", "key", "size", "source_size", "target", f"{crossed} as copies")
+    return placed.selectExpr("doc_id", "source", "key", "size", "at", "source_size", "target", f"{crossed} as copies")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The documents, each row as often as the mix takes it."""
-    counted = copies(docs, **settings).groupBy(F.coalesce(F.concat(F.lit("i"), F.col("doc_id")), F.lit("n")).alias("x_id"), F.col("key").alias("x_key"), F.col("size").alias("x_size"))
-    counted = common.table(counted.agg(F.ceil(F.avg("copies")).cast("int").alias("x_copies")).filter("x_copies > 0"), "copies")
-    counted = F.broadcast(counted) if counted.count() <= common.BROADCAST_IDS else counted
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x_row"), F.coalesce(F.concat(F.lit("i"), F.col("doc_id")), F.lit("n")).alias("x_id"), _key().alias("x_key"), size_of().alias("x_size"))
-    taken = held.join(counted, ["x_id", "x_key", "x_size"]).select("x_row", F.explode(F.sequence(F.lit(1), "x_copies")))
+    """The documents, each row as often as the mix takes it. Texts aren't moved, but those of repeated rows; what is
+    broadcast has three numbers a row and BROADCAST_IDS rows at most."""
+    dealt = copies(docs, **settings).groupBy(F.col("at").alias("x_at")).agg(F.sum("copies").alias("x_copies"), F.count(F.lit(1)).alias("x_rows"))
+    dealt, n = common.table_n(dealt.filter("x_copies > 0"), "copies")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x_row"), _at().alias("x_at"))
+    held = held.join(F.broadcast(dealt) if n <= common.BROADCAST_IDS else dealt, "x_at")
+    once = held.filter("x_rows = 1").select("x_row", "x_copies")
+    if dealt.filter("x_rows > 1").head(1):
+        numbered = held.filter("x_rows > 1").withColumn("x_k", F.expr("row_number() over (partition by x_at order by xxhash64(x_row))"))
+        share = "cast(floor(x_k * x_copies / x_rows) - floor((x_k - 1) * x_copies / x_rows) as long) as x_copies"
+        once = once.unionByName(numbered.selectExpr("x_row", share).filter("x_copies > 0"))
+    taken = once.select("x_row", F.explode(F.sequence(F.lit(1), F.col("x_copies").cast("int"))))
     return taken.select(*[F.col(f"x_row.`{c}`").alias(c) for c in docs.columns])
 
 
