@@ -50,12 +50,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gone_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the session ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def table_n(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """table() and its number of rows, counted as they are written."""
     seen = Observation()

@@ -10,9 +10,10 @@ Segment (all integers little-endian): `DAC1`, uint32 levels, uint64 ids; for eac
 (ceil(entries / 512) uint32).
 
 Files: a Parquet table of segments in order (part, segment), with first (ids before it in its part), doc_ids, counts
-and payload: Spark's writer commits
-whole tasks, on any store that the session can reach. Documents are range-partitioned by doc_id, so part and
-segment follow doc_id; where a document starts is the sum of the parts and segments before it.
+and payload, neither compressed nor dictionary-coded, so that a payload's bytes lie in the file as they are: Spark's
+writer commits whole tasks, on any store that the session can reach. Documents are range-partitioned by doc_id, so part
+and segment follow doc_id; where a document starts is the sum of the parts and segments before it. tokens_at() finds
+the segments of asked positions by these sums, reads no other payload, and looks once into each level of a code.
 
 Cases: a null or empty text has the end id alone; rows without a doc_id come first; rows that repeat a doc_id follow
 one another by text; a very long document has a segment of its own; an empty table writes no segment; other columns
@@ -63,8 +64,8 @@ def encode(ids: np.ndarray) -> bytes:
 class Segment:
     """Reads one segment's payload."""
 
-    def __init__(self, payload: bytes):
-        if payload[:4] != MAGIC:
+    def __init__(self, payload: bytes | pa.Buffer):
+        if bytes(payload[:4]) != MAGIC:
             raise ValueError("not a segment")
         raw = np.frombuffer(payload, np.uint8)
         n = int(raw[4:8].copy().view(np.uint32)[0])
@@ -160,7 +161,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     """Writes the documents (doc_id, text) as segments under path."""
     common.session_paths(docs.sparkSession)
     placed = docs.select("doc_id", common.text_or_empty()).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    placed.mapInArrow(_encode(vocabulary or vocabulary_path(), end), SEGMENTS).write.parquet(path)
+    placed.mapInArrow(_encode(vocabulary or vocabulary_path(), end), SEGMENTS).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -178,10 +179,33 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path).select("doc_ids", "counts", "payload", "before").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, ids = [], []
+        for payload, before, asked in zip(batch.column("payload"), batch.column("before").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            segment = Segment(payload.as_buffer())
+            at += asked
+            ids += [segment[i - before] for i in asked]
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(ids, pa.int64())], ["position", "id"])
+
+
+def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """position, id of the asked positions (0 is the first id of the first document); those beyond the end have no row."""
+    common.session_paths(spark)
+    held = read(spark, path)
+    asked = F.lit(sorted({int(x) for x in positions})).cast("array<long>")
+    here = F.filter(asked, lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("n_ids")))
+    found = common.table(held.select("part", "segment", "before", here.alias("asked")).filter(F.size("asked") > 0), "asked")
+    segments = spark.read.schema(SEGMENTS).parquet(path).select("part", "segment", "payload")
+    return segments.join(F.broadcast(found), ["part", "segment"]).select("payload", "before", "asked").mapInArrow(_looked_up, "position long, id long")
+
+
 def write_and_digest(docs: DataFrame) -> DataFrame:
+    """Token files in the shared folder, until the session ends, and their digest."""
     spark = docs.sparkSession
     path = f"{common.shared_folder(spark)}/lectern-tokens-{uuid.uuid4().hex}"
     write(docs, path)
+    common.gone_at_end(spark, path)
     return digest(spark, path)
 
 
