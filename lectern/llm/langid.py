@@ -10,7 +10,7 @@ leading space and no further. So a word's code length is the same wherever it st
 distinct word of a stretch of text.
 
 Training takes documents by the hash of their doc_id until about SAMPLE_BYTES of each language are expected, and
-the first one with a word in any case, so that no language is lost; that is the only bound. Scoring reads every whole text and nothing but the text.
+the first one with a word in any case, so that no language is lost; that and LANGS are the only bounds. Scoring reads every whole text and nothing but the text.
 
 Cases: null and empty texts and texts without a letter are `und` with score 0, as is every text when no language is
 learned; rows without a label or a doc_id aren't learned from; ties go to the smaller language code; repeated rows
@@ -36,7 +36,10 @@ ORDER = 4
 SAMPLE_BYTES = 1_500_000
 FOLDS = 5
 UNKNOWN = "und"
-#: keep() rejects a text that no language codes in fewer bits a byte.
+#: Languages that are learned: those with most labelled bytes, so that a dirty column of labels can't fill the driver.
+LANGS = 500
+#: keep() rejects a text that no language codes in fewer bits a byte. A byte that a language never had costs 8 and its
+#: escapes, some 12 to 18 in all; running text of a learned language costs 1 to 4, noise in its letters 5 to 8.
 MAX_BITS = 12.0
 #: Words whose code lengths a worker keeps.
 KEPT = 150_000
@@ -216,7 +219,7 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     least = F.min(F.when(F.col("text").rlike(r"\S"), place)).alias("least")
-    share, n = common.table_n(usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), least), "share")
+    share, n = common.table_n(usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), least).orderBy(F.desc("bytes"), "lang").limit(LANGS), "share")
     share = F.broadcast(share) if n <= common.BROADCAST_IDS else share
     draw = (place * F.col("bytes") < float(sample_bytes) * (1 << 20)) | (place == F.col("least"))
     sample = usable.join(share, "lang").filter(draw).select("text", "lang")

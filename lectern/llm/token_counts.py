@@ -64,19 +64,16 @@ def answers(lengths: DataFrame) -> DataFrame:
 
 
 def limits(table: DataFrame, at: list[int]) -> DataFrame:
-    """limit, truncated_total, total_tokens for any limits, from answers()."""
-    asked = table.sparkSession.createDataFrame([(int(x),) for x in at], "limit long")
-    up = table.select("length", "docs_at_least", "tokens_at_least", "total_tokens")
-    met = asked.join(up, F.col("length") > F.col("limit"), "left")
-    kept = met.groupBy("limit").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "length").alias("m"))
-    total = table.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
-    return kept.crossJoin(F.broadcast(total)).selectExpr("limit", "total_tokens - coalesce(m.tokens_at_least, 0) + limit * coalesce(m.docs_at_least, 0) as truncated_total", "total_tokens")
+    """limit, truncated_total, total_tokens for any limits, from answers(): one aggregation over the lengths."""
+    up = "min_by(struct(docs_at_least as d, tokens_at_least as t), length) filter (where length > {})".format
+    found = table.selectExpr("coalesce(max(total_tokens), 0) as total_tokens", f"array({', '.join(f'struct({int(x)}L as limit, {up(int(x))} as m)' for x in at)}) as asked")
+    return found.selectExpr("inline(asked)", "total_tokens").selectExpr("limit", "total_tokens - coalesce(m.t, 0) + limit * coalesce(m.d, 0) as truncated_total", "total_tokens")
 
 
 def quantiles(table: DataFrame, at: list[float]) -> DataFrame:
     """share, length: the smallest length that at least this share of the documents doesn't exceed."""
-    asked = table.sparkSession.createDataFrame([(float(x),) for x in at], "share double")
-    return asked.join(table.select("length", "share_at_most"), F.col("share_at_most") >= F.col("share"), "left").groupBy("share").agg(F.min("length").alias("length"))
+    asked = ", ".join(f"struct({float(x)!r}D as share, min(length) filter (where share_at_most >= {float(x)!r}D) as length)" for x in at)
+    return table.selectExpr(f"array({asked}) as asked").selectExpr("inline(asked)")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,6 +429,19 @@ def test_mixing(spark, documents):
     assert sorted(rows, key=str) == sorted([(r.doc_id, r.source, "l") for r in got for _ in range(r.copies)], key=str)
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_mix_of_repeated_rows(spark, documents, monkeypatch, few):
+    """Rows that repeat share their copies out, so a source's words stay near its target."""
+    if few is not None:
+        monkeypatch.setattr(common, "BROADCAST_IDS", few)
+    rng = random.Random(8)
+    docs = [(i // 4, " ".join(["w"] * (10 + i // 4 % 7)), "en", "a") for i in range(400)] + [(None, "w " * 9, "en", "a")] * 30 + [(1000 + i, "w " * rng.randrange(60), "en", "b") for i in range(90)]
+    df = documents(*docs)
+    took = {r.source: r.n for r in mixing.copies(df).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()}
+    got = {r.source: r.n for r in mixing.mix(df).groupBy("source").agg(F.sum(mixing.size_of()).alias("n")).collect()}
+    assert got == took and max(r["count"] for r in mixing.mix(df).groupBy("doc_id").count().collect() if r.doc_id is not None) <= 8
+
+
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 1, "c": 1}, {"a": 1, "b": 1000, "c": 10, None: 5}, {"a": 7}, {"a": 3, "b": 3, "c": 3, "d": 3}])
 def test_targets(spark, sizes):
     rows = spark.createDataFrame([("n" if s is None else f"s{s}", s, n) for s, n in sizes.items()], "key string, source string, size long")
@@ -446,6 +459,11 @@ def test_token_output(spark, documents, monkeypatch, tmp_path, segment):
     token_output.write(documents(*docs), path)
     got = token_output.digest(spark, path)
     assert [tuple(r) for r in got.orderBy("start").collect()] == plain.tokens(docs, vocabulary_path())
+    from tokenizers import Tokenizer
+
+    ids = [i for _, t in sorted(docs, key=lambda x: (x[0], x[1] or "")) for i in [*Tokenizer.from_file(vocabulary_path()).encode(t or "", add_special_tokens=False).ids, 2]]
+    asked = [0, 1, 499, 500, 501, len(ids) // 2, len(ids) - 1, len(ids), 10**12]
+    assert {r.position: r.id for r in token_output.tokens_at(spark, path, asked).collect()} == {i: ids[i] for i in asked if i < len(ids)}
 
 
 def test_codes():
