@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import PY_SPACE
+from lectern.functions.text import PY_CHARS, PY_SPACE
 
 # Fixed value: what marks an item as an instruction to the speakers rather than a statement.
 TRANSITION = "Now we transition"
@@ -90,7 +90,8 @@ def lax_bool(c: Column) -> Column:
 def review(column: str) -> Column:
     """struct<accepted, reasoning>: a reviewer's JSON answer; null where it isn't one (accepted loosely a boolean,
     reasoning a string)."""
-    stripped = f"try_parse_json(regexp_replace({column}, '^{PY_SPACE}+|{PY_SPACE}+$', ''))".replace("\\", "\\\\")
+    listed = "".join(f"\\u{ord(c):04x}" for c in PY_CHARS)
+    stripped = f"try_parse_json(trim(BOTH '{listed}' FROM {column}))"
     accepted = lax_bool(F.expr(f"try_variant_get({stripped}, '$.accepted', 'string')"))
     good = F.expr(f"schema_of_variant(try_variant_get({stripped}, '$.reasoning', 'variant')) = 'STRING'") & accepted.isNotNull()
     return F.when(good, F.struct(accepted.alias("accepted"), F.expr(f"try_variant_get({stripped}, '$.reasoning', 'string')").alias("reasoning")))

@@ -14,7 +14,7 @@ from lectern.functions.text import JS_SPACE, js_squeeze
 
 # What is deleted from the text, in this order. A span doesn't cross the end of a line.
 SPANS = ("f", "x", "w")
-PREFIXES = (r"\\r", r"\\s[0-9]", r"\\p", r"\\q[0-9]?", r"\\b", r"\\m", r"\\nb")
+PREFIXES = ("\\r", "\\s[0-9]", "\\p", "\\q[0-9]?", "\\b", "\\m", "\\nb")
 _IN_LINE = r"[^\n\r\u2028\u2029]"
 
 
@@ -23,24 +23,28 @@ def cleaned(text: Column | str) -> Column:
     for marker in SPANS:
         out = F.regexp_replace(out, rf"\\{marker}{JS_SPACE}{_IN_LINE}+?\\{marker}\*", "")
     for prefix in PREFIXES:
-        out = F.regexp_replace(out, prefix, "")
+        out = F.regexp_replace(out, f"\\{prefix}", "") if "[" in prefix else F.replace(out, F.lit(prefix), F.lit(""))
     return out
 
 
-def _parts(marker: str) -> str:
-    return rf"(?s)\\{marker}{JS_SPACE}+([0-9]+)(.*?)(?=\\{marker}{JS_SPACE}+[0-9]|\z)"
+def _parts(text: Column, marker: str) -> Column:
+    """array<struct<at, number, body>>: the text cut once before each numbered marker; what stands before the first is
+    left out."""
+    head = rf"\\{marker}{JS_SPACE}+(?=[0-9])"
+    pieces = F.split(text, head)
+    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    number = lambda x: F.regexp_extract(x, "^[0-9]+", 0)
+    return F.transform(rest, lambda x, i: F.struct(i.alias("at"), number(x).cast("int").alias("number"), F.substring(x, F.length(number(x)) + 1, F.length(x)).alias("body")))
 
 
 def parse(files: DataFrame, by: list[str], content: str = "content") -> DataFrame:
     """by, chapter, verse, text: the verses of each file. by names the columns that tell files apart."""
-    both = lambda c, marker: (F.regexp_extract(c, _parts(marker), 1).cast("int"), F.regexp_extract(c, _parts(marker), 2))
-    chapters = files.select(*by, F.posexplode(F.regexp_extract_all(cleaned(content), F.lit(_parts("c")), F.lit(0))).alias("at", "part"))
-    number, body = both(F.col("part"), "c")
-    last = chapters.select(*by, number.alias("chapter"), "at", body.alias("body")).groupBy(*by, "chapter").agg(F.max_by("body", "at").alias("body"))
-    verses = last.select(*by, "chapter", F.posexplode(F.regexp_extract_all("body", F.lit(_parts("v")), F.lit(0))).alias("at", "part"))
-    number, body = both(F.col("part"), "v")
+    chapters = files.select(*by, F.inline(_parts(cleaned(content), "c")))
+    last = chapters.groupBy(*by, F.col("number").alias("chapter")).agg(F.max_by("body", "at").alias("body"))
+    verses = last.select(*by, "chapter", F.inline(_parts(F.col("body"), "v")))
+    body = F.col("body")
     text = js_squeeze(F.regexp_replace(body, rf"\\[a-z0-9]+{JS_SPACE}?", " "))
-    found = verses.select(*by, "chapter", number.alias("verse"), "at", text.alias("text")).filter("text <> ''")
+    found = verses.select(*by, "chapter", F.col("number").alias("verse"), "at", text.alias("text")).filter("text <> ''")
     return found.groupBy(*by, "chapter", "verse").agg(F.max_by("text", "at").alias("text"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import fail_if, reference_key
+from lectern.functions.text import fail_if, reference_key, strict_keys  # noqa: F401
 
 
 def with_translation(truth: DataFrame, verses: DataFrame, on_missing: str = "error", book: str = "PHM") -> DataFrame:
@@ -23,14 +23,6 @@ def translated(truth: DataFrame, verses: DataFrame) -> DataFrame:
     return truth.join(verses.select("chapter", "verse"), ["chapter", "verse"], "left_semi")
 
 
-def strict_keys(rows: DataFrame, *columns: str) -> DataFrame:
-    """Columns cast to int; a null or no integer fails the job."""
-    out = rows
-    for c in columns:
-        out = out.filter(fail_if(F.col(c).try_cast("int").isNull(), f"{c} is no integer")).withColumn(c, F.col(c).cast("int"))
-    return out
-
-
 def fan_out(rows: DataFrame, agents: list[dict[str, str]]) -> DataFrame:
     """Each row once for each agent (name, model), in the agents' order: agent_idx, agent_name, model. The list is
     part of the plan, so this is a projection and no join."""
@@ -54,10 +46,35 @@ def skipped(individual: DataFrame, expected: int = 2) -> DataFrame:
     return review_groups(individual).filter(F.col("n") != expected)
 
 
-def opening_context(individual: DataFrame, template: str = "- **{}** (Initial Score: {}): {}") -> DataFrame:
-    """chapter, verse, context: the reviews of each verse, a line each, in row order."""
+# Fixed value: the line of a review in a debate's context; agent, score, analysis.
+OPENING = "- **{}** (Initial Score: {}): {}"
+#: What stands above and below these lines: source text, translation, annotation; the task.
+CONTEXT = ("Source: {}", "Translation: {}", "Annotation: {}")
+TASK = "Argue for or against these scores from the wording alone, and try to agree on one."
+
+
+def debate_context(individual: DataFrame, heads: tuple[str, ...] = CONTEXT, template: str = OPENING, task: str = TASK) -> DataFrame:
+    """chapter, verse, context: what a debate begins with. The first review's source text, translation and annotation, a
+    line for each review in row order, the task. Null cells are empty."""
+    first = F.min_by(F.struct("greek_text", "translation", "face_annotation"), "row_ord").alias("first")
+    firsts = individual.filter("chapter is not null and verse is not null").groupBy("chapter", "verse").agg(first, F.array_sort(F.collect_list(F.struct("row_ord", _line(template).alias("line")))).alias("lines"))
+    parts = [F.concat(F.lit(h.split("{}")[0]), F.coalesce(f"first.{c}", F.lit("")), F.lit(h.split("{}")[1])) for h, c in zip(heads, ("greek_text", "translation", "face_annotation"), strict=True)]
+    return firsts.select("chapter", "verse", F.concat_ws("\n", *parts, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(task)).alias("context"))
+
+
+def _line(template: str) -> Column:
     head, mid, tail, end = (*template.split("{}"), "")[:4]
-    line = F.concat(F.lit(head), "agent_name", F.lit(mid), F.col("score").cast("string"), F.lit(tail), F.coalesce("model_analysis", F.lit("")), F.lit(end))
-    lines = F.array_sort(F.collect_list(F.struct("row_ord", line.alias("line"))))
+    return F.concat(F.lit(head), "agent_name", F.lit(mid), F.col("score").cast("string"), F.lit(tail), F.coalesce("model_analysis", F.lit("")), F.lit(end))
+
+
+def trace(individual: DataFrame, expected: int = 2) -> DataFrame:
+    """chapter, verse, said: what a run does with each verse."""
+    said = F.when(F.col("n") == expected, "debated").otherwise(F.format_string("skipped: %d of %d reviews", F.col("n"), F.lit(expected)))
+    return review_groups(individual).select("chapter", "verse", said.alias("said"))
+
+
+def opening_context(individual: DataFrame, template: str = OPENING) -> DataFrame:
+    """chapter, verse, context: the reviews of each verse, a line each, in row order."""
+    lines = F.array_sort(F.collect_list(F.struct("row_ord", _line(template).alias("line"))))
     grouped = individual.filter("chapter is not null and verse is not null").groupBy("chapter", "verse").agg(lines.alias("lines"))
     return grouped.select("chapter", "verse", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))

@@ -36,9 +36,22 @@ def post(url: str, body: dict, key: str | None, timeout: float) -> dict:
         return json.load(answer)
 
 
+#: Texts of the requests. {agent}, {task}, {analysis}, {reason} and {round} are filled in.
+TEXTS = {
+    "linguist": "You are {agent}, a linguist who compares how languages express politeness and intent. {task}",
+    "reviewer": "You review analyses of translations. Accept one only if it argues from language alone and quotes words that are in the texts; otherwise say what to revise.",
+    "review": "Review {round} of this analysis:\n{analysis}",
+    "own": "Your analysis:\n{analysis}",
+    "revise": "It was rejected: {reason}\nRevise it on linguistic grounds that can be checked.",
+    "debater": "You debate the score with others; aim at a consensus and prefer the lower score.",
+    "argue": "Round {round}: give your argument.",
+    "moderator": "You moderate a debate between linguists. Step in only where one argues from anything but language, or about words that are not in the texts.",
+}
+
+
 @dataclass
 class ChatScorer:
-    """models: the model of each agent; reviewer and moderator have their own."""
+    """models: the model of each agent; reviewer and moderator have their own. texts replaces some of TEXTS."""
 
     models: dict[str, str]
     reviewer: str
@@ -48,6 +61,7 @@ class ChatScorer:
     task: str = "Score translations from 1 to 10 by how well they keep the stated goal of the source text. Judge wording, grammar and rhetoric only, be critical, and write in English."
     timeout: float = 120.0
     tries: int = 3
+    texts: dict[str, str] = field(default_factory=dict)
     send: Callable[[str, dict, str | None, float], dict] = post
     cache: MutableMapping[str, str] = field(default_factory=dict)
 
@@ -66,31 +80,29 @@ class ChatScorer:
                     time.sleep(2**k)
         return self.cache[name]
 
-    def _linguist(self, agent: str) -> str:
-        return f"You are {agent}, a linguist who compares how languages express politeness and intent. {self.task}"
+    def _text(self, name: str, **values: object) -> str:
+        return (TEXTS | self.texts)[name].format(task=self.task, **values)
 
     def score(self, agent: str, prompt: str) -> str:
-        return self._ask(self.models[agent], "linguist_review", self._linguist(agent), prompt)
+        return self._ask(self.models[agent], "linguist_review", self._text("linguist", agent=agent), prompt)
 
     def review(self, agent: str, analysis: str, round_: int) -> str:
-        system = "You review analyses of translations. Accept one only if it argues from language alone and quotes words that are in the texts; otherwise say what to revise."
-        return self._ask(self.reviewer, "critic_review", system, f"Review {round_ + 1} of this analysis:\n{analysis}")
+        return self._ask(self.reviewer, "critic_review", self._text("reviewer"), self._text("review", round=round_ + 1, analysis=analysis))
 
     def revise(self, agent: str, analysis: str, reason: str, round_: int) -> str:
-        return self._ask(self.models[agent], "linguist_review", self._linguist(agent), f"Your analysis:\n{analysis}", f"It was rejected: {reason}\nRevise it on linguistic grounds that can be checked.")
+        return self._ask(self.models[agent], "linguist_review", self._text("linguist", agent=agent), self._text("own", analysis=analysis), self._text("revise", reason=reason))
 
     def argue(self, agent: str, score: int, context: str, history: list[dict], round_: int) -> dict:
-        system = f"{self._linguist(agent)} You debate the score with others; aim at a consensus and prefer the lower score."
-        return json.loads(self._ask(self.models[agent], "linguist_turn", system, context, _told(history), f"Round {round_ + 1}: give your argument."))
+        system = f"{self._text('linguist', agent=agent)} {self._text('debater')}"
+        return json.loads(self._ask(self.models[agent], "linguist_turn", system, context, _told(history), self._text("argue", round=round_ + 1)))
 
     def moderate(self, context: str, history: list[dict]) -> dict:
-        system = "You moderate a debate between linguists. Step in only where one argues from anything but language, or about words that are not in the texts."
-        return json.loads(self._ask(self.moderator, "moderator_turn", system, context, _told(history)))
+        return json.loads(self._ask(self.moderator, "moderator_turn", self._text("moderator"), context, _told(history)))
 
     def close(self, agent: str, score: int, context: str, history: list[dict]) -> dict:
         from lectern.operators.workflow import CLOSING_TASK
 
-        return json.loads(self._ask(self.models[agent], "linguist_turn", self._linguist(agent), context, _told(history), CLOSING_TASK))
+        return json.loads(self._ask(self.models[agent], "linguist_turn", self._text("linguist", agent=agent), context, _told(history), CLOSING_TASK))
 
 
 def _told(history: list[dict]) -> str:

@@ -104,10 +104,3 @@ def documents(individual: DataFrame, debates: DataFrame, book: str, category: st
 def _document(chapter: str, book: str, category: str) -> Column:
     head = jsonx.json_text(F.struct(F.lit(book).alias("book"), F.col(chapter).alias("chapter"), F.lit(category).alias("category")))
     return F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"analysis":'), _list(F.transform("parts", lambda x: x["json"])), F.lit("}")).alias("json")
-
-
-def report_rows(rows: DataFrame) -> DataFrame:
-    """joined() as flat report entries: a row for each individual entry and each debate."""
-    individual = rows.select("ord", "verse", "greek_text", "face_annotation", F.posexplode("entries").alias("pos", "e")).select("ord", "verse", "greek_text", "face_annotation", F.lit("individual").alias("type"), "pos", F.col("e.model").alias("model"), F.col("e.score").alias("score"), F.lit(0).alias("n_turns"), F.lit(0).alias("n_closings"))
-    debate = rows.filter("has_debate").select("ord", "verse", "greek_text", "face_annotation", F.lit("debate").alias("type"), F.col("n").cast("int").alias("pos"), F.lit(None).cast("string").alias("model"), F.col("consensus").alias("score"), F.size("turns").alias("n_turns"), F.size("closings").alias("n_closings"))
-    return individual.unionByName(debate)

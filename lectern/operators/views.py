@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import bands
@@ -38,18 +38,19 @@ def scoreboard(verses: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def index_scores(found: DataFrame) -> DataFrame:
-    """chapter, verse, debate_score of index()."""
+    """chapter, verse, debate_score of index(), for scoreboard()."""
     return found.select("chapter", "verse", first_debate("segment.analysis")["score"].alias("debate_score"))
 
 
-def detail(verses: DataFrame, found: DataFrame, chapter: int | None = None, verse: int | None = None) -> DataFrame:
-    """A verse's text, its debate entry and its individual entries with their labels; all verses where none is named."""
+def detail(verses: DataFrame, found: DataFrame, chapter: int | None = None, verse: int | None = None, chosen: int = 0) -> DataFrame:
+    """A verse's text, its debate entry, its individual entries with their labels, and the chosen one of these (by index,
+    null where there are fewer); all verses where none is named."""
     if chapter is not None:
         verses, found = (x.filter((F.col("chapter") == chapter) & (F.col("verse") == verse)) for x in (verses, found))
     own = individuals("segment.analysis")
     label = F.transform(own, lambda x: F.format_string("%s (Score: %s)", x["model"], x["score"].cast("string")))
     out = verses.select("chapter", "verse", "text").join(found, ["chapter", "verse"], "left")
-    return out.select("chapter", "verse", "text", first_debate("segment.analysis").alias("debate"), own.alias("individuals"), label.alias("labels"))
+    return out.select("chapter", "verse", "text", first_debate("segment.analysis").alias("debate"), own.alias("individuals"), label.alias("labels"), F.get(own, F.lit(chosen)).alias("chosen"))
 
 
 def visible_turns(turns: DataFrame) -> DataFrame:
@@ -66,5 +67,15 @@ def visible_turns(turns: DataFrame) -> DataFrame:
 
 
 def chapters(verses: DataFrame) -> DataFrame:
-    """chapter, n_verses, first_verse, in no order: sort where it is shown."""
+    """chapter, n_verses, first_verse, in no order: numbered() gives it, and sinks sort by it."""
     return verses.groupBy("chapter").agg(F.count(F.lit(1)).alias("n_verses"), F.min("verse").alias("first_verse"))
+
+
+def numbered(verses: DataFrame) -> DataFrame:
+    """Verses with place: 1 for the first of its chapter, by number."""
+    return verses.withColumn("place", F.row_number().over(Window.partitionBy("chapter").orderBy("verse")))
+
+
+def first_chapter(verses: DataFrame) -> DataFrame:
+    """chapter: the one that shows first, null without verses."""
+    return verses.agg(F.min("chapter").alias("chapter"))

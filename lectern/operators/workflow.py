@@ -12,11 +12,12 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.jsonx import FALSE, TRANSITION, TRUE
-from lectern.operators.lookup import debatable
+from lectern.operators.lookup import CONTEXT, OPENING, TASK
 
 #: Reviews after which a revision is taken as it is.
 MAX_REVIEWS = 3
@@ -26,6 +27,7 @@ CLOSING_TASK = f"{TRANSITION} to closing statements. Each participant gives a cl
 
 REVIEWED = "analysis string, revisions int, outcome string"
 DEBATED = "chapter int, verse int, face_annotation string, greek_text string, translation string, debate string, closing_statements string, row_ord long"
+DEBATED_ARROW = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[kind]) for name, kind in (x.split() for x in DEBATED.split(", "))])
 
 
 class Scorer(Protocol):
@@ -130,24 +132,32 @@ def debate_once(scorer: Scorer, reviews: list[dict], context: str) -> tuple[list
 
 
 def debate_context(reviews: list[dict]) -> str:
-    first = reviews[0]
-    lines = [f"- **{r['agent_name']}** (Initial Score: {r['score']}): {r['model_analysis']}" for r in reviews]
-    return "\n".join([f"Source: {first['greek_text']}", f"Translation: {first['translation']}", f"Annotation: {first['face_annotation']}", *lines])
+    """lookup.debate_context() of one verse."""
+    text = lambda x: "" if x is None else x
+    heads = [h.format(text(reviews[0][c])) for h, c in zip(CONTEXT, ("greek_text", "translation", "face_annotation"), strict=True)]
+    return "\n".join([*heads, *(OPENING.format(r["agent_name"], r["score"], text(r["model_analysis"])) for r in reviews), TASK])
 
 
 def debates(individual: DataFrame, scorer: Scorer, expected: int = 2) -> DataFrame:
-    """DEBATED: a debate for each verse with exactly the expected number of reviews. Groups are that small because the
-    others leave before they are gathered; without any the result is empty."""
-    ready = individual.join(debatable(individual, expected).select("chapter", "verse"), ["chapter", "verse"], "left_semi")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        reviews = group.sort_values("row_ord").to_dict("records")
-        debate, closing = debate_once(scorer, reviews, debate_context(reviews))
-        first = reviews[0]
-        row = {k: first[k] for k in ("chapter", "verse", "face_annotation", "greek_text", "translation", "row_ord")}
-        return pd.DataFrame([row | {"debate": json.dumps(debate, ensure_ascii=False), "closing_statements": json.dumps(closing, ensure_ascii=False)}])[["chapter", "verse", "face_annotation", "greek_text", "translation", "debate", "closing_statements", "row_ord"]]
-
-    return ready.groupBy("chapter", "verse").applyInPandas(run, DEBATED)
+    """DEBATED: a debate for each verse with exactly the expected number of reviews. The other verses' rows are counted by
+    a window, which spills, and leave before any are gathered, so a gathered row holds that many reviews; without any
+    the result is empty. One exchange by verse, then batches of verses."""
+    columns = ["row_ord", "agent_name", "score", "model_analysis", "face_annotation", "greek_text", "translation"]
+    whole = Window.partitionBy("chapter", "verse")
+    ready = individual.filter("chapter is not null and verse is not null").select("chapter", "verse", *columns, F.count(F.lit(1)).over(whole).alias("n")).filter(F.col("n") == expected)
+    verses = ready.groupBy("chapter", "verse").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("reviews"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for verse in batch.to_pylist():
+                reviews = verse["reviews"]
+                debate, closing = debate_once(scorer, reviews, debate_context(reviews))
+                first = {k: reviews[0][k] for k in ("face_annotation", "greek_text", "translation")}
+                rows.append({"chapter": verse["chapter"], "verse": verse["verse"], **first, "debate": json.dumps(debate, ensure_ascii=False), "closing_statements": json.dumps(closing, ensure_ascii=False), "row_ord": reviews[0]["row_ord"]})
+            yield pa.RecordBatch.from_pylist(rows, DEBATED_ARROW)
+
+    return verses.mapInArrow(run, DEBATED)
 
 
 def review_outcome(verdicts: list[Column]) -> tuple[Column, Column]:

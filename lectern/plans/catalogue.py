@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import bands, jsonx
-from lectern.functions.text import MISSING, js_int, missing_to_null, py_strip, reference_key
+from lectern.functions.text import MISSING, js_int, js_squeeze, missing_to_null, py_strip, reference_key
 from lectern.operators import lookup, quality, report, views, workflow
 from lectern.plans import adapters, batch
 from lectern.plans.adapters import DOMAIN_SQL
@@ -100,8 +99,9 @@ def debate_udf(spark, sf_dir):
 
 @query("select g.row_ord, 'PHM ' || g.chapter || ':' || g.verse as ref, md5(v.text) as translation_md5 from gt g join verses v on g.chapter = v.chapter and g.verse = v.verse")
 def strict_lookup(spark, sf_dir):
-    known = adapters.verses(spark, sf_dir)
-    found = lookup.with_translation(lookup.translated(adapters.truth(spark, sf_dir), known), known)
+    """Documents without a word have no verse; all others must have theirs."""
+    rows = adapters.truth(spark, sf_dir).filter(js_squeeze(F.translate("greek_text", "\\", " ")) != "")
+    found = lookup.with_translation(rows, adapters.verses(spark, sf_dir))
     return found.select("row_ord", reference_key("PHM", "chapter", "verse").alias("ref"), F.md5("translation").alias("translation_md5"))
 
 
@@ -291,10 +291,11 @@ def missing_and_strip(spark, sf_dir):
 @query("select (row_number() over (order by row_ord) - 1) as row_ord, agent_name, chapter, verse, md5(greek_text) as greek_md5, face_annotation, score from individual")
 def csv_roundtrip(spark, sf_dir):
     """The reviews through the CSV writer and reader; cells hold line ends, quotes and commas."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/lectern-csv-{uuid.uuid4().hex}"
+    path = sinks.scratch(spark, "csv")
     names = {c.lower(): c for c in readers.INDIVIDUAL}
     rows = adapters.individual(spark, sf_dir).withColumn("greek_text", F.concat(F.lit('"q", '), "greek_text"))
     sinks.csv(rows.select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns]), path)
+    sinks.gone_at_end(spark, path)
     back = readers.individual(spark, path)
     return back.select("row_ord", "agent_name", "chapter", "verse", F.md5(F.expr("substr(greek_text, 6)")).alias("greek_md5"), "face_annotation", "score")
 
@@ -302,8 +303,9 @@ def csv_roundtrip(spark, sf_dir):
 @query("select distinct (case when doc_id // 60 = 3 then 0 else (doc_id // 60) % 7 + 1 end)::int as chapter, doc_id // 60 as file_ord, count(*) over (partition by doc_id // 60) as n from documents", domain=False)
 def report_json_roundtrip(spark, sf_dir):
     """Reports through the JSON document writer and reader."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/lectern-json-{uuid.uuid4().hex}"
+    path = sinks.scratch(spark, "json")
     rows = adapters.reports(spark, sf_dir)
     sinks.json_documents(rows.select(jsonx.json_text(F.struct("file_ord", *[f.name for f in REPORT.fields])).alias("json")), path)
+    sinks.gone_at_end(spark, path)
     back = spark.read.schema(f"file_ord long, book string, chapter int, category string, analysis array<{SEGMENT.simpleString()}>").json(path)
     return back.select("chapter", "file_ord", F.size("analysis").cast("long").alias("n"))

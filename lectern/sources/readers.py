@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import usfm
-from lectern.functions.text import missing_to_null
+from lectern.functions.text import missing_to_null, strict_keys
 from lectern.schemas import REPORT
 
 # The columns of the files, as they are named there.
@@ -36,11 +37,12 @@ def _csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     ordered = raw.select(*out, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"))
     first = ordered.groupBy("file").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = first.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.join(F.broadcast(before), "file").withColumn("row_ord", F.col("before") + F.col("id") - F.col("first")).drop("file", "id", "first", "n", "before")
+    return ordered.join(before, "file").withColumn("row_ord", F.col("before") + F.col("id") - F.col("first")).drop("file", "id", "first", "n", "before")
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, GROUND_TRUTH)
+    """Rows without a chapter or verse fail the job, as those do whose chapter or verse is no integer."""
+    return strict_keys(_csv(spark, path, GROUND_TRUTH), "chapter", "verse")
 
 
 def individual(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +59,21 @@ def usfm_verses(spark: SparkSession, path: str) -> DataFrame:
     return usfm.parse(files, ["book"])
 
 
+def _report_files(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*REPORT.fields, T.StructField("broken", T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "broken").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+
+
 def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report documents, one a file, with file_ord: their order by name (dense over the files)."""
-    raw = spark.read.schema(REPORT).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
-    return raw.withColumn("file_ord", F.dense_rank().over(Window.orderBy("file"))).drop("file")
+    """Report documents, one a file, with file_ord: their order by name (dense over the files). Files that are no report
+    (see rejected()) are left out. The window has a row a file, of names alone."""
+    raw = _report_files(spark, path)
+    names = raw.select("file").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("file")))
+    return raw.filter("broken is null").drop("broken").join(names, "file").drop("file")
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """file, reason: the files under path that are no report: no JSON, no chapter (or 0), no list of segments."""
+    raw = _report_files(spark, path)
+    reason = F.when(F.col("broken").isNotNull(), "no JSON of a report").when(F.coalesce("chapter", F.lit(0)) == 0, "no chapter").when(F.col("analysis").isNull(), "no list of segments")
+    return raw.select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), reason.alias("reason")).filter("reason is not null")

@@ -5,34 +5,48 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def csv(df: DataFrame, path: str, order: str | None = "row_ord", single: bool = True) -> None:
-    """A table as CSV with doubled quotes and no index column; in row order as one file, or as parts."""
+def csv(df: DataFrame, path: str, order: str | None = "row_ord", single: bool = False) -> None:
+    """A table as CSV with doubled quotes and no index column, in row order: as parts whose names are in order, or as one
+    file, which one task writes."""
     if order and order in df.columns:
         df = df.orderBy(order).drop(order)
     (df.coalesce(1) if single else df).write.csv(path, header=True, quote='"', escape='"', mode="overwrite")
 
 
-def json_documents(documents: DataFrame, path: str, column: str = "json") -> None:
-    """One document a line, as UTF-8; missing values are null."""
-    documents.select(column).write.mode("overwrite").text(path)
+def json_documents(documents: DataFrame, path: str, column: str = "json", order: str | None = None) -> None:
+    """One document a line, as UTF-8; missing values are null. With order, one document a file, names in that order."""
+    rows = documents.orderBy(order) if order else documents
+    out = rows.select(column).write.mode("overwrite")
+    (out.option("maxRecordsPerFile", 1) if order else out).text(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written in the folder that spark.checkpoint.dir names and read back: model calls behind it are made once,
-    whichever executors are lost later."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; in a local one only where that is unset and the master
+    is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset; set it to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lectern-")
-    path = f"{where}/lectern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{where}/lectern-{name}-{uuid.uuid4().hex}"
+
+
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Has a written folder deleted when the session ends."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df, written in the folder that spark.checkpoint.dir names and read back: model calls behind it are made once,
+    whichever executors are lost later."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    gone_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,22 +21,36 @@ def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.groupBy("chapter", "verse").agg(F.max_by("segment", "age").alias("segment"))
 
 
+def _folder(spark: SparkSession, path: str, delete: bool = False) -> list[str]:
+    """Names in a folder; with delete, it is deleted."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if delete:
+        fs.delete(at, True)
+        return []
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose snapshots are whole."""
+    return [int(x.partition("=")[2]) for x in _folder(spark, path) if x.startswith("batch=") and "_SUCCESS" in _folder(spark, f"{path}/{x}")]
+
+
 def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The last snapshot under path, of a batch before the given one."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [int(x.getPath().getName().partition("=")[2]) for x in (fs.listStatus(root) if fs.exists(root) else []) if x.getPath().getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    found = [x for x in found if before is None or x < before]
+    found = [x for x in _versions(spark, path) if before is None or x < before]
     return spark.read.parquet(f"{path}/batch={max(found)}") if found else None
 
 
 def start(spark: SparkSession, source: str, index_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Follows the folder source; snapshots go to index_path."""
-    stream = spark.readStream.schema(REPORT).option("multiLine", True).json(source).withColumn("file_ord", F.col("_metadata.file_modification_time").cast("long") * 1000)
-    stream = stream.withColumn("file_ord", F.struct("file_ord", F.col("_metadata.file_name").alias("name")))
+    stream = spark.readStream.schema(REPORT).option("multiLine", True).json(source)
+    stream = stream.withColumn("file_ord", F.struct(F.unix_micros("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("name")))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         merge(snapshot(spark, index_path, batch_id), batch).write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
+        for old in _versions(spark, index_path):
+            if old < batch_id - 1:  # the last one but this may still be read, and is needed should this batch run again
+                _folder(spark, f"{index_path}/batch={old}", delete=True)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
