@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import bands, jsonx
-from lectern.functions.text import MISSING, js_int, js_squeeze, missing_to_null, py_strip, reference_key
+from lectern.functions.text import JS_SPACE, MISSING, js_int, missing_to_null, py_strip, reference_key
 from lectern.operators import lookup, quality, report, views, workflow
 from lectern.plans import adapters, batch
 from lectern.plans.adapters import DOMAIN_SQL
@@ -100,7 +100,7 @@ def debate_udf(spark, sf_dir):
 @query("select g.row_ord, 'PHM ' || g.chapter || ':' || g.verse as ref, md5(v.text) as translation_md5 from gt g join verses v on g.chapter = v.chapter and g.verse = v.verse")
 def strict_lookup(spark, sf_dir):
     """Documents without a word have no verse; all others must have theirs."""
-    rows = adapters.truth(spark, sf_dir).filter(js_squeeze(F.translate("greek_text", "\\", " ")) != "")
+    rows = adapters.truth(spark, sf_dir).filter(F.col("greek_text").rlike(JS_SPACE.replace("[", "[^\\\\", 1)))
     found = lookup.with_translation(rows, adapters.verses(spark, sf_dir))
     return found.select("row_ord", reference_key("PHM", "chapter", "verse").alias("ref"), F.md5("translation").alias("translation_md5"))
 
@@ -255,7 +255,7 @@ def critic_lax_bool(spark, sf_dir):
     return nullable(rows.select("doc_id", "r.accepted", F.col("r").isNull().alias("unparsable")), "accepted")
 
 
-@query("select doc_id, (n_chars % 13 - 1)::int as parsed, case when n_chars % 13 - 1 >= 8 then 'green' when n_chars % 13 - 1 >= 6 then 'yellow' else 'red' end as badge, case when n_chars % 13 - 1 >= 8 then 'green' else 'yellow' end as card, null::varchar as none from documents", domain=False)
+@query("select doc_id, (n_chars % 13 - 1)::bigint as parsed, case when n_chars % 13 - 1 >= 8 then 'green' when n_chars % 13 - 1 >= 6 then 'yellow' else 'red' end as badge, case when n_chars % 13 - 1 >= 8 then 'green' else 'yellow' end as card, null::varchar as none from documents", domain=False)
 def parse_int_js(spark, sf_dir):
     text = F.concat(F.lit("  "), (F.col("n_chars") % 13 - 1).cast("string"), F.lit(".7 points"))
     rows = adapters.table(spark, sf_dir, "documents").select("doc_id", text.alias("said"))
@@ -309,3 +309,151 @@ def report_json_roundtrip(spark, sf_dir):
     sinks.gone_at_end(spark, path)
     back = spark.read.schema(f"file_ord long, book string, chapter int, category string, analysis array<{SEGMENT.simpleString()}>").json(path)
     return back.select("chapter", "file_ord", F.size("analysis").cast("long").alias("n"))
+
+
+@query("select chapter, verse, concat_ws(' ', substr(m, 1, 8), substr(m, 9, 8), substr(m, 17, 8), '*', substr(m, 25, 8)) as text from (select doc_id // 50 + 1 as chapter, doc_id % 50 + 1 as verse, doc_id, md5(text) as m from documents) where doc_id % 3 <> 0", domain=False)
+def usfm_files(spark, sf_dir):
+    """Chapters as marked-up files, written and read: footnotes, glossary words, nested markers, empty repeats of verses, and
+    each chapter a first time with other verses, which the second one resets."""
+    path = sinks.scratch(spark, "usfm")
+    m = F.md5("text")
+    marked = F.format_string(r"\v %d %s\f + \ft note %s\f* %s \w gloss|x\w*\nd %s\nd* \q1 %s", (F.col("doc_id") % 50 + 1), *[F.substring(m, *x) for x in ((1, 8), (1, 32), (9, 8), (17, 8), (25, 8))])
+    again = F.format_string("\\v %d \n", (F.col("doc_id") % 50 + 1))
+    line = F.struct("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(marked, F.lit("\n"), again)).otherwise("").alias("second"), F.format_string("\\v %d old\n", F.col("doc_id") % 50 + 1).alias("first"))
+    chapters = adapters.table(spark, sf_dir, "documents").select((F.expr("doc_id div 50") + 1).alias("chapter"), line.alias("line")).groupBy("chapter").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    body = lambda c: F.array_join(F.transform("lines", lambda x: x[c]), "")
+    chapters.select(F.concat(F.lit("\\c "), "chapter", F.lit("\n"), body("first"), F.lit("\\c "), "chapter", F.lit("\n\\p\n"), body("second")).alias("value")).write.text(path)
+    sinks.gone_at_end(spark, path)
+    return readers.usfm_verses(spark, path).select(F.col("chapter").cast("long").alias("chapter"), F.col("verse").cast("long").alias("verse"), "text")
+
+
+@query(f"with {_INDEX_SQL} select f.chapter, f.verse, i.greek, (case when i.doc_id % 3 <> 0 then i.n_chars % 11 end)::varchar as debate_score from found f join items i on f.doc_id = i.doc_id", domain=False)
+def report_files_index(spark, sf_dir):
+    """Reports as files of one document, read as such and indexed by the order of their names."""
+    path = sinks.scratch(spark, "reports")
+    rows = adapters.reports(spark, sf_dir)
+    sinks.json_documents(rows.select("file_ord", jsonx.json_text(F.struct(*[f.name for f in REPORT.fields])).alias("json")), path, order="file_ord")
+    sinks.gone_at_end(spark, path)
+    found = views.index(readers.reports(spark, path))
+    return nullable(found.select("chapter", "verse", "segment.greek", views.first_debate("segment.analysis")["score"].alias("debate_score")), "debate_score")
+
+
+@query("select doc_id // 60 as file_ord, case when doc_id // 60 = 3 then 'no chapter' when (doc_id // 60) % 5 = 1 then 'no JSON of a report' else 'no list of segments' end as reason from documents where doc_id // 60 = 3 or (doc_id // 60) % 5 in (1, 2) group by all", domain=False)
+def report_files_rejected(spark, sf_dir):
+    """Report files that are broken, without a chapter, without segments: each is named, and the others are read."""
+    path = sinks.scratch(spark, "broken")
+    rows = adapters.reports(spark, sf_dir)
+    whole = jsonx.json_text(F.struct(F.format_string("book %d", "file_ord").alias("book"), "chapter", "category", "analysis"))
+    none = F.format_string('{"book": "book %d", "chapter": 2, "analysis": null}', F.col("file_ord"))
+    text = F.when((F.col("file_ord") % 5 == 1) & (F.col("file_ord") != 3), F.concat(F.lit('{"chapter": '), F.col("file_ord").cast("string"))).when((F.col("file_ord") % 5 == 2) & (F.col("file_ord") != 3), none).otherwise(whole)
+    sinks.json_documents(rows.select("file_ord", text.alias("json")), path, order="file_ord")
+    sinks.gone_at_end(spark, path)
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0).alias("file"), F.regexp_extract("value", '(?:book |"chapter": )([0-9]+)', 1).cast("long").alias("file_ord"))
+    return readers.rejected(spark, path).join(files, "file").select("file_ord", "reason")
+
+
+@query(
+    """select doc_id, case when doc_id % 4 = 0 then 'Moderator' when doc_id % 4 = 1 then source end as agent, case when doc_id % 4 = 0 then null when doc_id % 5 <> 0 then lang end as argument,
+    (case when doc_id % 4 = 0 or doc_id % 7 = 0 then null else doc_id % 7 end)::varchar as score, case when doc_id % 4 <> 0 then null when doc_id % 3 = 0 then '' else 'B,C' end as violators, case when doc_id % 4 <> 0 then null when doc_id % 3 = 0 then '' else lang end as feedback,
+    case when doc_id % 4 = 3 then 'Unknown' when doc_id % 4 = 1 then source end as closing_agent, case when doc_id % 5 <> 0 then lang else '' end as statement from documents where doc_id % 4 <> 2""",
+    domain=False,
+)
+def missing_keys(spark, sf_dir):
+    """Items without some of their keys, with nulls, and with scores as numbers, fractions and strings. In turns an item
+    without agent_name and intervene is none; in closings a missing agent is unknown."""
+    d = "doc_id"
+    agent = f"case when {d} % 4 = 1 then concat('\"agent_name\": \"', source, '\", ') when {d} % 4 = 2 then '' when {d} % 4 = 0 then '\"intervene\": true, ' else '\"agent_name\": null, ' end"
+    argument = f"case when {d} % 4 = 0 and {d} % 3 <> 0 then concat('\"violators\": [\"B\", \"C\"], \"feedback\": \"', lang, '\", ') else '' end, case when {d} % 5 <> 0 then concat('\"argument\": \"', lang, '\", ') when {d} % 2 = 0 or {d} % 4 = 0 then '' else '\"argument\": null, ' end"
+    score = f"case when {d} % 7 = 0 then 'null' when {d} % 3 = 0 then concat('\"', {d} % 7, '\"') when {d} % 3 = 1 then concat({d} % 7, '.9') else string({d} % 7) end"
+    closing_agent = f"case when {d} % 4 = 1 then concat('\"agent_name\": \"', source, '\", ') when {d} % 4 = 3 then '' else '\"agent_name\": null, ' end"
+    statement = f"case when {d} % 5 <> 0 then concat('\"argument\": \"', lang, '\", ') else '' end"
+    rows = adapters.table(spark, sf_dir, "documents").selectExpr(d, f"concat('[{{', {agent}, {argument}, '\"proposed_score\": ', {score}, '}}, {{\"other\": 1}}]') as turns", f"concat('[{{', {closing_agent}, {statement}, '\"x\": 1}}]') as closings")
+    got = rows.select(d, jsonx.turns("turns").alias("t"), F.get(jsonx.closings("closings"), F.lit(0)).alias("c")).select(d, F.inline("t"), "c")
+    out = got.select(d, "agent", "argument", F.col("proposed_score").alias("score"), F.array_join("violators", ",").alias("violators"), "feedback", F.col("c.agent").alias("closing_agent"), F.col("c.statement").alias("statement"))
+    return nullable(out, "score")
+
+
+@query("select min(row_ord) over (partition by verse, greek_text, coalesce(face_annotation, 'Uncategorized')) as ord, row_number() over (partition by verse, greek_text, coalesce(face_annotation, 'Uncategorized') order by row_ord) - 1 as pos, model, score, model_analysis as reasoning from individual where greek_text is not null")
+def ordered_entries(spark, sf_dir):
+    rows = report.segments(adapters.individual(spark, sf_dir).orderBy(F.md5(F.col("row_ord").cast("string"))))
+    return rows.select("ord", F.posexplode("entries").alias("pos", "e")).select("ord", F.col("pos").cast("long").alias("pos"), "e.model", "e.score", "e.reasoning")
+
+
+_BREACHES = """with d as (select *, (doc_id % 9)::int as chapter, (doc_id % 25 + 1)::int as verse from documents)
+    select 'L1' as rule, (case when doc_id % 11 <> 0 then chapter end)::varchar as chapter, null::varchar as verse, concat_ws(',', case when doc_id % 7 = 0 then 'book' end, case when doc_id % 11 = 0 then 'chapter' end, case when doc_id % 13 = 0 then 'category' end) as detail from d where doc_id % 7 = 0 or doc_id % 11 = 0 or doc_id % 13 = 0
+    union all select 'L4', (case when doc_id % 11 <> 0 then chapter end)::varchar, verse::varchar, concat_ws(',', case when doc_id % 5 = 1 then 'score' end, case when doc_id % 6 = 1 then 'closing_statements' end) from d where doc_id % 5 = 1 or doc_id % 6 = 1
+    union all select 'L5', (case when doc_id % 11 <> 0 then chapter end)::varchar, verse::varchar, 'turn of ' || case doc_id % 4 when 1 then 'judge' when 2 then 'no role' else 'linguist' end from d where doc_id % 4 in (1, 2, 3)"""
+
+
+@query(_BREACHES, domain=False)
+def schema_breaches(spark, sf_dir):
+    """Reports without fields of their own, of debates and of turns (a judge's, one without a role, one without an agent)."""
+    turn = "named_struct('role', case doc_id % 4 when 1 then 'judge' when 2 then null else 'linguist' end, 'agent', if(doc_id % 4 = 3, null, 'A'))"
+    entry = f"named_struct('type', 'debate', 'score', if(doc_id % 5 = 1, null, 3), 'debate_transcript', array({turn}), 'closing_statements', if(doc_id % 6 = 1, null, array()))"
+    segment = f"named_struct('verse', cast(doc_id % 25 + 1 as int), 'greek', 'g', 'translation', 't', 'annotation', 'a', 'notes', null, 'analysis', array({entry}))"
+    whole = f"to_json(named_struct('book', if(doc_id % 7 = 0, null, 'b'), 'chapter', if(doc_id % 11 = 0, null, cast(doc_id % 9 as int)), 'category', if(doc_id % 13 = 0, null, 'c'), 'analysis', array({segment})))"
+    rows = adapters.table(spark, sf_dir, "documents").select(F.from_json(F.expr(whole), REPORT).alias("r")).select("r.*")
+    return nullable(quality.violations(rows), "chapter", "verse")
+
+
+_SCORED = "1 + ('0x' || substr(md5(agent_name || chr(10) || {}), 1, 8))::bigint % 10"
+_RUN_SQL = ", rows as (select g.*, v.text as translation from gt g join verses v on g.chapter = v.chapter and g.verse = v.verse), scored as (select r.chapter, r.verse, r.row_ord, r.face, a.idx, " + _SCORED.format(_PROMPT_SQL.replace("'tr ' || row_ord", "translation")) + " as s from rows r, agents a), reviewed as (select *, case when s % 2 = 1 then s else s - 1 end as score from scored)"
+
+
+@query(_RUN_SQL + " select chapter, verse, arg_min(score, idx)::int as first, arg_max(score, idx)::int as second, (case when any_value(face) is not null then least(greatest(arg_min(score, idx) - 1, 1), greatest(arg_max(score, idx) - 1, 1)) end)::int::varchar as consensus from reviewed where verse is not null group by chapter, verse, row_ord")
+def batch_run(spark, sf_dir):
+    """The whole run, from annotations and verses to reports: reviews of both agents and the debate's consensus, read from
+    the report documents. A debate of a segment without an annotation doesn't attach."""
+    _, _, made = batch.run(adapters.truth(spark, sf_dir).drop("n_chars"), adapters.verses(spark, sf_dir), on_missing="skip")
+    parts = made.select(F.from_json("json", REPORT, {"mode": "FAILFAST"}).alias("r")).select("r.chapter", F.explode("r.analysis").alias("s"))
+    own = views.individuals("s.analysis")
+    out = parts.select("chapter", "s.verse", F.get(own, F.lit(0))["score"].alias("first"), F.get(own, F.lit(1))["score"].alias("second"), views.first_debate("s.analysis")["score"].alias("consensus"))
+    return nullable(out, "consensus")
+
+
+@query("select chapter, verse, md5('Source: ' || coalesce(arg_min(greek_text, row_ord), '') || chr(10) || 'Translation: ' || arg_min(translation, row_ord) || chr(10) || 'Annotation: ' || coalesce(arg_min(coalesce(face_annotation, ''), row_ord), '') || chr(10) || string_agg('- **' || agent_name || '** (Initial Score: ' || score || '): ' || model_analysis, chr(10) order by row_ord) || chr(10) || '" + lookup.TASK + "') as context_md5 from individual group by chapter, verse")
+def debate_context(spark, sf_dir):
+    return lookup.debate_context(adapters.individual(spark, sf_dir)).select("chapter", "verse", F.md5("context").alias("context_md5"))
+
+
+@query("select chapter, verse, case when count(*) = 2 then 'debated' else 'skipped: ' || count(*) || ' of 2 reviews' end as said from individual_multi group by chapter, verse")
+def run_trace(spark, sf_dir):
+    return lookup.trace(adapters.individual(spark, sf_dir, multi=True))
+
+
+@query("select chapter, verse, row_number() over (partition by chapter order by verse) as place, min(chapter) over () as first_chapter from verses")
+def verse_order(spark, sf_dir):
+    known = adapters.verses(spark, sf_dir)
+    first = views.first_chapter(known).withColumnRenamed("chapter", "first_chapter")
+    return views.numbered(known).join(F.broadcast(first)).select("chapter", "verse", F.col("place").cast("long").alias("place"), "first_chapter")
+
+
+@query(f"with {_INDEX_SQL} select f.chapter, f.verse, i.source as model, (i.n_chars % 12)::varchar as score, null::varchar as next_model from found f join items i on f.doc_id = i.doc_id", domain=False)
+def verse_chosen(spark, sf_dir):
+    """The chosen model's entry of a verse; a second one isn't there."""
+    found = views.index(adapters.reports(spark, sf_dir))
+    verses = found.select("chapter", "verse", F.lit("").alias("text"))
+    first, second = (views.detail(verses, found, chosen=k).select("chapter", "verse", "chosen") for k in (0, 1))
+    out = first.join(second.withColumnRenamed("chosen", "next"), ["chapter", "verse"])
+    return nullable(out.select("chapter", "verse", "chosen.model", "chosen.score", F.col("next.model").alias("next_model")), "score")
+
+
+@query("select row_ord, chapter, verse from gt")
+def strict_keys(spark, sf_dir):
+    """Keys as a file has them, with white space around, cast strictly."""
+    rows = adapters.truth(spark, sf_dir).select("row_ord", *[F.format_string(" %d ", c).alias(c) for c in ("chapter", "verse")])
+    return lookup.strict_keys(rows, "chapter", "verse")
+
+
+@query("select distinct 'Philemon' as book, 'Letters' as category, (doc_id // 50 + 1)::int as chapter from documents where text is not null", domain=False)
+def report_heads(spark, sf_dir):
+    made = report.documents(adapters.individual(spark, sf_dir), adapters.debates(spark, sf_dir), "Philemon", "Letters")
+    return made.select(F.from_json("json", REPORT).alias("r")).select("r.book", "r.category", "r.chapter")
+
+
+@query("select doc_id, case when n_chars % 2 = 0 then 31 else -26 end::bigint as hex, (4294967296 + n_chars)::bigint as large from documents", domain=False)
+def parse_int_forms(spark, sf_dir):
+    """Hexadecimal text, and numbers of more than 32 bits."""
+    rows = adapters.table(spark, sf_dir, "documents").filter("n_chars is not null")
+    hex_ = F.when(F.col("n_chars") % 2 == 0, "\t0x1Fpx").otherwise("-0X1a")
+    return rows.select("doc_id", js_int(hex_).alias("hex"), js_int(F.concat((F.lit(4294967296) + F.col("n_chars")).cast("string"), F.lit("e5"))).alias("large"))

@@ -21,8 +21,9 @@ DEBATES = {"Chapter": "int", "Verse": "int", "Face_Annotation": "string", "Greek
 ABSENT = {"Translation": "", "Notes": "", "Model": "Unknown", "Score": 0, "Model_Analysis": "", "Debate": "[]", "Closing_Statements": "[]"}
 
 
-def _csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """Columns by header name, in any case; an unnamed index column and unknown ones are left out."""
+def _csv(spark: SparkSession, path: str, columns: dict[str, str], strict: tuple[str, ...] = ()) -> DataFrame:
+    """Columns by header name, in any case; an unnamed index column and unknown ones are left out. The strict ones stay
+    strings, for strict_keys()."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
     have = {c.lower(): c for c in raw.columns}
     out = []
@@ -33,7 +34,7 @@ def _csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
             c = F.lit(ABSENT[name])
         else:
             raise ValueError(f"{path} has no column {name}")
-        out.append(c.cast(kind).alias("greek_text" if name == "GreekText" else name.lower()))
+        out.append((c if name in strict else c.cast(kind)).alias("greek_text" if name == "GreekText" else name.lower()))
     ordered = raw.select(*out, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"))
     first = ordered.groupBy("file").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = first.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -42,7 +43,7 @@ def _csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Rows without a chapter or verse fail the job, as those do whose chapter or verse is no integer."""
-    return strict_keys(_csv(spark, path, GROUND_TRUTH), "chapter", "verse")
+    return strict_keys(_csv(spark, path, GROUND_TRUTH, ("Chapter", "Verse")), "chapter", "verse")
 
 
 def individual(spark: SparkSession, path: str) -> DataFrame:

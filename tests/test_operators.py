@@ -164,3 +164,50 @@ def test_stream(spark, tmp_path):
 def test_markdown(spark):
     df = spark.createDataFrame([(1, "a|b\nc"), (2, None)], "n int, t string")
     assert sinks.markdown(df) == "| n | t |\n| --- | --- |\n| 1 | a\\|b c |\n| 2 |  |"
+
+
+def test_rejected_report_files(spark, tmp_path):
+    """A broken file is named, and the good ones stay."""
+    good = {"book": "b", "chapter": 1, "category": "c", "analysis": [{"verse": 1, "greek": "one"}]}
+    for name, text in (("a", json.dumps(good)), ("b", '{"chapter": 1,'), ("c", json.dumps(good | {"chapter": 0})), ("d", json.dumps(good | {"analysis": None}))):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert {r.file: r.reason for r in readers.rejected(spark, str(tmp_path)).collect()} == {"b.json": "no JSON of a report", "c.json": "no chapter", "d.json": "no list of segments"}
+    assert [r.segment.greek for r in views.index(readers.reports(spark, str(tmp_path))).collect()] == ["one"]
+
+
+def test_ground_truth_keys(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("Chapter,Verse,GreekText,Face,Notes\n1, 2,a,f,n\n")
+    assert readers.ground_truth(spark, str(tmp_path / "g.csv")).first().verse == 2
+    for bad in (",2", "x,2"):
+        (tmp_path / "b.csv").write_text(f"Chapter,Verse,GreekText,Face,Notes\n{bad},a,f,n\n")
+        with pytest.raises(Exception, match="chapter is no integer"):
+            readers.ground_truth(spark, str(tmp_path / "b.csv")).select("greek_text").collect()
+
+
+def test_strict_answers(spark):
+    """An analysis without a score fails the run, with the first 50 characters of the answer."""
+
+    class Silent(workflow.StubScorer):
+        def score(self, agent, prompt):
+            return json.dumps({"reasoning": "r" * 80})
+
+        def review(self, agent, analysis, round_):
+            return "no review"
+
+    truth = spark.createDataFrame([(1, 1, "g", "f", None, 1)], schemas.GROUND_TRUTH)
+    verses = spark.createDataFrame([("PHM", 1, 1, "text")], "book string, chapter int, verse int, text string")
+    with pytest.raises(Exception, match=r'no score or reasoning in: \{"reasoning": "r{35}[^r]'):
+        batch.opening_statements(truth, verses, Silent()).select("score").collect()
+
+
+def test_contexts_agree(spark):
+    rows = individual(spark, (1, 1, "α", None, 3, 5), (1, 1, "b", "f", 4, 9))
+    reviews = [r.asDict() for r in rows.orderBy("row_ord").collect()]
+    assert lookup.debate_context(rows).first().context == workflow.debate_context(reviews)
+
+
+def test_plans_have_no_window_over_payload(spark, tmp_path):
+    """Reports are ordered by their files' names alone."""
+    (tmp_path / "a.json").write_text(json.dumps({"book": "b", "chapter": 1, "category": "c", "analysis": []}))
+    plan = readers.reports(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan[plan.index("Window") :]
