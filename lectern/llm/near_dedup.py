@@ -7,7 +7,9 @@ into five 64-bit words, make the signature. A pair from a bucket is first judged
 count, corrected for chance collisions); pairs that may reach the threshold are confirmed on their full sets.
 
 A bucket never emits all of its pairs. Its centre, the document that meets the most others, is paired with the rest,
-and what is linked with it is done. Let A be a document around a centre C that is not linked with it, and B another
+and what is linked with it is done. Each document is first tried with the one of its buckets' centres that meets the most;
+a bucket then takes the best centre that one of its documents is linked with, so that the many buckets of a large
+group share a centre. Let A be a document around a centre C that is not linked with it, and B another
 one. If A and B reach the threshold t, then either
 (1) they share a shingle that C lacks, and one among the first |A| - ceil(t |A|) + 1 of those of each, in one order; or
 (2) all that they share is in C, so |A & C| >= t / (1 + t) (|A| + |B|), which bounds the size of B.
@@ -279,9 +281,18 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     degree, n = common.table_n(bucket.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree")
     sets = common.table(common.only_ids(docs, degree, n).mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
     rows = bucket.select("key", "doc_id").join(degree, "doc_id")
-    centres = rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("a"))
-    pairs = common.table(bucket.join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    links, n = _links(pairs, slim, sets, threshold)
+    rows = common.table(rows, "rows")
+    centres = common.table(rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("neg"))).alias("c")), "first")
+    met = rows.select("key", "doc_id").join(centres, "key").filter("doc_id <> -c.neg").groupBy(F.col("doc_id").alias("b")).agg(F.max("c").alias("c"))
+    tried = common.table(met.select((-F.col("c.neg")).alias("a"), "b"), "tried")
+    first, n = _links(tried, slim, sets, threshold)
+    # Buckets with a document that is linked with the centre of a larger one take that centre: overlapping buckets share one.
+    home = first.join(degree.withColumnRenamed("doc_id", "a"), "a").select(F.col("b").alias("doc_id"), F.struct("degree", (-F.col("a")).alias("neg")).alias("h"))
+    better = rows.select("key", "doc_id").join(home, "doc_id").groupBy("key").agg(F.max("h").alias("h"))
+    centres = centres.join(better, "key", "left").select("key", (-F.greatest("c", "h")["neg"]).alias("a"))
+    pairs = common.table(rows.select("key", "doc_id").join(centres, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    links, more = _links(pairs.join(tried, ["a", "b"], "left_anti"), slim, sets, threshold)
+    links, n, pairs = links.union(first), n + more, common.table(pairs.union(tried).distinct(), "pairs")
     labels = components(links, n)
     around = pairs.join(labels.select(F.col("doc_id").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     apart = around.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("a")
