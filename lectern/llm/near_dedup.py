@@ -182,10 +182,14 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     columns = ["n_shingles", *SIGNATURE]
     x = signed.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in columns])
     y = signed.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in columns])
-    differ = " + ".join(f"bit_count(((x_{s} ^ y_{s}) | shiftrightunsigned(x_{s} ^ y_{s}, 1)) & {_ODD}L)" for s in SIGNATURE)
     sizes = f"100 * least(x_n_shingles, y_n_shingles) >= {threshold} * greatest(x_n_shingles, y_n_shingles)"
-    estimate = f"((1 - ({differ}) / {LANES}D) - 0.25D) / 0.75D"
-    return pairs.join(y, "b").join(x, "a").filter(sizes).filter(f"{estimate} >= {threshold / 100 - SLACK}").select("a", "b")
+    return pairs.join(y, "b").join(x, "a").filter(sizes).filter(_alike("x_", "y_", threshold)).select("a", "b")
+
+
+def _alike(x: str, y: str, threshold: int) -> str:
+    """SQL: do the signatures in columns with these prefixes allow the threshold."""
+    differ = " + ".join(f"bit_count((({x}{s} ^ {y}{s}) | shiftrightunsigned({x}{s} ^ {y}{s}, 1)) & {_ODD}L)" for s in SIGNATURE)
+    return f"((1 - ({differ}) / {LANES}D) - 0.25D) / 0.75D >= {threshold / 100 - SLACK}"
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -301,6 +305,8 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     own = own.join(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").filter("count >= greatest(8, n / 4)")
     own = common.table(own.groupBy("a").agg(F.collect_list("shingle").alias("common")), "common")
     bucket, n = common.table_n(_with_sets(near.join(own, "a", "left"), sets).mapInArrow(common.released(_regroup(threshold)), REGROUPED).withColumn("used", F.lit(False)), "bucket")
+    if n:
+        bucket = common.table(bucket.join(slim.drop("n_shingles"), "doc_id"), "bucket")  # the join below looks at signatures, so that unlikely pairs are never rows
     tested, width = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), 64
     while n:
         placed = bucket.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -308,11 +314,11 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
         bucket = common.table(placed.join(spans.select("key", "main"), "key"), "bucket")
         # A document of the main component that both seeks and offers is met by those of the others.
         free = bucket.filter("seeks and not used and not (offers and label = main)").withColumn("part", F.expr(f"pmod(xxhash64(doc_id, {width}L), {width})"))
-        chosen = free.groupBy("key", "part").agg(F.expr("min(struct(doc_id, label, low, high, size, shared))").alias("c"))
-        centres, n = common.table_n(chosen.select("key", F.col("c.doc_id").alias("c"), F.col("c.label").alias("c_label"), *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("low", "high", "size", "shared")]), "centres")
+        chosen = free.groupBy("key", "part").agg(F.expr(f"min(struct(doc_id, label, low, high, size, shared, {', '.join(SIGNATURE)}))").alias("c"))
+        centres, n = common.table_n(chosen.select("key", F.col("c.doc_id").alias("c"), F.col("c.label").alias("c_label"), *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("low", "high", "size", "shared", *SIGNATURE)]), "centres")
         if not n:
             break
-        met = bucket.filter("offers").join(centres, "key").filter(f"label <> c_label and size between c_low and c_high and {100 + threshold} * least(shared, c_shared) >= {threshold} * (size + c_size)")
+        met = bucket.filter("offers").join(centres, "key").filter(f"label <> c_label and size between c_low and c_high and {100 + threshold} * least(shared, c_shared) >= {threshold} * (size + c_size) and {_alike('', 'c_', threshold)}")
         met = met.select(F.least("doc_id", "c").alias("low"), F.greatest("doc_id", "c").alias("high")).distinct()
         pairs, n = common.table_n(met.join(tested, ["low", "high"], "left_anti"), "pairs")
         taken = centres.select("key", F.col("c").alias("doc_id"), F.lit(True).alias("now"))
