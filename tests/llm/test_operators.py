@@ -1,6 +1,7 @@
 """Each operator beside a plain version, on texts with copies, near copies, shared passages and odd cases."""
 
 import random
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,16 @@ def test_exact_dedup_odd_rows(spark, documents):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got.collect()) == [(0, 0, 1, True), (0, 2, 3, False), (2, 2, 3, True), (2, 2, 3, True), (3, 3, 2, True), (4, 3, 2, False)]
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", "ACGT", "0123456789", string.ascii_letters + string.digits + "+/", "的一是不了人我在有他这为之大来以个中上们", "กขคงจชซดตนบปพมยรลวสหอะาิี"])
+def test_exact_dedup_cuts_without_spaces(spark, documents, alphabet):
+    """An insertion into text without spaces moves the cuts near it only, and no other text's."""
+    text = "".join(random.Random(9).choices(alphabet, k=200_000))
+    docs = documents((1, text), (2, text[:60_000] + "x" + text[60_000:]), (3, text))
+    one, two = (set(r.recipe) for r in exact_dedup.recipes(docs).filter("doc_id < 3").orderBy("doc_id").collect())
+    assert len(one) > 100 and len(one - two) <= 3
+    assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.dedup_exact(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
 def items():
     rng = random.Random(5)
     words = [" ".join(t.split()[k : k + 25]) for _, t in DOCS if t and len(t.split()) > 40 for k in (rng.randrange(10),)]
