@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, pii, substring_dedup, token_counts, token_output
+from lectern.llm import decontaminate, exact_dedup, fill_middle, html_extract, langid, mixing, near_dedup, pii, substring_dedup, token_counts, token_output, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_output": token_output.op10_token_output,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_url_filters": url_filters.op12_url_filters,
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
@@ -26,4 +28,6 @@ SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_near_dedup": near_dedup.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_url_filters": url_filters.OP12_SQL,
 }

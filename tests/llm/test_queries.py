@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, sf, name):
 def test_query_is_whole(spark, sf, name):
     got = registry.QUERIES[name](spark, sf)
     if name != "op5_token_counts":
-        table = "pages" if name.startswith("op6") else "documents"
+        table = "pages" if name.startswith(("op6", "op12")) else "documents"
         assert got.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
 
