@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, exact_dedup, fill_middle, html_extract, langid, mixing, near_dedup, pii, substring_dedup, token_counts, token_output, url_filters
+from lectern.llm import cross_tokens, decontaminate, exact_dedup, fill_middle, html_extract, langid, mixing, near_dedup, pii, substring_dedup, token_counts, token_output, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": token_output.op10_token_output,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_url_filters": url_filters.op12_url_filters,
+    "op13_cross_tokens": cross_tokens.op13_cross_tokens,
 }
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
