@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,8 @@ def base_spans(raw: bytes, at: bool = True, plus: bool = True, digit: bool = Tru
     out = [(s, 0, e) for s, e in emails(raw)] if at else []
     if digit:
         for m in _ip.finditer(raw):
-            if all(len(x.lstrip(b"0")) < 4 and int(x) <= 255 for x in m[0].split(b".")):
+            parts = [x.lstrip(b"0") for x in m[0].split(b".")]
+            if all(len(x) < 4 and int(x or b"0") <= 255 for x in parts):
                 out.append((m.start(), 1, m.end()))
         for m in _card.finditer(raw):
             if m.end() - m.start() >= 14 and 14 <= len(d := _digits.sub(b"", m[0])) <= 19 and luhn(d):
@@ -116,18 +118,14 @@ def _found(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> dict[int
     for i in np.flatnonzero(at | digit):
         if spans := base_spans(data[offsets[i] : offsets[i + 1]].tobytes(), at[i], plus[i] and digit[i], digit[i]):
             out[int(i)] = spans
-    for i, s, e in secrets(data, offsets, pairs):
-        known = out.setdefault(i, [])
-        if not any(k != SECRET and a < e and s < b for a, k, b in _around(known, s, e)):
-            known.append((s, SECRET, e))
-            known.sort()
+    for i, mine in groupby(secrets(data, offsets, pairs), lambda x: x[0]):
+        _, starts, ends = zip(*mine, strict=True)
+        known = out.get(i, [])
+        free = ~_covered(known, np.array(starts), np.array(ends))  # runs don't overlap each other
+        out[i] = sorted([*known, *((s, SECRET, e) for s, e, good in zip(starts, ends, free.tolist(), strict=True) if good)])
     return {i: spans for i, spans in out.items() if spans}
 
 
-def _around(spans: list[tuple[int, int, int]], s: int, e: int) -> list[tuple[int, int, int]]:
-    return [x for x in spans if x[0] < e and s < x[2]]
-
-
 def secrets(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int, int]]:
     """(text, start, end) of runs of letters and digits that the corpus finds unlikely."""
     runs = Words(data, offsets, ALNUM)
@@ -340,7 +338,7 @@ def _mark(terms: dict[bytes, int], pairs: np.ndarray):
                 tells = np.array([terms.get(words.word(k), 0) for k in mine.tolist()])
                 spans, near = found.get(i, []), dict.fromkeys(mine.tolist(), ENTITY)
                 for (_, kind, _), close in _near(words, i, offsets[i], spans):
-                    for k in close[np.isin(close, mine)].tolist():
+                    for k in close[_among(close, mine)].tolist():
                         near[k] |= 1 << kind
                 tells &= np.array([near[k] for k in mine.tolist()])
                 s, e = words.starts[mine] - offsets[i], words.ends[mine] - offsets[i]
