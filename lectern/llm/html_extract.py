@@ -16,7 +16,9 @@ its children (presentation) and each of its texts (content, cut at separators su
   seen once or twice takes the importance of its branch, and no number of pages switches anything on.
 
 Of nodes below THRESHOLD, blocks go whose own texts are below it as well: a page's own text stays in a node that
-is template elsewhere. What the tree can't know, as its text is new on each page (reader comments, forms, adverts), goes
+is template elsewhere. A line is judged with the branch that it stands in: headings, paragraphs and list lines that recur
+go only where the whole branch (a menu, a box; inside an article a div, section or the like) is low, so an article keeps its "Ingredients" on
+however many pages it stands, and lines right under article or main stay. What the tree can't know, as its text is new on each page (reader comments, forms, adverts), goes
 by tag, role or class (hints), but an article in a form or in a layout of such a class stays, and inside an article only
 whole class names count.
 
@@ -27,7 +29,8 @@ it, say) are different pages: where they are most of a host, what they share is
 Counts are summed by Spark, and a host with a third of all pages is spread by node, text and page.
 
 Cases: null and empty html give the empty text; a null or odd url is the host of that spelling; unclosed and crossing
-tags are closed the way browsers close them; character references are decoded within one text node; repeated pages count
+tags are closed the way browsers close them, in time linear in the page; nodes more than DEPTH blocks deep count as the
+one at that depth; an article's own header keeps its headings; character references are decoded within one text node; repeated pages count
 once; an empty table gives an empty result; other columns are not read.
 """
 
@@ -60,18 +63,23 @@ VOID = _words("area base br col embed hr img input link meta param source track
 RAW = _words("script style textarea title noscript iframe noembed noframes xmp")
 BLOCK = _words("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul")
 #: Never text of a page: markup, controls and media.
-NO_TEXT = _words("head script style noscript template button select textarea input iframe object svg canvas noembed noframes title datalist math audio video")
+NO_TEXT = _words("head script style noscript template button select textarea input iframe object svg canvas noembed noframes title datalist audio video")
 #: Elements, roles and classes that say that they are no article; extract(hints=False) does without them.
 HINT_TAGS = _words("nav header footer aside form menu dialog")
 CONTENT = _words("article main")
 HINT_CLASSES = _words("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies notice notices cookie cookies consent gdpr popup modal newsletter subscribe share social related widget")
 HINT_ROLES = _words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar")
 COMMENTS = _words("comment comments reply replies disqus")
+#: Running elements, which the tree judges with what they stand in; inside an article all but BRANCHES are such.
+FLOW = _words("address blockquote caption dd dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr legend li option p pre summary tr")
+BRANCHES = _words("aside center details dir div fieldset form nav section")
 #: An element that opening the first closes, up to the nearest of the second.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select datalist")}
 CLOSES = {k: (_words(a), _words(b)) for k, (a, b) in CLOSES.items()}
 
-_tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_open = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)")
+_stop = re.compile(r"""[>"']""")
+_left_open = re.compile(r"</(nav|header|footer|aside|head)(?=[\s>/])", re.I)
 _attribute = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _part = re.compile(r"[^\s_-]+")
 _cut = re.compile(r"[|·•»\n]+|\s[–—]\s")
@@ -89,13 +97,14 @@ def _path(parent: int, signature: str) -> int:
     return _paths[key]
 
 
-# What is known of an element: no text at all, a hint that it is no article, a hint that an article in it lifts.
-NEVER, HINT, WEAK = 2, 1, 3
+# What is known of an element: no text at all, a hint that it is no article, a hint that an article in it lifts, an
+# article's own header, whose headings stay.
+NEVER, HINT, WEAK, OWN = 2, 1, 3, 4
 
 
 def _looks(name: str, attributes: str, inside: bool) -> tuple[str, int]:
     """(the element's style, 0 or what its tag, role or class says). inside: it stands in an article."""
-    said = NEVER if name in NO_TEXT else WEAK if name == "form" else HINT if name in HINT_TAGS else 0
+    said = NEVER if name in NO_TEXT else WEAK if name == "form" else OWN if inside and name == "header" else HINT if name in HINT_TAGS else 0
     if not attributes or "=" not in attributes:
         return name, said
     style = name
@@ -103,12 +112,12 @@ def _looks(name: str, attributes: str, inside: bool) -> tuple[str, int]:
         value, kind = (a or b or c).lower(), kind.lower()
         if kind == "class":
             style = f"{name}.{' '.join(value.split())}"
-        if said or name in ("html", "body"):
+        if said not in (0, OWN) or name in ("html", "body"):
             continue
         if name in CONTENT:
             said = HINT if kind != "role" and any(x in COMMENTS for x in _part.findall(value)) else 0
         elif kind == "role":
-            said = HINT if value in HINT_ROLES else 0
+            said = HINT if value in HINT_ROLES else said
         elif any(x in HINT_CLASSES for x in value.split()):
             said = HINT
         elif not inside and any(x in HINT_CLASSES for x in _part.findall(value)):
@@ -116,39 +125,77 @@ def _looks(name: str, attributes: str, inside: bool) -> tuple[str, int]:
     return style, said
 
 
+class _Tags:
+    """Tags of a page. One ends at the first > outside quotes. Each character is looked at a bounded number of times: where
+    a quote is left open to the page's end, tags from there on end at their first >."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.quotes = source, source.rfind(">"), True
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str] | None:
+        """(start, end, slash, name, attributes) of the next tag; comments and declarations have no name."""
+        source = self.source
+        found = _open.search(source, at)
+        if not found:
+            return None
+        start, at = found.span()
+        if at - start == 4 and source.startswith("<!--", start):
+            end = source.find("-->", at)
+            return start, len(source) if end < 0 else end + 3, "", None, ""
+        if start > self.last:
+            return None
+        end = self._end(at, found[2] is not None)
+        return start, end, found[1] or "", found[2], source[at : end - 1]
+
+    def _end(self, at: int, named: bool) -> int:
+        end = at
+        while named and self.quotes:
+            mark = _stop.search(self.source, end)
+            if not mark:
+                self.quotes = False
+            elif mark[0] == ">":
+                return mark.end()
+            elif (end := self.source.find(mark[0], mark.end()) + 1) == 0:
+                self.quotes = False
+        return self.source.find(">", at) + 1
+
+
 class Page:
-    """One page in order. blocks: lists of (path, hinted, inside an article, in a link, text); layouts: of each path,
-    the styles of the blocks in it; above: of each path, the one it stands in (0: none)."""
+    """One page in order. blocks: lists of (path, hinted, inside an article, in a link, text, branch); branch is the path
+    of the branch that a block is judged with, None right in an article. layouts: of each path, the styles of the blocks in it; above: of
+    each path, the one it stands in (0: none)."""
 
     def __init__(self, source: str):
         self.blocks: list[list[tuple]] = [[]]
         self.layouts: dict[int, list[str]] = defaultdict(list)
         self.above: dict[int, int] = {}
         self.headings: set[int] = set()
-        stack = [("", 0, 0, False, False)]  # name, path of its block, what was said, inside an article, in a link
-        at, n = 0, len(source)
-        while at < n:
-            found = _tag.search(source, at)
-            start = found.start() if found else n
+        # Open elements: name, path of its block, what was said, inside an article, in a link, branch. Where those of each
+        # name stand, and where blocks do.
+        self.stack = [("", 0, 0, False, False, 0)]
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.open_blocks = [0]
+        self.closed = {m[1].lower(): m.start() for m in _left_open.finditer(source)}
+        stack, at, n = self.stack, 0, len(source)
+        reader = _Tags(source)
+        while tag := reader.next(at):
+            start, end, slash, name, attributes = tag
             if start > at:
                 self._text(stack[-1], source[at:start])
-            if not found:
-                break
-            at = found.end()
-            name = found[2]
+            at = end
             if name is None:
                 continue
             name = name.lower()
-            if found[1]:
-                self._close(stack, name)
+            if slash:
+                self._close(name)
                 continue
             if name == "br":
                 self._text(stack[-1], " ")
             if name in BLOCK:
                 self._end()
-                self._close_implied(stack, name, source, at)
-            _, path, said, inside, link = stack[-1]
-            style, mine = _looks(name, found[3], inside)
+                self._close_implied(name, at)
+            _, path, said, inside, link, branch = stack[-1]
+            style, mine = _looks(name, attributes, inside)
             if name in BLOCK:
                 self.layouts[path].append(style)
                 if len(stack) <= DEPTH:
@@ -157,69 +204,71 @@ class Page:
                     if _heading.fullmatch(name):
                         self.headings.add(path)
                 self.layouts[path]  # a node without blocks in it has the empty layout
+                branch = None if name in CONTENT else path if (name in BRANCHES if inside else name not in FLOW) else branch
             if name in VOID:
                 continue
-            if name in CONTENT and not inside and said == WEAK:
+            if (name in CONTENT and not inside and said == WEAK) or (said == OWN and _heading.fullmatch(name)):
                 said = 0
             said = NEVER if NEVER in (said, mine) else said if said else mine
             if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                ending = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                 if said != NEVER:
-                    self._text((name, path, said, inside, link), source[at : end.start() if end else n])
-                at = end.end() if end else n
+                    self._text((name, path, said, inside, link, branch), source[at : ending.start() if ending else n])
+                at = ending.end() if ending else n
                 continue
-            if not found[3].endswith("/") or name in BLOCK:
-                stack.append((name, path, said, inside or name in CONTENT, link or name == "a"))
+            if not attributes.endswith("/") or name in BLOCK:
+                self.open[name].append(len(stack))
+                if name in BLOCK:
+                    self.open_blocks.append(len(stack))
+                stack.append((name, path, said, inside or name in CONTENT, link or name == "a", branch))
+        if at < n:
+            self._text(stack[-1], source[at:])
         self._end()
 
     def _text(self, top: tuple, raw: str) -> None:
-        _, path, said, inside, link = top
+        _, path, said, inside, link, branch = top
         if said != NEVER:
-            self.blocks[-1].append((path, said != 0, inside, link, entities.unescape(raw) if "&" in raw else raw))
+            self.blocks[-1].append((path, said != 0, inside, link, entities.unescape(raw) if "&" in raw else raw, branch))
 
     def _end(self) -> None:
         if self.blocks[-1]:
             self.blocks.append([])
 
-    def _close(self, stack: list, name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                break
-            if name not in BLOCK and stack[i][0] in BLOCK:
-                break
+    def _cut(self, i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        while len(self.stack) > i:
+            self.open[self.stack.pop()[0]].pop()
+            if self.open_blocks[-1] == len(self.stack):
+                self.open_blocks.pop()
+
+    def _last(self, names: frozenset[str]) -> int:
+        """Where the innermost open element of these names stands; 0 without any."""
+        return max((self.open[x][-1] for x in names if self.open.get(x)), default=0)
+
+    def _close(self, name: str) -> None:
+        """An inline element's end doesn't reach out of the block that it stands in."""
+        at = self.open.get(name)
+        if at and (name in BLOCK or at[-1] > self.open_blocks[-1]):
+            self._cut(at[-1])
         if name in BLOCK:
             self._end()
 
-    def _close_implied(self, stack: list, name: str, source: str, at: int) -> None:
+    def _close_implied(self, name: str, at: int) -> None:
         if name in CONTENT:  # an article doesn't stand in a menu that was left open
-            for i in range(1, len(stack)):
-                open_ = stack[i][0]
-                if open_ in ("nav", "header", "footer", "aside", "head") and not re.compile(f"</{open_}", re.I).search(source, at):
-                    del stack[i:]
-                    break
-        if name == "body":
-            for i in range(1, len(stack)):
-                if stack[i][0] == "head":
-                    del stack[i:]
-                    break
-        for i in range(len(stack) - 1, 0, -1):  # a block ends the paragraph that it stands in
-            if stack[i][0] == "p":
-                del stack[i:]
-                break
-            if stack[i][0] in BLOCK:
-                break
+            left = [self.open[x][0] for x in ("nav", "header", "footer", "aside", "head") if self.open.get(x) and self.closed.get(x, -1) < at]
+            if left:
+                self._cut(min(left))
+        if name == "body" and self.open.get("head"):
+            self._cut(self.open["head"][0])
+        if self.stack[self.open_blocks[-1]][0] == "p":  # a block ends the paragraph that it stands in
+            self._cut(self.open_blocks[-1])
         if name in CLOSES:
             ends, limit = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in limit:
-                    break
-                if stack[i][0] in ends:
-                    last = i
-                    while last > 1 and stack[last - 1][0] in ends:
-                        last -= 1
-                    del stack[last:]
-                    break
+            last = self._last(ends)
+            if last > self._last(limit):
+                while last > 1 and self.stack[last - 1][0] in ends:
+                    last -= 1
+                self._cut(last)
 
     def pieces(self, block: list[tuple]) -> list[tuple[str, bool]]:
         """The texts of a block, and whether they are links."""
@@ -242,17 +291,18 @@ class Page:
         """Blocks that stay, one a line. low: of each path to look at, the importance of texts below 1, by digest."""
         keep = []
         for block in self.blocks:
-            if not block:
-                continue
-            path = block[0][0]
-            if path in low and (pieces := self.pieces(block)):
-                known, size = low[path], sum(len(t) for t, _ in pieces)
-                if sum(0.0 if link else len(t) * known.get(_digest(t), 1.0) for t, link in pieces) < THRESHOLD * size:
-                    continue
-            if text := " ".join("".join([x[4] for x in block if not (hints and x[1])]).split()):
-                keep.append(text)
+            if block and not self._template(block, low):
+                if text := " ".join("".join([x[4] for x in block if not (hints and x[1])]).split()):
+                    keep.append(text)
         return "\n".join(keep)
 
+    def _template(self, block: list[tuple], low: dict[int, dict[int, float]]) -> bool:
+        """Whether the tree cuts a block: it and the branch that it is judged with are low, and so are its texts."""
+        path, branch = block[0][0], block[0][5]
+        if path not in low or branch not in low or not (pieces := self.pieces(block)):
+            return False
+        known, size = low[path], sum(len(t) for t, _ in pieces)
+        return sum(0.0 if link else len(t) * known.get(_digest(t), 1.0) for t, link in pieces) < THRESHOLD * size
 
 def _digest(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
