@@ -249,15 +249,41 @@ def all_personal(texts, near=8, contexts=4, posterior=0.5, bits=5.0, diversity=0
     return said, clean
 
 
-def site_texts(pages, threshold=0.4, balance=0.9, prior=6):
-    """The texts that a style tree leaves of (page_id, host, html): well-formed pages of div, p, h1, ul, li, article, a
-    and b, without hints."""
+def told(name, attrs, inside):
+    """What tag, role and class say of an element: never text, no article (hint), no article unless one is in it (weak), an
+    article's own header (own)."""
+    from lectern.llm.html_extract import COMMENTS, CONTENT, HINT_CLASSES, HINT_ROLES, HINT_TAGS, NO_TEXT
+
+    attrs = dict(attrs)
+    classes, role = (attrs.get("class") or "").lower(), (attrs.get("role") or "").lower()
+    names = [classes, (attrs.get("id") or "").lower()]
+    if name in NO_TEXT:
+        return "never"
+    if name in CONTENT:
+        return "hint" if any(x in COMMENTS for n in names for x in re.findall(r"[^\s_-]+", n)) else ""
+    if name == "form":
+        return "weak"
+    if name in HINT_TAGS and not (inside and name == "header"):
+        return "hint"
+    if role in HINT_ROLES or any(x in HINT_CLASSES for n in names for x in n.split()):
+        return "hint"
+    if not inside and any(x in HINT_CLASSES for n in names for x in re.findall(r"[^\s_-]+", n)):
+        return "weak"
+    return "own" if name == "header" and inside else ""
+
+
+def site_texts(pages, threshold=0.4, balance=0.9, prior=6, hints=False):
+    """The texts that a style tree, and hints beside it, leave of (page_id, host, html): well-formed pages of block
+    elements, a and b."""
     from html.parser import HTMLParser
 
+    from lectern.llm.html_extract import BRANCHES, FLOW
+
     class Blocks(HTMLParser):
         def __init__(self, source):
             super().__init__(convert_charrefs=True)
             self.path, self.links, self.blocks, self.children, self.article = [], 0, [[]], defaultdict(list), []
+            self.said = [""]
             self.feed(source)
             self.close()
 
@@ -268,6 +294,11 @@ def site_texts(pages, threshold=0.4, balance=0.9, prior=6):
             self.blocks.append([])
             style = ".".join([tag, *(v for k, v in attrs if k == "class")])
             self.children[tuple(self.path)].append(style)
+            inside = any(x.split(".")[0] in ("article", "main") for x in self.path)
+            mine, above = told(tag, attrs, inside), self.said[-1]
+            if (tag in ("article", "main") and not inside and above == "weak") or (above == "own" and re.fullmatch("h[1-6]", tag)):
+                above = ""
+            self.said.append("never" if "never" in (mine, above) else above or mine)
             self.path.append(style)
             self.children[tuple(self.path)]
 
@@ -276,23 +307,26 @@ def site_texts(pages, threshold=0.4, balance=0.9, prior=6):
                 self.links -= tag == "a"
                 return
             self.path.pop()
+            self.said.pop()
             self.blocks.append([])
 
         def handle_data(self, data):
-            self.blocks[-1].append((tuple(self.path), self.links > 0, data))
-            if "article" in self.path:
+            if self.said[-1] == "never":
+                return
+            self.blocks[-1].append((tuple(self.path), self.links > 0, data, self.said[-1] != ""))
+            if any(x.split(".")[0] == "article" for x in self.path):
                 self.article.append(data)
 
     squeeze = lambda t: " ".join(t.split())
 
     def pieces(block):
         for link in (False, True):
-            for one in re.split(r"[|·•»\n]+|\s[–—]\s", "".join(t if x == link else "\n" for _, x, t in block)):
+            for one in re.split(r"[|·•»\n]+|\s[–—]\s", "".join(t if x == link else "\n" for _, x, t, _ in block)):
                 if one := squeeze(one).lower():
-                    yield one, link and not block[0][0][-1].startswith("h1")
+                    yield one, link and not (block[0][0] and re.match("h[1-6]", block[0][0][-1]))
 
     parsed = [(i, host, Blocks(source)) for i, host, source in pages]
-    which = {i: squeeze("".join(p.article or [t for b in p.blocks for _, _, t in b])) for i, _, p in parsed}
+    which = {i: squeeze("".join(p.article or [t for b in p.blocks for _, _, t, _ in b])) for i, _, p in parsed}
     having, layouts = defaultdict(set), defaultdict(set)
     for i, host, p in parsed:
         for block in p.blocks:
@@ -339,16 +373,133 @@ def site_texts(pages, threshold=0.4, balance=0.9, prior=6):
         above = 1.0 if not path else passed(host, path[:-1])
         return shrunk(raw[host, path], m[host, path], min(above, elsewhere[path]))
 
+    def branch(path):
+        """What a block is judged with: the last branch above it, within its article if it stands in one."""
+        found, inside = (), False
+        for k, name in enumerate(x.split(".")[0] for x in path):
+            if name in ("article", "main"):
+                found, inside = None, True
+            elif name in BRANCHES if inside else name not in FLOW:
+                found = path[: k + 1]
+        return found
+
     out = {}
     for i, host, p in parsed:
         keep = []
         for block in p.blocks:
-            text = squeeze("".join(t for _, _, t in block))
-            if not text:
-                continue
-            path, own = block[0][0], list(pieces(block))
-            mean = sum(len(t) * importance[host, path, link, t] for t, link in own) / sum(len(t) for t, _ in own)
-            if passed(host, path) >= threshold or mean >= threshold:
+            text = squeeze("".join(t for _, _, t, hinted in block if not (hints and hinted)))
+            path, own = (block[0][0], list(pieces(block))) if block else ((), [])
+            with_ = branch(path)
+            if own and with_ is not None and passed(host, path) < threshold and passed(host, with_) < threshold:
+                if sum(len(t) * importance[host, path, link, t] for t, link in own) < threshold * sum(len(t) for t, _ in own):
+                    continue
+            if text:
                 keep.append(text)
         out[i] = "\n".join(keep)
     return out
+
+
+def fill_middle(docs, marks=("<P>", "<S>", "<M>"), rate=90, suffix_first=20):
+    out = []
+    for i, text in docs:
+        text = text or ""
+        h = hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+        h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+        units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+        n = len(units)
+        a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+        p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        if not text or any(x in text for x in marks) or h3 % 100 >= rate:
+            out.append((i, n, "plain", None, None, text))
+        elif h4 % 100 < suffix_first:
+            out.append((i, n, "spm", len(p), len(m), f"{marks[1]}{s}{marks[0]}{p}{marks[2]}{m}"))
+        else:
+            out.append((i, n, "psm", len(p), len(m), f"{marks[0]}{p}{marks[1]}{s}{marks[2]}{m}"))
+    return out
+
+
+def cross(docs, path_a, path_b):
+    """Tokens of whole texts, aligned one by one."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    a, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    held, pairs, best = [], Counter(), {}
+    for i, text in docs:
+        x, ids = a.encode(f" {text or ''}", add_special_tokens=False), b.encode(text or "")
+        left = [bytes(byte[c] for c in t) for t in x.tokens]
+        right = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("\u2581", " ").encode() for k in ids]
+        found = []
+        if text and b"".join(left) == b"".join(right) == f" {text}".encode():
+            j = k = end_a = end_b = 0
+            group = [], []
+            while j < len(left) or k < len(right):
+                if end_a <= end_b:
+                    end_a += len(left[j])
+                    group[0].append(x.ids[j])
+                    j += 1
+                else:
+                    end_b += len(right[k])
+                    group[1].append(ids[k])
+                    k += 1
+                if end_a == end_b:
+                    found.append(group)
+                    group = [], []
+        links = Counter((p, q) for g, h in found for p in g for q in h)
+        pairs.update(links.keys())
+        held.append((i, found, links))
+    for (p, _), n in pairs.items():
+        best[p] = max(best.get(p, 0), n)
+    out = []
+    for i, found, links in held:
+        said = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in found)
+        liked = sum(n for (p, q), n in links.items() if pairs[p, q] == best[p])
+        out.append((i, sum(len(g) for g, _ in found), sum(len(h) for _, h in found), len(found), sum(links.values()), liked, sum(n * pairs[x] for x, n in links.items()), sha(said) if found else ""))
+    return out
+
+
+def verdicts(pages, outcomes, rules, max_bad=0.25, z=1.645):
+    """(page_id, host, path, rule, verdict) of (page_id, url); outcomes: page_id to bad."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = []
+    for i, url in pages:
+        host, path = re.search("://([^/?#]*)([^?#]*)", url).groups() if url and "://" in url else ("", "")
+        cut.append((i, host.translate(lower), path))
+    n, bad = Counter(), Counter()
+    for i, host, _ in cut:
+        n[host] += i in outcomes
+        bad[host] += outcomes.get(i, False)
+
+    def parts(host):
+        bare = re.sub("^[^@]*@", "", re.sub(":[0-9]*$", "", host))
+        labels = bare.split(".")
+        if re.match(r"^(?:[0-9.]+$|\[)", bare):
+            return "", ("", bare)
+        k = 2 if ".".join(labels[-2:]) in ("co.uk", "com.au") else 1
+        return ".".join(labels[-k:]), (".".join(labels[-k:]), ".".join(labels[-k - 1 :]))
+
+    hosts = {h for _, h, _ in cut}
+
+    def level(prior, groups):
+        """The posterior mean of each group (name, prior's name)."""
+        sums = {g: (sum(n[h] for h in of), sum(bad[h] for h in of)) for g, of in groups.items()}
+        spread = sum((b - k * prior(g)) ** 2 - k * prior(g) * (1 - prior(g)) for g, (k, b) in sums.items())
+        room = sum(k * (k - 1) * prior(g) * (1 - prior(g)) for g, (k, b) in sums.items())
+        s = 1 / min(max(spread / room, 1 / 10001), 0.5) - 1 if room else 10.0
+        return {g: ((b + s * prior(g)) / (k + s), k + s) for g, (k, b) in sums.items()}
+
+    total = sum(n.values())
+    by = lambda key: {g: [h for h in hosts if key(h) == g] for g in {key(h) for h in hosts}}
+    one = level(lambda g: sum(bad.values()) / total if total else 0.0, by(lambda h: parts(h)[0]))
+    two = level(lambda g: one[g[0]][0], by(lambda h: parts(h)[1]))
+    last = level(lambda g: two[parts(g)[1]][0], by(lambda h: h))
+    out = []
+    for i, host, path in cut:
+        fit = [(len(h + p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
+        mean, weight = last[host]
+        by_host = "block" if mean - z * math.sqrt(mean * (1 - mean) / (weight + 1)) > max_bad else "allow"
+        out.append((i, host, path, max(fit)[3] if fit else None, max(fit)[2] if fit else by_host))
+    return out

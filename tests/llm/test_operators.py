@@ -270,9 +270,10 @@ def test_html_hard_pages(spark):
     assert got == {i: t for i, (_, t) in enumerate(HARD_PAGES)}
 
 
-@pytest.mark.parametrize("few", [None, 0])
-def test_html_is_the_plain_tree(spark, monkeypatch, few):
-    """Without hints, on sites of many and few pages: menus, lines shared by sites, sections, mirrored articles."""
+@pytest.mark.parametrize("few, hints", [(None, False), (0, True), (None, True)])
+def test_html_is_the_plain_tree(spark, monkeypatch, few, hints):
+    """Without hints and with them, on sites of many and few pages: menus, lines shared by sites, sections, mirrored
+    articles, article headers, forms, comments, adverts."""
     if few is not None:
         monkeypatch.setattr(common, "BROADCAST_IDS", few)
     rng = random.Random(12)
@@ -286,14 +287,43 @@ def test_html_is_the_plain_tree(spark, monkeypatch, few):
             menu = "".join(f"<li><a>{rng.choice(lines)}</a></li>" for _ in range(3))
             foot = rng.choice(lines) if rng.random() < 0.9 else f"Postscript {h} {i} of this very page alone"
             section = f"<div class=section>{rng.choice(['Sport', 'Arts'])}</div>" if h % 2 else ""
+            if h % 3 == 0:
+                story = f"<header><h2>Kicker {i % 3}</h2>by <b>someone</b></header>{story}<h2>Method</h2><p>Serves four.</p><div class='box comments'>Said {i}</div><div role=search>Find</div>"
+                section += f"<nav>Menu {i}</nav><form>Ask {i}</form><div class='ad-slot'>Buy {i}</div><script>var x</script>"
             pages.append((f"h{h}.example", f"<div class=page><ul>{menu}</ul>{section}<div class=mid>{rng.choice(lines)} | {rng.choice(lines)}</div><article>{story}<div class=more>Read on</div></article><div class=foot>&#169; <b>h{h}</b> · {foot}</div></div>"))
     rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), hints=False).collect()}
-    want = plain.site_texts([(i, host, html) for i, (host, html) in enumerate(pages)])
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), hints=hints).collect()}
+    want = plain.site_texts([(i, host, html) for i, (host, html) in enumerate(pages)], hints=hints)
     assert got == want
+    assert sum("Method\nServes four." in t for t in want.values()) == sum("Serves four" in html for _, html in pages) > 50
+    assert not hints or not any(x in t for t in want.values() for x in ("Menu", "Ask", "Buy", "Said", "someone"))
     assert sum("Read on" in t for t in want.values()) < 30 and sum(f"Head {h}" in want[i] for i, h in enumerate([int(x[0][1:-8]) for x in pages])) > 120
 
 
+@pytest.mark.parametrize("n", [5, 40, 400])
+def test_html_keeps_recurring_lines_of_articles(spark, n):
+    """However many pages a host has: headings, short lines, formulas and the article's own header stay."""
+    page = lambda i: f"<body><nav><a>Home</a></nav><article><header><h1>Dish {i}</h1></header><h2>Ingredients</h2><p>Things for {i}</p><h2>Method</h2><ul><li>Stir.</li></ul><p>Let <math>x</math> be {i}</p><p>Serves four people.</p></article></body>"
+    pages = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(n)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {i: f"Dish {i}\nIngredients\nThings for {i}\nMethod\nStir.\nLet x be {i}\nServes four people." for i in range(n)}
+
+
+LONG_PAGES = ["<b>{n}</i>{n}", "<nav>{1}<article>{n}", '<a "{n}', '<a "{n}>{n}', "<!{n}", "<b>{n}<hr>{n}", "<div>{n}<li></li>{n}", "<i>{1}<div>{1}<b>{n}</i>{n}", "<p><font>x{n}", "<nav>{n}<article>{n}</nav>{1}", "<td><div>{n}", "<!--{n}", "&{n}", "</p>{n}"]
+
+
+@pytest.mark.parametrize("pattern", LONG_PAGES)
+def test_html_long_odd_pages(pattern):
+    """A megabyte of unclosed and unopened tags, open quotes and comments takes seconds."""
+    import re
+    import time
+
+    page = re.sub(r"(.*?)\{(n|1)\}", lambda m: m[1] * (1 if m[2] == "1" else 1_000_000 // len(pattern.replace("{n}", "").replace("{1}", ""))), pattern)
+    began = time.process_time()
+    html_extract.Page(page)
+    assert time.process_time() - began < 15
+
+
 def test_html_small_host(spark):
     page = lambda i: f"<body><div class=text><p>Story number {i}</p></div><div class=foot>Rights</div></body>"
     pages = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(9)], "page_id long, url string, html string")
@@ -371,6 +401,17 @@ def test_pii_spans_are_the_plain_ones(spark, documents, monkeypatch, few):
     assert sum("term" in s for s in said) > 8
 
 
+def test_pii_zeros_and_many_keys(spark, documents):
+    """Thousands of leading zeros, and 100,000 keys in one text."""
+    rng = random.Random(9)
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    keys = " ".join("".join(rng.choice(letters) for _ in range(24)) for _ in range(100_000))
+    prose = " ".join("".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(700_000))
+    docs = documents((1, "0" * 10_000 + "1.2.3.4 and " + "0" * 10_000 + "999.2.3.4"), (2, keys + " a@b.cd"), (3, prose))
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert got[1].base == "ip:0:10007" and got[2].n_email == 1 and got[2].n_secret > 90_000 and got[3].n_secret == 0
+
+
 def test_pii_many_entities_in_one_text(spark, documents):
     text = " ".join(f"u{i}@mail.example.org writes to" for i in range(40000))
     got = pii.find(documents((1, text))).first()
