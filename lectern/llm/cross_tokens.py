@@ -37,9 +37,11 @@ from lectern.llm.words import Known, Words
 #: Rows of the table of counts that tasks hold.
 PAIRS = 4_000_000
 #: Chunks that a worker keeps.
-KEPT = 250_000
+KEPT = 500_000
 #: Bytes of chunks that one call of a tokenizer gets, and of a long text that are looked at at once.
 CALL_BYTES, STRETCH = 1 << 15, 1 << 20
+#: Bytes of text of a pass.
+SLICE = 1 << 20
 #: Pairs of a group above which its ids are counted first.
 LARGE = 4096
 #: Pairs and counts that a task holds before it hands them on.
@@ -109,39 +111,78 @@ class Side:
         self.first = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
-    def encode(self, texts: list[bytes], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each has), of texts led by an implied space. The tokens of texts that aren't alone
-        are found in those of many texts joined by spaces, by the bytes at which texts end."""
-        out: list[np.ndarray] = [None] * len(texts)
-        apart = np.flatnonzero(alone).tolist()
-        together = np.flatnonzero(~alone)
-        sizes = np.array([len(texts[i]) + 1 for i in together.tolist()], np.int64)
-        call = np.cumsum(sizes) // CALL_BYTES
+    def encode(self, chunks: Chunks, which: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks which, how many each has). The tokens of chunks that aren't alone are found in those of many
+        chunks joined by spaces, by the bytes at which chunks end."""
+        counts, parts, order = np.zeros(len(which), np.int64), [], []
+        together, apart = np.flatnonzero(~alone), [np.flatnonzero(alone)]
+        sizes = (chunks.ends - chunks.starts)[which] + 1
+        call = np.cumsum(sizes[together]) // CALL_BYTES
         runs = np.split(together, np.flatnonzero(np.diff(call)) + 1) if len(together) else []
-        for run, ids in zip(runs, self._many([b" ".join(texts[i] for i in run.tolist()).decode() for run in runs]), strict=True):
-            ids = np.array(ids, np.int64)
-            ends, wanted = np.cumsum(self.size[ids]), np.cumsum([len(texts[i]) + 1 for i in run.tolist()])
+        texts = [_joined(chunks, which[run])[1:].tobytes().decode() for run in runs]
+        for run, ids in zip(runs, self._many(texts), strict=True):
+            ids, wanted = np.array(ids, np.int64), np.cumsum(sizes[run])
+            ends = np.cumsum(self.size[ids])
             at = np.searchsorted(ends, wanted)
             if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[at], wanted):
-                for i, part in zip(run.tolist(), np.split(ids, at[:-1] + 1), strict=True):
-                    out[i] = part
+                counts[run] = np.diff(at, prepend=-1)
+                parts.append(ids)
+                order.append(run)
             else:
-                apart += run.tolist()
-        for i, ids in zip(apart, self._many([texts[i].decode() for i in apart]), strict=True):
-            out[i] = np.array(ids, np.int64)
-        return np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(x) for x in out], np.int64)
-
-    def gives_back(self, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
-        """Whether the bytes of each text's tokens are a space and the text."""
-        sizes = np.add.reduceat(np.append(self.size[ids], 0), np.minimum(np.cumsum(counts) - counts, len(ids))) * (counts > 0)
-        same = sizes == np.array([len(t) + 1 for t in texts])
-        made = self.bytes[_ranges(self.first[ids], self.size[ids])]
-        ends = np.cumsum(sizes)
-        for i in np.flatnonzero(same).tolist():
-            same[i] = made[ends[i] - sizes[i] : ends[i]].tobytes() == b" " + texts[i]
+                apart.append(run)
+        last = np.concatenate(apart)
+        for i, ids in zip(last.tolist(), self._many([chunks.word(k).decode() for k in which[last].tolist()]), strict=True):
+            counts[i] = len(ids)
+            parts.append(np.array(ids, np.int64))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if not len(last):
+            return flat, counts
+        order = np.concatenate([*order, last])
+        begin = np.empty(len(which), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[_ranges(begin, counts)], counts
+
+    def gives_back(self, ids: np.ndarray, counts: np.ndarray, chunks: Chunks, which: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each chunk's tokens are a space and the chunk."""
+        edges = np.append(0, np.cumsum(counts))
+        made = np.append(0, np.cumsum(self.size[ids]))[edges]
+        sizes = (chunks.ends - chunks.starts)[which] + 1
+        same = np.diff(made) == sizes
+        some = np.flatnonzero(same)
+        if len(some):
+            raw = self.bytes[_ranges(self.first[ids], self.size[ids])]
+            raw = raw if len(some) == len(which) else raw[_ranges(made[:-1][some], sizes[some])]
+            same[some] = np.logical_and.reduceat(raw == _joined(chunks, which[some]), np.cumsum(sizes[some]) - sizes[some])
         return same
 
 
+def _joined(chunks: Chunks, which: np.ndarray) -> np.ndarray:
+    """The bytes of chunks, each after a space."""
+    sizes = (chunks.ends - chunks.starts)[which] + 1
+    first = np.cumsum(sizes) - sizes
+    out = chunks.data[np.maximum(_ranges(chunks.starts[which] - 1, sizes), 0)]
+    out[first] = 0x20
+    return out
+
+
+class Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type, *shape: int):
+        self.held, self.n = np.zeros((1024, *shape), kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            held = np.zeros((max(2 * len(self.held), self.n + len(values)), *self.held.shape[1:]), self.held.dtype)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 def _byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the other
     bytes in order for the letters from U+0100 on."""
@@ -173,10 +214,13 @@ class Aligned:
 
     def _clear(self) -> None:
         self.known = Known()
-        self.sums = np.zeros((0, 4), np.int64)  # tokens of a and b, groups, links
-        self.good = np.zeros(0, bool)
-        self.said, self.said_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.pairs, self.links, self.pair_ends = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self._rows = {"sums": Rows(np.int64, 4), "good": Rows(bool), "said": Rows(np.uint8), "said_ends": Rows(np.int64), "pairs": Rows(np.int64), "links": Rows(np.int64), "pair_ends": Rows(np.int64)}
+        for name in ("said_ends", "pair_ends"):
+            self._rows[name].add(np.zeros(1, np.int64))
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        """sums (tokens of a and b, groups, links), good, said, said_ends, pairs, links, pair_ends."""
+        return self.__dict__["_rows"][name].all()
 
     def places(self, chunks: Chunks) -> np.ndarray:
         if len(self.known) > KEPT:
@@ -187,10 +231,12 @@ class Aligned:
         return place
 
     def _add(self, chunks: Chunks, which: np.ndarray) -> None:
-        texts = [chunks.word(i) for i in which.tolist()]
-        alone = ~_solid(chunks.data, chunks.ends[which]) | np.array([b"\xe2\x96\x81" in t for t in texts])
-        (a, n_a), (b, n_b) = self.a.encode(texts, alone), self.b.encode(texts, alone)
-        good = self.a.gives_back(a, n_a, texts) & self.b.gives_back(b, n_b, texts)
+        data = chunks.data
+        marks = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))  # what stands for a space in b
+        marked = np.searchsorted(marks, chunks.ends[which]) > np.searchsorted(marks, chunks.starts[which])
+        alone = ~_solid(data, chunks.ends[which]) | marked
+        (a, n_a), (b, n_b) = self.a.encode(chunks, which, alone), self.b.encode(chunks, which, alone)
+        good = self.a.gives_back(a, n_a, chunks, which) & self.b.gives_back(b, n_b, chunks, which)
         a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
         n_a, n_b = n_a * good, n_b * good
         last_a, last_b = groups(np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b]))
@@ -198,14 +244,19 @@ class Aligned:
         group_ends = np.searchsorted(last_a, np.cumsum(n_a) - 1, "right")  # groups of a chunk and of those before it
         chunk = np.repeat(np.arange(len(which)), np.diff(np.append(0, group_ends)))
         n_links = np.bincount(chunk, in_a * in_b, len(which)).astype(np.int64)
-        self.sums = np.concatenate([self.sums, np.stack([n_a, n_b, np.diff(np.append(0, group_ends)), n_links], axis=1)])
-        self.good = np.append(self.good, good)
         said, said_ends = self._say(a, b, in_a, in_b, last_a, last_b)
-        ends = np.append(0, said_ends)[group_ends]
-        self.said, self.said_ends = np.append(self.said, said), np.append(self.said_ends, self.said_ends[-1] + ends)
         pair, of, links = self._expand(a, b, in_a, in_b, last_a, last_b, chunk)
-        self.pair_ends = np.append(self.pair_ends, self.pair_ends[-1] + np.cumsum(np.bincount(of, minlength=len(which))))
-        self.pairs, self.links = np.append(self.pairs, pair), np.append(self.links, links)
+        new = {
+            "sums": np.stack([n_a, n_b, np.diff(np.append(0, group_ends)), n_links], axis=1),
+            "good": good,
+            "said": said,
+            "said_ends": self.said_ends[-1] + np.append(0, said_ends)[group_ends],
+            "pairs": pair,
+            "links": links,
+            "pair_ends": self.pair_ends[-1] + np.cumsum(np.bincount(of, minlength=len(which))),
+        }
+        for name, values in new.items():
+            self._rows[name].add(values)
 
     def _say(self, a, b, in_a, in_b, last_a, last_b) -> tuple[np.ndarray, np.ndarray]:
         """(the groups as text, each closed by a semicolon; where each ends)."""
@@ -319,7 +370,7 @@ def _count(path_a: str, path_b: str):
             every, place = np.unique(np.concatenate([pairs, *waiting]), return_inverse=True)
             return every, np.bincount(place, np.concatenate([n, np.ones(len(place) - len(n), np.int64)]), len(every)).astype(np.int64)
 
-        for _, data, offsets in common.slices(batches):
+        for _, data, offsets in common.slices(batches, limit=SLICE):
             good, parts = _read(table, data, offsets)
             found = [np.zeros(0, np.int64)]
             for place, bounds in parts:
@@ -356,7 +407,7 @@ def _digest(path_a: str, path_b: str, counts: tuple[np.ndarray, np.ndarray, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.hold("cross", aligned.cache_clear)
         table = aligned(path_a, path_b)
-        for rows, data, offsets in common.slices(batches):
+        for rows, data, offsets in common.slices(batches, limit=SLICE):
             good, parts = _read(table, data, offsets)
             sums, hashes, held = np.zeros((len(good), 6), np.int64), [hashlib.sha256() for _ in range(len(good))], []
             for k, (place, bounds) in enumerate(parts):

@@ -119,7 +119,7 @@ def test_cross_tokens(spark, monkeypatch, pairs, limit, stretch, kept, large):
     """With and without tables of counts in tasks, short and long slices, few and many chunks kept."""
     for name, value in (("PAIRS", pairs), ("STRETCH", stretch), ("KEPT", kept), ("LARGE", large), ("FLUSH", limit)):
         monkeypatch.setattr(cross_tokens, name, value)
-    monkeypatch.setattr(common, "SLICE_BYTES", limit)
+    monkeypatch.setattr(cross_tokens, "SLICE", limit)
     rows = odd_docs(60)
     got = cross_tokens.align(table(spark, rows).repartition(2))
     want = plain.cross([(i, t) for i, t, _, _ in rows], A, B)
