@@ -1,8 +1,8 @@
 """A scorer that asks an OpenAI-compatible chat service.
 
 Nothing here runs unless it is asked for. The key is read from the environment of the executor that calls, never from
-a DataFrame; answers are kept by a hash of all that was sent, so a repeated task asks for nothing twice within a
-worker, and a shared cache can be plugged in. Limit the calls at once by the number of partitions."""
+a DataFrame. operators/answers keeps answers in a table that all tasks and later runs share, and bounds the calls in
+flight; the cache here is one scorer's own, which a task unpickles empty."""
 
 from __future__ import annotations
 
@@ -15,19 +15,13 @@ import urllib.request
 from collections.abc import Callable, MutableMapping
 from dataclasses import dataclass, field
 
-#: Fields of each kind of answer, as JSON Schema types.
-ANSWERS = {
-    "linguist_review": {"score": "integer", "reasoning": "string"},
-    "critic_review": {"accepted": "boolean", "reasoning": "string"},
-    "linguist_turn": {"agent_name": "string", "argument": "string", "proposed_score": "integer"},
-    "moderator_turn": {"intervene": "boolean", "violators": "array", "feedback": "string"},
-}
+from lectern.functions import jsonschema
+from lectern.schemas import ANSWERS
 
 
 def response_format(kind: str) -> dict:
-    """The JSON Schema that the service must answer with."""
-    fields = {name: {"type": t} | ({"items": {"type": "string"}} if t == "array" else {}) for name, t in ANSWERS[kind].items()}
-    return {"type": "json_schema", "json_schema": {"name": kind, "strict": True, "schema": {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}}}
+    """The JSON Schema that the service must answer with: that of the answer's Spark type."""
+    return {"type": "json_schema", "json_schema": {"name": kind, "strict": True, "schema": jsonschema.of_type(ANSWERS[kind])}}
 
 
 def post(url: str, body: dict, key: str | None, timeout: float) -> dict:
@@ -40,8 +34,8 @@ def post(url: str, body: dict, key: str | None, timeout: float) -> dict:
 TEXTS = {
     "linguist": "You are {agent}, a linguist who compares how languages express politeness and intent. {task}",
     "reviewer": "You review analyses of translations. Accept one only if it argues from language alone and quotes words that are in the texts; otherwise say what to revise.",
-    "review": "Review {round} of this analysis:\n{analysis}",
-    "own": "Your analysis:\n{analysis}",
+    "analysis": "Analysis by {agent}:\n{analysis}",
+    "review": "Give your review {round} of the last analysis.",
     "revise": "It was rejected: {reason}\nRevise it on linguistic grounds that can be checked.",
     "debater": "You debate the score with others; aim at a consensus and prefer the lower score.",
     "argue": "Round {round}: give your argument.",
@@ -65,8 +59,9 @@ class ChatScorer:
     send: Callable[[str, dict, str | None, float], dict] = post
     cache: MutableMapping[str, str] = field(default_factory=dict)
 
-    def _ask(self, model: str, kind: str, system: str, *messages: str) -> str:
-        body = {"model": model, "messages": [{"role": "system", "content": system}, *({"role": "user", "content": m} for m in messages)], "response_format": response_format(kind)}
+    def _ask(self, model: str, kind: str, system: str, *messages: str | dict) -> str:
+        said = [m if isinstance(m, dict) else {"role": "user", "content": m} for m in messages]
+        body = {"model": model, "messages": [{"role": "system", "content": system}, *said], "response_format": response_format(kind)}
         name = hashlib.sha256(json.dumps([self.base_url, body], sort_keys=True).encode()).hexdigest()
         if name not in self.cache:
             for k in range(self.tries):
@@ -74,8 +69,9 @@ class ChatScorer:
                     got = self.send(f"{self.base_url}/chat/completions", body, os.environ.get(self.key_variable), self.timeout)
                     self.cache[name] = got["choices"][0]["message"]["content"]
                     break
-                except (urllib.error.URLError, TimeoutError):
-                    if k == self.tries - 1:
+                except (urllib.error.URLError, TimeoutError) as e:
+                    refused = isinstance(e, urllib.error.HTTPError) and 400 <= e.code < 500 and e.code not in (408, 429)
+                    if refused or k == self.tries - 1:
                         raise
                     time.sleep(2**k)
         return self.cache[name]
@@ -86,11 +82,14 @@ class ChatScorer:
     def score(self, agent: str, prompt: str) -> str:
         return self._ask(self.models[agent], "linguist_review", self._text("linguist", agent=agent), prompt)
 
-    def review(self, agent: str, analysis: str, round_: int) -> str:
-        return self._ask(self.reviewer, "critic_review", self._text("reviewer"), self._text("review", round=round_ + 1, analysis=analysis))
+    def review(self, agent: str, history: list[dict], round_: int) -> str:
+        """The reviewer sees the task with its texts, and all analyses and reviews so far."""
+        told = [{"role": "assistant", "content": m["content"]} if m["speaker"] == "critic" else m["content"] if m["speaker"] == "task" else self._text("analysis", agent=agent, analysis=m["content"]) for m in history]
+        return self._ask(self.reviewer, "critic_review", self._text("reviewer"), *told, self._text("review", round=round_ + 1))
 
-    def revise(self, agent: str, analysis: str, reason: str, round_: int) -> str:
-        return self._ask(self.models[agent], "linguist_review", self._text("linguist", agent=agent), self._text("own", analysis=analysis), self._text("revise", reason=reason))
+    def revise(self, agent: str, history: list[dict], reason: str, round_: int) -> str:
+        told = [{"role": "assistant", "content": m["content"]} if m["speaker"] == agent else m["content"] for m in history if m["speaker"] != "critic" or m is not history[-1]]
+        return self._ask(self.models[agent], "linguist_review", self._text("linguist", agent=agent), *told, self._text("revise", reason=reason))
 
     def argue(self, agent: str, score: int, context: str, history: list[dict], round_: int) -> dict:
         system = f"{self._text('linguist', agent=agent)} {self._text('debater')}"

@@ -87,12 +87,24 @@ def segment_json(rows: DataFrame) -> DataFrame:
     return rows.select("ord", *[c for c in ("chapter",) if c in rows.columns], F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"analysis":'), entries, F.lit("}")).alias("json"))
 
 
+def document_parts(individual: DataFrame, debates: DataFrame, book: str, category: str) -> DataFrame:
+    """part, ord, text: one report as lines that make up its JSON when they follow one another by (part, ord): a head, a
+    segment a line, an end. Its chapter is the first review's, 1 without reviews. Rows stay as small as a segment, so a
+    report may be larger than a row or a task; sinks.ordered_text() writes it. Segments after the first carry the comma
+    that parts them, which their place alone decides."""
+    has = F.col("verse").isNotNull() & F.col("greek_text").isNotNull()
+    chapter, first = individual.agg(F.coalesce(F.min_by("chapter", "row_ord"), F.lit(1)), F.min(F.when(has, F.col("row_ord")))).first()
+    head = jsonx.json_text(F.struct(F.lit(book).alias("book"), F.lit(chapter).alias("chapter"), F.lit(category).alias("category")))
+    ends = individual.sparkSession.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.lit(0).cast("long").alias("ord"), F.when(F.col("id") == 0, F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"analysis":['))).otherwise("]}").alias("text"))
+    comma = F.when(F.col("ord") == F.lit(first), "").otherwise(",")
+    segments_ = segment_json(joined(individual, debates)).select(F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), F.concat(comma, "json").alias("text"))
+    return ends.unionByName(segments_)
+
+
 def document(individual: DataFrame, debates: DataFrame, book: str, category: str) -> DataFrame:
-    """One row, json: the whole report. Its chapter is the first review's, 1 without reviews. A report is one document
-    by definition; reports over many chapters come from documents(), a row each."""
-    chapter = individual.agg(F.coalesce(F.min_by("chapter", "row_ord"), F.lit(1)).alias("chapter"))
-    parts = segment_json(joined(individual, debates)).agg(F.array_sort(F.collect_list(F.struct("ord", "json"))).alias("parts"))
-    return chapter.join(parts).select(_document("chapter", book, category))
+    """One row, json: a report that fits one; larger ones are written from document_parts()."""
+    parts = document_parts(individual, debates, book, category).agg(F.array_sort(F.collect_list(F.struct("part", "ord", "text"))).alias("parts"))
+    return parts.select(F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("json"))
 
 
 def documents(individual: DataFrame, debates: DataFrame, book: str, category: str) -> DataFrame:

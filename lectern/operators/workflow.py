@@ -1,8 +1,8 @@
 """Model-call workflows: scoring with a bounded review loop, and a moderated debate for each verse.
 
 Every row and every verse starts without memory, so tasks can be repeated and run anywhere. A Scorer answers; the
-default one answers from its inputs alone. Real providers are slow and cost money: give them a cache by prompt, and
-materialise() what comes out before it is used twice."""
+default one answers from its inputs alone. The loops here run inside one call and suit answers that cost nothing; for real
+providers operators/rounds runs the same loops round by round behind a table of answers."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ import json
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.jsonx import FALSE, TRANSITION, TRUE
 from lectern.operators.lookup import CONTEXT, OPENING, TASK
+from lectern.session import importable
 
 #: Reviews after which a revision is taken as it is.
 MAX_REVIEWS = 3
@@ -25,18 +25,22 @@ MAX_REVIEWS = 3
 ROUNDS = 2
 CLOSING_TASK = f"{TRANSITION} to closing statements. Each participant gives a closing statement with the details that justify the final score."
 
-REVIEWED = "analysis string, revisions int, outcome string"
+#: What was said so far: the task first, then analyses and reviews in turn.
+MESSAGES = "array<struct<speaker: string, content: string>>"
+REVIEWED = f"analysis string, revisions int, outcome string, history {MESSAGES}"
 DEBATED = "chapter int, verse int, face_annotation string, greek_text string, translation string, debate string, closing_statements string, row_ord long"
 DEBATED_ARROW = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[kind]) for name, kind in (x.split() for x in DEBATED.split(", "))])
 
 
 class Scorer(Protocol):
     """Answers are JSON texts: an analysis is {score, reasoning}, a review {accepted, reasoning}, a turn {agent_name,
-    argument, proposed_score}, a moderation {intervene, violators, feedback}."""
+    argument, proposed_score}, a moderation {intervene, violators, feedback}. Reviewers and revisers are given MESSAGES: the
+    task with its texts (speaker task), the agent's analyses and the reviews (speaker critic) so far, the last one the
+    analysis to review or the review to answer."""
 
     def score(self, agent: str, prompt: str) -> str: ...
-    def review(self, agent: str, analysis: str, round_: int) -> str: ...
-    def revise(self, agent: str, analysis: str, reason: str, round_: int) -> str: ...
+    def review(self, agent: str, history: list[dict], round_: int) -> str: ...
+    def revise(self, agent: str, history: list[dict], reason: str, round_: int) -> str: ...
     def argue(self, agent: str, score: int, context: str, history: list[dict], round_: int) -> dict: ...
     def moderate(self, context: str, history: list[dict]) -> dict: ...
     def close(self, agent: str, score: int, context: str, history: list[dict]) -> dict: ...
@@ -59,11 +63,11 @@ class StubScorer:
     def score(self, agent: str, prompt: str) -> str:
         return json.dumps({"score": prompt_score(f"{agent}\n{prompt}"), "reasoning": f"{agent} weighed the wording"})
 
-    def review(self, agent: str, analysis: str, round_: int) -> str:
-        return json.dumps({"accepted": json.loads(analysis)["score"] % 2 == 1, "reasoning": f"review {round_ + 1}"})
+    def review(self, agent: str, history: list[dict], round_: int) -> str:
+        return json.dumps({"accepted": json.loads(history[-1]["content"])["score"] % 2 == 1, "reasoning": f"review {round_ + 1}"})
 
-    def revise(self, agent: str, analysis: str, reason: str, round_: int) -> str:
-        before = json.loads(analysis)
+    def revise(self, agent: str, history: list[dict], reason: str, round_: int) -> str:
+        before = json.loads(history[-2]["content"])
         return json.dumps({"score": max(1, before["score"] - 1), "reasoning": f"{before['reasoning']}; revised after {reason}"})
 
     def argue(self, agent: str, score: int, context: str, history: list[dict], round_: int) -> dict:
@@ -92,30 +96,37 @@ def parsed_review(text: str) -> tuple[bool, str] | None:
         return None
 
 
-def reviewed_analysis(scorer: Scorer, agent: str, prompt: str) -> tuple[str, int, str]:
-    """(analysis, revisions, outcome): accepted, unparsable (the review was no review: taken as it is) or exhausted
-    (rejected each time: the last revision is taken unreviewed)."""
+def reviewed_analysis(scorer: Scorer, agent: str, prompt: str) -> tuple[str, int, str, list[dict]]:
+    """(analysis, revisions, outcome, messages): accepted, unparsable (the review was no review: the analysis is taken as it
+    is) or exhausted (rejected each time: the last revision is taken unreviewed)."""
     analysis = scorer.score(agent, prompt)
+    history = [{"speaker": "task", "content": prompt}, {"speaker": agent, "content": analysis}]
     for round_ in range(MAX_REVIEWS):
-        verdict = parsed_review(scorer.review(agent, analysis, round_))
+        said = scorer.review(agent, history, round_)
+        history.append({"speaker": "critic", "content": said})
+        verdict = parsed_review(said)
         if verdict is None:
-            return analysis, round_, "unparsable"
+            return analysis, round_, "unparsable", history
         if verdict[0]:
-            return analysis, round_, "accepted"
-        analysis = scorer.revise(agent, analysis, verdict[1], round_)
-    return analysis, MAX_REVIEWS, "exhausted"
+            return analysis, round_, "accepted", history
+        analysis = scorer.revise(agent, history, verdict[1], round_)
+        history.append({"speaker": agent, "content": analysis})
+    return analysis, MAX_REVIEWS, "exhausted", history
 
 
 def score_rows(rows: DataFrame, scorer: Scorer, agent: str = "agent_name", prompt: str = "prompt") -> DataFrame:
     """rows with REVIEWED: one review loop a row, rows of a batch one after the other."""
+    importable(rows.sparkSession)
+    history = pa.list_(pa.struct([("speaker", pa.string()), ("content", pa.string())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [reviewed_analysis(scorer, a, p) for a, p in zip(batch[agent], batch[prompt], strict=True)]
-            yield batch.assign(analysis=[x[0] for x in done], revisions=[x[1] for x in done], outcome=[x[2] for x in done])
+            done = [reviewed_analysis(scorer, a, p) for a, p in zip(batch.column(agent).to_pylist(), batch.column(prompt).to_pylist(), strict=True)]
+            made = [pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string(), history))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "analysis", "revisions", "outcome", "history"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{kept}, {REVIEWED}")
+    return rows.mapInArrow(run, f"{kept}, {REVIEWED}")
 
 
 def debate_once(scorer: Scorer, reviews: list[dict], context: str) -> tuple[list[str], list[str]]:
@@ -138,14 +149,20 @@ def debate_context(reviews: list[dict]) -> str:
     return "\n".join([*heads, *(OPENING.format(r["agent_name"], r["score"], text(r["model_analysis"])) for r in reviews), TASK])
 
 
-def debates(individual: DataFrame, scorer: Scorer, expected: int = 2) -> DataFrame:
-    """DEBATED: a debate for each verse with exactly the expected number of reviews. The other verses' rows are counted by
-    a window, which spills, and leave before any are gathered, so a gathered row holds that many reviews; without any
-    the result is empty. One exchange by verse, then batches of verses."""
+def debatable_verses(individual: DataFrame, expected: int = 2) -> DataFrame:
+    """chapter, verse, reviews (in row order): the verses with exactly the expected number of reviews. The other verses'
+    rows are counted by a window, which spills, and leave before any are gathered, so a gathered row holds that many."""
     columns = ["row_ord", "agent_name", "score", "model_analysis", "face_annotation", "greek_text", "translation"]
     whole = Window.partitionBy("chapter", "verse")
     ready = individual.filter("chapter is not null and verse is not null").select("chapter", "verse", *columns, F.count(F.lit(1)).over(whole).alias("n")).filter(F.col("n") == expected)
-    verses = ready.groupBy("chapter", "verse").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("reviews"))
+    return ready.groupBy("chapter", "verse").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("reviews"))
+
+
+def debates(individual: DataFrame, scorer: Scorer, expected: int = 2) -> DataFrame:
+    """DEBATED: a debate for each of debatable_verses(); without any the result is empty. One exchange by verse, then batches
+    of verses."""
+    importable(individual.sparkSession)
+    verses = debatable_verses(individual, expected)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import bands, jsonx
 from lectern.functions.text import JS_SPACE, MISSING, js_int, missing_to_null, py_strip, reference_key
-from lectern.operators import lookup, quality, report, views, workflow
+from lectern.operators import answers, lookup, quality, report, rounds, views, workflow
 from lectern.plans import adapters, batch
 from lectern.plans.adapters import DOMAIN_SQL
 from lectern.schemas import REPORT, SEGMENT
 from lectern.sources import readers, sinks
+from lectern.streaming import reports as index_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -457,3 +458,158 @@ def parse_int_forms(spark, sf_dir):
     rows = adapters.table(spark, sf_dir, "documents").filter("n_chars is not null")
     hex_ = F.when(F.col("n_chars") % 2 == 0, "\t0x1Fpx").otherwise("-0X1a")
     return rows.select("doc_id", js_int(hex_).alias("hex"), js_int(F.concat((F.lit(4294967296) + F.col("n_chars")).cast("string"), F.lit("e5"))).alias("large"))
+
+
+@query(
+    """with d as (select *, doc_id // 60 as file_ord, '/analysis/' || (doc_id % 60) as here from documents), files as (select distinct file_ord from d),
+    found as (
+      select file_ord, '/book' as pointer, 'type' as rule, 'number' as detail, 'L1' as part from files where file_ord % 4 = 1
+      union all select file_ord, '/chapter', 'required', 'missing', 'L1' from files where file_ord % 3 = 2
+      union all select file_ord, here || '/verse', 'type', 'string', 'L2' from d where doc_id % 7 = 3
+      union all select file_ord, here || '/annotation', 'type', 'null', 'L2' from d where lang = 'de'
+      union all select file_ord, here || '/analysis/0/score', case when n_chars % 12 < 1 then 'minimum' else 'maximum' end, (n_chars % 12)::varchar, 'L3' from d where doc_id % 11 <> 5 and n_chars % 12 in (0, 11)
+      union all select file_ord, here || '/analysis/0', 'oneOf', 'no branch fits', 'L2' from d where doc_id % 11 = 5
+      union all select file_ord, here || '/analysis/1/score', 'type', 'number', 'L4' from d where doc_id % 6 = 1
+      union all select file_ord, here || '/analysis/1/debate_transcript/0/role', 'enum', '"judge"', 'L5' from d where doc_id % 5 = 1
+      union all select file_ord, here || '/analysis/1/debate_transcript/1', 'type', 'number', 'L5' from d where doc_id % 13 = 2
+      union all select file_ord, here || '/analysis/1/closing_statements/0/score', 'required', 'missing', 'L6' from d where doc_id % 8 = 4
+    ) select file_ord::bigint as file_ord, pointer, rule, detail, part from found""",
+    domain=False,
+)
+def report_schema_errors(spark, sf_dir):
+    """Report files with wrong types, entries of no kind, extra turns and missing fields, checked as they are by the schema
+    document."""
+    path = sinks.scratch(spark, "faulty")
+    q = lambda x: f"to_json(named_struct({x}), map('ignoreNullFields', 'false'))"
+    first = "concat('{\"type\": \"', if(doc_id % 11 = 5, 'other', 'individual'), '\", \"model\": \"m\", \"reasoning\": \"r\", \"score\": ', n_chars % 12, '}')"
+    turn = "concat('{\"role\": \"', if(doc_id % 5 = 1, 'judge', 'linguist'), '\", \"agent\": \"A\", \"proposed_score\": null}', if(doc_id % 13 = 2, ', 7', ''))"
+    second = f"concat('{{\"type\": \"debate\", \"score\": ', if(doc_id % 6 = 1, '2.5', '2.0'), ', \"debate_transcript\": [', {turn}, '], \"closing_statements\": [{{\"agent\": \"A\", \"statement\": \"\"', if(doc_id % 8 = 4, '', ', \"score\": 3'), '}}]}}')"
+    head = q("'greek', text, 'translation', 't', 'annotation', if(lang = 'de', null, source), 'notes', 'n'")
+    segment = f"concat(left({head}, length({head}) - 1), ', \"verse\": ', if(doc_id % 7 = 3, '\"4\"', '4'), ', \"analysis\": [', {first}, ', ', {second}, ']}}')"
+    rows = adapters.table(spark, sf_dir, "documents").selectExpr("doc_id div 60 as file_ord", "doc_id", f"{segment} as segment")
+    held = rows.groupBy("file_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "segment"))), lambda x: x["segment"]), ", ").alias("segments"))
+    text = "concat('{\"file_ord\": ', file_ord, if(file_ord % 3 = 2, '', ', \"chapter\": 1'), ', \"category\": \"c\", \"book\": ', if(file_ord % 4 = 1, '1', '\"b\"'), ', \"analysis\": [', segments, ']}')"
+    sinks.json_documents(held.selectExpr("file_ord", f"{text} as json"), path, order="file_ord")
+    sinks.gone_at_end(spark, path)
+    files = readers.report_texts(spark, path).select(F.expr("variant_get(parse_json(content), '$.file_ord', 'long')").alias("file_ord"), "content")
+    return quality.breaches(files)
+
+
+@query(f"with {_INDEX_SQL} select f.chapter, f.verse, i.greek, (case when i.doc_id % 3 <> 0 then i.n_chars % 11 end)::varchar as debate_score from found f join items i on f.doc_id = i.doc_id", domain=False)
+def index_batches(spark, sf_dir):
+    """The index from three batches of reports, each of which rewrites the buckets that it touches."""
+    path = sinks.scratch(spark, "index")
+    rows = adapters.reports(spark, sf_dir)
+    for k, which in enumerate(("file_ord < 4", "file_ord between 4 and 9", "file_ord > 9")):
+        index_files.merge(spark, path, rows.filter(which), k, buckets=16)
+    sinks.gone_at_end(spark, path)
+    found = index_files.snapshot(spark, path)
+    return nullable(found.select("chapter", "verse", "segment.greek", views.first_debate("segment.analysis")["score"].alias("debate_score")), "debate_score")
+
+
+@query("select sha256('models' || chr(10) || text) as id, count(*) as asked from documents where text is not null and text not in (select text from documents where doc_id % 3 = 0 and text is not null) group by text", domain=False)
+def pending_requests(spark, sf_dir):
+    """What a run still has to ask: each document's text is a request, and those that documents divisible by three make were
+    answered by a run before it, whose table holds them."""
+    path = sinks.scratch(spark, "answers")
+    rows = adapters.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("text").alias("request"), answers.request_id("text", "models").alias("id"))
+    rows.filter("doc_id % 3 = 0").select("id", F.lit("answer").alias("answer"), F.lit(None).cast("string").alias("error")).write.parquet(path)
+    sinks.gone_at_end(spark, path)
+    return answers.pending(rows, answers.known(spark, path)).select("id", "asked")
+
+
+_OUTCOME_SQL = "case when v0 is null or v0 then 0 when v1 is null or v1 then 1 when v2 is null or v2 then 2 else 3 end"
+
+
+@query(
+    f"""with v as (select doc_id, {_verdict("0")} as v0, {_verdict("1")} as v1, {_verdict("2")} as v2 from labels), o as (select *, {_OUTCOME_SQL} as n from v)
+    select o.doc_id, n::int as revisions, case when n = 3 then 'exhausted' when (case n when 0 then v0 when 1 then v1 else v2 end) is null then 'unparsable' else 'accepted' end as outcome,
+      (2 + 2 * n + case when n < 3 then 1 else 0 end)::int as n_messages,
+      md5(text || ' ' || case when n = 0 then 'first' else 'revision ' || (n - 1) end) as last_md5,
+      md5(text || chr(10) || text || ' first' || case when n >= 1 then chr(10) || 'no 0' || chr(10) || text || ' revision 0' else '' end || case when n >= 2 then chr(10) || 'no 1' || chr(10) || text || ' revision 1' else '' end || case when n >= 3 then chr(10) || 'no 2' || chr(10) || text || ' revision 2' else '' end) as told_md5
+    from o join documents d on o.doc_id = d.doc_id where text is not null""",
+    domain=False,
+)
+def review_frontier(spark, sf_dir):
+    """The review loop round by round, from recorded answers: labels say what the reviewer said of each document in each
+    round (accepted, rejected, or something that is no review). told_md5 is of the task, analyses and reasons in order."""
+    docs = adapters.table(spark, sf_dir, "labels").join(adapters.table(spark, sf_dir, "documents"), "doc_id").filter("text is not null")
+    rows = docs.select(F.col("doc_id").alias("key"), F.lit("A").alias("agent_name"), F.col("text").alias("prompt"))
+    review = lambda k: f"case when {_verdict(k)} is null then 'nothing to say' else concat('{{\"accepted\": ', {_verdict(k)}, ', \"reasoning\": \"no {k}\"}}') end"
+    told = [("score", 0, "concat(text, ' first')"), *((kind, k, f"concat(text, ' revision {k}')" if kind == "revise" else review(str(k))) for k in range(workflow.MAX_REVIEWS) for kind in ("review", "revise"))]
+    record = docs.select(F.col("doc_id").alias("key"), F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("round"), F.expr(x).alias("answer")) for kind, k, x in told])))
+    out = rounds.review_rounds(rows, rounds.by_record(record))
+    said = F.transform(F.filter("history", lambda m: (m["speaker"] != "critic") | m["content"].like('{"accepted": false%')), lambda m: F.when(m["speaker"] == "critic", F.get_json_object(m["content"], "$.reasoning")).otherwise(m["content"]))
+    return out.select(F.col("key").alias("doc_id"), "revisions", "outcome", F.size("history").alias("n_messages"), F.md5("analysis").alias("last_md5"), F.md5(F.array_join(said, "\n")).alias("told_md5"))
+
+
+_PAIRS_SQL = "pairs as (select chapter, verse, arg_min(agent_name, row_ord) as one, arg_max(agent_name, row_ord) as two, arg_min(score, row_ord) as a, arg_max(score, row_ord) as b from individual_multi group by chapter, verse having count(*) = 2)"
+
+
+@query(
+    f""", {_PAIRS_SQL}, t as (select unnest(range(8))::int as turn)
+    select chapter, verse, turn, case when turn in (2, 5) then 'moderator' when turn in (0, 3, 6) then one else two end as speaker,
+      md5(chapter || ':' || verse || ' says ' || turn) as content_md5 from pairs, t"""
+)
+def debate_turn_log(spark, sf_dir):
+    """Debates turn by turn from recorded answers; the log is begun, and gone on with by a second run."""
+    path = sinks.scratch(spark, "turns")
+    rows = adapters.individual(spark, sf_dir, multi=True)
+    key = F.concat_ws(":", "chapter", "verse")
+    turns = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("round")
+    verses = rows.select("chapter", "verse").distinct().select(key.alias("key"), turns)
+    kinds = F.when(F.col("round").isin(2, 5), "moderate").when(F.col("round") > 5, "close").otherwise("argue")
+    record = verses.select("key", "round", kinds.alias("kind"), F.concat("key", F.lit(" says "), F.col("round").cast("string")).alias("answer"))
+    rounds.debate_turns(rows, rounds.by_record(record), path, upto=3)
+    sinks.gone_at_end(spark, path)
+    log = rounds.debate_turns(rows, rounds.by_record(record), path)
+    return log.select("chapter", "verse", "turn", "speaker", F.md5("content").alias("content_md5"))
+
+
+@query("select (row_number() over (order by doc_id) - 1) as row_ord, (doc_id // 50 + 1)::int as chapter, (doc_id % 50 + 1)::int as verse, md5('\"q, ' || text) as greek_md5, case when doc_id % 5 = 0 then null else source end as face, case when doc_id % 7 = 0 then null else lang end as notes from documents where text is not null", domain=False)
+def ground_truth_files(spark, sf_dir):
+    """Annotated segments through a CSV table with quotes, commas, line ends and cells that mean nothing, read with strict
+    keys."""
+    path = sinks.scratch(spark, "truth")
+    rows = adapters.table(spark, sf_dir, "documents").filter("text is not null").selectExpr("doc_id as row_ord", "doc_id div 50 + 1 as Chapter", "concat(' ', doc_id % 50 + 1, ' ') as Verse", "concat('\"q, ', text) as GreekText", "if(doc_id % 5 = 0, 'N/A', source) as Face", "if(doc_id % 7 = 0, 'nan', lang) as Notes")
+    sinks.csv(rows, path)
+    sinks.gone_at_end(spark, path)
+    return readers.ground_truth(spark, path).select("row_ord", "chapter", "verse", F.md5("greek_text").alias("greek_md5"), "face", "notes")
+
+
+@query(
+    """select doc_id as row_ord, (doc_id // 50 + 1)::int as chapter, '' as translation, (case when doc_id % 4 = 0 then 0 when doc_id % 4 = 1 then n_chars % 9 else least(n_chars % 9, doc_id % 10) end)::int as consensus,
+    2::int as n_closings, (case when doc_id % 4 = 3 then 0 else 1 end)::int as n_turns from documents where text is not null""",
+    domain=False,
+)
+def debate_files(spark, sf_dir):
+    """Debates through a CSV table without a column for translations, which then are empty; closing statements without a
+    score count for nothing, and where none has one the consensus is 0. A debate's cell may be missing."""
+    path = sinks.scratch(spark, "debated")
+    score = lambda none, x: f"concat('\\\\\"proposed_score\\\\\": ', if({none}, 'null', string({x})))"
+    closing = lambda who, none, x: f"concat('\"{{\\\\\"agent_name\\\\\": \\\\\"{who}\\\\\", ', {score(none, x)}, '}}\"')"
+    closings = f"concat('[\"Now we transition to closing\", ', {closing('A', 'doc_id % 4 = 0', 'n_chars % 9')}, ', ', {closing('B', 'doc_id % 4 < 2', 'doc_id % 10')}, ']')"
+    turns = "if(doc_id % 4 = 3, null, '[\"{\\\\\"agent_name\\\\\": \\\\\"A\\\\\"}\", 5, \"broken {\"]')"
+    rows = adapters.table(spark, sf_dir, "documents").filter("text is not null").selectExpr("doc_id as row_ord", "doc_id div 50 + 1 as Chapter", "doc_id as Verse", "source as Face_Annotation", "text as Greek_Text", f"{turns} as Debate", f"{closings} as Closing_Statements")
+    sinks.csv(rows, path)
+    sinks.gone_at_end(spark, path)
+    back = report.decoded_debates(readers.debates(spark, path))
+    return back.select(F.col("verse").cast("long").alias("row_ord"), "chapter", "translation", "consensus", F.size("closings").alias("n_closings"), F.size("turns").alias("n_turns"))
+
+
+@query(
+    f""", {_SEGMENT_DEBATE_SQL}, firsts as (select coalesce(arg_min(chapter, row_ord), 1)::int as chapter from individual)
+    select 'Philemon' as book, (select chapter from firsts) as chapter, (row_number() over (order by ord) - 1)::int as pos, verse, md5(greek_text) as greek_md5, face_annotation as annotation, n::int as n_individuals, least(a, b)::int::varchar as consensus from met"""
+)
+def report_whole(spark, sf_dir):
+    """One report over all reviews, written in parts and read back as one JSON document; its chapter is the first review's."""
+    path = sinks.scratch(spark, "whole")
+    parts = report.document_parts(adapters.individual(spark, sf_dir), adapters.debates(spark, sf_dir), "Philemon", "Letters")
+    sinks.ordered_text(parts, path, "part", "ord")
+    sinks.gone_at_end(spark, path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "at", "value"))), lambda x: x["value"]), "").alias("json"))
+    read = whole.select(F.from_json("json", REPORT, {"mode": "FAILFAST"}).alias("r")).select("r.book", "r.chapter", F.posexplode("r.analysis").alias("pos", "s"))
+    own = views.individuals("s.analysis")
+    out = read.select("book", "chapter", "pos", "s.verse", F.md5("s.greek").alias("greek_md5"), "s.annotation", F.size(own).alias("n_individuals"), views.first_debate("s.analysis")["score"].alias("consensus"))
+    return nullable(out, "consensus")

@@ -20,3 +20,53 @@ CLOSING = _struct(agent=_text, statement=_text, score=_int)
 ENTRY = _struct(type=_text, model=_text, score=_int, reasoning=_text, debate_transcript=T.ArrayType(TURN), closing_statements=T.ArrayType(CLOSING))
 SEGMENT = _struct(verse=_int, greek=_text, translation=_text, annotation=_text, notes=_text, analysis=T.ArrayType(ENTRY))
 REPORT = _struct(book=_text, chapter=_int, category=_text, analysis=T.ArrayType(SEGMENT))
+
+
+def _required(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind, nullable=False) for name, kind in fields.items()])
+
+
+#: What models answer: an analysis, a review, a turn of a debate, a moderation.
+ANSWERS = {
+    "linguist_review": _required(score=_int, reasoning=_text),
+    "critic_review": _required(accepted=T.BooleanType(), reasoning=_text),
+    "linguist_turn": _required(agent_name=_text, argument=_text, proposed_score=_int),
+    "moderator_turn": _required(intervene=T.BooleanType(), violators=T.ArrayType(_text, containsNull=False), feedback=_text),
+}
+
+_string, _integer, _objects = {"type": "string"}, {"type": "integer"}, lambda of: {"type": "array", "items": {"$ref": f"#/definitions/{of}"}}
+# The fields of a report document, which of them must be there, and their bounds. Titles name the rules.
+REPORT_SCHEMA = {
+    "title": "L1",
+    "type": "object",
+    "properties": {"book": _string, "chapter": _integer, "category": _string, "analysis": _objects("segment")},
+    "required": ["book", "chapter", "category", "analysis"],
+    "definitions": {
+        "segment": {
+            "title": "L2",
+            "type": "object",
+            "properties": {"verse": _integer, "greek": _string, "translation": _string, "annotation": _string, "notes": _string, "analysis": _objects("entry")},
+            "required": ["verse", "greek", "translation", "annotation", "analysis"],
+        },
+        "entry": {"oneOf": [{"$ref": "#/definitions/individual"}, {"$ref": "#/definitions/debate"}]},
+        "individual": {
+            "title": "L3",
+            "type": "object",
+            "properties": {"type": {"const": "individual"}, "model": _string, "score": {"type": "integer", "minimum": 1, "maximum": 10}, "reasoning": _string},
+            "required": ["type", "model", "score", "reasoning"],
+        },
+        "debate": {
+            "title": "L4",
+            "type": "object",
+            "properties": {"type": {"const": "debate"}, "score": _integer, "debate_transcript": _objects("turn"), "closing_statements": _objects("closing")},
+            "required": ["type", "score", "debate_transcript", "closing_statements"],
+        },
+        "turn": {
+            "title": "L5",
+            "type": "object",
+            "properties": {"role": {"type": "string", "enum": ["linguist", "moderator"]}, "agent": _string, "argument": _string, "proposed_score": {"type": ["integer", "null"]}, "intervened": {"type": "boolean"}, "feedback": _string, "violators": {"type": "array", "items": _string}},
+            "required": ["role", "agent"],
+        },
+        "closing": {"title": "L6", "type": "object", "properties": {"agent": _string, "statement": _string, "score": _integer}, "required": ["agent", "statement", "score"]},
+    },
+}

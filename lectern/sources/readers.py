@@ -66,11 +66,15 @@ def _report_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report documents, one a file, with file_ord: their order by name (dense over the files). Files that are no report
-    (see rejected()) are left out. The window has a row a file, of names alone."""
+    """Report documents, one a file, with file_ord, the file's name, by which they are ordered. Files that are no report (see
+    rejected()) are left out. One read, no exchange."""
     raw = _report_files(spark, path)
-    names = raw.select("file").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("file")))
-    return raw.filter("broken is null").drop("broken").join(names, "file").drop("file")
+    return raw.filter("broken is null").drop("broken").withColumnRenamed("file", "file_ord")
+
+
+def report_texts(spark: SparkSession, path: str) -> DataFrame:
+    """file, content: report files as they are, for quality.breaches()."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", "[^/]*$", 0).alias("file"), F.col("value").alias("content"))
 
 
 def rejected(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.session import importable
+
 
 def csv(df: DataFrame, path: str, order: str | None = "row_ord", single: bool = False) -> None:
     """A table as CSV with doubled quotes and no index column, in row order: as parts whose names are in order, or as one
@@ -23,6 +25,12 @@ def json_documents(documents: DataFrame, path: str, column: str = "json", order:
     (out.option("maxRecordsPerFile", 1) if order else out).text(path)
 
 
+def ordered_text(rows: DataFrame, path: str, *order: str, column: str = "text") -> None:
+    """Lines as files whose names are in order: read one after the other, they are the whole text. Rows are dealt out by
+    ranges of order, so no task holds more than its range."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(column).write.mode("overwrite").text(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; in a local one only where that is unset and the master
     is local."""
@@ -45,6 +53,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     whichever executors are lost later."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    importable(spark)
     df.write.parquet(path)
     gone_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

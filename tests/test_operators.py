@@ -83,7 +83,7 @@ YES, NO = '{"accepted": "yes", "reasoning": "r"}', '{"accepted": false, "reasoni
 
 @pytest.mark.parametrize(("said", "last", "outcome"), [((YES,), "v0", "accepted"), ((NO, NO, NO), "v3", "exhausted"), (("no json",), "v0", "unparsable"), ((NO, '{"accepted": "maybe", "reasoning": "r"}'), "v1", "unparsable"), ((NO, NO, YES), "v2", "accepted")])
 def test_review_loop(said, last, outcome):
-    analysis, revisions, got = workflow.reviewed_analysis(Reviewer(*said), "A", "p")
+    analysis, revisions, got, history = workflow.reviewed_analysis(Reviewer(*said), "A", "p")
     assert (json.loads(analysis)["reasoning"], f"v{revisions}", got) == (last, last, outcome)
 
 
@@ -191,7 +191,7 @@ def test_strict_answers(spark):
         def score(self, agent, prompt):
             return json.dumps({"reasoning": "r" * 80})
 
-        def review(self, agent, analysis, round_):
+        def review(self, agent, history, round_):
             return "no review"
 
     truth = spark.createDataFrame([(1, 1, "g", "f", None, 1)], schemas.GROUND_TRUTH)
@@ -204,10 +204,3 @@ def test_contexts_agree(spark):
     rows = individual(spark, (1, 1, "α", None, 3, 5), (1, 1, "b", "f", 4, 9))
     reviews = [r.asDict() for r in rows.orderBy("row_ord").collect()]
     assert lookup.debate_context(rows).first().context == workflow.debate_context(reviews)
-
-
-def test_plans_have_no_window_over_payload(spark, tmp_path):
-    """Reports are ordered by their files' names alone."""
-    (tmp_path / "a.json").write_text(json.dumps({"book": "b", "chapter": 1, "category": "c", "analysis": []}))
-    plan = readers.reports(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<>" in plan[plan.index("Window") :]
