@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -217,6 +218,7 @@ class Aligned:
         self._rows = {"sums": Rows(np.int64, 4), "good": Rows(bool), "said": Rows(np.uint8), "said_ends": Rows(np.int64), "pairs": Rows(np.int64), "links": Rows(np.int64), "pair_ends": Rows(np.int64)}
         for name in ("said_ends", "pair_ends"):
             self._rows[name].add(np.zeros(1, np.int64))
+        self.counts_of, self.rated = None, Rows(np.int64, 2)
 
     def __getattr__(self, name: str) -> np.ndarray:
         """sums (tokens of a and b, groups, links), good, said, said_ends, pairs, links, pair_ends."""
@@ -258,6 +260,20 @@ class Aligned:
         for name, values in new.items():
             self._rows[name].add(values)
 
+    def rate(self, name: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of each chunk, its links whose count is the highest of their a, and the sum of its links' counts. counts: (pair, n,
+        best) by pair, known by their name."""
+        if self.counts_of != name:
+            self.counts_of, self.rated = name, Rows(np.int64, 2)
+        lo = int(self.pair_ends[self.rated.n])
+        pair, links, ends = self.pairs[lo:], self.links[lo:], self.pair_ends[self.rated.n :] - lo
+        if len(counts[0]):
+            at = np.minimum(np.searchsorted(counts[0], pair), len(counts[0]) - 1)
+            self.rated.add(_per_text(np.stack([links * counts[2][at], links * counts[1][at]], axis=1), ends))
+        else:
+            self.rated.add(np.zeros((len(ends) - 1, 2), np.int64))
+        return self.rated.all()
+
     def _say(self, a, b, in_a, in_b, last_a, last_b) -> tuple[np.ndarray, np.ndarray]:
         """(the groups as text, each closed by a semicolon; where each ends)."""
         total = in_a + in_b
@@ -403,6 +419,7 @@ DIGEST = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_su
 
 def _digest(path_a: str, path_b: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
     """counts: (pair, n, best) by pair; None: each text brings its pairs and links for a join, and counts are 0."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.hold("cross", aligned.cache_clear)
@@ -412,19 +429,15 @@ def _digest(path_a: str, path_b: str, counts: tuple[np.ndarray, np.ndarray, np.n
             sums, hashes, held = np.zeros((len(good), 6), np.int64), [hashlib.sha256() for _ in range(len(good))], []
             for k, (place, bounds) in enumerate(parts):
                 sums[:, :4] += _per_text(table.sums[place], bounds)
-                row, pair, links = _pairs_of(table, place, bounds)
                 if counts is None:
-                    held.append((row, pair, links))
+                    held.append(_pairs_of(table, place, bounds))
                 else:
-                    at = np.searchsorted(counts[0], pair)
-                    at[at == len(counts[0])] = 0
-                    edges = np.searchsorted(row, np.arange(len(bounds)))
-                    sums[:, 4:] += _per_text(np.stack([links * counts[2][at], links * counts[1][at]], axis=1), edges) if len(counts[0]) else 0
+                    sums[:, 4:] += _per_text(table.rate(name, counts)[place], bounds)
+                sizes = np.diff(table.said_ends)[place]
+                said, ends = table.said[_ranges(table.said_ends[place], sizes)], np.append(0, np.cumsum(sizes))
                 for i in np.flatnonzero(good).tolist():
-                    for lo in range(bounds[i], bounds[i + 1], 1 << 16):
-                        some = place[lo : min(lo + (1 << 16), bounds[i + 1])]
-                        said = table.said[_ranges(table.said_ends[some], np.diff(table.said_ends)[some])].tobytes()
-                        hashes[i].update((b";" if k or lo > bounds[i] else b"") + said[:-1])
+                    mine = said[ends[bounds[i]] : ends[bounds[i + 1]]]
+                    hashes[i].update((b";" if k else b"") + mine[:-1].tobytes())
             sums[~good] = 0
             columns = [pa.array(c) for c in sums.T] + [pa.array([h.hexdigest() if g else "" for h, g in zip(hashes, good.tolist(), strict=True)])]
             names = [x.split()[0] for x in DIGEST.split(", ")]
