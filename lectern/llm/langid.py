@@ -9,8 +9,9 @@ The stream is the text's words, A-Z in lower case, each led and closed by a spac
 leading space and no further. So a word's code length is the same wherever it stands, and is looked up once for each
 distinct word of a stretch of text.
 
-Training takes documents by the hash of their doc_id until about SAMPLE_BYTES of each language are expected, and
-the first one with a word in any case, so that no language is lost; that and LANGS are the only bounds. Scoring reads every whole text and nothing but the text.
+Training takes documents by the hash of their doc_id until about SAMPLE_BYTES of each language, and TOTAL_BYTES in
+all, are expected, and the first one with a word in any case, so that no language is lost; these bounds on labelled text
+are the only ones. Counts that leave the cluster are those of this sample. Scoring reads every whole text and nothing but the text.
 
 Cases: null and empty texts and texts without a letter are `und` with score 0, as is every text when no language is
 learned; rows without a label or a doc_id aren't learned from; ties go to the smaller language code; repeated rows
@@ -36,13 +37,16 @@ ORDER = 4
 SAMPLE_BYTES = 1_500_000
 FOLDS = 5
 UNKNOWN = "und"
-#: Languages that are learned: those with most labelled bytes, so that a dirty column of labels can't fill the driver.
-LANGS = 500
+#: Expected bytes of text that all trees together are counted from: beyond TOTAL_BYTES / SAMPLE_BYTES languages each has
+#: fewer, and its first document in any case.
+TOTAL_BYTES = 48_000_000
 #: keep() rejects a text that no language codes in fewer bits a byte. A byte that a language never had costs 8 and its
 #: escapes, some 12 to 18 in all; running text of a learned language costs 1 to 4, noise in its letters 5 to 8.
 MAX_BITS = 12.0
-#: Words whose code lengths a worker keeps.
+#: Words whose code lengths a worker keeps, of four languages; of more languages fewer words.
 KEPT = 150_000
+#: Numbers of code lengths that are worked on at once.
+BLOCK = 1 << 21
 UNIT = 1 << 20
 GRAMS = "lang string, depth int, gram long, n long"
 
@@ -94,56 +98,85 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * total, pa.string()), pa.array(np.concatenate(depths), pa.int32()), pa.array(np.concatenate(grams).astype(np.int64), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], ["lang", "depth", "gram", "n"])
 
 
+class Sparse:
+    """Values of (key, language) pairs: the keys ascending, and of each its languages and values in a row."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        order = np.lexsort((lang, key))
+        key, self.lang, self.value = key[order], lang[order].astype(np.int32), value[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.ends = key[first], np.append(first, len(key))
+
+    def rows(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the asked, language, value) of all pairs whose key is asked."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == asked)
+        lo = self.ends[at[known]]
+        n = self.ends[at[known] + 1] - lo
+        last = np.cumsum(n)
+        pick = np.arange(int(last[-1]) if len(last) else 0) + np.repeat(lo - (last - n), n)
+        return np.repeat(known, n), self.lang[pick], self.value[pick]
+
+
 class Trees:
-    """Frozen trees: for each depth, known grams and contexts (ascending) and, for each language, the bits of the
-    gram in its context (nan: not seen there) and of the escape from the context (0: context unknown, nothing to
-    escape from)."""
+    """Frozen trees: for each depth and language, the bits of a gram in its context, and of the escape from a context that
+    it knows. What a language doesn't know takes no room, so trees grow with the sample and not with the languages."""
 
     def __init__(self, counted: pd.DataFrame):
         self.langs = sorted(counted["lang"].unique())
-        self.depths = []
+        number = counted["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(np.int64)
+        self.depths: list[tuple[Sparse, Sparse]] = []
         for depth in range(ORDER + 1):
-            rows = counted[counted["depth"] == depth]
-            gram, context = rows["gram"].to_numpy(np.uint64), rows["gram"].to_numpy(np.uint64) >> np.uint64(8)
-            lang = rows["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(np.int64)
-            n = rows["n"].to_numpy(np.float64)
-            grams, contexts = np.unique(gram), np.unique(context)
-            total, kinds = np.zeros((len(contexts), len(self.langs))), np.zeros((len(contexts), len(self.langs)))
-            at = np.searchsorted(contexts, context)
-            np.add.at(total, (at, lang), n)
-            np.add.at(kinds, (at, lang), 1)
-            bits = np.full((len(grams), len(self.langs)), np.nan)
-            bits[np.searchsorted(grams, gram), lang] = np.log2(total[at, lang] + kinds[at, lang]) - np.log2(n)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(kinds > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
-            self.depths.append((grams, bits.astype(np.float32), contexts, escape.astype(np.float32)))
+            mine = counted["depth"].to_numpy() == depth
+            gram, lang, n = counted["gram"].to_numpy(np.int64)[mine].view(np.uint64), number[mine], counted["n"].to_numpy(np.float64)[mine]
+            order = np.lexsort((gram, lang, gram >> np.uint64(8)))
+            gram, lang, n = gram[order], lang[order], n[order]
+            context = gram >> np.uint64(8)
+            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (lang[1:] != lang[:-1]))) if len(gram) else np.zeros(0, np.int64)
+            kinds = np.diff(np.append(first, len(gram)))
+            total = np.add.reduceat(n, first) if len(first) else n
+            all_ = np.log2(total + kinds)
+            escape = all_ - np.log2(kinds)
+            bits = np.repeat(all_, kinds) - np.log2(n)
+            # A gram's row says by how much it is cheaper than the escape, which is added for every known context.
+            self.depths.append((Sparse(gram, lang, bits - np.repeat(escape, kinds)), Sparse(context[first], lang[first], escape)))
 
     def word_bits(self, words: Words, which: np.ndarray) -> np.ndarray:
         """Code length of each of the words, by language, in units of 2**-20 bit: sums of integers are the same in any
-        order, so a text's code length doesn't depend on what it is read with."""
+        order, so a text's code length doesn't depend on what it is read with. At most BLOCK numbers are held at once, and
+        those of one word."""
+        out = np.zeros((len(which), len(self.langs)), np.int64)
+        ends = np.cumsum(words.ends[which] - words.starts[which] + 1)
+        lo = 0
+        while lo < len(which):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK // len(self.langs), "right")))
+            out[lo:hi] = self._some_bits(words, which[lo:hi])
+            lo = hi
+        return out
+
+    def _some_bits(self, words: Words, which: np.ndarray) -> np.ndarray:
         word, gram, context = _grams(words, which)
-        bits = np.zeros((len(word), len(self.langs)), np.float32)
+        bits = np.zeros((len(word), len(self.langs)))
         open_ = np.ones((len(word), len(self.langs)), bool)
         todo = np.arange(len(word))
         for depth in range(ORDER, -1, -1):
-            grams, coded, contexts, escape = self.depths[depth]
+            grams, contexts = self.depths[depth]
             mine = todo[context[todo] >= depth]
-            if len(mine) and len(grams):
-                value = _low(gram[mine], depth)
-                at = np.minimum(np.searchsorted(grams, value), len(grams) - 1)
-                known = grams[at] == value
-                cost = np.where(known[:, None], coded[at], np.float32(np.nan))
-                over = value >> np.uint64(8)
-                up = np.minimum(np.searchsorted(contexts, over), len(contexts) - 1)
-                out = np.where((contexts[up] == over)[:, None], escape[up], np.float32(0))
-                unseen = np.isnan(cost)
-                bits[mine] += np.where(open_[mine], np.where(unseen, out, cost), np.float32(0))
-                open_[mine] &= unseen
-                todo = todo[open_[todo].any(axis=1)]
-        bits += np.where(open_, np.float32(8), np.float32(0))
+            value = _low(gram[mine], depth)
+            for held, key, closes in ((contexts, value >> np.uint64(8), False), (grams, value, True)):
+                at, lang, cost = held.rows(key)
+                at = mine[at]
+                still = open_[at, lang]
+                at, lang = at[still], lang[still]
+                bits[at, lang] += cost[still]
+                if closes:
+                    open_[at, lang] = False
+            todo = todo[open_[todo].any(axis=1)]
+        bits += np.where(open_, 8.0, 0.0)
         starts = np.searchsorted(word, np.arange(len(which)))
-        units = np.rint(bits.astype(np.float64) * UNIT).astype(np.int64)
-        return np.add.reduceat(units, starts, axis=0) if len(which) else np.zeros((0, len(self.langs)), np.int64)
+        return np.add.reduceat(np.rint(bits * UNIT).astype(np.int64), starts, axis=0)
 
 
 class Scorer:
@@ -157,7 +190,7 @@ class Scorer:
 
     def bits_of(self, words: Words) -> np.ndarray:
         """Code length in bits of each text, by language."""
-        if len(self.known) > KEPT:
+        if len(self.known) * len(self.trees.langs) > KEPT * 4:
             self._clear()
         place, new = self.known.places(words)
         if len(new):
@@ -219,7 +252,8 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     least = F.min(F.when(F.col("text").rlike(r"\S"), place)).alias("least")
-    share, n = common.table_n(usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), least).orderBy(F.desc("bytes"), "lang").limit(LANGS), "share")
+    share, n = common.table_n(usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), least), "share")
+    sample_bytes = min(sample_bytes, TOTAL_BYTES / max(n, 1))
     share = F.broadcast(share) if n <= common.BROADCAST_IDS else share
     draw = (place * F.col("bytes") < float(sample_bytes) * (1 << 20)) | (place == F.col("least"))
     sample = usable.join(share, "lang").filter(draw).select("text", "lang")

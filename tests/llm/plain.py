@@ -165,6 +165,25 @@ def context_counts(texts, order=4):
     return counts
 
 
+def languages(docs, order=4):
+    """(doc_id, held_out, lang_pred, score) of (doc_id, text, lang), learned from all documents that aren't held out."""
+    out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    texts = defaultdict(list)
+    for i, t, lang in docs:
+        if i is not None and t is not None and lang is not None and not out_of(i) and t.strip():
+            texts[lang].append(t)
+    trees = {lang: context_counts(texts[lang], order) for lang in sorted(texts)}
+    out = []
+    for i, t, _ in docs:
+        if not trees or not any(c.isalpha() for c in t or ""):
+            out.append((i, out_of(i), "und", 0.0))
+            continue
+        bits = [(code_length(t, counts, order), lang) for lang, counts in trees.items()]
+        least, lang = min(bits)
+        out.append((i, out_of(i), lang, 1 / sum(2.0 ** max(least - b, -1000) for b, _ in bits)))
+    return out
+
+
 def byte_pair_bits(texts):
     pairs, firsts = Counter(), Counter()
     for t in texts:

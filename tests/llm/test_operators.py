@@ -170,6 +170,33 @@ def test_language_accuracy(spark, sf):
     assert got.filter("score < 0 or score > 1").count() == 0
 
 
+def test_language_is_the_plain_one(spark, sf, monkeypatch):
+    """Names and scores of every document, on real texts and on odd ones, whatever is worked on at once."""
+    monkeypatch.setattr(langid, "BLOCK", 500)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.substring("text", 1, 400).alias("text"), F.when(F.col("doc_id") % 9 > 0, F.col("lang")).alias("lang"))
+    odd = spark.createDataFrame([(None, "the same", "en"), (901, None, "de"), (902, "", "fr"), (903, "12 !", "es"), (904, "日本 Ünï", None), (905, "only label", "xx"), (906, "only label", "xx"), (907, "x" * 3000, None)], docs.schema)
+    docs = docs.unionByName(odd)
+    want = {(str(i), h): (lang, score) for i, h, lang, score in plain.languages([tuple(r) for r in docs.collect()])}
+    got = {(str(r.doc_id), r.held_out): (r.lang_pred, r.score) for r in langid.identify(docs, sample_bytes=10**12).collect()}
+    assert got.keys() == want.keys()
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-4) for k in want)
+
+
+def test_many_languages(spark, documents):
+    """A thousand labels are learned, none is lost, and trees take room for what is in the sample only."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x61, 0x7B)]
+    own = ["".join(rng.sample(letters, 7)) for _ in range(1000)]
+    text = lambda k, n: " ".join("".join(rng.choice(own[k]) for _ in range(6)) for _ in range(n))
+    docs = documents(*[(1000 * j + k, text(k, 60), f"l{k:03}") for k in range(1000) for j in range(3)], *[(9_000_000 + k, text(k, 200)) for k in range(0, 1000, 25)])
+    raw = langid.train(docs)
+    trees = langid.Trees(pa.ipc.open_stream(raw).read_pandas())
+    assert len(trees.langs) >= 990 and sum(h.value.nbytes for d in trees.depths for h in d) < 100_000_000
+    right = [r.lang_pred == f"l{r.doc_id - 9_000_000:03}" for r in langid.identify(docs).filter("doc_id >= 9000000").collect()]
+    assert len(right) == 40 and sum(right) >= 36
+
+
 def test_language_of_few_long_documents(spark, documents):
     """A language whose documents are all longer than the sample is learned, from one that has words."""
     docs = documents(*[(i, "aab baa aba " * 2000, "xx") for i in range(20)], *[(20 + i, "zzy yzz zyz " * 2000, "yy") for i in range(20)], *[(40 + i, " ", "yy") for i in range(40)], (90, "zzy"), (91, "baa"))
