@@ -10,42 +10,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import JS_SPACE, js_squeeze
+from lectern.functions.text import JS_SPACE
 
 # What is deleted from the text, in this order. A span doesn't cross the end of a line.
 SPANS = ("f", "x", "w")
 PREFIXES = ("\\r", "\\s[0-9]", "\\p", "\\q[0-9]?", "\\b", "\\m", "\\nb")
-_IN_LINE = r"[^\n\r\u2028\u2029]"
+_IN_LINE = r"[^\n\r  ]"
+#: Where deleting one thing may make another out of what stands around it: a marker's beginning right before a marker.
+_JOINS = r"\\[nsq]?\\"
 
 
-def cleaned(text: Column | str) -> Column:
+def _without_spans(text: Column | str) -> Column:
+    """One kind after the other, where the text has any."""
     out = F.col(text) if isinstance(text, str) else text
     for marker in SPANS:
-        out = F.regexp_replace(out, rf"\\{marker}{JS_SPACE}{_IN_LINE}+?\\{marker}\*", "")
-    for prefix in PREFIXES:
-        out = F.regexp_replace(out, f"\\{prefix}", "") if "[" in prefix else F.replace(out, F.lit(prefix), F.lit(""))
+        out = F.when(F.contains(out, F.lit(f"\\{marker}")), F.regexp_replace(out, rf"\\{marker}{JS_SPACE}{_IN_LINE}+?\\{marker}\*", "")).otherwise(out)
     return out
 
 
+def _without_prefixes(text: Column) -> Column:
+    """In one pass, unless one's deletion may make another."""
+    one_by_one = text
+    for prefix in PREFIXES:
+        one_by_one = F.regexp_replace(one_by_one, f"\\{prefix}", "") if "[" in prefix else F.replace(one_by_one, F.lit(prefix), F.lit(""))
+    at_once = F.regexp_replace(text, "|".join(f"\\{prefix}" for prefix in PREFIXES), "")
+    return F.when(text.rlike(_JOINS), one_by_one).otherwise(at_once)
+
+
 def _parts(text: Column, marker: str) -> Column:
-    """array<struct<at, number, body>>: the text cut once before each numbered marker; what stands before the first is
+    """array<struct<number, at, body>>: the text cut once before each numbered marker; what stands before the first is
     left out."""
-    head = rf"\\{marker}{JS_SPACE}+(?=[0-9])"
-    pieces = F.split(text, head)
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    number = lambda x: F.regexp_extract(x, "^[0-9]+", 0)
-    return F.transform(rest, lambda x, i: F.struct(i.alias("at"), number(x).cast("int").alias("number"), F.substring(x, F.length(number(x)) + 1, F.length(x)).alias("body")))
+    pieces = F.split(text, rf"\\{marker}{JS_SPACE}+(?=[0-9])")
+    number = lambda x: F.regexp_extract(F.left(x, F.lit(24)), "^[0-9]+", 0)
+    return F.transform(pieces, lambda x, i: F.struct(F.when(i > 0, number(x)).cast("int").alias("number"), i.alias("at"), F.substring(x, F.length(number(x)) + 1, F.length(x)).alias("body")))
+
+
+def _lasts(parts: Column) -> Column:
+    """Of parts that share a number the last one, in order of numbers: each sorted part is met with the one behind it."""
+    inorder = F.array_sort(F.filter(parts, lambda x: x["number"].isNotNull()))
+    met = lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.when(y.isNull() | (y["number"] != x["number"]), x))
+    return F.array_compact(F.get(F.transform(F.array(inorder), met), F.lit(0)))  # in a list of one, so that it is sorted once
 
 
 def parse(files: DataFrame, by: list[str], content: str = "content") -> DataFrame:
-    """by, chapter, verse, text: the verses of each file. by names the columns that tell files apart."""
-    chapters = files.select(*by, F.inline(_parts(cleaned(content), "c")))
-    last = chapters.groupBy(*by, F.col("number").alias("chapter")).agg(F.max_by("body", "at").alias("body"))
-    verses = last.select(*by, "chapter", F.inline(_parts(F.col("body"), "v")))
-    body = F.col("body")
-    text = js_squeeze(F.regexp_replace(body, rf"\\[a-z0-9]+{JS_SPACE}?", " "))
-    found = verses.select(*by, "chapter", F.col("number").alias("verse"), "at", text.alias("text")).filter("text <> ''")
-    return found.groupBy(*by, "chapter", "verse").agg(F.max_by("text", "at").alias("text"))
+    """by, chapter, verse, text: the verses of each file, a row of files. by names the columns to keep. Nothing is moved: a
+    file's chapters and verses are found, and the last of each chosen, in the row that holds it."""
+    text = lambda x: F.trim(F.regexp_replace(x, rf"(?:\\[a-z0-9]+|{JS_SPACE})+", " "))
+    found = files.select(*by, _without_spans(content).alias("text")).select(*by, F.inline(_lasts(_parts(_without_prefixes(F.col("text")), "c"))))
+    verses = F.transform(_parts(F.col("body"), "v"), lambda x: F.struct(x["number"].alias("number"), x["at"].alias("at"), text(x["body"]).alias("text")))
+    said = found.select(*by, F.col("number").alias("chapter"), F.inline(_lasts(F.filter(verses, lambda x: x["text"] != ""))))
+    return said.select(*by, "chapter", F.col("number").alias("verse"), "text")
 
 
 def render(verses: DataFrame, by: list[str]) -> DataFrame:

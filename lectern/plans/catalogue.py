@@ -424,9 +424,9 @@ def run_trace(spark, sf_dir):
 
 @query("select chapter, verse, row_number() over (partition by chapter order by verse) as place, min(chapter) over () as first_chapter from verses")
 def verse_order(spark, sf_dir):
-    known = adapters.verses(spark, sf_dir)
-    first = views.first_chapter(known).withColumnRenamed("chapter", "first_chapter")
-    return views.numbered(known).join(F.broadcast(first)).select("chapter", "verse", F.col("place").cast("long").alias("place"), "first_chapter")
+    known = sinks.materialise(adapters.verses(spark, sf_dir).select("chapter", "verse"), "places")
+    first = views.first_chapter(known).first().chapter
+    return views.numbered(known).select("chapter", "verse", F.col("place").cast("long").alias("place"), F.lit(first).alias("first_chapter"))
 
 
 @query(f"with {_INDEX_SQL} select f.chapter, f.verse, i.source as model, (i.n_chars % 12)::varchar as score, null::varchar as next_model from found f join items i on f.doc_id = i.doc_id", domain=False)
