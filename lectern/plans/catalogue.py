@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import bands, jsonx
+from lectern.functions import bands, jsonx, usfm
 from lectern.functions.text import JS_SPACE, MISSING, js_int, missing_to_null, py_strip, reference_key
-from lectern.operators import answers, lookup, quality, report, rounds, views, workflow
+from lectern.operators import answers, lookup, order, quality, report, rounds, views, workflow
 from lectern.plans import adapters, batch
 from lectern.plans.adapters import DOMAIN_SQL
 from lectern.schemas import REPORT, SEGMENT
@@ -613,3 +613,21 @@ def report_whole(spark, sf_dir):
     own = views.individuals("s.analysis")
     out = read.select("book", "chapter", "pos", "s.verse", F.md5("s.greek").alias("greek_md5"), "s.annotation", F.size(own).alias("n_individuals"), views.first_debate("s.analysis")["score"].alias("consensus"))
     return nullable(out, "consensus")
+
+
+@query("select doc_id, row_number() over (order by source nulls first, n_chars, doc_id) - 1 as place from documents", domain=False)
+def dense_ordinals(spark, sf_dir):
+    rows = adapters.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return order.numbered(rows, "source", "n_chars", "doc_id").select("doc_id", "place")
+
+
+@query("select chapter, verse, md5(text) as text_md5 from verses")
+def usfm_large_file(spark, sf_dir):
+    """All chapters in one file, which is split at chapter markers; a repeat of each chapter's beginning comes before it."""
+    path = sinks.scratch(spark, "large")
+    rows = adapters.truth(spark, sf_dir).select("chapter", "verse", F.col("greek_text").alias("text"), F.lit("PHM").alias("book"))
+    chapters = usfm.render(rows, ["book", "chapter"])
+    old = F.concat(F.lit("\\c "), F.col("chapter").cast("string"), F.lit("\n\\cl Heading\n\\v 1 an older text\n\\v 99 gone\n"))
+    chapters.select(F.concat(old, "content").alias("value"), "chapter").coalesce(1).sortWithinPartitions("chapter").select("value").write.text(path)
+    sinks.gone_at_end(spark, path)
+    return readers.usfm_verses_of_large_files(spark, path).select("chapter", "verse", F.md5("text").alias("text_md5"))

@@ -5,13 +5,14 @@ ordered by name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import usfm
-from lectern.functions.text import missing_to_null, strict_keys
+from lectern.functions.text import JS_SPACE, PY_CHARS, missing_to_null, strict_keys
 from lectern.schemas import REPORT
+from lectern.sources.sinks import materialise
 
 # The columns of the files, as they are named there.
 GROUND_TRUTH = {"Chapter": "int", "Verse": "int", "GreekText": "string", "Face": "string", "Notes": "string"}
@@ -82,3 +83,47 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
     raw = _report_files(spark, path)
     reason = F.when(F.col("broken").isNotNull(), "no JSON of a report").when(F.coalesce("chapter", F.lit(0)) == 0, "no chapter").when(F.col("analysis").isNull(), "no list of segments")
     return raw.select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), reason.alias("reason")).filter("reason is not null")
+
+
+def usfm_verses_of_large_files(spark: SparkSession, path: str) -> DataFrame:
+    """book, chapter, verse, text as usfm_verses() has them, of files that are too large for a task: files are split at
+    chapter markers, and each chapter is parsed where it was read. A chapter marker counts wherever it stands, also inside a
+    footnote. What moves is the place of each chapter; texts move only where other markers begin like a chapter's (\\cl), whose
+    pieces are put together again, or where there are more than a million chapters."""
+    marker = "\\c"
+    raw = spark.read.option("lineSep", marker).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    at = F.struct("block", "id").alias("at")
+    begins = F.col("value").rlike(f"^{JS_SPACE}+[0-9]")
+    pieces = raw.select("file", at, begins.alias("begins"), F.col("value").alias("text"))
+    others = pieces.filter(~F.col("begins")).select("file", "at")
+    firsts = pieces.groupBy("file").agg(F.min("at").alias("at"))
+    if others.join(firsts, ["file", "at"], "left_anti").head(1):
+        pieces = _put_together(pieces, marker)
+    chapters = pieces.filter("begins").select("file", "at", F.regexp_extract(F.left("text", F.lit(64)), f"^{JS_SPACE}+([0-9]+)", 1).cast("int").alias("chapter"), "text")
+    last, n = chapters.groupBy("file", "chapter").agg(F.max("at").alias("at")), Observation()
+    last = materialise(last.observe(n, F.count(F.lit(1)).alias("n")), "chapters")
+    chapters = chapters.join(F.broadcast(last) if n.get["n"] <= MANY else last, ["file", "chapter", "at"], "left_semi")
+    book = F.regexp_extract("file", r"([^-/.]+)\.[^./]*$", 1).alias("book")
+    return usfm.parse(chapters.select(book, F.concat(F.lit(marker), "text").alias("content")), ["book"])
+
+
+#: Chapters whose places a broadcast may hold.
+MANY = 1_000_000
+
+
+def _put_together(pieces: DataFrame, marker: str) -> DataFrame:
+    """Pieces that begin no chapter follow the one before them. The window holds places, not texts."""
+    order = Window.partitionBy("file").orderBy("at")
+    seen = pieces.select("file", "at", F.max(F.when(F.col("begins"), F.col("at"))).over(order).alias("of"))
+    joined = pieces.join(seen, ["file", "at"]).filter("of is not null")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), marker)
+    return joined.groupBy("file", F.col("of").alias("at")).agg(text.alias("text")).withColumn("begins", F.lit(True))
+
+
+def unreadable_usfm(spark: SparkSession, path: str) -> DataFrame:
+    """file, reason: the files under path that hold no verse: empty, without a chapter, or without a verse with text."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", "[^/]*$", 0).alias("file"), F.col("value").alias("content"))
+    some = usfm.parse(files, ["file"]).select("file").distinct()
+    chapter = F.col("content").rlike(rf"\\c{JS_SPACE}+[0-9]")
+    reason = F.when(F.trim("content", F.lit(PY_CHARS)) == "", "empty").when(~chapter, "no chapter").otherwise("no verse with text")
+    return files.join(some, "file", "left_anti").select("file", reason.alias("reason"))
