@@ -17,26 +17,37 @@ _BLANK = f"^{PY_SPACE}*$".replace("\\", "\\\\")
 _OBJECT = "startswith(schema_of_variant(x), 'OBJECT')"
 
 
-def _items(column: str) -> str:
-    inner = f"case when contains(variant_get(x, '$', 'string'), '{TRANSITION}') or variant_get(x, '$', 'string') rlike '{_BLANK}' then null else try_parse_json(variant_get(x, '$', 'string')) end"
+# A JSON string, or what stands between strings; possessive, so that long strings need no stack.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]+|"'.replace("\\", "\\\\")
+
+
+def parsed(text: str) -> str:
+    """SQL: a JSON text as a VARIANT, null where it is none."""
+    plain = f"array_join(transform(regexp_extract_all({text}, '(?s){_TOKEN}', 0), t -> if(startswith(t, '\"'), t, regexp_replace(t, '-?\\\\bInfinity\\\\b|\\\\bNaN\\\\b', 'null'))), '')"
+    return f"coalesce(try_parse_json({text}), if({text} rlike 'NaN|Infinity', try_parse_json({plain}), null))"
+
+
+def items_sql(column: str) -> str:
+    said = "variant_get(x, '$', 'string')"
+    inner = f"case when contains({said}, '{TRANSITION}') or {said} rlike '{_BLANK}' then null else {parsed(said)} end"
     each = f"case when schema_of_variant(x) = 'STRING' then {inner} when {_OBJECT} then x end"
-    items = f"coalesce(try_variant_get(try_parse_json({column}), '$', 'array<variant>'), array())"
+    items = f"coalesce(try_variant_get({parsed(column)}, '$', 'array<variant>'), array())"
     return f"filter(transform({items}, x -> {each}), x -> x is not null)"
 
 
-def _objects(column: str) -> str:
-    return f"filter({_items(column)}, x -> {_OBJECT})"
+def objects_sql(column: str) -> str:
+    return f"filter({items_sql(column)}, x -> {_OBJECT})"
 
 
 def decoded_items(column: str) -> Column:
     """array<variant>: the items of a JSON list. String items are parsed (blank ones, instructions and broken JSON are
     dropped), objects kept, others dropped. Never null."""
-    return F.expr(_items(column))
+    return F.expr(items_sql(column))
 
 
 def decoded_objects(column: str) -> Column:
     """The decoded items that are objects."""
-    return F.expr(_objects(column))
+    return F.expr(objects_sql(column))
 
 
 def has_key(x: str, key: str) -> str:
@@ -52,13 +63,21 @@ def text_at(x: str, key: str, absent: str) -> str:
 def closings(column: str) -> Column:
     """array<struct<agent, statement, score>>: closing statements; score is an integer, null where none was given. A
     score that is no integer in a string fails, as it would anywhere else."""
+    return F.expr(closings_sql(column))
+
+
+def closings_sql(column: str) -> str:
     fields = f"named_struct('agent', {text_at('x', 'agent_name', repr('Unknown'))}, 'statement', {text_at('x', 'argument', repr(''))}, 'score', variant_get(x, '$.proposed_score', 'int'))"
-    return F.expr(f"transform({_objects(column)}, x -> {fields})")
+    return f"transform({objects_sql(column)}, x -> {fields})"
 
 
 def turns(column: str) -> Column:
     """array<struct>: the transcript. Items with agent_name are a linguist's turns, others with intervene the
     moderator's, and the rest is dropped. Fields of the other role are null."""
+    return F.expr(turns_sql(column))
+
+
+def turns_sql(column: str) -> str:
     linguist = has_key("x", "agent_name")
     none = "cast(null as {})".format
     fields = ", ".join(
@@ -73,7 +92,7 @@ def turns(column: str) -> Column:
             ("feedback", none("string"), text_at("x", "feedback", "''")),
         )
     )
-    return F.expr(f"transform(filter({_objects(column)}, x -> {linguist} or {has_key('x', 'intervene')}), x -> named_struct({fields}))")
+    return f"transform(filter({objects_sql(column)}, x -> {linguist} or {has_key('x', 'intervene')}), x -> named_struct({fields}))"
 
 
 # What the lax boolean of a validated model answer takes as true and as false.

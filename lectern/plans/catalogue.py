@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.functions import bands, jsonx, usfm
+from lectern.functions import sql as sql_functions
 from lectern.functions.text import JS_SPACE, MISSING, js_int, missing_to_null, py_strip, reference_key
 from lectern.operators import answers, lookup, order, quality, report, rounds, views, workflow
 from lectern.plans import adapters, batch
@@ -631,3 +633,38 @@ def usfm_large_file(spark, sf_dir):
     chapters.select(F.concat(old, "content").alias("value"), "chapter").coalesce(1).sortWithinPartitions("chapter").select("value").write.text(path)
     sinks.gone_at_end(spark, path)
     return readers.usfm_verses_of_large_files(spark, path).select("chapter", "verse", F.md5("text").alias("text_md5"))
+
+
+@query(
+    """select doc_id, case when doc_id % 3 = 0 then lang else source end as agent, (case when doc_id % 4 in (1, 2) then null else n_chars % 9 end)::varchar as score,
+    case when doc_id % 5 = 0 then 'NaN and Infinity' else 'b' end as statement, (case when doc_id % 7 = 0 then 2 else 1 end)::int as n from documents where source is not null and lang is not null""",
+    domain=False,
+)
+def python_json_cells(spark, sf_dir):
+    """Closing statements with repeated keys (the last one counts), NaN and Infinity as values and in strings, plain and
+    encoded twice."""
+    session.python_json(spark)
+    agent = "concat('\"agent_name\": \"', source, '\"', if(doc_id % 3 = 0, concat(', \"agent_name\": \"', lang, '\"'), ''))"
+    score = "case doc_id % 4 when 1 then 'NaN' when 2 then '-Infinity' else string(n_chars % 9) end"
+    item = f"concat('{{', {agent}, ', \"argument\": \"', if(doc_id % 5 = 0, 'NaN and Infinity', 'b'), '\", \"proposed_score\": ', {score}, '}}')"
+    rows = adapters.table(spark, sf_dir, "documents").filter("source is not null and lang is not null").selectExpr("doc_id", f"{item} as item")
+    twice = "concat('[', if(doc_id % 2 = 0, item, substr(to_json(array(item)), 2, length(to_json(array(item))) - 2)), if(doc_id % 7 = 0, ', {\"x\": NaN}', ''), ']')"
+    got = rows.selectExpr("doc_id", f"{twice} as cell").select("doc_id", jsonx.closings("cell").alias("c"))
+    out = got.select("doc_id", F.get("c", F.lit(0)).alias("c"), F.size("c").alias("n")).select("doc_id", "c.agent", "c.score", "c.statement", "n")
+    return nullable(out, "score")
+
+
+@query(
+    """select conv_id as verse, coalesce(min(case when role <> 'system' then 1 + length(text) % 10 end), 0)::int as consensus, count(*) filter (where role = 'system')::int as n_moderations,
+    greatest(1, least(10, coalesce(min(case when role <> 'system' then 1 + length(text) % 10 end), 0)))::varchar as band, conv_id::bigint as parsed from conversations group by conv_id""",
+    domain=False,
+)
+def sql_surface(spark, sf_dir):
+    """Consensus and bands of debates, written in SQL over the session's functions."""
+    sql_functions.register(spark)
+    said = adapters.conversation_debates(spark, sf_dir)
+    return spark.sql(
+        """select verse, consensus(debate_closings(closing_statements)) as consensus, size(filter(debate_turns(debate), t -> t.role = 'moderator')) as n_moderations,
+        verse_band(consensus(debate_closings(closing_statements))) as band, js_int(concat('  ', verse, 'px')) as parsed from {said}""",
+        said=said,
+    )

@@ -1,4 +1,4 @@
-"""What Python workers need."""
+"""What a session and its Python workers need."""
 
 from __future__ import annotations
 
@@ -14,3 +14,9 @@ def importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
+def python_json(spark: SparkSession) -> None:
+    """Of a key that a JSON object repeats, the last one counts, as in Python; Spark's own rule is that such a text is
+    invalid. It holds for all of the session's parsing into VARIANT."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")

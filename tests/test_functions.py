@@ -74,3 +74,35 @@ def test_usfm(spark):
 def test_usfm_empty_last_chapter(spark):
     got = usfm.parse(spark.createDataFrame([("A", "\\c 1\n\\v 1 x\n\\c 1\n"), ("B", None)], "book string, content string"), ["book"]).collect()
     assert got == []
+
+
+def test_sql_functions(spark):
+    """They give what the column functions give."""
+    from lectern.functions import sql
+    from lectern.functions.text import js_int, missing_to_null, py_strip
+
+    assert {"js_int", "py_strip", "decoded_items", "debate_turns"} <= set(sql.register(spark))
+    cells = [" 12px", "\u00a0-0x1F", "x", "", None, "NaN", "n/a", "\x1c it's \\ \u3000", "4294967299", "0x", "99999999999999999999"]
+    rows = spark.createDataFrame([(c,) for c in cells], "s string")
+    got = rows.selectExpr("js_int(s)", "py_strip(s)", "missing_to_null(s)").collect()
+    assert got == rows.select(js_int("s"), py_strip("s"), missing_to_null("s")).collect()
+    plan = rows.selectExpr("size(decoded_objects(s))")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_python_json(spark):
+    """What Python's parser takes, decodes as it does, but NaN and Infinity are null."""
+    import json
+
+    from lectern.functions.jsonx import parsed
+    from lectern.session import python_json
+
+    python_json(spark)
+    cells = ['{"a": 1, "a": 2, "b": NaN}', "[NaN, Infinity, -Infinity, -1]", '"NaN"', '{"NaN": "x \\" NaN \\\\", "k": NaN}', '{"a": "open NaN', "NaNa", "", '["' + "\\\\" * 50000 + '", NaN]', '{"a": {"x": 1, "x": [NaN]}}']
+    rows = spark.createDataFrame([(c,) for c in cells], "s string").selectExpr(f"to_json({parsed('s')}) as v").collect()
+    for cell, row in zip(cells, rows, strict=True):
+        try:
+            want = json.loads(cell, parse_constant=lambda _: None)
+        except ValueError:
+            want = "broken"
+        assert (json.loads(row.v) if row.v is not None else "broken") == want
