@@ -6,13 +6,15 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import importable
+
 #: Ids that a broadcast may hold (8 bytes each); beyond it the same join is a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Text bytes that one numpy pass looks at; a longer document is a pass of its own.
@@ -25,13 +27,10 @@ BATCH_BYTES = 1 << 20
 
 def session_paths(spark: SparkSession) -> None:
     """Lets Python workers import this package when the driver found it through sys.path alone, and keeps their Arrow
-    batches small."""
+    batches small where the session has Spark's default."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+    importable(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,7 +50,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gone_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for scope in _scopes[-1:]:
+        scope.append((out, path))
+    return out
+
+
+#: Of each open passing(), the tables that were written in it, and where.
+_scopes: list[list[tuple[DataFrame, str]]] = []
+
+
+@contextmanager
+def passing() -> Iterator[Callable[..., None]]:
+    """Tables that are written inside are deleted at its end, but those that the function it yields was called with: what
+    reads the others must be written by then. After a failure all stay until the session ends."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield lambda *tables: kept.extend(tables)
+    except BaseException:
+        _scopes.pop()
+        raise
+    for table_, path in _scopes.pop():
+        if any(table_ is x for x in kept):
+            for scope in _scopes[-1:]:
+                scope.append((table_, path))
+        else:
+            spark = table_.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def gone_at_end(spark: SparkSession, path: str) -> None:

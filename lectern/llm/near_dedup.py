@@ -157,24 +157,25 @@ def _confirm(threshold: int):
 
 
 def components(edges: DataFrame, n: int) -> DataFrame:
-    """(doc_id, label): the smallest vertex that each vertex of n edges (a, b) reaches. Labels sink along edges and are
+    """(doc_id, label), a written table: the smallest vertex that each vertex of n edges (a, b) reaches. Labels sink along edges and are
     then replaced by their own labels, so a chain of n vertices takes about log(n) rounds; each round is written. Up
     to FEW edges one task does each round without a shuffle; beyond, Spark deals them out."""
     few = (lambda df: df.coalesce(1)) if n <= FEW else (lambda df: df)
-    edges = few(edges)
-    both = few(common.table(few(edges.select("a", "b").union(edges.select("b", "a"))).distinct(), "edges"))
-    labels = common.table(both.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("label")), "labels")
-    while True:
-        labels = few(labels)
-        sunk = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
-        sunk = labels.join(sunk, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        up = labels.select(F.col("doc_id").alias("via"), F.col("label").alias("top"))
-        now = sunk.join(up, "via", "left").select("doc_id", "old", F.least("via", "top").alias("label"))
-        changed = Observation()
-        now = common.table(now.observe(changed, F.count_if(F.col("old") != F.col("label")).alias("n")), "labels")
-        labels = now.select("doc_id", "label")
-        if not changed.get["n"]:
-            return labels
+    with common.passing() as keep_:
+        edges = few(edges)
+        both = few(common.table(few(edges.select("a", "b").union(edges.select("b", "a"))).distinct(), "edges"))
+        labels = common.table(both.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("label")), "labels")
+        while True:
+            known = few(labels).select("doc_id", "label")
+            sunk = both.join(known.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
+            sunk = known.join(sunk, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+            up = known.select(F.col("doc_id").alias("via"), F.col("label").alias("top"))
+            now = sunk.join(up, "via", "left").select("doc_id", F.least("via", "top").alias("label"), "old")
+            changed = Observation()
+            labels = common.table(now.observe(changed, F.count_if(F.col("old") != F.col("label")).alias("n")), "labels")
+            if not changed.get["n"]:
+                keep_(labels)
+                return labels
 
 
 def _likely(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
@@ -200,8 +201,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, signed: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, int]:
     """The pairs (a, b) that reach the threshold on their full sets, and their number."""
-    likely = common.table(_likely(pairs, signed, threshold), "likely")
-    return common.table_n(_with_sets(likely, sets).mapInArrow(common.released(_confirm(threshold)), "a long, b long"), "links")
+    with common.passing() as keep_:
+        likely = common.table(_likely(pairs, signed, threshold), "likely")
+        found, n = common.table_n(_with_sets(likely, sets).mapInArrow(common.released(_confirm(threshold)), "a long, b long"), "links")
+        keep_(found)
+    return found, n
 
 
 REGROUPED = "key long, doc_id long, seeks boolean, offers boolean, low int, high int, size int, shared int"
@@ -264,16 +268,16 @@ def _merged(labels: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """Labels after more links: components of the labels that the links tie, put through to the documents."""
     tie = lambda side: labels.select(F.col("doc_id").alias(side), F.col("label").alias(f"{side}_label"))
     raised = links.join(tie("a"), "a", "left").join(tie("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b")
-    top = components(raised, n).select(F.col("doc_id").alias("label"), F.col("label").alias("new"))
-    joined = labels.union(top.select("label", "label")).distinct()
-    return common.table(joined.join(top, "label", "left").select("doc_id", F.coalesce("new", "label").alias("label")), "labels")
+    with common.passing() as keep_:
+        top = components(raised, n).select(F.col("doc_id").alias("label"), F.col("label").alias("new"))
+        joined = labels.select("doc_id", "label").union(top.select("label", "label")).distinct()
+        out = common.table(joined.join(top, "label", "left").select("doc_id", F.coalesce("new", "label").alias("label")), "labels")
+        keep_(out)
+    return out
 
 
-def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document (doc_id, text)."""
-    common.session_paths(docs.sparkSession)
-    docs = docs.select("doc_id", common.text_or_empty())
-    signed = common.table(docs.mapInArrow(_sign(shingle, threshold), SIGNED), "signed")
+def _labels(docs: DataFrame, signed: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(groups of equal sets with the document that stands for each, the label of each such document that is linked)."""
     docs = docs.filter("doc_id is not null")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     groups = common.table(filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "groups")
@@ -309,7 +313,7 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
         bucket = common.table(bucket.join(slim.drop("n_shingles"), "doc_id"), "bucket")  # the join below looks at signatures, so that unlikely pairs are never rows
     tested, width = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), 64
     while n:
-        placed = bucket.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        placed = bucket.join(labels.select("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         spans = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.expr("min(if(offers, label, null))").alias("main"), F.expr("count_if(seeks and not used)").alias("open")).filter("lo < hi and open > 0 and main is not null")
         bucket = common.table(placed.join(spans.select("key", "main"), "key"), "bucket")
         # A document of the main component that both seeks and offers is met by those of the others.
@@ -328,8 +332,19 @@ def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
             links, n = _links(pairs.select(F.col("low").alias("a"), F.col("high").alias("b")), slim, sets, threshold)
             labels = _merged(labels, links, n) if n else labels
         n, width = 1, width * 8
+    return groups, labels
+
+
+def near_components(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document (doc_id, text)."""
+    common.session_paths(docs.sparkSession)
+    docs = docs.select("doc_id", common.text_or_empty())
+    with common.passing() as keep_:
+        signed = common.table(docs.mapInArrow(_sign(shingle, threshold), SIGNED), "signed")
+        groups, labels = _labels(docs, signed, threshold, shingle)
+        keep_(signed, groups, labels)
     named = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b", "n_shingles"], "left")
-    named = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    named = named.join(labels.select(F.col("doc_id").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
