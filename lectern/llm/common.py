@@ -47,6 +47,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: later plans start from the files, whichever
     executors are lost. The files go when the session ends."""
     spark = df.sparkSession
+    importable(spark)
     path = f"{shared_folder(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gone_at_end(spark, path)

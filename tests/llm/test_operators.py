@@ -1,6 +1,7 @@
 """Each operator beside a plain version, on texts with copies, near copies, shared passages and odd cases."""
 
 import random
+import zlib
 import string
 
 import numpy as np
@@ -183,6 +184,20 @@ def test_language_is_the_plain_one(spark, sf, monkeypatch):
     assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-4) for k in want)
 
 
+def test_language_keep_is_the_plain_one(spark, sf):
+    """What the pipeline's stage keeps: texts with a letter that some language codes in few enough bits a byte."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").select("doc_id", F.substring("text", 1, 300).alias("text"), "lang")
+    docs = docs.unionByName(spark.createDataFrame([(901, "日本語 テキスト", None), (902, "12", None), (903, None, "en"), (904, "QQQ zzxq wvvk", None)], docs.schema)).cache()
+    rows = [tuple(r) for r in docs.collect()]
+    learned = [(i, t, lang) for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 5]
+    trees = [plain.context_counts([t for _, t, x in learned if x == lang]) for lang in sorted({x for *_, x in learned})]
+    rate = {i: min(plain.code_length(t, c) for c in trees) / sum(len(w.encode()) + 1 for w in plain.words(t)) for i, t, _ in rows if any(c.isalpha() for c in t or "")}
+    assert max(rate.values()) > 12 > 9 > min(rate.values())
+    for limit in (12.0, 9.0, 4.0):
+        got = langid.keep(docs, sample_bytes=10**12, max_bits=limit)
+        assert {r.doc_id for r in got.collect()} == {i for i, r in rate.items() if r <= limit}
+
+
 def test_many_languages(spark, documents):
     """A thousand labels are learned, none is lost, and trees take room for what is in the sample only."""
     rng = random.Random(3)
