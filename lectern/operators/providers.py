@@ -45,7 +45,8 @@ TEXTS = {
 
 @dataclass
 class ChatScorer:
-    """models: the model of each agent; reviewer and moderator have their own. texts replaces some of TEXTS."""
+    """models: the model of each agent; reviewer and moderator have their own. texts replaces some of TEXTS. services: of
+    models that another service than base_url has, its address and the variable with its key."""
 
     models: dict[str, str]
     reviewer: str
@@ -56,17 +57,19 @@ class ChatScorer:
     timeout: float = 120.0
     tries: int = 3
     texts: dict[str, str] = field(default_factory=dict)
+    services: dict[str, tuple[str, str]] = field(default_factory=dict)
     send: Callable[[str, dict, str | None, float], dict] = post
     cache: MutableMapping[str, str] = field(default_factory=dict)
 
     def _ask(self, model: str, kind: str, system: str, *messages: str | dict) -> str:
         said = [m if isinstance(m, dict) else {"role": "user", "content": m} for m in messages]
         body = {"model": model, "messages": [{"role": "system", "content": system}, *said], "response_format": response_format(kind)}
-        name = hashlib.sha256(json.dumps([self.base_url, body], sort_keys=True).encode()).hexdigest()
+        url, variable = self.services.get(model, (self.base_url, self.key_variable))
+        name = hashlib.sha256(json.dumps([url, body], sort_keys=True).encode()).hexdigest()
         if name not in self.cache:
             for k in range(self.tries):
                 try:
-                    got = self.send(f"{self.base_url}/chat/completions", body, os.environ.get(self.key_variable), self.timeout)
+                    got = self.send(f"{url}/chat/completions", body, os.environ.get(variable), self.timeout)
                     self.cache[name] = got["choices"][0]["message"]["content"]
                     break
                 except (urllib.error.URLError, TimeoutError) as e:
@@ -106,3 +109,25 @@ class ChatScorer:
 
 def _told(history: list[dict]) -> str:
     return "\n".join(json.dumps(x, ensure_ascii=False) for x in history) or "(nobody has spoken)"
+
+
+def settings(path: str) -> dict[str, str]:
+    """NAME=value lines of a settings file; # begins a comment line, quotes around a value go. The environment comes first."""
+    out = {}
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and not name.startswith("#"):
+                value = value.strip()
+                out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out | {k: os.environ[k] for k in out if k in os.environ}
+
+
+def from_settings(said: dict[str, str]) -> ChatScorer:
+    """A scorer from LECTERN_AGENTS (name=model, comma-separated), LECTERN_REVIEWER, LECTERN_MODERATOR and, where they are
+    there, LECTERN_BASE_URL, LECTERN_KEY_VARIABLE and LECTERN_SERVICES (model=address=variable with the key,
+    comma-separated). Keys themselves stay in the environment of those who call."""
+    models = dict(x.split("=", 1) for x in said["LECTERN_AGENTS"].split(","))
+    services = {m: (url, variable) for m, url, variable in (x.split("=", 2) for x in said.get("LECTERN_SERVICES", "").split(",") if x)}
+    more = {k: said[v] for k, v in (("base_url", "LECTERN_BASE_URL"), ("key_variable", "LECTERN_KEY_VARIABLE")) if v in said}
+    return ChatScorer(models, said["LECTERN_REVIEWER"], said["LECTERN_MODERATOR"], services=services, **more)

@@ -668,3 +668,14 @@ def sql_surface(spark, sf_dir):
         verse_band(consensus(debate_closings(closing_statements))) as band, js_int(concat('  ', verse, 'px')) as parsed from {said}""",
         said=said,
     )
+
+
+@query("select distinct doc_id // 50 + 1 as chapter, case (doc_id // 50) % 4 when 0 then 'empty' when 1 then 'no chapter' else 'no verse with text' end as reason from documents where (doc_id // 50) % 4 < 3", domain=False)
+def usfm_files_rejected(spark, sf_dir):
+    """Marked-up files, one a chapter, of which only each fourth has verses."""
+    path = sinks.scratch(spark, "rejected")
+    chapters = adapters.table(spark, sf_dir, "documents").select((F.expr("doc_id div 50") + 1).alias("chapter")).distinct()
+    text = "case (chapter - 1) % 4 when 0 then '\t ' when 1 then '\\\\v 1 text' when 2 then '\\\\c 1 \\\\v 1 \\\\p' else '\\\\c 1 \\\\v 1 text' end"
+    chapters.selectExpr("chapter", f"{text} as value").write.partitionBy("chapter").text(path)
+    sinks.gone_at_end(spark, path)
+    return readers.unreadable_usfm(spark, path).select(F.regexp_extract("path", "chapter=([0-9]+)", 1).cast("long").alias("chapter"), "reason")

@@ -4,7 +4,7 @@ import urllib.error
 import pytest
 
 from lectern.operators import workflow
-from lectern.operators.providers import ChatScorer, response_format
+from lectern.operators.providers import ChatScorer, from_settings, response_format, settings
 
 
 class Service:
@@ -76,3 +76,17 @@ def test_refusals_are_not_repeated(monkeypatch):
     with pytest.raises(urllib.error.HTTPError):
         s.score("A", "p")
     assert len(calls) == 1
+
+
+def test_settings(tmp_path, monkeypatch):
+    """A settings file, the environment before it, and a model of another service with its own key."""
+    (tmp_path / "s").write_text("# agents\nexport LECTERN_AGENTS=A=m-a,B=m-b\nLECTERN_REVIEWER = 'm-r'\nLECTERN_MODERATOR=m-m\nLECTERN_BASE_URL=http://one/v1\nLECTERN_SERVICES=m-b=http://two/v1=OTHER\nnot a setting\n")
+    monkeypatch.setenv("LECTERN_MODERATOR", "m-x")
+    monkeypatch.setenv("OTHER", "two's key")
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    s, sent = from_settings(settings(str(tmp_path / "s"))), []
+    s.send = lambda url, body, key, timeout: sent.append((url, body["model"], key)) or {"choices": [{"message": {"content": "{}"}}]}
+    s.score("A", "p")
+    s.score("B", "p")
+    s.moderate("c", [])
+    assert sent == [("http://one/v1/chat/completions", "m-a", None), ("http://two/v1/chat/completions", "m-b", "two's key"), ("http://one/v1/chat/completions", "m-x", None)]
