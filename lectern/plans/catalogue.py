@@ -199,7 +199,10 @@ def index_upsert_last_wins(spark, sf_dir):
     i.source || ' (Score: ' || (i.n_chars % 12) || ')' as labels from verses v left join found f on v.chapter = f.chapter and v.verse = f.verse left join items i on f.doc_id = i.doc_id"""
 )
 def verse_detail(spark, sf_dir):
-    rows = views.detail(adapters.verses(spark, sf_dir), views.index(adapters.reports(spark, sf_dir)))
+    return _details(views.detail(adapters.verses(spark, sf_dir), views.index(adapters.reports(spark, sf_dir))))
+
+
+def _details(rows):
     count = F.when(F.col("individuals").isNotNull(), F.size("individuals"))
     out = rows.select("chapter", "verse", F.md5("text").alias("text_md5"), F.col("debate.score").alias("debate_score"), count.alias("n_individuals"), F.array_join("labels", ";").alias("labels"))
     return nullable(out, "debate_score", "n_individuals")
@@ -679,3 +682,12 @@ def usfm_files_rejected(spark, sf_dir):
     chapters.selectExpr("chapter", f"{text} as value").write.partitionBy("chapter").text(path)
     sinks.gone_at_end(spark, path)
     return readers.unreadable_usfm(spark, path).select(F.regexp_extract("path", "chapter=([0-9]+)", 1).cast("long").alias("chapter"), "reason")
+
+
+@query(SQL["verse_detail"], domain=False)
+def verse_detail_colocated(spark, sf_dir):
+    """verse_detail from two bucketed tables: what joins is where it is met."""
+    keys = ["chapter", "verse"]
+    verses = sinks.bucketed(adapters.verses(spark, sf_dir).select(*keys, "text"), "verses", keys, 8)
+    found = sinks.bucketed(views.index(adapters.reports(spark, sf_dir)), "index", keys, 8)
+    return _details(views.detail(verses, found))

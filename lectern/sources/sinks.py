@@ -59,6 +59,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """df as a table that is bucketed and sorted by keys, with bloom filters on them: joins of such tables by the keys move
+    nothing, and a lookup reads the row groups that may hold its key. Each bucket is one file. path: where it is to stay; without it, it
+    goes with the session."""
+    spark = df.sparkSession
+    importable(spark)
+    table = f"lectern_{name}_{uuid.uuid4().hex}"
+    where = path or scratch(spark, name)
+    out = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", where)
+    for k in keys:
+        out = out.option(f"parquet.bloom.filter.enabled#{k}", "true")
+    out.saveAsTable(table)
+    if not path:
+        gone_at_end(spark, where)
+    return spark.table(table)
+
+
 def markdown(df: DataFrame, rows: int = 20) -> str:
     """The first rows as a Markdown table, for a console; the rest is counted nowhere and read by no one."""
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")

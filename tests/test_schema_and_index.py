@@ -139,3 +139,17 @@ def test_index_of_files_needs_no_window(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(GOOD))
     plan = views.index(readers.reports(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Scan json") == 1
+
+
+def test_bucketed_tables_join_where_they_are(spark, sf):
+    """No exchange in a join of all verses, though nothing is broadcast."""
+    keys = ["chapter", "verse"]
+    verses = sinks.bucketed(adapters.truth(spark, sf).select(*keys, F.col("greek_text").alias("text")), "verses", keys, 8)
+    found = sinks.bucketed(views.index(adapters.reports(spark, sf)), "index", keys, 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = views.detail(verses, found)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in whole and "Exchange" not in whole and "SelectedBucketsCount: 8 out of 8" in whole
+    assert [r.verse for r in views.detail(verses, found, 2, 3).collect()] == [3]
