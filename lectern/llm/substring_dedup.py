@@ -11,6 +11,10 @@ Nothing is paired: a bucket of hashes keeps the smallest doc_id of each hash. A
 among its own rows, so a passage that a third of the documents share leaves each task about once, and windows that
 repeat one after the other in a document (one word, over and over) travel as one entry with their number.
 
+Buckets grow with the input, a task's memory doesn't. Beyond SPREAD buckets a task sends to ranges of buckets, at most
+SPREAD of them, and a second step, sorted by range, settles and sends each range's entries to its buckets: payloads hold
+hundreds of entries on either way, where a single step over tens of millions of buckets would send them one by one.
+
 Cases: a null or empty text has no words, keeps the empty text and is never an anchor; texts of fewer than 50 words
 stay whole; of repeated doc_ids the rows count as one document's texts of which none is smaller, so they don't
 remove from each other; rows without a doc_id stay whole and remove nothing; an empty table gives an empty result; other
@@ -36,6 +40,8 @@ WINDOW = 50
 FLUSH = 1_000_000
 #: Words that one bucket should hold over the whole input.
 BUCKET_WORDS = 500_000
+#: Buckets, or ranges of buckets, that one flush sends to.
+SPREAD = 4096
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 SIGNED = "doc_id long, n_words long, sha string"
@@ -59,10 +65,11 @@ class Sender:
 
     Entries with anchor are what others may repeat (all of them, where wide). An entry whose hash has an anchor in a
     smaller document is settled here: it becomes a mark, and so does that anchor unless wide; of the others, all go
-    out, but a settled hash sends no more than the entries up to that smallest document."""
+    out, but a settled hash sends no more than the entries up to that smallest document. With per above 1 they are sent
+    to ranges of per buckets, with all bits of their hash."""
 
-    def __init__(self, buckets: int, wide: bool):
-        self.buckets, self.wide, self.held, self.n = buckets, wide, [], 0
+    def __init__(self, buckets: int, wide: bool, per: int = 1):
+        self.buckets, self.wide, self.per, self.held, self.n = buckets, wide, per, [], 0
 
     def add(self, key, check, doc, pos, run, anchor) -> Iterator[pa.RecordBatch]:
         self.held.append((key, check, doc, pos.astype(np.uint32), run.astype(np.uint32), anchor))
@@ -78,17 +85,17 @@ class Sender:
         later, least, first = _settle(key, check, doc, anchor)
         marks = np.flatnonzero(later if self.wide else later | least)
         if len(marks):
-            yield _sent(_marks(doc[marks], pos[marks], run[marks], first[marks]))
+            yield _sent(_marks(doc[marks], pos[marks], run[marks], first[marks]), self.buckets)
         rest = np.flatnonzero(~later)
-        bucket = ((key[rest] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
-        by = np.argsort(bucket.astype(np.uint16) if self.buckets <= 65536 else bucket, kind="stable")
+        bucket = (((key[rest] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)) // np.uint64(self.per)
+        by = np.argsort(bucket.astype(np.uint16) if self.buckets // self.per <= 65536 else bucket, kind="stable")
         rest, bucket = rest[by], bucket[by]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         payloads, of = [], []
         for lo, hi in zip([0, *cuts], [*cuts, len(rest)], strict=True):
             if hi > lo:
                 i = rest[lo:hi]
-                payloads.append(_pack(key[i], check[i], doc[i], pos[i], run[i], anchor[i], self.wide))
+                payloads.append(_pack(key[i], check[i], doc[i], pos[i], run[i], anchor[i], self.wide, self.per > 1))
                 of.append(int(bucket[lo]))
         if payloads:
             yield pa.record_batch([pa.array(of, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
@@ -129,8 +136,9 @@ def _settle(key, check, doc, anchor) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return later[out], least[out], first[out]
 
 
-def _pack(key, check, doc, pos, run, anchor, wide: bool) -> bytes:
-    """Entries as bytes: documents once, positions as steps within a document, the hash's bits below the bucket's."""
+def _pack(key, check, doc, pos, run, anchor, wide: bool, ranged: bool = False) -> bytes:
+    """Entries as bytes: documents once, positions as steps within a document, the hash's bits below the bucket's (all of
+    them where ranged)."""
     new = np.ones(len(doc), bool)
     new[1:] = doc[1:] != doc[:-1]
     starts = np.flatnonzero(new)
@@ -141,10 +149,11 @@ def _pack(key, check, doc, pos, run, anchor, wide: bool) -> bytes:
     head = np.array([len(doc), len(starts)], np.int64).tobytes()
     ids = np.concatenate([ids[:1], np.diff(ids)]).astype(np.int64)
     body = planes(ids) + planes(counts) + planes(step) + planes(run)
-    return head + body + (key.tobytes() + check.tobytes() if wide else key.astype(np.uint32).tobytes() + np.packbits(anchor).tobytes())
+    key = key if wide or ranged else key.astype(np.uint32)
+    return head + body + key.tobytes() + (check.tobytes() if wide else np.packbits(anchor).tobytes())
 
 
-def _unpack(payload: bytes, wide: bool):
+def _unpack(payload: bytes, wide: bool, ranged: bool = False):
     raw = np.frombuffer(payload, np.uint8)
     n, m = np.frombuffer(payload[:16], np.int64)
     raw = raw[16:]
@@ -163,7 +172,9 @@ def _unpack(payload: bytes, wide: bool):
     doc = np.repeat(ids, counts)
     if wide:
         return raw[: 8 * n].copy().view(np.uint64), raw[8 * n : 16 * n].copy().view(np.uint64), doc, pos, runs, np.ones(n, bool)
-    return raw[: 4 * n].copy().view(np.uint32), np.zeros(n, np.uint32), doc, pos, runs, np.unpackbits(raw[4 * n :], count=n).astype(bool)
+    bits = np.uint64 if ranged else np.uint32
+    size = np.dtype(bits).itemsize * n
+    return raw[:size].copy().view(bits), np.zeros(n, np.uint32), doc, pos, runs, np.unpackbits(raw[size:], count=n).astype(bool)
 
 
 def _marks(doc, pos, run, first) -> pa.RecordBatch:
@@ -185,20 +196,21 @@ def _unmarked(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _sent(marks: pa.RecordBatch) -> pa.RecordBatch:
-    """Marks that travel beside the buckets: a bucket below 0, their rows as one Arrow stream."""
+def _sent(marks: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """Marks that travel beside the buckets: a bucket below 0 (at least as many as buckets, dealt by content), their rows as
+    one Arrow stream."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, marks.schema) as out:
         out.write_batch(marks)
     raw = sink.getvalue().to_pybytes()
-    return pa.record_batch([pa.array([-1 - zlib.crc32(raw) % 1024], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "payload"])
+    return pa.record_batch([pa.array([-1 - zlib.crc32(raw) % max(buckets, 1024)], pa.int32()), pa.array([raw], pa.binary())], ["bucket", "payload"])
 
 
-def _probes(buckets: int, window: int):
+def _probes(buckets: int, window: int, per: int = 1):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, wide=False)
+        sender = Sender(buckets, False, per)
         for rows, data, offsets in common.slices(batches):
             words = Words(data, offsets)
             at, text = positions(words.bounds, block)
@@ -215,11 +227,11 @@ def _probes(buckets: int, window: int):
     return run
 
 
-def _windows(buckets: int, window: int):
+def _windows(buckets: int, window: int, per: int = 1):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets, wide=True)
+        sender = Sender(buckets, True, per)
         for rows, data, offsets in common.slices(batches):
             words = Words(data, offsets)
             ids, marks = rows.column("doc_id").to_numpy(), rows.column("at")
@@ -242,6 +254,39 @@ def _windows(buckets: int, window: int):
     return run
 
 
+def _spread(words: int) -> tuple[int, int]:
+    """(buckets, how many of them a range has) for so many words."""
+    buckets = max(48, words // BUCKET_WORDS)
+    per = -(-buckets // SPREAD)
+    return (buckets, 1) if per == 1 else (per * SPREAD, per)
+
+
+def _ranges(buckets: int, wide: bool):
+    """Sends the entries of ranges of buckets, a range after the other, to their buckets. Marks pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender, held = Sender(buckets, wide), None
+        for batch in batches:
+            for i, of in enumerate(batch.column("bucket").to_pylist()):
+                if of < 0:
+                    yield batch.slice(i, 1)
+                    continue
+                if of != held:
+                    yield from sender.flush()
+                    held = of
+                yield from sender.add(*_unpack(batch.column("payload")[i].as_py(), wide, ranged=True))
+        yield from sender.flush()
+
+    return run
+
+
+def _met(sent: DataFrame, buckets: int, per: int, wide: bool) -> DataFrame:
+    """Marks of all that was sent. A range that holds many rows may be split between tasks: each sends its own part on."""
+    if per > 1:
+        sent = sent.hint("rebalance", "bucket").sortWithinPartitions("bucket").mapInArrow(_ranges(buckets, wide), SENT)
+    return sent.groupBy("bucket").applyInArrow(_meet(wide), MARKS)
+
+
 def _meet(wide: bool):
     """One bucket: the entries with an anchor in a smaller document, and what they met unless wide."""
 
@@ -323,16 +368,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     docs = docs.select("doc_id", common.text_or_empty())
     signed = common.table(docs.mapInArrow(_signatures, SIGNED), "signed")
     total = signed.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    buckets = max(48, total // BUCKET_WORDS)
+    buckets, per = _spread(total)
     long = signed.filter(F.col("n_words") >= window)
     firsts = long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     firsts = common.table(firsts.select("sha", "first"), "firsts")  # read back, so that the join can split a hot group
     copies = long.join(firsts, "sha").filter(F.col("doc_id") > F.col("first")).select("doc_id").distinct()
     docs = docs.filter("doc_id is not null")
-    met = docs.mapInArrow(_probes(buckets, window), SENT).groupBy("bucket").applyInArrow(_meet(False), MARKS)
+    met = _met(docs.mapInArrow(_probes(buckets, window, per), SENT), buckets, per, False)
     anchors = common.table(met.groupBy("doc_id").agg(F.collect_list("at").alias("at")).join(copies, "doc_id", "left_anti"), "anchors")
     near = common.only_ids(docs, anchors, anchors.count()).join(anchors, "doc_id")
-    cut = near.mapInArrow(_windows(buckets, window), SENT).groupBy("bucket").applyInArrow(_meet(True), MARKS)
+    cut = _met(near.mapInArrow(_windows(buckets, window, per), SENT), buckets, per, True)
     removed = common.table(cut.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "removed")
     return signed, copies, removed
 

@@ -82,6 +82,29 @@ def test_substring_dedup(spark, documents, monkeypatch, flush):
     assert got.filter("n_removed > 0").count() > 10
 
 
+@pytest.mark.parametrize("spread, words", [(4, 500_000), (1, 50), (16, 20)])
+def test_substring_dedup_by_ranges(spark, documents, monkeypatch, spread, words):
+    monkeypatch.setattr(substring_dedup, "SPREAD", spread)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WORDS", words)
+    docs = documents(*DOCS).repartition(7, "doc_id")
+    assert substring_dedup._spread(sum(len((t or "").split()) for _, t, *_ in DOCS))[1] > 1
+    got = substring_dedup.dedup_substrings(docs)
+    assert found(got, "doc_id", "n_words", "n_removed", "kept_sha256") == plain.substrings(DOCS)
+
+
+def test_substring_payloads():
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+    check, doc, pos, run = (rng.integers(0, 1 << 20, 90) for _ in range(4))
+    doc, anchor = np.sort(doc % 7), rng.random(90) < 0.5
+    for wide, ranged in ((True, False), (True, True), (False, False), (False, True)):
+        raw = substring_dedup._pack(key, check.astype(np.uint64), doc, pos.astype(np.uint32), run.astype(np.uint32), anchor, wide, ranged)
+        got = substring_dedup._unpack(raw, wide, ranged)
+        assert (got[0] == (key if wide or ranged else key.astype(np.uint32))).all()
+        assert (got[1] == (check if wide else 0)).all() and (got[2] == doc).all() and (got[3] == pos).all() and (got[4] == run).all()
+        assert (got[5] == (True if wide else anchor)).all()
+
+
 def test_substring_dedup_odd_rows(spark, documents):
     text = " ".join(map(str, range(60)))
     got = substring_dedup.dedup_substrings(documents((None, text), (5, text), (5, text), (7, text)))
