@@ -250,15 +250,19 @@ def quality_violations(spark, sf_dir):
     return quality.violations(adapters.reports(spark, sf_dir), low=2, high=9)
 
 
-_REVIEWS = ["true", "false", '"yes"', '"NO"', "1", "0", '"maybe"', "1.0", "null", '"on"', '"t"', "2"]
-_REVIEWED = [True, False, True, False, True, False, None, True, None, True, True, None]
-
-
-@query("select doc_id, case (doc_id % 13)::int " + " ".join(f"when {i} then {'null' if x is None else str(x).lower()}" for i, x in enumerate(_REVIEWED)) + " end::boolean::varchar as accepted, doc_id % 13 = 12 or (doc_id % 13) in (6, 8, 11) as unparsable from labels", domain=False)
+@query(
+    """select conv_id, turn, case when n % 7 = 5 or conv_id % 6 = 5 then null when n % 7 = 0 and n % 4 < 2 then n % 4 = 1 when n % 7 in (1, 2) then n % 2 = 0 when n % 7 = 3 then case when role = 'user' then true when role = 'system' then false end
+    when n % 7 = 4 and n % 3 < 2 then n % 3 = 1 when n % 7 = 6 and n % 5 < 2 then n % 5 = 1 end::varchar as accepted, md5(text) as text_md5 from (select *, length(text) as n from conversations)""",
+    domain=False,
+)
 def critic_lax_bool(spark, sf_dir):
-    said = F.get(F.array(*[F.lit(f' {{"accepted": {x}, "reasoning": "r"}}\n') for x in _REVIEWS], F.lit('{"accepted": true')), (F.col("doc_id") % 13).cast("int"))
-    rows = adapters.table(spark, sf_dir, "labels").select("doc_id", said.alias("said")).select("doc_id", jsonx.review("said").alias("r"))
-    return nullable(rows.select("doc_id", "r.accepted", F.col("r").isNull().alias("unparsable")), "accepted")
+    """Each turn as a reviewer's answer, its text the reasoning: accepted as a boolean, a number, a fraction, a word, a
+    number in quotes, or missing; reasoning that is no string makes it none."""
+    accepted = "case n % 7 when 0 then string(n % 4) when 1 then string(n % 2 = 0) when 2 then if(n % 2 = 0, '\"YES\"', '\"off\"') when 3 then case role when 'user' then '\"On\"' when 'system' then '\"n\"' else concat('\"', role, '\"') end when 4 then concat(n % 3, '.0') when 6 then concat('\"', n % 5, '\"') end"
+    reasoning = "if(conv_id % 6 = 5, to_json(array(text)), substr(to_json(array(text)), 2, length(to_json(array(text))) - 2))"
+    rows = adapters.table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "text", "role", "length(text) as n").selectExpr("*", f"concat('\n {{', coalesce(concat('\"accepted\": ', {accepted}, ', '), ''), '\"reasoning\": ', {reasoning}, '}}\t') as said")
+    out = rows.select("conv_id", "turn", jsonx.review("said").alias("r"), "text")
+    return nullable(out.select("conv_id", "turn", "r.accepted", F.md5(F.coalesce("r.reasoning", "text")).alias("text_md5")), "accepted")
 
 
 @query("select doc_id, (n_chars % 13 - 1)::bigint as parsed, case when n_chars % 13 - 1 >= 8 then 'green' when n_chars % 13 - 1 >= 6 then 'yellow' else 'red' end as badge, case when n_chars % 13 - 1 >= 8 then 'green' else 'yellow' end as card, null::varchar as none from documents", domain=False)
@@ -275,18 +279,22 @@ def prompt_text(spark, sf_dir):
     return rows.select("row_ord", reference_key("PHM", "chapter", "verse").alias("ref"), F.md5(batch.prompt()).alias("prompt_md5"))
 
 
-#: JSON cells, how many items they decode to, and how many of those are objects.
-_CELLS = [
-    (None, 0, 0), ("not json", 0, 0), ('{"a": 1}', 0, 0), ("7", 0, 0), ('"text"', 0, 0), ("null", 0, 0), ("[]", 0, 0), (r'["{\"a\": 1}", {"b": 2}, 3, null, [4], "broken {", "  "]', 2, 2),
-    (r'["Now we transition to {}", {"x": "Now we transition"}]', 1, 1), (r'["5", "[1]", "null", "\"s\""]', 4, 0), (r'["{\"agent_name\": null, \"intervene\": true}"]', 1, 1),
-]
-
-
-@query("select doc_id, case (doc_id % 11)::int " + " ".join(f"when {i} then {n}" for i, (_, n, _) in enumerate(_CELLS)) + " end::int as n_items, case (doc_id % 11)::int " + " ".join(f"when {i} then {n}" for i, (_, _, n) in enumerate(_CELLS)) + " end::int as n_objects from documents", domain=False)
+@query(
+    """select event_id // 20 as cell, (case when (event_id // 20) % 11 = 3 then 0 else count(*) filter (event_id % 9 in (0, 1, 4, 8)) end)::int as n_items, (case when (event_id // 20) % 11 = 3 then 0 else count(*) filter (event_id % 9 in (0, 1)) end)::int as n_objects,
+    case when (event_id // 20) % 11 = 3 then '' else coalesce(string_agg(props::json ->> 'k', ',' order by event_id) filter (event_id % 9 in (0, 1)), '') end as ks from events group by event_id // 20""",
+    domain=False,
+)
 def lenient_json(spark, sf_dir):
-    cell = F.get(F.array(*[F.lit(x).cast("string") for x, _, _ in _CELLS]), (F.col("doc_id") % 11).cast("int"))
-    rows = adapters.table(spark, sf_dir, "documents").select("doc_id", cell.alias("cell"))
-    return rows.select("doc_id", F.size(jsonx.decoded_items("cell")).alias("n_items"), F.size(jsonx.decoded_objects("cell")).alias("n_objects"))
+    """Twenty events a cell. Their properties stand in a list as objects, as text of one, as text of a list of one, and cut
+    off; beside them are instructions, numbers, text of numbers, nulls and blanks. One cell in eleven is no list."""
+    text = lambda x: f"substr(to_json(array({x})), 2, length(to_json(array({x}))) - 2)"
+    forms = ["props", text("props"), text("left(props, length(props) - 1)"), text("concat('Now we transition to ', props)"), text("string(user_id)"), "string(user_id)", "'null'", text("' \n'"), text("concat('[', props, ']')")]
+    item = "case event_id % 9 " + " ".join(f"when {i} then {x}" for i, x in enumerate(forms)) + " end"
+    items = adapters.table(spark, sf_dir, "events").selectExpr("event_id", "event_id div 20 as cell", f"{item} as item")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "item"))), lambda x: x["item"]), ", ")
+    cells = items.groupBy("cell").agg(listed.alias("said")).select("cell", F.concat(F.when(F.col("cell") % 11 == 3, '{"x": [').otherwise("["), "said", F.when(F.col("cell") % 11 == 3, "]}").otherwise("]")).alias("said"))
+    ks = F.expr(f"array_join(transform({jsonx.objects_sql('said')}, x -> variant_get(x, '$.k', 'string')), ',')")
+    return cells.select("cell", F.size(jsonx.decoded_items("said")).alias("n_items"), F.size(jsonx.decoded_objects("said")).alias("n_objects"), ks.alias("ks"))
 
 
 @query(f"select doc_id, case when source in ({', '.join(repr(x) for x in MISSING)}) then null else source end as source, md5({_STRIP_SQL.format('text')}) as stripped_md5 from documents", domain=False)
@@ -457,11 +465,11 @@ def report_heads(spark, sf_dir):
     return made.select(F.from_json("json", REPORT).alias("r")).select("r.book", "r.category", "r.chapter")
 
 
-@query("select doc_id, case when n_chars % 2 = 0 then 31 else -26 end::bigint as hex, (4294967296 + n_chars)::bigint as large from documents", domain=False)
+@query("select doc_id, (case when n_chars % 2 = 0 then n_chars else -n_chars end)::bigint as hex, (4294967296 + n_chars)::bigint as large from documents where n_chars is not null", domain=False)
 def parse_int_forms(spark, sf_dir):
-    """Hexadecimal text, and numbers of more than 32 bits."""
+    """Sizes in hexadecimal, of either sign and case and with a unit, and numbers of more than 32 bits."""
     rows = adapters.table(spark, sf_dir, "documents").filter("n_chars is not null")
-    hex_ = F.when(F.col("n_chars") % 2 == 0, "\t0x1Fpx").otherwise("-0X1a")
+    hex_ = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("\t0x"), F.hex("n_chars"), F.lit("px"))).otherwise(F.concat(F.lit("-0X"), F.lower(F.hex("n_chars"))))
     return rows.select("doc_id", js_int(hex_).alias("hex"), js_int(F.concat((F.lit(4294967296) + F.col("n_chars")).cast("string"), F.lit("e5"))).alias("large"))
 
 

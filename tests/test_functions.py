@@ -16,7 +16,7 @@ def one(spark, value, column, kind="string"):
     ("cell", "items", "objects"),
     [
         (None, 0, 0), ("{", 0, 0), ('{"a":1}', 0, 0), ("1", 0, 0), ("null", 0, 0), ('"x"', 0, 0), ("[]", 0, 0), ("[1,null,[2]]", 0, 0),
-        (json.dumps(['{"a":1}', {"b": 2}, 3, None, ["x"], "{broken", "   "]), 2, 2), (json.dumps(["Now we transition to {}", {"x": "Now we transition"}]), 1, 1), (json.dumps(["5", "[1]"]), 2, 0),
+        (json.dumps(['{"a":1}', {"b": 2}, 3, None, ["x"], "{broken", "   "]), 2, 2), (json.dumps(["Now we transition to {}", {"x": "Now we transition"}]), 1, 1), (json.dumps(["5", "[1]", "null", '"s"']), 4, 0),
     ],
 )
 def test_decoding(spark, cell, items, objects):
@@ -41,7 +41,7 @@ def test_turns(spark):
     assert got[3]["agent"] == "B" and got[3]["proposed_score"] is None
 
 
-@pytest.mark.parametrize(("said", "accepted"), [("true", True), ('"YES"', True), ("1", True), ("1.0", True), ("0", False), ('"off"', False), ('"maybe"', None), ("null", None), ("2", None)])
+@pytest.mark.parametrize(("said", "accepted"), [("true", True), ('"YES"', True), ("1", True), ("1.0", True), ("0", False), ('"off"', False), ('"NO"', False), ('"on"', True), ('"t"', True), ('"maybe"', None), ("null", None), ("2", None)])
 def test_review(spark, said, accepted):
     got = one(spark, f' {{"accepted": {said}, "reasoning": "r"}} ', jsonx.review("c"))
     assert (got and got.accepted) == accepted
