@@ -16,6 +16,11 @@ PY_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0,
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+def sql_text(x: str) -> str:
+    """x as a literal of SQL."""
+    return "'" + "".join(c if " " <= c <= "~" and c not in "'\\" else f"\\u{ord(c):04x}" for c in x) + "'"
+
+
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

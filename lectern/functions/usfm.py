@@ -7,10 +7,10 @@ chapter the last non-empty text stays."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import JS_SPACE
+from lectern.functions.text import JS_SPACE, sql_text
 
 # What is deleted from the text, in this order. A span doesn't cross the end of a line.
 SPANS = ("f", "x", "w")
@@ -20,45 +20,73 @@ _IN_LINE = r"[^\n\r  ]"
 _JOINS = r"\\[nsq]?\\"
 
 
-def _without_spans(text: Column | str) -> Column:
-    """One kind after the other, where the text has any."""
-    out = F.col(text) if isinstance(text, str) else text
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL: body, in which name stands for value, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _without_span(text: str, marker: str) -> str:
+    span = rf"\\{marker}{JS_SPACE}{_IN_LINE}+?\\{marker}\*"
+    return f"if(contains({text}, {sql_text(f'\\{marker}')}), regexp_replace({text}, {sql_text(span)}, ''), {text})"
+
+
+def _without_spans(text: str) -> str:
+    """SQL: one kind after the other, where the text has any."""
     for marker in SPANS:
-        out = F.when(F.contains(out, F.lit(f"\\{marker}")), F.regexp_replace(out, rf"\\{marker}{JS_SPACE}{_IN_LINE}+?\\{marker}\*", "")).otherwise(out)
-    return out
+        text = _without_span(text, marker)
+    return text
 
 
-def _without_prefixes(text: Column) -> Column:
-    """In one pass, unless one's deletion may make another."""
+def _without_prefixes(text: str) -> str:
+    """SQL: in one pass, unless one's deletion may make another."""
     one_by_one = text
     for prefix in PREFIXES:
-        one_by_one = F.regexp_replace(one_by_one, f"\\{prefix}", "") if "[" in prefix else F.replace(one_by_one, F.lit(prefix), F.lit(""))
-    at_once = F.regexp_replace(text, "|".join(f"\\{prefix}" for prefix in PREFIXES), "")
-    return F.when(text.rlike(_JOINS), one_by_one).otherwise(at_once)
+        one_by_one = f"regexp_replace({one_by_one}, {sql_text(f'\\{prefix}')}, '')" if "[" in prefix else f"replace({one_by_one}, {sql_text(prefix)}, '')"
+    at_once = f"regexp_replace({text}, {sql_text('|'.join(f'\\{prefix}' for prefix in PREFIXES))}, '')"
+    return f"if({text} rlike {sql_text(_JOINS)}, {one_by_one}, {at_once})"
+
+
+def _parts(text: str, marker: str) -> str:
+    """SQL: array<struct<number, at, body>>, the text cut once before each numbered marker. What stands before the first,
+    and what has a number beyond 32 bits, has none."""
+    number = "regexp_extract(left(x, 24), '^[0-9]+', 0)"
+    part = f"named_struct('number', if(i > 0, try_cast({number} as int), null), 'at', i, 'body', substring(x, length({number}) + 1, length(x)))"
+    return f"transform(split({text}, {sql_text(rf'\\{marker}{JS_SPACE}+(?=[0-9])')}), (x, i) -> {part})"
 
 
-def _parts(text: Column, marker: str) -> Column:
-    """array<struct<number, at, body>>: the text cut once before each numbered marker; what stands before the first is
-    left out."""
-    pieces = F.split(text, rf"\\{marker}{JS_SPACE}+(?=[0-9])")
-    number = lambda x: F.regexp_extract(F.left(x, F.lit(24)), "^[0-9]+", 0)
-    return F.transform(pieces, lambda x, i: F.struct(F.when(i > 0, number(x)).cast("int").alias("number"), i.alias("at"), F.substring(x, F.length(number(x)) + 1, F.length(x)).alias("body")))
+def _lasts(parts: str) -> str:
+    """SQL: of parts that share a number the last one, in order of numbers: each sorted part is met with the one behind it.
+    Parts without a number are left out."""
+    met = "zip_with(s, slice(s, 2, size(s)), (x, y) -> if(y is null or y.number <> x.number, x, null))"
+    return f"array_compact({_bound(f'array_sort(filter({parts}, x -> x.number is not null))', 's', met)})"
 
 
-def _lasts(parts: Column) -> Column:
-    """Of parts that share a number the last one, in order of numbers: each sorted part is met with the one behind it."""
-    inorder = F.array_sort(F.filter(parts, lambda x: x["number"].isNotNull()))
-    met = lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.when(y.isNull() | (y["number"] != x["number"]), x))
-    return F.array_compact(F.get(F.transform(F.array(inorder), met), F.lit(0)))  # in a list of one, so that it is sorted once
+def _chapters(text: str) -> str:
+    """SQL: array<struct<number, at, body>> of a text without spans."""
+    return _lasts(_parts(_without_prefixes(text), "c"))
+
+
+def _verses(body: str) -> str:
+    """SQL: array<struct<number, at, text>> of a chapter's body."""
+    text = f"trim(regexp_replace(x.body, {sql_text(rf'(?:\\[a-z0-9]+|{JS_SPACE})+')}, ' '))"
+    said = f"transform({_parts(body, 'v')}, x -> named_struct('number', x.number, 'at', x.at, 'text', {text}))"
+    return _lasts(f"filter({said}, x -> x.text <> '')")
+
+
+def verses_sql(text: str) -> str:
+    """SQL: array<struct<chapter, verse, text>> of a file's text."""
+    each = "transform(c_verses, v -> named_struct('chapter', c.number, 'verse', v.number, 'text', v.text))"
+    chapters = f"transform({_chapters('file_text')}, c -> {_bound(_verses('c.body'), 'c_verses', each)})"
+    for marker in SPANS:
+        text = _bound(text, "t", _without_span("t", marker))
+    return _bound(text, "file_text", f"flatten({chapters})")
 
 
 def parse(files: DataFrame, by: list[str], content: str = "content") -> DataFrame:
     """by, chapter, verse, text: the verses of each file, a row of files. by names the columns to keep. Nothing is moved: a
     file's chapters and verses are found, and the last of each chosen, in the row that holds it."""
-    text = lambda x: F.trim(F.regexp_replace(x, rf"(?:\\[a-z0-9]+|{JS_SPACE})+", " "))
-    found = files.select(*by, _without_spans(content).alias("text")).select(*by, F.inline(_lasts(_parts(_without_prefixes(F.col("text")), "c"))))
-    verses = F.transform(_parts(F.col("body"), "v"), lambda x: F.struct(x["number"].alias("number"), x["at"].alias("at"), text(x["body"]).alias("text")))
-    said = found.select(*by, F.col("number").alias("chapter"), F.inline(_lasts(F.filter(verses, lambda x: x["text"] != ""))))
+    found = files.select(*by, F.expr(_without_spans(f"`{content}`")).alias("text")).select(*by, F.expr(f"inline({_chapters('text')})"))
+    said = found.select(*by, F.col("number").alias("chapter"), F.expr(f"inline({_verses('body')})"))
     return said.select(*by, "chapter", F.col("number").alias("verse"), "text")
 
 

@@ -22,10 +22,15 @@ def truth(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("cast(doc_id div 50 + 1 as int) as chapter", f"cast({verse} as int) as verse", "text as greek_text", "if(lang = 'de', null, source) as face", "lang as notes", "doc_id as row_ord", "n_chars")
 
 
-def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as USFM text, a file for each chapter, parsed again."""
+def scripture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as USFM text: file, content, a file for each chapter."""
     rows = truth(spark, sf_dir).select(F.lit("PHM").alias("book"), "chapter", "verse", F.col("greek_text").alias("text"), F.col("chapter").alias("file"))
-    return usfm.parse(usfm.render(rows, ["file"]), ["file"]).drop("file")
+    return usfm.render(rows, ["file"])
+
+
+def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' USFM files, parsed again."""
+    return usfm.parse(scripture(spark, sf_dir), ["file"]).drop("file")
 
 
 def individual(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:

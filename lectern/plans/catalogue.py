@@ -681,6 +681,15 @@ def sql_surface(spark, sf_dir):
     )
 
 
+@query(SQL["usfm_roundtrip"], domain=False)
+def verses_in_sql(spark, sf_dir):
+    """Files parsed by the session's function, in SQL."""
+    sql_functions.register(spark)
+    files = adapters.scripture(spark, sf_dir)
+    said = spark.sql("select inline(said) from (select usfm_verses(content) as said from {files})", files=files)
+    return said.select("chapter", "verse", F.md5("text").alias("text_md5"))
+
+
 @query("select distinct doc_id // 50 + 1 as chapter, case (doc_id // 50) % 4 when 0 then 'empty' when 1 then 'no chapter' else 'no verse with text' end as reason from documents where (doc_id // 50) % 4 < 3", domain=False)
 def usfm_files_rejected(spark, sf_dir):
     """Marked-up files, one a chapter, of which only each fourth has verses."""

@@ -71,6 +71,20 @@ def test_usfm(spark):
     assert got == {(1, 1): "Paul, a Lord * man here", (1, 2): "-3 two end", (1, 4): "i leak", (1, 5): "first", (2, 1): "new"}
 
 
+def test_usfm_in_sql(spark):
+    """The session's function gives what parse() gives, for null and odd texts too, and no Python runs."""
+    from lectern.functions import sql
+
+    sql.register(spark)
+    texts = [USFM, None, "", "\\c 1", "no marker", "\\c 1\n\\v 99999999999 far\n\\v 3 it's \\f + a\\f* \\\\n x\n\\c 1\n\\v 2 \\\\pp last \u00a0\u2028end", "\\v 1 outside \\c 2 \\v 1 a \\v 1 b \\c 10 \\v 12 c"]
+    files = spark.createDataFrame(list(enumerate(texts)), "n int, content string")
+    want = usfm.parse(files, ["n"])
+    got = spark.sql("select n, inline(said) from (select n, usfm_verses(content) as said from {files})", files=files)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {(r.n, r.chapter, r.verse, r.text) for r in want.collect() if r.n == 6} == {(6, 2, 1, "b"), (6, 10, 12, "c")}
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_usfm_empty_last_chapter(spark):
     got = usfm.parse(spark.createDataFrame([("A", "\\c 1\n\\v 1 x\n\\c 1\n"), ("B", None)], "book string, content string"), ["book"]).collect()
     assert got == []
