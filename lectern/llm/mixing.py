@@ -9,8 +9,9 @@ source is spread over many tasks and no window holds its rows. The table of sour
 
 Cases: a null text has size 0; null is a source, the last one; of a source of size 0 nothing is taken; rows that
 repeat a doc_id are sized and weighed one by one; an empty table gives an empty result. In mix(), rows that share
-doc_id, source and text are numbered and share their copies out, so that the words taken are those of copies(); other
-columns pass untouched, whatever their names.
+doc_id, source and text are numbered and share their copies out, so that the words taken are those of copies(); a row
+that a third of the table repeats is numbered in as many pieces as tasks read it; other columns pass untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -75,6 +76,20 @@ def copies(docs: DataFrame, **settings) -> DataFrame:
     return placed.selectExpr("doc_id", "source", "key", "size", "at", "source_size", "target", f"{crossed} as copies")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (x_row, x_at, ...) with x_k: from 1 on within x_at, in order of a hash of the row. Rows of one hash are taken as
+    the same, so it doesn't matter which task numbers which of them: each numbers its own, behind those of tasks before
+    it. Only counts are put in order, and no window holds more of an x_at than one task or range does."""
+    rows = common.table(rows.withColumns({"x_hash": F.xxhash64("x_row"), "x_task": F.spark_partition_id()}), "repeated")
+    keys = ["x_at", "x_hash", "x_task"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("x_n"))
+    counts = common.table(counts.repartitionByRange(*keys).withColumn("x_part", F.spark_partition_id()), "repeated-counts")
+    parts = counts.groupBy("x_at", "x_part").agg(F.sum("x_n").alias("x_n")).selectExpr("x_at", "x_part", "sum(x_n) over (partition by x_at order by x_part) - x_n as x_base")
+    inside = counts.withColumn("x_inside", F.expr("sum(x_n) over (partition by x_at, x_part order by x_hash, x_task) - x_n"))
+    before = inside.join(parts, ["x_at", "x_part"]).selectExpr(*keys, "x_base + x_inside as x_before")
+    return rows.join(before, keys).withColumn("x_k", F.expr(f"x_before + row_number() over (partition by {', '.join(keys)} order by x_hash)"))
+
+
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The documents, each row as often as the mix takes it. Texts aren't moved, but those of repeated rows; what is
     broadcast has three numbers a row and BROADCAST_IDS rows at most."""
@@ -84,7 +99,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     held = held.join(F.broadcast(dealt) if n <= common.BROADCAST_IDS else dealt, "x_at")
     once = held.filter("x_rows = 1").select("x_row", "x_copies")
     if dealt.filter("x_rows > 1").head(1):
-        numbered = held.filter("x_rows > 1").withColumn("x_k", F.expr("row_number() over (partition by x_at order by xxhash64(x_row))"))
+        numbered = _numbered(held.filter("x_rows > 1"))
         share = "cast(floor(x_k * x_copies / x_rows) - floor((x_k - 1) * x_copies / x_rows) as long) as x_copies"
         once = once.unionByName(numbered.selectExpr("x_row", share).filter("x_copies > 0"))
     taken = once.select("x_row", F.explode(F.sequence(F.lit(1), F.col("x_copies").cast("int"))))

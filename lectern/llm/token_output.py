@@ -11,8 +11,9 @@ Segment (all integers little-endian): `DAC1`, uint32 levels, uint64 ids; for eac
 
 Files: a Parquet table of segments in order (part, segment), with first (ids before it in its part), doc_ids, counts
 and payload, neither compressed nor dictionary-coded, so that a payload's bytes lie in the file as they are: Spark's
-writer commits whole tasks, on any store that the session can reach. Documents are range-partitioned by doc_id, so part
-and segment follow doc_id; where a document starts is the sum of the parts and segments before it. tokens_at() finds
+writer commits whole tasks, on any store that the session can reach. Documents are range-partitioned by doc_id and
+how their text begins, so part and segment follow doc_id, and many rows without one don't meet in one task; where a
+document starts is the sum of the parts and segments before it. tokens_at() finds
 the segments of asked positions by these sums, reads no other payload, and looks once into each level of a code.
 
 Cases: a null or empty text has the end id alone; rows without a doc_id come first; rows that repeat a doc_id follow
@@ -39,6 +40,8 @@ END_ID = 2
 #: Ids of a segment, so that payloads stay well under a megabyte; a document isn't split.
 SEGMENT_IDS = 1 << 17
 BLOCK = 512
+#: Characters of a text that ranges tell rows of one doc_id apart by.
+BEGINS = 32
 #: Bytes of text encoded at once: distinct words are fewer over longer slices.
 SLICE = 1 << 20
 SEGMENTS = "part int, segment int, first long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
@@ -160,7 +163,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END_ID) -> None:
     """Writes the documents (doc_id, text) as segments under path."""
     common.session_paths(docs.sparkSession)
-    placed = docs.select("doc_id", common.text_or_empty()).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    placed = docs.select("doc_id", common.text_or_empty()).repartitionByRange("doc_id", F.left("text", F.lit(BEGINS)))
+    placed = placed.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     placed.mapInArrow(_encode(vocabulary or vocabulary_path(), end), SEGMENTS).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
 

@@ -559,6 +559,25 @@ def test_mix_of_repeated_rows(spark, documents, monkeypatch, few):
     assert got == took and max(r["count"] for r in mixing.mix(df).groupBy("doc_id").count().collect() if r.doc_id is not None) <= 8
 
 
+def test_mix_numbers_hot_rows_in_pieces(spark, documents):
+    """Rows that repeat are numbered without gaps, in as many pieces as tasks read them, and two runs take the same."""
+    docs = [(1, "w " * 9, "en", "a")] * 300 + [(2, "v " * 5, "en", "a")] * 7 + [(2, "v " * 5, "de", "a")] * 8
+    df = documents(*docs).repartition(6)
+    rows = df.select(F.struct(*df.columns).alias("x_row"), mixing._at().alias("x_at"), F.lit("x").alias("other"))
+    got = mixing._numbered(rows)
+    numbers = {}
+    for r in got.select("x_at", "x_k", "x_task", "x_row.lang").collect():
+        numbers.setdefault(r.x_at, []).append((r.x_k, r.lang, r.x_task))
+    assert sorted(len(x) for x in numbers.values()) == [15, 300]
+    for x in numbers.values():
+        assert [k for k, *_ in sorted(x)] == list(range(1, len(x) + 1))
+        assert len({t for *_, t in x}) > 1
+        langs = [lang for _, lang, _ in sorted(x)]
+        assert sum(a != b for a, b in zip(langs[1:], langs)) == len(set(langs)) - 1
+    took = [sorted(map(tuple, mixing.mix(documents(*docs).repartition(n)).select("doc_id", "text", "lang").collect())) for n in (2, 5)]
+    assert took[0] == took[1]
+
+
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 1, "c": 1}, {"a": 1, "b": 1000, "c": 10, None: 5}, {"a": 7}, {"a": 3, "b": 3, "c": 3, "d": 3}])
 def test_targets(spark, sizes):
     rows = spark.createDataFrame([("n" if s is None else f"s{s}", s, n) for s, n in sizes.items()], "key string, source string, size long")
@@ -583,6 +602,19 @@ def test_token_output(spark, documents, monkeypatch, tmp_path, segment):
     assert {r.position: r.id for r in token_output.tokens_at(spark, path, asked).collect()} == {i: ids[i] for i in asked if i < len(ids)}
 
 
+def test_token_output_without_doc_ids(spark, documents, tmp_path):
+    """Rows without a doc_id are dealt out by how their texts begin, and stand in order of texts."""
+    docs = [(None, f"{i * 7919 % 1000:03d} word {i}") for i in range(400)] + [(None, None), (None, ""), (3, "x"), (-2, "y")]
+    path = str(tmp_path / "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        token_output.write(documents(*docs).repartition(5), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in token_output.digest(spark, path).orderBy("start").collect()] == plain.tokens(docs, vocabulary_path())
+    assert spark.read.parquet(path).filter("isnull(doc_ids[0])").select("part").distinct().count() > 1
+
+
 def test_codes():
     rng = np.random.default_rng(4)
     for ids in (np.zeros(0, np.uint32), np.array([255]), np.array([256]), rng.integers(0, 50000, 3000), rng.integers(0, 2**32, 700), rng.integers(0, 200, 1200), np.r_[np.zeros(600), 70000, np.zeros(600)]):
