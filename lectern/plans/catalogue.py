@@ -615,14 +615,13 @@ def debate_files(spark, sf_dir):
     select 'Philemon' as book, (select chapter from firsts) as chapter, (row_number() over (order by ord) - 1)::int as pos, verse, md5(greek_text) as greek_md5, face_annotation as annotation, n::int as n_individuals, least(a, b)::int::varchar as consensus from met"""
 )
 def report_whole(spark, sf_dir):
-    """One report over all reviews, written in parts and read back as one JSON document; its chapter is the first review's."""
+    """One report over all reviews, written in parts and read back from them as one document, a segment a line; its chapter is the first
+    review's."""
     path = sinks.scratch(spark, "whole")
     parts = report.document_parts(adapters.individual(spark, sf_dir), adapters.debates(spark, sf_dir), "Philemon", "Letters")
     sinks.ordered_text(parts, path, "part", "ord")
     sinks.gone_at_end(spark, path)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
-    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "at", "value"))), lambda x: x["value"]), "").alias("json"))
-    read = whole.select(F.from_json("json", REPORT, {"mode": "FAILFAST"}).alias("r")).select("r.book", "r.chapter", F.posexplode("r.analysis").alias("pos", "s"))
+    read = readers.report_of_parts(spark, path).withColumnRenamed("segment", "s")
     own = views.individuals("s.analysis")
     out = read.select("book", "chapter", "pos", "s.verse", F.md5("s.greek").alias("greek_md5"), "s.annotation", F.size(own).alias("n_individuals"), views.first_debate("s.analysis")["score"].alias("consensus"))
     return nullable(out, "consensus")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import usfm
-from lectern.functions.text import JS_SPACE, PY_CHARS, missing_to_null, strict_keys
-from lectern.schemas import REPORT
+from lectern.functions.text import JS_SPACE, PY_CHARS, fail_if, missing_to_null, strict_keys
+from lectern.schemas import REPORT, SEGMENT
 from lectern.sources.sinks import materialise
 
 # The columns of the files, as they are named there.
@@ -85,6 +85,25 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), reason.alias("reason")).filter("reason is not null")
 
 
+def report_of_parts(spark: SparkSession, path: str) -> DataFrame:
+    """book, chapter, category, pos, segment: the one report that sinks.ordered_text() wrote of report.document_parts(), a
+    row a segment. Lines are parsed where they are read, so the report may be larger than a row or a task. A line's place
+    is its number in its split and what the splits before it hold, a row a split. Lines that don't make up one document (a
+    head, segments parted by commas, an end) fail the job."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    head = F.max(F.when(F.col("value").endswith('"analysis":['), F.col("value")))
+    splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), head.alias("head"))
+    all_, before = Window.partitionBy(), Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(all_).alias("total"), F.max("head").over(all_).alias("head"))
+    lines = raw.join(F.broadcast(splits), ["file", "block"]).withColumn("place", F.col("before") + F.col("id") - F.col("first"))
+    first, last = F.col("place") == 0, F.col("place") == F.col("total") - 1
+    right = F.when(first, (F.col("value") == F.col("head")) & ~last).when(last, F.col("value") == "]}").otherwise(F.col("value").startswith(",") == (F.col("place") > 1))
+    lines = lines.filter(fail_if(~F.coalesce(right, F.lit(False)), F.concat(F.lit("no line of a report at its place: "), F.left("value", F.lit(50))))).filter(~first & ~last)
+    strict = {"mode": "FAILFAST"}
+    told, segment = F.from_json(F.concat("head", F.lit("]}")), REPORT, strict), F.from_json(F.regexp_replace("value", "^,", ""), SEGMENT, strict)
+    return lines.select(told.alias("r"), (F.col("place") - 1).cast("int").alias("pos"), segment.alias("segment")).select("r.book", "r.chapter", "r.category", "pos", "segment")
+
+
 def usfm_verses_of_large_files(spark: SparkSession, path: str) -> DataFrame:
     """book, chapter, verse, text as usfm_verses() has them, of files that are too large for a task: files are split at
     chapter markers, and each chapter is parsed where it was read. A chapter marker counts wherever it stands, also inside a
