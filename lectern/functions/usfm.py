@@ -7,7 +7,7 @@ chapter the last non-empty text stays."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import JS_SPACE, sql_text
@@ -91,8 +91,14 @@ def parse(files: DataFrame, by: list[str], content: str = "content") -> DataFram
 
 
 def render(verses: DataFrame, by: list[str]) -> DataFrame:
-    """by, content: one USFM text for each value of by, of verses (by, chapter, verse, text), in order."""
+    """by, content: one USFM text for each value of by, of verses (by, chapter, verse, text), in order. One
+    exchange: a file's lines are gathered at once, and the first of each chapter carries its marker."""
     line = F.concat(F.lit("\\v "), F.col("verse").cast("string"), F.lit(" "), F.translate("text", "\\", " "), F.lit("\n"))
-    chapters = verses.groupBy(*by, "chapter").agg(F.array_sort(F.collect_list(F.struct("verse", line.alias("line")))).alias("lines"))
-    body = F.concat(F.lit("\\c "), F.col("chapter").cast("string"), F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), ""))
-    return chapters.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chapter", body.alias("body")))).alias("bodies")).select(*by, F.array_join(F.transform("bodies", lambda x: x["body"]), "").alias("content"))
+    said = F.when(F.col("chapter").isNotNull(), F.struct(F.col("chapter").alias("of"), "verse", line.alias("line")))
+    files = verses.groupBy(*by).agg(F.array_sort(F.collect_list(said)).alias("lines"))
+
+    def with_head(x: Column, i: Column) -> Column:
+        head = F.concat(F.lit("\\c "), x["of"].cast("string"), F.lit("\n"))
+        return F.concat(F.when(F.get("lines", i - 1)["of"] == x["of"], "").otherwise(head), F.coalesce(x["line"], F.lit("")))
+
+    return files.select(*by, F.array_join(F.transform("lines", with_head), "").alias("content"))

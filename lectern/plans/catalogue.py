@@ -633,14 +633,20 @@ def dense_ordinals(spark, sf_dir):
     return order.numbered(rows, "source", "n_chars", "doc_id").select("doc_id", "place")
 
 
+#: Bytes of text a file of usfm_large_file: two splits of Spark's default size.
+LARGE_FILE = 256 << 20
+
+
 @query("select chapter, verse, md5(text) as text_md5 from verses")
 def usfm_large_file(spark, sf_dir):
-    """All chapters in one file, which is split at chapter markers; a repeat of each chapter's beginning comes before it."""
+    """All chapters in files larger than a split, which are split at chapter markers; a repeat of each chapter's beginning
+    comes before it. A task writes a file, so their number grows with the texts."""
     path = sinks.scratch(spark, "large")
     rows = adapters.truth(spark, sf_dir).select("chapter", "verse", F.col("greek_text").alias("text"), F.lit("PHM").alias("book"))
     chapters = usfm.render(rows, ["book", "chapter"])
     old = F.concat(F.lit("\\c "), F.col("chapter").cast("string"), F.lit("\n\\cl Heading\n\\v 1 an older text\n\\v 99 gone\n"))
-    chapters.select(F.concat(old, "content").alias("value"), "chapter").coalesce(1).sortWithinPartitions("chapter").select("value").write.text(path)
+    files = rows.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / LARGE_FILE))).first()[0]
+    sinks.ordered_text(chapters.select(F.concat(old, "content").alias("text"), "chapter"), path, "chapter", parts=files)
     sinks.gone_at_end(spark, path)
     return readers.usfm_verses_of_large_files(spark, path).select("chapter", "verse", F.md5("text").alias("text_md5"))
 

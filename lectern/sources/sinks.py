@@ -25,10 +25,10 @@ def json_documents(documents: DataFrame, path: str, column: str = "json", order:
     (out.option("maxRecordsPerFile", 1) if order else out).text(path)
 
 
-def ordered_text(rows: DataFrame, path: str, *order: str, column: str = "text") -> None:
+def ordered_text(rows: DataFrame, path: str, *order: str, column: str = "text", parts: int | None = None) -> None:
     """Lines as files whose names are in order: read one after the other, they are the whole text. Rows are dealt out by
-    ranges of order, so no task holds more than its range."""
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(column).write.mode("overwrite").text(path)
+    ranges of order, so no task holds more than its range. parts: how many ranges, and files, there are."""
+    rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).select(column).write.mode("overwrite").text(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -4,9 +4,11 @@ import json
 
 import pytest
 
+from lectern.functions import usfm
 from lectern.operators import report
 from lectern.plans import adapters, catalogue
 from lectern.sources import readers, sinks
+from tests.oracle import same
 
 
 def plan(df):
@@ -39,3 +41,18 @@ def test_parts_that_are_no_report(spark, tmp_path, lines):
 def test_report_without_segments(spark, tmp_path):
     (tmp_path / "part-0").write_text('{"book":"B","chapter":1,"category":"C","analysis":[\n]}\n')
     assert readers.report_of_parts(spark, str(tmp_path)).collect() == []
+
+
+def test_large_files_are_several(spark, sf, monkeypatch):
+    """A task writes a file, so files end at a size."""
+    monkeypatch.setattr(catalogue, "LARGE_FILE", 64 << 10)
+    got = catalogue.usfm_large_file(spark, sf)
+    assert len([x for x in got.inputFiles() if "lectern-large" in x]) > 2
+    same(got, catalogue.SQL["usfm_large_file"], sf)
+
+
+def test_render_in_one_exchange(spark):
+    rows = spark.createDataFrame([("a", 2, 1, "x"), ("a", 1, 2, "y\\z"), ("a", 1, 1, None), ("a", 1, 10, "w"), ("a", 3, 1, None), ("b", 1, 1, "v"), ("c", None, 1, "u")], "book string, chapter int, verse int, text string")
+    made = usfm.render(rows, ["book"])
+    assert {r.book: r.content for r in made.collect()} == {"a": "\\c 1\n\\v 2 y z\n\\v 10 w\n\\c 2\n\\v 1 x\n\\c 3\n", "b": "\\c 1\n\\v 1 v\n", "c": ""}
+    assert usfm.render(rows, ["book"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
