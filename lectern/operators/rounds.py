@@ -106,8 +106,7 @@ def _verses(individual: DataFrame, expected: int) -> DataFrame:
     """chapter, verse, reviews, context of the verses that are debated."""
     verses = workflow.debatable_verses(individual, expected)
     blank = lambda c: F.coalesce(c, F.lit(""))
-    first = F.get("reviews", F.lit(0))
-    heads = [F.concat(F.lit(h.split("{}")[0]), blank(first[c]), F.lit(h.split("{}")[1])) for h, c in zip(lookup.CONTEXT, ("greek_text", "translation", "face_annotation"), strict=True)]
+    heads = [F.concat(F.lit(h.split("{}")[0]), blank(F.col(c)), F.lit(h.split("{}")[1])) for h, c in zip(lookup.CONTEXT, ("greek_text", "translation", "face_annotation"), strict=True)]
     a, b, c, d = (*lookup.OPENING.split("{}"), "")[:4]
     lines = F.transform("reviews", lambda r: F.concat(F.lit(a), r["agent_name"], F.lit(b), r["score"].cast("string"), F.lit(c), blank(r["model_analysis"]), F.lit(d)))
     return verses.withColumn("context", F.concat_ws("\n", *heads, F.array_join(lines, "\n"), F.lit(lookup.TASK)))
@@ -159,6 +158,5 @@ def debates(individual: DataFrame, source: Source, path: str | None = None, expe
     held = log.groupBy("chapter", "verse").agg(F.array_sort(F.collect_list(F.struct("turn", "content"))).alias("told"))
     closing = F.concat(F.array(F.lit(CLOSING_TASK)), told(lambda t: t["turn"] >= n))
     held = held.select("chapter", "verse", F.to_json(told(lambda t: t["turn"] < n)).alias("debate"), F.to_json(closing).alias("closing_statements"))
-    first = workflow.debatable_verses(individual, expected).select("chapter", "verse", F.get("reviews", F.lit(0)).alias("first"))
-    out = held.join(first, ["chapter", "verse"]).select("*", *[F.col(f"first.{c}").alias(c) for c in ("face_annotation", "greek_text", "translation", "row_ord")])
+    out = held.join(workflow.debatable_verses(individual, expected), ["chapter", "verse"])
     return out.select(*[x.split()[0] for x in DEBATED.split(", ")])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.jsonx import FALSE, TRANSITION, TRUE
 from lectern.operators.lookup import CONTEXT, OPENING, TASK
+from lectern import session
 from lectern.session import importable
 
 #: Reviews after which a revision is taken as it is.
@@ -114,13 +115,25 @@ def reviewed_analysis(scorer: Scorer, agent: str, prompt: str) -> tuple[str, int
     return analysis, MAX_REVIEWS, "exhausted", history
 
 
+#: Rows that a worker holds as Python objects at a time.
+ROWS = 64
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, ROWS rows at a time: what a worker makes of them is not larger than they are."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def score_rows(rows: DataFrame, scorer: Scorer, agent: str = "agent_name", prompt: str = "prompt") -> DataFrame:
     """rows with REVIEWED: one review loop a row, rows of a batch one after the other."""
     importable(rows.sparkSession)
+    session.small_batches(rows.sparkSession)
     history = pa.list_(pa.struct([("speaker", pa.string()), ("content", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             done = [reviewed_analysis(scorer, a, p) for a, p in zip(batch.column(agent).to_pylist(), batch.column(prompt).to_pylist(), strict=True)]
             made = [pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string(), history))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "analysis", "revisions", "outcome", "history"])
@@ -142,37 +155,42 @@ def debate_once(scorer: Scorer, reviews: list[dict], context: str) -> tuple[list
     return [json.dumps(x, ensure_ascii=False) for x in history], closing
 
 
-def debate_context(reviews: list[dict]) -> str:
-    """lookup.debate_context() of one verse."""
-    text = lambda x: "" if x is None else x
-    heads = [h.format(text(reviews[0][c])) for h, c in zip(CONTEXT, ("greek_text", "translation", "face_annotation"), strict=True)]
+def debate_context(reviews: list[dict], first: dict | None = None) -> str:
+    """lookup.debate_context() of one verse. first: what has FIRST, where the first review hasn't."""
+    text, first = lambda x: "" if x is None else x, first or reviews[0]
+    heads = [h.format(text(first[c])) for h, c in zip(CONTEXT, ("greek_text", "translation", "face_annotation"), strict=True)]
     return "\n".join([*heads, *(OPENING.format(r["agent_name"], r["score"], text(r["model_analysis"])) for r in reviews), TASK])
 
 
+#: What of a verse's first review a debate begins with.
+FIRST = ("face_annotation", "greek_text", "translation")
+
+
 def debatable_verses(individual: DataFrame, expected: int = 2) -> DataFrame:
-    """chapter, verse, reviews (in row order): the verses with exactly the expected number of reviews. The other verses'
-    rows are counted by a window, which spills, and leave before any are gathered, so a gathered row holds that many."""
-    columns = ["row_ord", "agent_name", "score", "model_analysis", "face_annotation", "greek_text", "translation"]
-    whole = Window.partitionBy("chapter", "verse")
-    ready = individual.filter("chapter is not null and verse is not null").select("chapter", "verse", *columns, F.count(F.lit(1)).over(whole).alias("n")).filter(F.col("n") == expected)
-    return ready.groupBy("chapter", "verse").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("reviews"))
+    """chapter, verse, row_ord, FIRST (of the first review), reviews (row_ord, agent_name, score, model_analysis, in row
+    order): the verses with exactly the expected number of reviews. The other verses' rows are counted by a window, which
+    spills, and leave before any are gathered, so a gathered row holds that many. Texts move once a verse: of reviews that
+    a task has of one verse only the first one's leave it."""
+    columns, keys = ["row_ord", "agent_name", "score", "model_analysis"], ["chapter", "verse"]
+    known = individual.filter("chapter is not null and verse is not null")
+    ready = known.select(*keys, *columns, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n")).filter(F.col("n") == expected)
+    reviews = ready.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("reviews"))
+    firsts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*columns, *FIRST)).alias("first")).filter(F.col("n") == expected)
+    return firsts.join(reviews, keys).select(*keys, *[F.col(f"first.{c}").alias(c) for c in ("row_ord", *FIRST)], "reviews")
 
 
 def debates(individual: DataFrame, scorer: Scorer, expected: int = 2) -> DataFrame:
     """DEBATED: a debate for each of debatable_verses(); without any the result is empty. One exchange by verse, then batches
-    of verses."""
+    of verses, whose texts pass a worker as they are."""
     importable(individual.sparkSession)
+    session.small_batches(individual.sparkSession)
     verses = debatable_verses(individual, expected)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for verse in batch.to_pylist():
-                reviews = verse["reviews"]
-                debate, closing = debate_once(scorer, reviews, debate_context(reviews))
-                first = {k: reviews[0][k] for k in ("face_annotation", "greek_text", "translation")}
-                rows.append({"chapter": verse["chapter"], "verse": verse["verse"], **first, "debate": json.dumps(debate, ensure_ascii=False), "closing_statements": json.dumps(closing, ensure_ascii=False), "row_ord": reviews[0]["row_ord"]})
-            yield pa.RecordBatch.from_pylist(rows, DEBATED_ARROW)
+        for batch in pieces(batches):
+            held = [debate_once(scorer, verse["reviews"], debate_context(verse["reviews"], verse)) for verse in batch.to_pylist()]
+            made = {name: pa.array([json.dumps(x[k], ensure_ascii=False) for x in held], pa.string()) for k, name in enumerate(("debate", "closing_statements"))}
+            yield pa.RecordBatch.from_arrays([(made.get(f.name) if f.name in made else batch.column(f.name)).cast(f.type) for f in DEBATED_ARROW], schema=DEBATED_ARROW)
 
     return verses.mapInArrow(run, DEBATED)
 

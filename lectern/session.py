@@ -16,6 +16,16 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default of 64 MB: workers hold a few batches at once.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of Python workers by bytes; a limit that the session was given stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def python_json(spark: SparkSession) -> None:
     """Of a key that a JSON object repeats, the last one counts, as in Python; Spark's own rule is that such a text is
     invalid. It holds for all of the session's parsing into VARIANT."""

@@ -2,10 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
+from lectern import session
 from lectern.functions import usfm
-from lectern.operators import report
+from lectern.operators import lookup, report, workflow
 from lectern.plans import adapters, catalogue
 from lectern.sources import readers, sinks
 from tests.oracle import same
@@ -56,3 +58,21 @@ def test_render_in_one_exchange(spark):
     made = usfm.render(rows, ["book"])
     assert {r.book: r.content for r in made.collect()} == {"a": "\\c 1\n\\v 2 y z\n\\v 10 w\n\\c 2\n\\v 1 x\n\\c 3\n", "b": "\\c 1\n\\v 1 v\n", "c": ""}
     assert usfm.render(rows, ["book"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_workers_hold_few_rows():
+    """Of a batch of any size; texts pass as Arrow columns."""
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    got = list(workflow.pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in got) == workflow.ROWS and [v for b in got for v in b.column("x").to_pylist()] == list(range(1000))
+
+
+def test_texts_move_once_a_verse(spark, sf):
+    """Of the reviews only the first one's texts are gathered, and a session's batches are bounded by bytes."""
+    rows = adapters.individual(spark, sf, multi=True)
+    verses = workflow.debatable_verses(rows)
+    assert verses.schema["reviews"].dataType.elementType.names == ["row_ord", "agent_name", "score", "model_analysis"]
+    want = {(r.chapter, r.verse): (r["first"].greek_text, r["first"].translation, r["first"].face_annotation, r.n) for r in lookup.debatable(rows).collect()}
+    assert {(r.chapter, r.verse): (r.greek_text, r.translation, r.face_annotation, len(r.reviews)) for r in verses.collect()} == want
+    workflow.debates(rows, workflow.StubScorer())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= session.BATCH_BYTES
