@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.functions import jsonx
 from lectern.functions.text import py_strip
 
@@ -108,8 +109,10 @@ def document(individual: DataFrame, debates: DataFrame, book: str, category: str
 
 
 def documents(individual: DataFrame, debates: DataFrame, book: str, category: str) -> DataFrame:
-    """A report for each chapter: chapter, json."""
-    parts = segment_json(joined(individual, debates, by_chapter=True)).groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("ord", "json"))).alias("parts"))
+    """A report for each chapter: chapter, json. Both tables are dealt out by chapter once; segments, their join and the
+    documents are made where their chapter is."""
+    session.joins_in_place(individual.sparkSession)
+    parts = segment_json(joined(individual.repartition("chapter"), debates.repartition("chapter"), by_chapter=True)).groupBy("chapter").agg(F.array_sort(F.collect_list(F.struct("ord", "json"))).alias("parts"))
     return parts.select("chapter", _document("chapter", book, category))
 
 

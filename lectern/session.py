@@ -26,6 +26,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def joins_in_place(spark: SparkSession) -> None:
+    """Lets a join whose sides are both dealt out by some of its keys use them as they are; Spark's default deals both out
+    again by all keys. It holds for all joins that the session plans from then on."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def python_json(spark: SparkSession) -> None:
     """Of a key that a JSON object repeats, the last one counts, as in Python; Spark's own rule is that such a text is
     invalid. It holds for all of the session's parsing into VARIANT."""

@@ -50,11 +50,11 @@ def gone_at_end(spark: SparkSession, path: str) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written in the folder that spark.checkpoint.dir names and read back: model calls behind it are made once,
-    whichever executors are lost later."""
+    whichever executors are lost later. Compressed by zstd, whose window also meets a text that is repeated."""
     spark = df.sparkSession
     path = scratch(spark, name)
     importable(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     gone_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -76,3 +76,16 @@ def test_texts_move_once_a_verse(spark, sf):
     assert {(r.chapter, r.verse): (r.greek_text, r.translation, r.face_annotation, len(r.reviews)) for r in verses.collect()} == want
     workflow.debates(rows, workflow.StubScorer())
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= session.BATCH_BYTES
+
+
+def test_reports_are_dealt_out_once(spark, sf):
+    """By chapter, each table once; segments, join and documents stay there."""
+    rows = sinks.materialise(adapters.individual(spark, sf), "reviews")
+    debates = sinks.materialise(adapters.debates(spark, sf), "held")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = report.documents(rows, debates, "B", "C")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert made.count("Exchange hashpartitioning") == 2
+    assert all(".zstd." in x for x in rows.inputFiles())
