@@ -699,9 +699,10 @@ def verses_in_sql(spark, sf_dir):
 def usfm_files_rejected(spark, sf_dir):
     """Marked-up files, one a chapter, of which only each fourth has verses."""
     path = sinks.scratch(spark, "rejected")
-    chapters = adapters.table(spark, sf_dir, "documents").select((F.expr("doc_id div 50") + 1).alias("chapter")).distinct()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number, which small rows don't lower: what takes time is a folder each
+    chapters = adapters.table(spark, sf_dir, "documents").select((F.expr("doc_id div 50") + 1).alias("chapter")).repartition(tasks, "chapter").distinct()
     text = "case (chapter - 1) % 4 when 0 then '\t ' when 1 then '\\\\v 1 text' when 2 then '\\\\c 1 \\\\v 1 \\\\p' else '\\\\c 1 \\\\v 1 text' end"
-    chapters.selectExpr("chapter", f"{text} as value").write.partitionBy("chapter").text(path)
+    chapters.selectExpr("chapter", f"{text} as value").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("chapter").text(path)
     sinks.gone_at_end(spark, path)
     return readers.unreadable_usfm(spark, path).select(F.regexp_extract("path", "chapter=([0-9]+)", 1).cast("long").alias("chapter"), "reason")
 

@@ -89,3 +89,11 @@ def test_reports_are_dealt_out_once(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert made.count("Exchange hashpartitioning") == 2
     assert all(".zstd." in x for x in rows.inputFiles())
+
+
+def test_files_are_judged_where_they_are_read(spark, sf):
+    """Folders are written by many tasks, and files are read once, without an exchange."""
+    got = catalogue.usfm_files_rejected(spark, sf)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    written = [x for x in got.inputFiles() if "lectern-rejected" in x]
+    assert len({x.split("/part-")[1][:5] for x in written}) > 1
